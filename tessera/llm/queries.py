@@ -11,6 +11,8 @@ from tessera.llm.common import documents
 from tessera.llm.op01_chunk_recipes import exact_groups
 from tessera.llm.op03_arrow_tokens import token_digest
 from tessera.llm.op04_pieces import piece_digest
+from tessera.llm.op06_mixing import mix_report
+from tessera.llm.op09_robust_outliers import quality_verdicts
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,10 +33,20 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(documents(spark, sf_dir))
+
+
+def op9_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
     "op3_arrow_token_files": op3_arrow_token_files,
     "op4_piece_encoding": op4_piece_encoding,
+    "op6_hypergeometric_mix": op6_hypergeometric_mix,
+    "op9_robust_outlier_rules": op9_robust_outlier_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
