@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of every operator here: space and the ASCII controls tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Texts are handled in groups of about this many bytes, so that a task's arrays stay small.
 GROUP_BYTES = 2_000_000
-#: Rows in an Arrow batch; long texts make larger rows than Spark's default of 10,000 allows for.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch; long texts make larger rows than Spark's default of 10,000 allows for.
+BATCH_ROWS = 4096
+BATCH_BYTES = 8_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        where = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
+    if "://" not in where and not where.startswith("file:"):  # as Spark's own writers read it
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        where = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if where.startswith("file:/") and not where.startswith("file://"):
+        where = "file://" + where[5:]
     return where.rstrip("/")
 
 
@@ -47,6 +55,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def per_worker[T](key: tuple, make: Callable[[], T]) -> T:
+    """What is costly to open, kept for the life of a Python worker, which runs one task after another.
+
+    It hangs on sys, as functions that travel by value have module globals of their own in every task.
+    """
+    held = sys.__dict__.setdefault("_tessera_worker", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def sent(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, to be sent to every executor in a join if it is counted to have at most most_rows rows."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

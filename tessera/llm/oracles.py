@@ -5,3 +5,14 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+OP7 = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     windows AS (SELECT doc_id, t.i AS i, md5(array_to_string(ws[t.i:t.i + 49], ' ')) AS h FROM texts, unnest(range(1, len(ws) - 48)) AS t(i)),
+     firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+     gone AS (SELECT DISTINCT doc_id, i + k.k AS p FROM windows JOIN firsts USING (h), range(50) AS k(k) WHERE first < doc_id),
+     words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM texts),
+     kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
