@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_folder, small_batches
-from tessera.llm.units import UnitTable
+from tessera.llm.common import new_folder, per_worker, small_batches
+from tessera.llm.units import UnitTable, groups
 
 #: White space before a space that isn't followed by a word: only there may a pre-token cross from one space-led unit into the next.
 _CROSSING = "[\\s\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0b] ([\\s\\x1c-\\x1f\\x0b\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]|$)"
 
 
 class ByteLevelEncoder:
-    """Encodes batches of texts exactly as Tokenizer.encode(text, add_special_tokens=False) does.
+    """Encodes texts exactly as Tokenizer.encode(text, add_special_tokens=False) does.
 
     Byte-level pre-tokens begin at a space that leads a word, so a text's ids are those of its space-led units one after the other.
     Texts in which that doesn't hold (a space amid white space) are encoded whole.
@@ -43,17 +43,24 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.table = UnitTable(lambda units: [x.ids for x in self.tokenizer.encode_batch(units, add_special_tokens=False)], " ", self.dtype)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # the byte-level letter for a space
+        self.table = UnitTable(lambda text: self._batch([text])[0], self._batch, leads, True, self.dtype)
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         odd = np.asarray(pc.match_substring_regex(texts, _CROSSING))
-        at, bounds = self.table.positions(texts)
-        ids, offsets = self.table.ids(at, bounds)
-        out = [ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=self.dtype)
-        return out
+        ids, offsets = self.table.encode(texts.filter(pa.array(~odd)))
+        k = 0
+        for i in range(len(texts)):
+            if odd[i]:
+                yield np.array(self._batch([texts[i].as_py()])[0], dtype=self.dtype)
+            else:
+                yield ids[offsets[k] : offsets[k + 1]]
+                k += 1
 
 
 def sequence_schema(length: int, dtype: type) -> pa.Schema:
@@ -110,14 +117,13 @@ class ShardWriter:
 
 def _write(path: str, folder: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, shard = ByteLevelEncoder(path), None, TaskContext.get().partitionId()
+        encoder, writer, shard = per_worker(("byte-level", path), lambda: ByteLevelEncoder(path)), None, TaskContext.get().partitionId()
         end = np.array([end_id], dtype=encoder.dtype)
         for batch in batches:
             writer = writer or ShardWriter(folder, shard, length, encoder.dtype)
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                ids = encoder.encode(pc.fill_null(part.column("text"), ""))
-                writer.add(part.column("doc_id"), [np.concatenate([x, end]) for x in ids])
+            texts = pc.fill_null(batch.column("text"), "")
+            for i, j in groups(texts):
+                writer.add(batch.column("doc_id")[i:j], [np.concatenate([x, end]) for x in encoder.encode(texts[i:j])])
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "documents": [writer.documents], "tokens": [writer.tokens], "sequences": [writer.sequences]}, schema=pa.schema([(x, pa.int64()) for x in ("shard", "documents", "tokens", "sequences")]))

@@ -2,7 +2,7 @@
 
 The model's pieces hold the white-space mark only at their front, so no merge crosses from one marked word into the next: each
 distinct marked word is segmented once a table, and ids are joined back by position. The table is each task's own, with a bounded
-number of words (see units.MOST_UNITS), so nothing is shuffled and a lost task is simply run again. Texts in which a marked word is
+number of words (those of units.GROUP_BYTES of text), so nothing is shuffled and a lost task is simply run again. Texts in which a marked word is
 not well defined (spaces at an end or one after another, or the mark itself in the text) are encoded whole. The mark rule is checked
 against the model's pieces when the encoder is opened; with a model that breaks it every text is encoded whole.
 
@@ -22,8 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
-from tessera.llm.units import UnitTable
+from tessera.llm.common import per_worker, small_batches
+from tessera.llm.units import UnitTable, groups
 
 MARK = "▁"
 _ODD = f"^ |  | $|{MARK}"
@@ -32,37 +32,45 @@ _ODD = f"^ |  | $|{MARK}"
 class PieceEncoder:
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.whole = any(re.search(f"[^{MARK}]{MARK}", x) for x in pieces) or self.model.encode("a b", out_type=str)[:1] != [f"{MARK}a"]
         self.end = self.model.eos_id()
-        self.table = UnitTable(lambda units: self.model.encode(units, num_threads=1), "", np.uint32, strings=True)
+        leads = np.array([x.startswith(MARK) for x in pieces])
+        self.table = UnitTable(self.model.encode, lambda texts: self.model.encode(texts, num_threads=1), leads, False, np.int32)
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[list[int], bytes]]:
-        """For each text its ids with the end id, and these in decimal, joined by spaces."""
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, with the end id."""
         odd = np.asarray(pc.match_substring_regex(texts, _ODD))
         if self.whole:
-            odd[:] = True
-        at, bounds = self.table.positions(texts)
-        ids, offsets = self.table.ids(at, bounds)
-        words, end = self.table.words, str(self.end).encode()
-        for i in range(len(texts)):
-            if odd[i]:
-                own = self.model.encode(texts[i].as_py())
-                yield [*own, self.end], " ".join(map(str, [*own, self.end])).encode()
-            else:
-                yield [*ids[offsets[i] : offsets[i + 1]].tolist(), self.end], b"".join([words[k] for k in at[bounds[i] : bounds[i + 1]].tolist()]) + end
+            odd = np.ones(len(texts), dtype=bool)
+        ids, offsets = self.table.encode(texts.filter(pa.array(~odd)))
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = np.diff(offsets)
+        own = [np.array(x, np.int32) for x in self.model.encode(texts.filter(pa.array(odd)).to_pylist(), num_threads=1)] if odd.any() else []
+        counts[odd] = [len(x) for x in own]
+        ends = np.cumsum(counts + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, self.end, dtype=np.int32)
+        body = np.ones(len(out), dtype=bool)
+        body[ends - 1] = False
+        of_odd = np.repeat(odd, counts + 1) & body
+        out[of_odd] = np.concatenate([np.zeros(0, np.int32), *own])
+        out[body & ~of_odd] = ids
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out))
 
 
 def _digest(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = per_worker(("pieces", path), lambda: PieceEncoder(path))
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                rows = [(len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(encoder.model.decode(ids).encode()).hexdigest()) for ids, decimal in encoder.encode(pc.fill_null(part.column("text"), ""))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(3))], schema=schema)
+            texts = pc.fill_null(batch.column("text"), "")
+            for i, j in groups(texts):
+                ids = encoder.encode(texts[i:j])
+                decimal = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.cast(ids.values, pa.string())), " ")
+                ends, values = np.asarray(ids.offsets).tolist(), np.asarray(ids.values)
+                rows = [(hashlib.sha256(d.as_buffer()).hexdigest(), hashlib.sha256(encoder.model.decode(values[a:b].tolist()).encode()).hexdigest()) for d, a, b in zip(decimal, ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pc.cast(pc.list_value_length(ids), pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in range(2))], schema=schema)
 
     return run
 
@@ -71,11 +79,12 @@ def _ids(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = per_worker(("pieces", path), lambda: PieceEncoder(path))
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ids for ids, _ in encoder.encode(pc.fill_null(part.column("text"), ""))], schema.field(1).type)], schema=schema)
+            texts = pc.fill_null(batch.column("text"), "")
+            for i, j in groups(texts):
+                ids = encoder.encode(texts[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.ListArray.from_arrays(ids.offsets, ids.values, type=schema.field(1).type)], schema=schema)
 
     return run
 

@@ -1,76 +1,87 @@
-"""Distinct-unit tables for subword encoders: each distinct space-delimited unit is segmented once, ids are joined back by position."""
+"""Distinct-unit tables for subword encoders: each distinct space-led unit of a group of texts is segmented once, ids are joined back by position."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units that a task's table holds before it begins anew: bounds a worker's memory, changes no result.
-MOST_UNITS = 600_000
+#: Bytes of text whose units share a table, and distinct units that are segmented in one call. Both bound a task's memory.
+GROUP_BYTES = 10_000_000
+CALL_UNITS = 4096
+
+
+def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about GROUP_BYTES."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+    first = 0
+    while first < len(texts):
+        base = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, base + GROUP_BYTES, "right")))
+        yield first, end
+        first = end
 
 
 class UnitTable:
-    """encode: list of units -> list of id lists. prefix: what stands before each unit of a text but the first."""
+    """Segments texts whose ids are those of their space-led units one after the other.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], prefix: str, dtype: type = np.uint32, strings: bool = False):
-        self.encode, self.prefix, self.dtype, self.strings = encode, prefix, dtype, strings
-        self._clear()
+    joined: ids of one text; leads: for each id whether its piece begins with the space, which no other piece of a unit does;
+    single: id lists of texts on their own. heads: whether a text's first unit, having no space before it, is segmented on its own.
+    """
 
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=self.dtype)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.lengths = np.zeros(1 << 14, dtype=np.int64)
-        self.words: list[bytes] = []
-        self.used = 0
+    def __init__(self, joined: Callable[[str], list[int]], single: Callable[[list[str]], list[list[int]]], leads: np.ndarray, heads: bool, dtype: type):
+        self.joined, self.single, self.leads, self.heads, self.dtype = joined, single, leads, heads, dtype
 
-    def _add(self, units: list[str]) -> None:
-        ids = self.encode(units)
-        n, total = len(self.index), sum(map(len, ids))
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.starts) < n + len(units):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.lengths[n : n + len(ids)] = lengths
-        self.starts[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + total] = np.fromiter((t for x in ids for t in x), self.dtype, total)
-        self.used += total
-        self.index.update(zip(units, range(n, n + len(units)), strict=True))
-        if self.strings:
-            self.words.extend("".join(f"{t} " for t in x).encode() for x in ids)
+    def _segment(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, in order, and the number of ids of each."""
+        odd = np.asarray(pc.match_substring_regex(units, r"^(\s|\x0b|[^\x21-\x7e\x{A1}-\x{167F}]|$)"))
+        plain = units.filter(pa.array(~odd))
+        ids, counts = [np.zeros(0, self.dtype)], np.zeros(len(units), np.int64)
+        parts = [np.zeros(0, np.int64)]
+        for i in range(0, len(plain), CALL_UNITS):
+            some = plain[i : i + CALL_UNITS]
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            got = np.array(self.joined(" " + text if self.heads else text), dtype=self.dtype)
+            begins = np.flatnonzero(self.leads[got])
+            if len(begins) != len(some) or begins[0] != 0:
+                raise ValueError("pieces cross a space: this model needs whole texts")
+            ids.append(got)
+            parts.append(np.diff(np.append(begins, len(got))))
+        flat, lengths = np.concatenate(ids), np.concatenate(parts)
+        if not odd.any():
+            return flat, lengths
+        own = self.single([(" " if self.heads else "") + x for x in units.filter(pa.array(odd)).to_pylist()])
+        counts[~odd] = lengths
+        counts[odd] = [len(x) for x in own]
+        out = np.zeros(int(counts.sum()), self.dtype)
+        at = np.repeat(odd, counts)
+        out[~at] = flat
+        out[at] = [t for x in own for t in x]
+        return out, counts
 
-    def positions(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index in the table of each unit of each text, and for each text the number of its first unit (plus the total)."""
-        if len(self.index) > MOST_UNITS:
-            self._clear()
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the offset of each text's first one (plus the total)."""
         lists = pc.split_pattern(texts, " ")
         bounds = np.asarray(lists.offsets, dtype=np.int64)
-        coded = pc.dictionary_encode(lists.flatten())
-        codes = np.asarray(coded.indices, dtype=np.int64)
-        if not len(codes):
-            return codes, bounds - bounds[0]
         bounds = bounds - bounds[0]
-        plain = coded.dictionary.to_pylist()
-        first = bounds[:-1][np.diff(bounds) > 0]
-        heads = codes[first]
-        wanted = [self.prefix + x for x in plain]
-        wanted_heads = sorted({plain[c] for c in heads.tolist()}) if self.prefix else []
-        if missing := [x for x in dict.fromkeys([*wanted, *wanted_heads]) if x not in self.index]:
-            self._add(missing)
-        look = np.fromiter((self.index[x] for x in wanted), np.int64, len(wanted))
-        at = look[codes]
-        if self.prefix:
-            at[first] = np.fromiter((self.index[plain[c]] for c in heads.tolist()), np.int64, len(heads))
-        return at, bounds
-
-    def ids(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and for each text the offset of its first one (plus the total)."""
-        lengths = self.lengths[at]
+        units = lists.flatten()
+        if not len(units):
+            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+        coded = pc.dictionary_encode(units)
+        at = np.asarray(coded.indices, dtype=np.int64)
+        flat, counts = self._segment(coded.dictionary)
+        if self.heads:  # the first units of texts come after the others in the table
+            first = bounds[:-1][np.diff(bounds) > 0]
+            own = self.single(units.take(pa.array(first)).to_pylist())
+            at = at.copy()
+            at[first] = len(counts) + np.arange(len(first))
+            flat = np.concatenate([flat, np.fromiter((t for x in own for t in x), self.dtype)])
+            counts = np.concatenate([counts, np.fromiter(map(len, own), np.int64, len(own))])
+        starts = np.cumsum(counts) - counts
+        lengths = counts[at]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = np.repeat(self.starts[at] - (ends - lengths), lengths)
-        return self.flat[shift + np.arange(total)], np.concatenate([[0], ends])[bounds]
+        index = np.repeat(starts[at] - (ends - lengths), lengths)
+        index += np.arange(len(index))
+        return flat[index], np.concatenate([[0], ends])[bounds]
