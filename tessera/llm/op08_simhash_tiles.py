@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, text_groups, words_of, written
+from tessera.llm.common import sent, small_batches, text_groups, words_of, written
 
 RADIUS = 3
 #: Fingerprints in a tile, and rows that are compared at a time within a pair of tiles.
@@ -195,3 +195,17 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     ids = labels.groupBy("label").agg(F.min("least").alias("component_id"))
     found = labels.join(ids, "label").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Up to so many ids of documents that go are sent to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, one for each component; rows with a null doc_id stay."""
+    groups = written(near_groups(docs, radius, tile), "near-groups")
+    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    left = docs.join(sent(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))

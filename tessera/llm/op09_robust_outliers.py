@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import sent, written
 from tessera.llm.textstats import base_statistics
 
 #: Statistics of the vector, and the floor of each one's standard deviation.
@@ -27,6 +27,8 @@ CHI2_4_MEDIAN = 3.356694
 #: Its 0.9999 quantile.
 CHI2_4_CUTOFF = 23.51
 DIMENSIONS = list(FLOORS)
+#: Up to so many groups' estimates are sent to every executor; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 
 
 def base_rules(docs: DataFrame, keep: list[Column]) -> DataFrame:
@@ -84,16 +86,18 @@ def _moments(weight: Column | None = None) -> list[Column]:
 def estimates(vectors: DataFrame, subset: float = 0.75, steps: int = 3) -> DataFrame:
     """For each group: rows, mean m_i, factor l_i_j and the scale of its squared distances. vectors: group and the statistics."""
     centre = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(c, 0.5).alias(f"m_{i}") for i, c in enumerate(DIMENSIONS)])
-    spread = vectors.join(centre, "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, c in enumerate(DIMENSIONS)])
+    centre = written(centre, "centres")
+    spread = vectors.join(sent(centre, BROADCAST_GROUPS), "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, c in enumerate(DIMENSIONS)])
     diagonal = {f"c_{i}_{j}": (1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0) for i in range(len(DIMENSIONS)) for j in range(i + 1)}
     params = written(_factor(centre.join(spread, "group").withColumns(diagonal)).select("group", "rows", *_names()), "estimate")
     for step in range(steps + 1):
-        at = vectors.join(params, "group").withColumn("d2", _distance())
+        at = vectors.join(sent(params, BROADCAST_GROUPS), "group").withColumn("d2", _distance())
         limits = at.groupBy("group").agg(F.percentile_approx("d2", subset, 100_000).alias("limit"), F.percentile_approx("d2", 0.5, 100_000).alias("middle"))
         if step == steps:
             scaled = params.join(limits, "group").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / CHI2_4_MEDIAN))
             return written(scaled.select("group", "rows", "scale", *_names()), "estimate")
-        close = at.join(limits, "group").groupBy("group").agg(F.first("rows").alias("rows"), *_moments(F.col("d2") <= F.col("limit")))
+        limits = written(limits, "limits")
+        close = at.join(sent(limits, BROADCAST_GROUPS), "group").groupBy("group").agg(F.first("rows").alias("rows"), *_moments(F.col("d2") <= F.col("limit")))
         params = written(_factor(close).select("group", "rows", *_names()), "estimate")
     raise AssertionError
 
@@ -103,22 +107,47 @@ def _names() -> list[str]:
     return [f"m_{i}" for i in range(p)] + [f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]
 
 
-def quality_verdicts(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = 200, subset: float = 0.75, steps: int = 3) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for each row of docs."""
-    keep = [F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("source").alias("source")]
-    table = written(_vector(base_rules(docs, keep)), "statistics")
-    levels = [F.to_json(F.struct(F.lit(2).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang")), F.lit('{"level":0}')]
+def _levels() -> list[Column]:
+    """Names of a text's groups, the finest first."""
+    return [F.to_json(F.struct(F.lit(2).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang")), F.lit('{"level":0}')]
+
+
+def fitted(table: DataFrame, least_rows: int, subset: float, steps: int) -> DataFrame:
+    """kind (finest group) and the estimate that its texts are judged by. table: lang, source, base_failed and the vector."""
+    levels = _levels()
     judged = table.filter(~F.col("base_failed"))
-    sizes = written(judged.select(F.explode(F.array(*levels)).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = judged.select(F.explode(F.array(*levels)).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     # Estimates are made for groups that are large enough, and for all texts; the others only ask for their language's.
-    wanted = sizes.filter((F.col("n") >= least_rows) | (F.col("group") == '{"level":0}')).select("group")
-    vectors = judged.select(F.explode(F.array(*levels)).alias("group"), *DIMENSIONS).join(wanted, "group")
+    wanted = written(sizes.filter((F.col("n") >= least_rows) | (F.col("group") == '{"level":0}')).select("group"), "groups")
+    vectors = judged.select(F.explode(F.array(*levels)).alias("group"), *DIMENSIONS).join(sent(wanted, BROADCAST_GROUPS), "group")
     params = estimates(vectors, subset, steps)
-    # lang and source to the finest group with an estimate: a table of one row for each (lang, source)
     kinds = judged.select("lang", "source").distinct().withColumns({f"g{k}": c for k, c in enumerate(levels)})
     for k in range(3):
         kinds = kinds.join(wanted.select(F.col("group").alias(f"g{k}"), F.lit(True).alias(f"has{k}")), f"g{k}", "left")
     chosen = F.when(F.col("has0"), F.col("g0")).when(F.col("has1"), F.col("g1")).otherwise(F.col("g2"))
-    kinds = kinds.select(F.col("g0").alias("kind"), chosen.alias("group")).join(params, "group")
-    scored = table.withColumn("kind", levels[0]).join(kinds, "kind", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"), "distance")
+    return written(kinds.select(F.col("g0").alias("kind"), chosen.alias("group")).join(params, "group"), "kinds")
+
+
+def _judged(rows: DataFrame, kinds: DataFrame, cutoff: float) -> DataFrame:
+    rows = rows.withColumn("kind", _levels()[0]).join(sent(kinds, BROADCAST_GROUPS), "kind", "left")
+    rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
+
+
+def _keep() -> list[Column]:
+    return [F.col(c).alias(c) for c in ("doc_id", "lang", "source")]
+
+
+def quality_verdicts(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = 200, subset: float = 0.75, steps: int = 3) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for each row of docs."""
+    table = written(_vector(base_rules(docs, _keep())), "statistics")
+    rows = _judged(table, fitted(table, least_rows, subset, steps), cutoff)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def accepted(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = 200, subset: float = 0.75, steps: int = 3) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Texts aren't moved: their statistics are taken again in place."""
+    table = written(_vector(base_rules(docs, _keep())), "statistics")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = _vector(base_rules(docs, [*_keep(), whole]))
+    return _judged(rows, fitted(table, least_rows, subset, steps), cutoff).filter("kept").select("_row.*")
