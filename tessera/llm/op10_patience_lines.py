@@ -126,7 +126,8 @@ def without_common_lines(docs: DataFrame, rare: int = RARE, least_words: int = L
     """docs with the text that is left, and _n_lines and _n_removed."""
     columns = docs.columns
     gone = common_lines(docs, rare, least_words).select(F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    rows = docs.withColumn("_key", _key()).join(gone, "_key", "left")
+    # Texts meet their lines by shuffle at every size: what goes grows with the documents.
+    rows = docs.withColumn("_key", _key()).join(gone.hint("merge"), "_key", "left")
     kept = F.filter(_lines(), lambda _, i: ~F.array_contains(F.col("_gone"), i))
     rows = rows.withColumn("_n_lines", F.size(_lines()).cast("long")).withColumn("_n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
     rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
