@@ -66,15 +66,15 @@ def _factor(params: DataFrame) -> DataFrame:
     return params
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    y: list[Column] = []
-    for i, name in enumerate(DIMENSIONS):
-        rest = F.col(name) - F.col(f"m_{i}")
+def _with_distance(df: DataFrame, name: str) -> DataFrame:
+    """Adds the squared Mahalanobis distance, by forward substitution; each step is a column of its own, so none is computed twice."""
+    for i, c in enumerate(DIMENSIONS):
+        rest = F.col(c) - F.col(f"m_{i}")
         for k in range(i):
-            rest = rest - F.col(f"l_{i}_{k}") * y[k]
-        y.append(rest / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"_y{k}")
+        df = df.withColumn(f"_y{i}", rest / F.col(f"l_{i}_{i}"))
+    steps = [F.col(f"_y{i}") for i in range(len(DIMENSIONS))]
+    return df.withColumn(name, sum((y * y for y in steps[1:]), steps[0] * steps[0])).drop(*[f"_y{i}" for i in range(len(DIMENSIONS))])
 
 
 def _moments(weight: Column | None = None) -> list[Column]:
@@ -91,7 +91,7 @@ def estimates(vectors: DataFrame, subset: float = 0.75, steps: int = 3) -> DataF
     diagonal = {f"c_{i}_{j}": (1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0) for i in range(len(DIMENSIONS)) for j in range(i + 1)}
     params = written(_factor(centre.join(spread, "group").withColumns(diagonal)).select("group", "rows", *_names()), "estimate")
     for step in range(steps + 1):
-        at = vectors.join(sent(params, BROADCAST_GROUPS), "group").withColumn("d2", _distance())
+        at = _with_distance(vectors.join(sent(params, BROADCAST_GROUPS), "group"), "d2")
         limits = at.groupBy("group").agg(F.percentile_approx("d2", subset, 100_000).alias("limit"), F.percentile_approx("d2", 0.5, 100_000).alias("middle"))
         if step == steps:
             scaled = params.join(limits, "group").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / CHI2_4_MEDIAN))
@@ -130,7 +130,7 @@ def fitted(table: DataFrame, least_rows: int, subset: float, steps: int) -> Data
 
 def _judged(rows: DataFrame, kinds: DataFrame, cutoff: float) -> DataFrame:
     rows = rows.withColumn("kind", _levels()[0]).join(sent(kinds, BROADCAST_GROUPS), "kind", "left")
-    rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    rows = _with_distance(rows, "_d2").withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("scale")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
 
 
@@ -145,9 +145,15 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+#: Up to so many keys of rejected rows are sent to every executor; more are joined by shuffle.
+BROADCAST_REJECTED = 500_000
+
+
 def accepted(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = 200, subset: float = 0.75, steps: int = 3) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts aren't moved: their statistics are taken again in place."""
-    table = written(_vector(base_rules(docs, _keep())), "statistics")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = _vector(base_rules(docs, [*_keep(), whole]))
-    return _judged(rows, fitted(table, least_rows, subset, steps), cutoff).filter("kept").select("_row.*")
+    """The rows of docs that are kept, with all their columns. Rows are named by two hashes of id, text, language and source."""
+    whole = ["doc_id", "text", "lang", "source"]
+    names = [F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2")]
+    table = written(_vector(base_rules(docs, [*_keep(), *names])), "statistics")
+    rows = _judged(table, fitted(table, least_rows, subset, steps), cutoff)
+    gone = written(rows.filter(~F.col("kept")).select("_k1", "_k2").distinct(), "rejected")
+    return docs.select("*", *names).join(sent(gone, BROADCAST_REJECTED), ["_k1", "_k2"], "left_anti").select(*docs.columns)
