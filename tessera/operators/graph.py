@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import settled
+
 
 def first_edges(edges: DataFrame, order: str) -> DataFrame:
     """One edge for each (src, dst, kind): the first in order."""
@@ -26,14 +28,17 @@ def distances(seeds: DataFrame, edges: DataFrame, hops: int = 5, directed: bool
 
     Each round joins only the frontier with the edges and keeps nodes not seen before, so a node is expanded once for each root.
     """
-    step = edges.select("src", "dst").distinct()
+    step = edges.select("src", "dst")
     if not directed:
-        step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    step = settled(step.distinct(), "steps")
     seen = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")) if "node" not in seeds.columns else seeds.select("root", "node", F.lit(0).alias("distance"))
     frontier = seen
     for hop in range(1, hops + 1):
         reached = frontier.select("root", F.col("node").alias("src")).join(step, "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        frontier = settled(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -46,7 +51,7 @@ def neighbourhood(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFra
     for hop in range(1, hops + 1):
         path = F.when(F.col("path") == "", F.col("kind")).otherwise(F.concat_ws(">", "path", "kind"))
         reached = frontier.withColumnRenamed("node", "src").join(both, "src").groupBy("root", F.col("dst").alias("node")).agg(F.min(path).alias("path"))
-        frontier = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("distance"), "path")
+        frontier = settled(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(hop).alias("distance"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.filter("distance > 0")
 
@@ -132,6 +137,8 @@ def chains(snapshots: DataFrame, hops: int) -> DataFrame:
     frontier = seen
     for depth in range(1, hops + 1):
         up = frontier.join(step, "ancestor").filter("parent_id is not null").select("snapshot_id", F.lit(depth).alias("depth"), F.col("parent_id").alias("ancestor"))
-        frontier = up.join(seen.select("snapshot_id", "ancestor"), ["snapshot_id", "ancestor"], "left_anti").select("snapshot_id", "depth", "ancestor")
+        frontier = settled(up.join(seen.select("snapshot_id", "ancestor"), ["snapshot_id", "ancestor"], "left_anti").select("snapshot_id", "depth", "ancestor"), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen

@@ -65,6 +65,12 @@ def descriptive(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; 0 where either side doesn't vary."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / F.when(sx * sy > 0, sx * sy)).otherwise(0.0)
+
+
 def deltas(baseline: DataFrame, candidate: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """candidate minus baseline of each measure; a missing baseline counts as 0."""
     b = baseline.select(*keys, *[F.col(m).alias(f"b_{m}") for m in measures])
@@ -82,12 +88,17 @@ LCG = (9301, 49297, 233280)
 def lcg_jump(seed: int, steps: Column) -> Column:
     """The generator's state after a number of steps, by repeated squaring of its affine map: any draw without those before it."""
     a, c, m = LCG
-    out = F.lit(seed).cast("long")
-    mul, add = a, c
-    for bit in range(40):
-        out = F.when(F.shiftright(steps, bit) % 2 == 1, (out * mul + add) % m).otherwise(out)
-        mul, add = mul * mul % m, (mul * add + add) % m
-    return out
+    maps = []
+    for _ in range(40):
+        maps.append((a, c))
+        a, c = a * a % m, (c * a + c) % m
+    mul, add = (F.array(*[F.lit(x[k]).cast("long") for x in maps]) for k in range(2))
+
+    def step(state: Column, bit: Column) -> Column:
+        taken = F.floor(steps / F.pow(F.lit(2.0), bit)).cast("long") % 2
+        return F.when(taken == 1, (state * F.get(mul, bit) + F.get(add, bit)) % m).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(39)), F.lit(seed).cast("long"), step)
 
 
 def bootstrap(sample: DataFrame, iterations: int, seed: int) -> DataFrame:

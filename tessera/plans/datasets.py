@@ -93,7 +93,7 @@ def j24_pairs(spark, folder):
 _WEIGHTED = "(2000 * tokens / 2000 + 25 * lexical_score + graph_degree + token_overlap_ratio)"
 
 
-@query(f"""WITH u AS (SELECT * FROM {_LABELLED}), f AS (SELECT task_id, unit_id, any_value({_WEIGHTED}) AS s FROM {FEATURES} GROUP BY ALL)
+@query(f"""WITH u AS (SELECT * FROM {_LABELLED}), f AS (SELECT task_id, unit_id, arg_max({_WEIGHTED}, tokens * 1000 + token_overlap_ratio) AS s FROM {FEATURES} GROUP BY ALL)
   SELECT p.episode_id, positive, negative, round(x.s - y.s, 4)::DOUBLE AS delta FROM {_PAIRS} p JOIN f x ON x.task_id = p.episode_id AND x.unit_id = positive JOIN f y ON y.task_id = p.episode_id AND y.unit_id = negative""")
 def l18_pair_deltas(spark, folder):
     v = F.array((c("tokens") * 1.0), c("lexical_score") * 25, c("graph_degree") * 1.0, c("token_overlap_ratio"))

@@ -34,10 +34,10 @@ def g03_shortest_distance(spark, folder):
     return distances(_roots(spark, folder), edges(spark, folder))
 
 
-@query(f"""WITH both AS (SELECT src, dst, kind FROM {EDGES} UNION SELECT dst, src, kind FROM {EDGES}),
+@query(f"""WITH sym AS (SELECT src, dst, kind FROM {EDGES} UNION SELECT dst, src, kind FROM {EDGES}),
   s AS (SELECT 'S' || s_suppkey AS root FROM supplier WHERE s_suppkey <= 10),
-  one AS (SELECT root, dst AS node, min(kind) AS path FROM s JOIN both ON src = root WHERE dst <> root GROUP BY ALL),
-  two AS (SELECT root, dst AS node, min(path || '>' || kind) AS path FROM one JOIN both ON src = node WHERE dst <> root AND (root, dst) NOT IN (SELECT (root, node) FROM one) GROUP BY ALL)
+  one AS (SELECT root, dst AS node, min(kind) AS path FROM s JOIN sym ON src = root WHERE dst <> root GROUP BY ALL),
+  two AS (SELECT root, dst AS node, min(path || '>' || kind) AS path FROM one JOIN sym ON src = node WHERE dst <> root AND (root, dst) NOT IN (SELECT (root, node) FROM one) GROUP BY ALL)
   SELECT root, node, 1 AS distance, path FROM one UNION ALL SELECT root, node, 2, path FROM two""")
 def g04_neighbourhood(spark, folder):
     starts = table(spark, folder, "supplier").filter("s_suppkey <= 10").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("root"))

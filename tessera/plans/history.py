@@ -19,14 +19,14 @@ def s10_latest_commits(spark, folder):
     return latest_commits(commits, CUTOFF).select("sha", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT event_id, epoch_ms(ts)::BIGINT AS ms FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00'")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00'")
 def p04_point_in_time(spark, folder):
-    return until(table(spark, folder, "events"), "2024-01-15 00:00:00").select("event_id", F.unix_millis("ts").alias("ms"))
+    return until(table(spark, folder, "events"), "2024-01-15 00:00:00").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
-@query("SELECT event_id, CASE WHEN n < 10000000000 THEN n * 1000 ELSE n END AS ms FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch_ms(ts) // 1000 ELSE epoch_ms(ts) END AS n FROM events)")
+@query("SELECT event_id, CASE WHEN n < 10000000000 THEN n * 1000 ELSE n END AS ms FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000000 ELSE epoch_us(ts) // 1000 END AS n FROM events)")
 def p04_epoch_coercion(spark, folder):
-    n = F.when(F.col("event_id") % 2 == 0, F.expr("unix_millis(ts) div 1000")).otherwise(F.unix_millis("ts"))
+    n = F.when(F.col("event_id") % 2 == 0, F.expr("unix_millis(cast(ts as timestamp)) div 1000")).otherwise(F.unix_millis(F.col("ts").cast("timestamp")))
     return table(spark, folder, "events").select("event_id", F.unix_millis(epoch_to_timestamp(n).cast("timestamp")).alias("ms"))
 
 

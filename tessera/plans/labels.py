@@ -150,13 +150,13 @@ def j16_exposure_attribution(spark, folder):
 
 @query(f"""SELECT episode_id, count(*) AS events, count(*) FILTER (WHERE type = 'FILE_READ') AS reads, count(*) FILTER (WHERE type = 'FILE_EDIT') AS edits, count(*) FILTER (WHERE type = 'SEARCH') AS searches,
   count(DISTINCT path) FILTER (WHERE type = 'FILE_READ') AS paths_read, count(DISTINCT path) FILTER (WHERE type = 'FILE_EDIT') AS paths_edited,
-  CASE WHEN count(*) >= 2 THEN epoch_ms(max(ts)) - epoch_ms(min(ts)) END AS duration_ms FROM {TRAJECTORY} GROUP BY episode_id""")
+  CASE WHEN count(*) >= 2 THEN epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 END AS duration_ms FROM {TRAJECTORY} GROUP BY episode_id""")
 def a13_trajectory_summary(spark, folder):
     of = lambda t: F.col("type") == t
     return trajectory(spark, folder).groupBy("episode_id").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(of("FILE_READ")).alias("reads"), F.count_if(of("FILE_EDIT")).alias("edits"), F.count_if(of("SEARCH")).alias("searches"),
         F.count_distinct(F.when(of("FILE_READ"), F.col("path"))).alias("paths_read"), F.count_distinct(F.when(of("FILE_EDIT"), F.col("path"))).alias("paths_edited"),
-        F.when(F.count(F.lit(1)) >= 2, F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("duration_ms"),
+        F.when(F.count(F.lit(1)) >= 2, F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("duration_ms"),
     )
 
 

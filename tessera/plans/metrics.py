@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.metrics import bootstrap, budgeted, deltas, descriptive, graded_ndcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
+from tessera.operators.metrics import bootstrap, budgeted, correlation, deltas, descriptive, graded_ndcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
 from tessera.operators.retrieval import containing, lexical_scores, top_per
 from tessera.registry import query
 from tessera.plans.retrieval import _SCORES
@@ -164,31 +164,31 @@ def a23_descriptive(spark, folder):
 
 @query("SELECT l_returnflag, round(coalesce(corr(l_quantity, l_extendedprice), 0), 4) AS r, 0.0::DOUBLE AS flat FROM lineitem GROUP BY ALL")
 def a24_correlation(spark, folder):
-    zero = lambda x: F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(0.0))
-    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.round(zero(F.corr("l_quantity", "l_extendedprice")), 4).alias("r"), zero(F.corr("l_quantity", F.lit(1.0))).alias("flat"))
+    lines = table(spark, folder, "lineitem").withColumn("one", F.lit(1.0))
+    return lines.groupBy("l_returnflag").agg(F.round(correlation("l_quantity", "l_extendedprice"), 4).alias("r"), correlation("l_quantity", "one").alias("flat"))
 
 
-@query("SELECT c.o_orderkey AS episode_id, round(c.o_totalprice - coalesce(b.p, 0), 2) AS price_delta FROM orders c LEFT JOIN (SELECT o_orderkey AS k, o_totalprice / 2 AS p FROM orders WHERE o_orderkey % 7 > 0) b ON k = c.o_orderkey")
+@query("SELECT c.o_orderkey AS episode_id, round(c.o_totalprice - coalesce(b.p, 0), 2) AS price_delta FROM orders c LEFT JOIN (SELECT o_orderkey AS k, o_totalprice / 3 AS p FROM orders WHERE o_orderkey % 7 > 0) b ON k = c.o_orderkey")
 def j25_paired_deltas(spark, folder):
     orders = table(spark, folder, "orders").select(c("o_orderkey").alias("episode_id"), c("o_totalprice").alias("price"))
-    base = orders.filter("episode_id % 7 > 0").withColumn("price", c("price") / 2)
+    base = orders.filter("episode_id % 7 > 0").withColumn("price", c("price") / 3)
     return deltas(base, orders, ["episode_id"], ["price"]).select("episode_id", F.round("price_delta", 2).alias("price_delta"))
 
 
-_SAMPLE = f"(SELECT row_number() OVER (ORDER BY task_id) - 1 AS i, delta FROM {_DELTAS} WHERE task_id <= 400)"
+_SAMPLE = f"(SELECT row_number() OVER (ORDER BY task_id) - 1 AS i, delta FROM {_DELTAS} WHERE task_id <= 60)"
 
 
 def _sample(spark, folder):
-    return paired(spark, folder).filter("task_id <= 400").select((F.row_number().over(Window.orderBy("task_id")) - 1).cast("long").alias("i"), "delta")
+    return paired(spark, folder).filter("task_id <= 60").select((F.row_number().over(Window.orderBy("task_id")) - 1).cast("long").alias("i"), "delta")
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT * FROM {_SAMPLE}), n AS (SELECT count(*) AS n FROM s), g(j, x) AS (SELECT 0::BIGINT, 42::BIGINT UNION ALL SELECT j + 1, (x * 9301 + 49297) % 233280 FROM g, n WHERE j < 300 * n),
+@query(f"""WITH RECURSIVE s AS (SELECT * FROM {_SAMPLE}), n AS (SELECT count(*) AS n FROM s), g(j, x) AS (SELECT 0::BIGINT, 42::BIGINT UNION ALL SELECT j + 1, (x * 9301 + 49297) % 233280 FROM g, n WHERE j < 100 * n),
   d AS (SELECT (j - 1) // n AS k, CAST(floor(x * n / 233280.0) AS BIGINT) AS i FROM g, n WHERE j > 0), m AS (SELECT k, avg(delta) AS mean FROM d JOIN s USING (i) GROUP BY k),
   o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS place FROM m), w AS (SELECT avg(delta) AS m, count(*) FILTER (WHERE delta > 0.0001) AS wins, count(*) FILTER (WHERE abs(delta) <= 0.0001) AS ties, count(*) FILTER (WHERE delta < -0.0001) AS losses FROM s)
-  SELECT round(m, 4) AS mean_delta, (SELECT round(mean, 4) FROM o WHERE place = 7) AS ci_lower, (SELECT round(mean, 4) FROM o WHERE place = 292) AS ci_upper,
-  round(least(1, 2 * CASE WHEN m >= 0 THEN (SELECT count(*) FROM o WHERE round(mean, 12) <= 0) ELSE (SELECT count(*) FROM o WHERE round(mean, 12) >= 0) END / 300), 4) AS p_value, wins, ties, losses FROM w""")
+  SELECT round(m, 4) AS mean_delta, (SELECT round(mean, 4) FROM o WHERE place = 2) AS ci_lower, (SELECT round(mean, 4) FROM o WHERE place = 97) AS ci_upper,
+  round(least(1, 2 * CASE WHEN m >= 0 THEN (SELECT count(*) FROM o WHERE round(mean, 12) <= 0) ELSE (SELECT count(*) FROM o WHERE round(mean, 12) >= 0) END / 100), 4) AS p_value, wins, ties, losses FROM w""")
 def e01_bootstrap(spark, folder):
-    return bootstrap(_sample(spark, folder), 300, 42)
+    return bootstrap(_sample(spark, folder), 100, 42)
 
 
 @query("WITH RECURSIVE g(n, state) AS (SELECT 0, 42::BIGINT UNION ALL SELECT n + 1, (state * 9301 + 49297) % 233280 FROM g WHERE n < 1000) SELECT n, state FROM g")
@@ -197,7 +197,7 @@ def l17_generator(spark, folder):
 
 
 def _mcnemar_sql(b, x):
-    p = f"least(1, 2 * list_sum(list_transform(range(0, least({b}, {x}) + 1), lambda k: factorial({b} + {x}) / (factorial(k) * factorial({b} + {x} - k)) * pow(0.5, {b} + {x}))))"
+    p = f"least(1, 2 * list_sum(list_transform(range(0, least({b}, {x}) + 1), lambda k: factorial(({b} + {x})::INT) / (factorial(k::INT) * factorial(({b} + {x} - k)::INT)) * pow(0.5, {b} + {x}))))"
     return f"CASE WHEN {b} + {x} = 0 THEN 0.0 ELSE round(pow(greatest(0, abs({b} - {x}) - 1), 2) / ({b} + {x}), 4) END::DOUBLE AS statistic, CASE WHEN {b} + {x} = 0 THEN 1.0 ELSE round({p}, 4) END::DOUBLE AS p_value"
 
 

@@ -14,7 +14,7 @@ def c(name):
     return F.col(name)
 
 
-_ROWS = f"(SELECT *, min_distance_to_seed AS distance, is_direct_dependency OR is_direct_dependent AS is_direct, unit_id % 12 = 5 AS unsafe, row_number() OVER (PARTITION BY task_id ORDER BY unit_id) AS place FROM {FEATURES})"
+_ROWS = f"(SELECT *, min_distance_to_seed AS distance, is_direct_dependency OR is_direct_dependent AS is_direct, unit_id % 12 = 5 AS unsafe, row_number() OVER (PARTITION BY task_id ORDER BY unit_id, tokens, token_overlap_ratio, min_distance_to_error_frame NULLS FIRST) AS place FROM {FEATURES})"
 _EDIT = "(in_stack_trace OR is_failing_test_target OR in_compiler_error OR in_dirty_diff)"
 _CODE = "kind IN ('SOURCE_FILE', 'TEST', 'CODE_SYMBOL')"
 _WHOLE = "kind IN ('CONFIG', 'SCHEMA', 'MIGRATION', 'LOCKFILE', 'DOCUMENTATION')"
@@ -22,7 +22,7 @@ _WHOLE = "kind IN ('CONFIG', 'SCHEMA', 'MIGRATION', 'LOCKFILE', 'DOCUMENTATION')
 
 def rows(spark, folder):
     direct = c("is_direct_dependency") | c("is_direct_dependent")
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy("unit_id"))
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("unit_id", "tokens", "token_overlap_ratio", F.col("min_distance_to_error_frame").asc_nulls_first()))
     return features(spark, folder).withColumns({"distance": c("min_distance_to_seed"), "is_direct": direct, "unsafe": c("unit_id") % 12 == 5, "place": place})
 
 
@@ -61,10 +61,10 @@ def r13_resolution_cost(spark, folder):
 _ALLOWED = f"CASE r WHEN 3 THEN {_CODE} AND unit_id % 12 <> 5 WHEN 2 THEN {_CODE} ELSE true END"
 
 
-@query(f"SELECT unit_id, r AS resolution, {_ALLOWED} AS allowed, CASE WHEN {_ALLOWED} THEN {_cost('tokens', 'r')} ELSE 0 END AS token_cost, round((unit_id % 9 / 8.0) * s, 4)::DOUBLE AS utility FROM {UNITS}, (VALUES {', '.join(f'({r}, {s})' for r, s in UTILITY.items())}) v(r, s)")
+@query(f"SELECT unit_id, r AS resolution, {_ALLOWED} AS allowed, CASE WHEN {_ALLOWED} THEN {_cost('tokens', 'r')} ELSE 0 END AS token_cost, round((unit_id % 9 / 7.0) * s, 4)::DOUBLE AS utility FROM {UNITS}, (VALUES {', '.join(f'({r}, {s})' for r, s in UTILITY.items())}) v(r, s)")
 def r14_resolution_curve(spark, folder):
     u = units(spark, folder).withColumn("unsafe", c("unit_id") % 12 == 5)
-    return resolution_curve(u, c("unit_id") % 9 / 8.0)
+    return resolution_curve(u, c("unit_id") % 9 / 7.0)
 
 
 _LIMIT = 5000
@@ -105,10 +105,10 @@ def r17_render_gate(spark, folder):
 _MODELS = ["Claude-3-5-Sonnet-x", "gpt-4o-mini-2024", "GPT-4o", "o1-preview", "cursor-small", "unheard-of"]
 
 
-@query(f"SELECT unit_id, model, round(tokens / 1000000 * CASE WHEN contains(lower(model), 'gpt-4o-mini') THEN 0.15 WHEN contains(lower(model), 'gpt-4o') THEN 2.5 WHEN contains(lower(model), 'o1') THEN 15.0 ELSE 3.0 END, 6)::DOUBLE AS cost FROM (SELECT *, {_MODELS}[CAST(unit_id % 6 + 1 AS INT)] AS model FROM {UNITS})")
+@query(f"SELECT unit_id, model, round(tokens * 20 / 1000000 * CASE WHEN contains(lower(model), 'gpt-4o-mini') THEN 0.15 WHEN contains(lower(model), 'gpt-4o') THEN 2.5 WHEN contains(lower(model), 'o1') THEN 15.0 ELSE 3.0 END, 6)::DOUBLE AS cost FROM (SELECT *, {_MODELS}[CAST(unit_id % 6 + 1 AS INT)] AS model FROM {UNITS})")
 def r18_model_cost(spark, folder):
     model = F.element_at(F.array(*map(F.lit, _MODELS)), (c("unit_id") % 6 + 1).cast("int"))
-    return units(spark, folder).withColumn("model", model).select("unit_id", "model", model_cost(c("tokens"), c("model")).alias("cost"))
+    return units(spark, folder).withColumn("model", model).select("unit_id", "model", model_cost(c("tokens") * 20, c("model")).alias("cost"))
 
 
 @query(f"""SELECT unit_id, CAST(CASE WHEN length(content) = 0 THEN 0 WHEN m IN (0, 4) THEN greatest(1, ceil(ceil(length(content) / 3.7::DOUBLE) * 1.15::DOUBLE)) WHEN m IN (1, 2, 3) THEN greatest(1, ceil(ceil(length(content) / 3.6::DOUBLE) * 1.15::DOUBLE)) ELSE greatest(1, ceil(ceil(length(content) / 3.0::DOUBLE) * 1.35::DOUBLE)) END AS BIGINT) AS tokens FROM (SELECT *, unit_id % 6 AS m FROM {UNITS})""")

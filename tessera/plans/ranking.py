@@ -106,7 +106,7 @@ def p18_feature_masking(spark, folder):
 
 #: A small boosted model and a linear one, as trained ones would be given: feature, threshold, value at most, value above.
 STUMPS = [(0, 0.5, 0.25, -0.25), (8, 0.4, -0.5, 0.5), (11, 0.3, -0.125, 0.125), (18, 0.5, -0.75, 0.75), (27, 0.3, -1.0, 1.0)]
-LINEAR = [((i * 7) % 11 - 5) / 8 for i in range(33)]
+LINEAR = [((i * 7) % 11 - 5) / 7 for i in range(33)]
 
 
 def _stumps_sql():

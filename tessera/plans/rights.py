@@ -219,10 +219,10 @@ _PLANS = "(SELECT o_orderkey AS plan_id, o_custkey AS task_id FROM orders)"
 
 
 @query(f"""WITH o AS (SELECT event_id AS outcome_id, user_id AS task_id, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN NULL ELSE (SELECT min(plan_id) FROM {_PLANS} p WHERE p.task_id = user_id) END AS plan_id FROM events),
-  n AS (SELECT task_id, count(*) AS n, min(plan_id) AS only FROM {_PLANS} GROUP BY ALL),
-  r AS (SELECT outcome_id, o.plan_id, only, CASE WHEN o.plan_id IS NOT NULL AND p.task_id IS NULL THEN 'PLAN_NOT_FOUND' WHEN p.task_id <> o.task_id THEN 'TASK_MISMATCH' WHEN o.plan_id IS NOT NULL THEN 'RESOLVED'
+  n AS (SELECT task_id, count(*) AS n, min(plan_id) AS one FROM {_PLANS} GROUP BY ALL),
+  r AS (SELECT outcome_id, o.plan_id, one, CASE WHEN o.plan_id IS NOT NULL AND p.task_id IS NULL THEN 'PLAN_NOT_FOUND' WHEN p.task_id <> o.task_id THEN 'TASK_MISMATCH' WHEN o.plan_id IS NOT NULL THEN 'RESOLVED'
    WHEN coalesce(n, 0) = 0 THEN 'NO_PLAN' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'RESOLVED_BY_TASK' END AS code FROM o LEFT JOIN {_PLANS} p ON p.plan_id = o.plan_id LEFT JOIN n ON n.task_id = o.task_id)
-  SELECT outcome_id, code, CASE code WHEN 'RESOLVED' THEN plan_id WHEN 'RESOLVED_BY_TASK' THEN only END AS resolved_plan FROM r""")
+  SELECT outcome_id, code, CASE code WHEN 'RESOLVED' THEN plan_id WHEN 'RESOLVED_BY_TASK' THEN one END AS resolved_plan FROM r""")
 def j22_lineage_resolver(spark, folder):
     plans = table(spark, folder, "orders").select(F.col("o_orderkey").alias("plan_id"), F.col("o_custkey").alias("task_id"))
     first = plans.groupBy("task_id").agg(F.min("plan_id").alias("first"))
