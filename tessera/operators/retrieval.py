@@ -94,3 +94,11 @@ def fusion_score() -> Column:
 def overlap_ratio(query: Column, unit: Column) -> Column:
     """The share of the query's token occurrences that are among the unit's tokens."""
     return F.when(F.size(query) > 0, F.size(F.filter(query, lambda x: F.array_contains(unit, x))) / F.size(query)).otherwise(0.0)
+
+
+def overlap_ratios(tasks: DataFrame, units: DataFrame) -> DataFrame:
+    """overlap_ratio of all pairs of task and unit that share a token: a join on tokens, the prompt's with their counts, the unit's once."""
+    q = tasks.select("task_id", lexical_tokens(F.col("prompt")).alias("q")).select("task_id", F.size("q").alias("n"), F.explode("q").alias("w"))
+    q = q.groupBy("task_id", "n", "w").agg(F.count(F.lit(1)).alias("k"))
+    u = units.select("unit_id", F.explode(F.array_distinct(lexical_tokens(F.col("content")))).alias("w"))
+    return u.join(q, "w").groupBy("task_id", "unit_id").agg((F.sum("k") / F.first("n")).alias("overlap_ratio"))

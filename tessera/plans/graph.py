@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import adjacent, chains, configured, contained, degrees, distances, enclosing, first_edges, imports, neighbourhood, resolve_calls, tests_of
+from tessera.operators.retrieval import containing
 from tessera.registry import query
 from tessera.sources.tables import EDGES, UNITS, edges, table, units
 
@@ -17,15 +18,15 @@ _BFS = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {edges}), r(root, n
   SELECT root, node, min(distance) AS distance FROM r GROUP BY root, node"""
 
 
-@query(f"SELECT src, dst, kind FROM {EDGES} WHERE src IN (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey < 5) AND kind IN ('CONTAINS')")
+@query(f"SELECT src, dst, kind FROM {EDGES} WHERE src IN (SELECT 'N' || n_nationkey FROM nation) AND kind IN ('CONTAINS')")
 def g02_outgoing(spark, folder):
-    nodes = table(spark, folder, "nation").filter("n_nationkey < 5").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
+    nodes = table(spark, folder, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
     return adjacent(edges(spark, folder), nodes, ["CONTAINS"])
 
 
-@query(f"SELECT src, dst, kind FROM {EDGES} WHERE dst IN (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey < 5)")
+@query(f"SELECT src, dst, kind FROM {EDGES} WHERE dst IN (SELECT 'N' || n_nationkey FROM nation)")
 def g02_incoming(spark, folder):
-    nodes = table(spark, folder, "nation").filter("n_nationkey < 5").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
+    nodes = table(spark, folder, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
     return adjacent(edges(spark, folder), nodes, direction="in").select("src", "dst", "kind")
 
 
@@ -35,12 +36,12 @@ def g03_shortest_distance(spark, folder):
 
 
 @query(f"""WITH sym AS (SELECT src, dst, kind FROM {EDGES} UNION SELECT dst, src, kind FROM {EDGES}),
-  s AS (SELECT 'S' || s_suppkey AS root FROM supplier WHERE s_suppkey <= 10),
+  s AS (SELECT 'S' || s_suppkey AS root FROM supplier),
   one AS (SELECT root, dst AS node, min(kind) AS path FROM s JOIN sym ON src = root WHERE dst <> root GROUP BY ALL),
   two AS (SELECT root, dst AS node, min(path || '>' || kind) AS path FROM one JOIN sym ON src = node WHERE dst <> root AND (root, dst) NOT IN (SELECT (root, node) FROM one) GROUP BY ALL)
   SELECT root, node, 1 AS distance, path FROM one UNION ALL SELECT root, node, 2, path FROM two""")
 def g04_neighbourhood(spark, folder):
-    starts = table(spark, folder, "supplier").filter("s_suppkey <= 10").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("root"))
+    starts = table(spark, folder, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("root"))
     return neighbourhood(starts, edges(spark, folder), 2)
 
 
@@ -57,11 +58,11 @@ def g06_degree(spark, folder):
     return degrees(edges(spark, folder))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {EDGES}), err AS (SELECT DISTINCT 'C' || c_custkey AS node FROM customer JOIN (SELECT p_partkey FROM part WHERE p_partkey <= 30) ON contains(c_name, CAST(p_partkey AS VARCHAR)) WHERE c_custkey <= 300),
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {EDGES}), err AS (SELECT DISTINCT 'C' || c_custkey AS node FROM customer JOIN supplier ON contains(c_name, lpad(CAST(s_suppkey AS VARCHAR), 9, '0'))),
   r(node, distance) AS (SELECT node, 0 FROM err UNION SELECT e.dst, r.distance + 1 FROM r JOIN e ON e.src = r.node WHERE r.distance < 5) SELECT node, min(distance) AS distance FROM r GROUP BY node""")
 def g07_error_distance(spark, folder):
-    paths = table(spark, folder, "part").filter("p_partkey <= 30").select(F.col("p_partkey").cast("string").alias("err"))
-    nodes = table(spark, folder, "customer").filter("c_custkey <= 300").join(F.broadcast(paths), F.col("c_name").contains(F.col("err")))
+    paths = table(spark, folder, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("err"))
+    nodes = containing(table(spark, folder, "customer"), paths, "c_name", "err")
     seeds = nodes.select(F.lit("err").alias("root"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node")).distinct()
     return distances(seeds, edges(spark, folder)).select("node", "distance")
 

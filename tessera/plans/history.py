@@ -64,11 +64,11 @@ def t05_trailing_window(spark, folder):
     return table(spark, folder, "orders").filter(F.col("o_orderdate").between(at - F.expr("INTERVAL 30 DAYS"), at)).select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"))
 
 
-@query(f"""SELECT task_id, other AS unit_id, round(max(score), 6) AS co_change_score FROM (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS file FROM lineitem WHERE l_orderkey % 50 = 0)
-  JOIN (SELECT * FROM {_SCORES} WHERE score >= 0.04) USING (file) GROUP BY ALL""")
+@query(f"""SELECT task_id, other AS unit_id, round(max(score), 6) AS co_change_score FROM (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS file FROM lineitem)
+  JOIN (SELECT * FROM {_SCORES} WHERE score >= 0.1) USING (file) GROUP BY ALL""")
 def j13_co_change_expansion(spark, folder):
-    seeds = table(spark, folder, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("task_id"), F.col("l_partkey").alias("file")).distinct()
-    return expand_by_co_change(seeds, co_change_scores(commit_files(spark, folder), CUTOFF, 1, 0.04)).withColumn("co_change_score", F.round("co_change_score", 6))
+    seeds = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_partkey").alias("file")).distinct()
+    return expand_by_co_change(seeds, co_change_scores(commit_files(spark, folder), CUTOFF, 1, 0.1)).withColumn("co_change_score", F.round("co_change_score", 6))
 
 
 @query("SELECT DISTINCT o_custkey AS repository, o_orderdate::DATE::VARCHAR AS commit FROM orders")

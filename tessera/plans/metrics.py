@@ -175,11 +175,13 @@ def j25_paired_deltas(spark, folder):
     return deltas(base, orders, ["episode_id"], ["price"]).select("episode_id", F.round("price_delta", 2).alias("price_delta"))
 
 
-_SAMPLE = f"(SELECT row_number() OVER (ORDER BY task_id) - 1 AS i, delta FROM {_DELTAS} WHERE task_id <= 60)"
+_SAMPLE = f"(SELECT row_number() OVER (ORDER BY repository, task_type) - 1 AS i, delta FROM (SELECT repository, task_type, round(avg(delta), 6) AS delta FROM {_DELTAS} GROUP BY ALL))"
 
 
 def _sample(spark, folder):
-    return paired(spark, folder).filter("task_id <= 60").select((F.row_number().over(Window.orderBy("task_id")) - 1).cast("long").alias("i"), "delta")
+    """The mean delta of each stratum (repository and task type), numbered: resampling draws strata."""
+    strata = paired(spark, folder).groupBy("repository", "task_type").agg(F.round(F.avg("delta"), 6).alias("delta"))
+    return strata.select((F.row_number().over(Window.orderBy("repository", "task_type")) - 1).cast("long").alias("i"), "delta")
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT * FROM {_SAMPLE}), n AS (SELECT count(*) AS n FROM s), g(j, x) AS (SELECT 0::BIGINT, 42::BIGINT UNION ALL SELECT j + 1, (x * 9301 + 49297) % 233280 FROM g, n WHERE j < 100 * n),

@@ -171,13 +171,12 @@ _WORDS = "list_filter(regexp_split_to_array(lower(prompt), '\\W+'), lambda k: le
 
 
 @query(f"""SELECT task_id, unit_id, hits, CASE WHEN hits >= 4 THEN 'ROOT' WHEN hits >= 1 OR contains(path, 'types') OR contains(path, 'models') THEN 'TYPE' ELSE 'DEAD' END AS class FROM
-  (SELECT task_id, unit_id, lower(path) AS path, (3 * len(list_filter(k, lambda w: contains(lower(path), w))) + 2 * len(list_filter(k, lambda w: contains(lower(left(content, 200)), w))))::INT AS hits
+  (SELECT task_id, unit_id, lower(path) AS path, (3 * len(list_filter(k, lambda w: contains(lower(path), w))) + 2 * len(list_filter(k, lambda w: contains(lower(content), w))))::INT AS hits
    FROM {UNITS} JOIN (SELECT task_id, {_WORDS} AS k FROM {TASKS}) ON unit_id % 40 = task_id)""")
 def r22_relevance_gate(spark, folder):
     words = F.filter(F.split(F.lower("prompt"), r"\W+"), lambda k: F.length(k) > 2)
     rows = units(spark, folder).join(F.broadcast(tasks(spark, folder).select("task_id", words.alias("k"))), c("unit_id") % 40 == c("task_id"))
-    head = F.lower(F.left("content", F.lit(200)))
-    hits = 3 * F.size(F.filter("k", lambda w: F.contains(F.lower("path"), w))) + 2 * F.size(F.filter("k", lambda w: F.contains(head, w)))
+    hits = 3 * F.size(F.filter("k", lambda w: F.contains(F.lower("path"), w))) + 2 * F.size(F.filter("k", lambda w: F.contains(F.lower("content"), w)))
     rows = rows.select("task_id", "unit_id", F.lower("path").alias("path"), hits.alias("hits"))
     return rows.select("task_id", "unit_id", "hits", F.when(c("hits") >= 4, "ROOT").when((c("hits") >= 1) | c("path").contains("types") | c("path").contains("models"), "TYPE").otherwise("DEAD").alias("class"))
 

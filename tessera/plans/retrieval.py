@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions.text import exact_tokens, lexical_tokens, token_estimate
-from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, lexical_scores, overlap_ratio, top_per
+from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, lexical_scores, overlap_ratios, top_per
 from tessera.registry import query
 from tessera.sources.tables import TASKS, UNITS, table, tasks, units
 
@@ -39,7 +39,7 @@ def k01_lexical_top100(spark, folder):
 
 def _prompts(spark, folder):
     """Customers' orders as prompts that name parts: text with paths, names and chaff."""
-    lines = table(spark, folder, "lineitem").filter("l_orderkey % 10 = 0")
+    lines = table(spark, folder, "lineitem")
     said = F.concat(F.lit("fix "), F.when(F.col("l_partkey") % 3 == 0, F.lit("src/p_")).when(F.col("l_partkey") % 3 == 1, F.lit("p_")).otherwise("Part.p_"), F.col("l_partkey").cast("string"), F.lit(" please"))
     return lines.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array_join(F.array_sort(F.collect_list(said)), ", ").alias("prompt"))
 
@@ -49,13 +49,13 @@ def _symbols(spark, folder):
     return table(spark, folder, "part").select(F.col("p_partkey").alias("unit_id"), F.concat(F.lit("src/p_"), key).alias("path"), F.concat(F.lit("Part.p_"), key).alias("qualified_name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p_"), key)).alias("name"))
 
 
-_PROMPTS = "(SELECT l_orderkey AS task_id, string_agg(s, ', ' ORDER BY s) AS prompt FROM (SELECT l_orderkey, 'fix ' || CASE l_partkey % 3 WHEN 0 THEN 'src/p_' WHEN 1 THEN 'p_' ELSE 'Part.p_' END || l_partkey || ' please' AS s FROM lineitem WHERE l_orderkey % 10 = 0) GROUP BY l_orderkey)"
+_PROMPTS = "(SELECT l_orderkey AS task_id, string_agg(s, ', ' ORDER BY s) AS prompt FROM (SELECT l_orderkey, 'fix ' || CASE l_partkey % 3 WHEN 0 THEN 'src/p_' WHEN 1 THEN 'p_' ELSE 'Part.p_' END || l_partkey || ' please' AS s FROM lineitem) GROUP BY l_orderkey)"
 _SYMBOLS = "(SELECT p_partkey AS unit_id, 'src/p_' || p_partkey AS path, 'Part.p_' || p_partkey AS qualified_name, CASE WHEN p_partkey % 2 = 0 THEN 'p_' || p_partkey END AS name FROM part)"
 
 
 @query(f"""WITH t AS (SELECT task_id, unnest({_EXACT.format('prompt')}) AS token FROM {_PROMPTS}),
-  m AS (SELECT task_id, unit_id, CASE WHEN token = path OR token = split_part(path, '/', -1) THEN 1 WHEN token = qualified_name THEN 2 ELSE 3 END AS p
-        FROM t JOIN {_SYMBOLS} u ON token = path OR token = split_part(path, '/', -1) OR token = qualified_name OR token = name)
+  k AS (SELECT unit_id, path AS token, 1 AS p FROM {_SYMBOLS} UNION ALL SELECT unit_id, split_part(path, '/', -1), 1 FROM {_SYMBOLS} UNION ALL SELECT unit_id, qualified_name, 2 FROM {_SYMBOLS} UNION ALL SELECT unit_id, name, 3 FROM {_SYMBOLS}),
+  m AS (SELECT task_id, unit_id, p FROM t JOIN k USING (token))
   SELECT task_id, unit_id, ['path', 'qualified_name', 'symbol_name'][min(p)] AS match_type FROM m GROUP BY task_id, unit_id""")
 def j02_exact_retrieval(spark, folder):
     return exact_matches(_prompts(spark, folder), _symbols(spark, folder))
@@ -63,12 +63,12 @@ def j02_exact_retrieval(spark, folder):
 
 def _frames(spark, folder):
     key = F.col("p_partkey").cast("string")
-    return table(spark, folder, "part").filter("p_partkey % 5 = 0").select(
+    return table(spark, folder, "part").select(
         (F.col("p_partkey") % 50).alias("task_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("C:\\Work\\SRC\\P_"), key)).otherwise(F.concat(F.lit("p_"), key)).alias("file"), F.concat(F.lit("p_"), (F.col("p_partkey") - F.col("p_partkey") % 20).cast("string")).alias("function")
     )
 
 
-_FRAMES = r"(SELECT p_partkey % 50 AS task_id, CASE WHEN p_partkey % 2 = 0 THEN 'C:\Work\SRC\P_' || p_partkey ELSE 'p_' || p_partkey END AS file, 'p_' || (p_partkey - p_partkey % 20) AS function FROM part WHERE p_partkey % 5 = 0)"
+_FRAMES = r"(SELECT p_partkey % 50 AS task_id, CASE WHEN p_partkey % 2 = 0 THEN 'C:\Work\SRC\P_' || p_partkey ELSE 'p_' || p_partkey END AS file, 'p_' || (p_partkey - p_partkey % 20) AS function FROM part)"
 
 
 @query(f"""WITH f AS (SELECT task_id, function, lower(replace(file, '\\', '/')) AS file FROM {_FRAMES})
@@ -83,9 +83,9 @@ def j04_containment(spark, folder):
     return containing(units(spark, folder), tasks(spark, folder), "content", "prompt").select("task_id", "unit_id")
 
 
-@query(f"SELECT unit_id, path, EXISTS (SELECT 1 FROM (SELECT 'doc_' || p_partkey || '.' AS dirty FROM part WHERE p_partkey <= 40) d WHERE contains(path, dirty) OR contains(dirty, path)) AS in_dirty_diff FROM {UNITS}")
+@query(f"SELECT unit_id, path, EXISTS (SELECT 1 FROM (SELECT 'doc_' || s_suppkey || '.' AS dirty FROM supplier) d WHERE contains(path, dirty) OR contains(dirty, path)) AS in_dirty_diff FROM {UNITS}")
 def j05_dirty_overlap(spark, folder):
-    dirty = table(spark, folder, "part").filter("p_partkey <= 40").select(F.concat(F.lit("doc_"), F.col("p_partkey").cast("string"), F.lit(".")).alias("dirty"))
+    dirty = table(spark, folder, "supplier").select(F.concat(F.lit("doc_"), F.col("s_suppkey").cast("string"), F.lit(".")).alias("dirty"))
     u = units(spark, folder).select("unit_id", "path")
     hits = containing(u, dirty, "path", "dirty", either=True).select("unit_id").distinct().withColumn("hit", F.lit(True))
     return u.join(hits, "unit_id", "left").select("unit_id", "path", F.coalesce("hit", F.lit(False)).alias("in_dirty_diff"))
@@ -129,13 +129,10 @@ def k02_fusion_top200(spark, folder):
     return top_per(fused_candidates(spark, folder).select("task_id", "unit_id", F.round(fusion_score(), 4).alias("fusion_score")), "task_id", "fusion_score", "unit_id", 200)
 
 
-@query(f"""SELECT t.task_id, u.unit_id, round(len(list_filter(q, lambda x: list_contains(w, x))) / len(q), 6) AS overlap_ratio
-  FROM (SELECT task_id, {_TOKENS.format('prompt')} AS q FROM {TASKS}) t JOIN (SELECT unit_id, {_TOKENS.format('content')} AS w FROM {UNITS} WHERE n_chars < 4000) u ON u.unit_id % 7 = t.task_id % 7 WHERE len(q) > 0""")
+@query(f"""WITH q AS (SELECT task_id, unnest({_TOKENS.format('prompt')}) AS w, len({_TOKENS.format('prompt')}) AS n FROM {TASKS}), u AS (SELECT DISTINCT unit_id, unnest({_TOKENS.format('content')}) AS w FROM {UNITS})
+  SELECT task_id, unit_id, round(count(*) / any_value(n), 6) AS overlap_ratio FROM q JOIN u USING (w) GROUP BY task_id, unit_id""")
 def r05_overlap_ratio(spark, folder):
-    q = tasks(spark, folder).select("task_id", lexical_tokens(F.col("prompt")).alias("q"))
-    u = units(spark, folder).filter("n_chars < 4000").select("unit_id", lexical_tokens(F.col("content")).alias("w"))
-    pairs = u.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("unit_id") % 7 == F.col("task_id") % 7).filter("size(q) > 0")
-    return pairs.select("task_id", "unit_id", F.round(overlap_ratio(F.col("q"), F.col("w")), 6).alias("overlap_ratio"))
+    return overlap_ratios(tasks(spark, folder), units(spark, folder)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
 @query(f"""SELECT unit_id, CAST(CASE WHEN known > 0 THEN known WHEN ceil(length(c) / 4) > 0 THEN ceil(length(c) / 4) WHEN lines > 0 THEN greatest(10, lines * 8) ELSE 50 END AS BIGINT) AS token_estimate

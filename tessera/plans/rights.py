@@ -62,9 +62,9 @@ def p06_rights_filter(spark, folder):
     return r.select("episode_id", "line", F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("passed"))
 
 
-@query(f"SELECT episode_id, line, array_to_string({_REASONS.format(strict='true')}, ',') AS reasons FROM {_OBS} WHERE kind = 'K1'")
+@query(f"SELECT episode_id, line, array_to_string({_REASONS.format(strict='true')}, ',') AS reasons FROM {_OBS}")
 def p07_evidence_rights_filter(spark, folder):
-    rows = _observations(spark, folder).filter("kind = 'K1'")
+    rows = _observations(spark, folder)
     return rows.select("episode_id", "line", F.array_join(reasons(observation_rules(F.col("expired"), allow_weak=False)), ",").alias("reasons"))
 
 
@@ -232,13 +232,13 @@ def j22_lineage_resolver(spark, folder):
 
 
 @query("""WITH r AS (SELECT o_orderkey AS row_id, list(DISTINCT l_partkey) AS sources, any_value(o_custkey) AS repository, any_value(o_orderkey % 200) AS task FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
-  q AS (SELECT p_partkey AS request_id, [p_partkey, p_partkey + 1] AS sources, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS repository, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS task FROM part WHERE p_partkey <= 30)
+  q AS (SELECT s_suppkey AS request_id, [s_suppkey, s_suppkey + 1] AS sources, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS repository, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS task FROM supplier)
   SELECT DISTINCT request_id, row_id FROM q JOIN r ON list_has_any(q.sources, r.sources) OR q.repository = r.repository OR q.task = r.task""")
 def j23_purge_trace(spark, folder):
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.collect_set("l_partkey").alias("sources"))
     rows = lines.join(table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("repository"), (F.col("o_orderkey") % 200).alias("task")), "row_id")
-    k = F.col("p_partkey")
-    requests = table(spark, folder, "part").filter("p_partkey <= 30").select(k.alias("request_id"), F.array(k, k + 1).alias("sources"), F.when(k % 2 == 0, k).alias("repository"), F.when(k % 3 == 0, k).alias("task"))
+    k = F.col("s_suppkey")
+    requests = table(spark, folder, "supplier").select(k.alias("request_id"), F.array(k, k + 1).alias("sources"), F.when(k % 2 == 0, k).alias("repository"), F.when(k % 3 == 0, k).alias("task"))
     return purge_trace(requests, rows)
 
 

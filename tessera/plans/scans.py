@@ -62,10 +62,10 @@ def s18_snapshot_check(spark, folder):
     return expected.join(observed, "unit_id", "left").select("unit_id", status.alias("status"))
 
 
-@query(f"SELECT repository_id, sha256(string_agg(unit_id || '=' || sha256(content), ';' ORDER BY unit_id || '=' || sha256(content))) AS snapshot_hash FROM {UNITS} WHERE lang = 'es' GROUP BY ALL")
+@query(f"SELECT repository_id, sha256(string_agg(unit_id || '=' || sha256(content), ';' ORDER BY unit_id || '=' || sha256(content))) AS snapshot_hash FROM {UNITS} GROUP BY ALL")
 def s19_snapshot_hash(spark, folder):
-    """A snapshot's hash over its files' hashes in order (of each repository's configuration files)."""
-    rows = units(spark, folder).filter("lang = 'es'").select("repository_id", F.concat_ws("=", c("unit_id").cast("string"), F.sha2("content", 256)).alias("h"))
+    """A snapshot's hash over its files' hashes in order."""
+    rows = units(spark, folder).select("repository_id", F.concat_ws("=", c("unit_id").cast("string"), F.sha2("content", 256)).alias("h"))
     return rows.groupBy("repository_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ";"), 256).alias("snapshot_hash"))
 
 
@@ -119,15 +119,15 @@ def r21_skeletons(spark, folder):
     return files.join(skeletons(files), "unit_id").select("unit_id", (c("skeleton") == c("content")).alias("unchanged"), body.alias("full_body"))
 
 
-@query("SELECT DISTINCT 'src/a' || u.f AS src, d.p_partkey AS dst, 'REFERENCES' AS kind FROM (SELECT p_partkey % 50 AS f, p_partkey % 60 AS n FROM part WHERE p_partkey % 3 > 0) u JOIN (SELECT p_partkey FROM part WHERE p_partkey < 60 AND p_partkey % 3 = 0) d ON d.p_partkey = u.n")
+@query("""WITH r AS (SELECT DISTINCT p_partkey % 50 AS f, p_partkey % 60 AS n FROM part WHERE p_partkey % 7 > 0), d AS (SELECT DISTINCT p_partkey % 60 AS n FROM part WHERE p_partkey % 7 = 0)
+  SELECT 'src/a' || f AS src, p_partkey AS dst, 'REFERENCES' AS kind FROM r JOIN d USING (n) JOIN part ON p_partkey % 60 = n""")
 def s11_symbol_index(spark, folder):
     k = c("p_partkey")
-    name = F.concat(F.lit("pkg#f"), (k % 60).cast("string"), F.lit("()."))
-    role = F.when((k % 3 == 0) & (k < 60), "definition").when(k % 3 > 0, "reference").otherwise("other")
-    docs = table(spark, folder, "part").groupBy(F.concat(F.lit("src/a"), (k % 50).cast("string")).alias("path")).agg(F.collect_list(F.struct(name.alias("symbol"), role.alias("role"))).alias("occurrences"))
+    name = F.concat(F.lit("f"), (k % 60).cast("string"))
+    symbol, role = F.concat(F.lit("pkg#"), name, F.lit("().")), F.when(k % 7 == 0, "definition").otherwise("reference")
+    docs = table(spark, folder, "part").groupBy(F.concat(F.lit("src/a"), (k % 50).cast("string")).alias("path")).agg(F.collect_list(F.struct(symbol.alias("symbol"), role.alias("role"))).alias("occurrences"))
     index = docs.groupBy((F.length("path") % 2).alias("part")).agg(F.collect_list(F.struct("path", "occurrences")).alias("documents"))
-    symbols_ = table(spark, folder, "part").filter("p_partkey < 60").select(k.alias("unit_id"), F.concat(F.lit("f"), k.cast("string")).alias("name"))
-    return scip_edges(index, symbols_)
+    return scip_edges(index, table(spark, folder, "part").select(k.alias("unit_id"), name.alias("name")))
 
 
 @query("SELECT l_orderkey AS task_id, sha256(string_agg('<context_unit id=\"' || l_partkey || '\" line=\"' || l_linenumber || '\">' || l_returnflag || '</context_unit>', chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag)) AS rendered FROM lineitem GROUP BY ALL")
@@ -156,7 +156,7 @@ def s15_json_round_trip(spark, folder):
     return table(spark, folder, "events").select("event_id", back.alias("b")).select("event_id", "b.id", "b.type")
 
 
-@query(f"SELECT unit_id, n AS line FROM (SELECT unit_id, unnest(regexp_split_to_array(content, chr(10))) AS l, generate_subscripts(regexp_split_to_array(content, chr(10)), 1) AS n FROM {UNITS} WHERE unit_id < 100) WHERE contains(l, 'tion') ORDER BY unit_id, n LIMIT 50")
+@query(f"SELECT unit_id, n AS line FROM (SELECT unit_id, unnest(regexp_split_to_array(content, chr(10))) AS l, generate_subscripts(regexp_split_to_array(content, chr(10)), 1) AS n FROM {UNITS}) WHERE contains(l, 'tion') ORDER BY unit_id, n LIMIT 50")
 def k07_substring_search(spark, folder):
-    lines = units(spark, folder).filter("unit_id < 100").select("unit_id", F.posexplode(F.split("content", "\n", -1)).alias("n", "l"))
+    lines = units(spark, folder).select("unit_id", F.posexplode(F.split("content", "\n", -1)).alias("n", "l"))
     return lines.filter(c("l").contains("tion")).select("unit_id", (c("n") + 1).alias("line")).orderBy("unit_id", "line").limit(50)

@@ -56,7 +56,7 @@ COMMIT_FILES = "(SELECT DISTINCT l_orderkey AS sha, l_partkey AS file, o_orderda
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """src, dst, kind: region -CONTAINS-> nation -CONTAINS-> customer, supplier; customer -CALLS-> order (the first 2,000 keys)."""
+    """src, dst, kind: region -CONTAINS-> nation -CONTAINS-> customer, supplier; customer -CALLS-> order."""
     nation, customer, supplier, orders = (table(spark, folder, t) for t in ("nation", "customer", "supplier", "orders"))
 
     def edge(df: DataFrame, a: str, x: str, b: str, y: str, kind: str) -> DataFrame:
@@ -66,14 +66,14 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
         edge(nation, "R", "n_regionkey", "N", "n_nationkey", "CONTAINS")
         .unionAll(edge(customer, "N", "c_nationkey", "C", "c_custkey", "CONTAINS"))
         .unionAll(edge(supplier, "S", "s_suppkey", "N", "s_nationkey", "DECLARED_IN"))
-        .unionAll(edge(orders.filter("o_orderkey <= 2000"), "C", "o_custkey", "O", "o_orderkey", "CALLS"))
+        .unionAll(edge(orders, "C", "o_custkey", "O", "o_orderkey", "CALLS"))
     )
 
 
 EDGES = """(SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst, 'CONTAINS' AS kind FROM nation
   UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'CONTAINS' FROM customer
   UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'DECLARED_IN' FROM supplier
-  UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'CALLS' FROM orders WHERE o_orderkey <= 2000)"""
+  UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'CALLS' FROM orders)"""
 
 #: Event types as trajectory events.
 EVENT_TYPES = {"view": "FILE_READ", "click": "SEARCH", "purchase": "FILE_EDIT", "error": "TOOL_ERROR", "signup": "CONTEXT_SHOWN"}
