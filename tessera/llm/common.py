@@ -74,6 +74,16 @@ def sent(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def matched(rows: DataFrame, table: DataFrame, key: str, most_rows: int) -> DataFrame:
+    """rows joined with table by key, a long, through a shuffle of the rows that have a partner.
+
+    If table is counted to have at most most_rows rows, its keys alone (8 bytes each) go to every executor first and pick those rows.
+    """
+    if table.count() <= most_rows:
+        rows = rows.join(F.broadcast(table.select(key).distinct()), key, "left_semi")
+    return rows.join(table, key)
+
+
 def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about GROUP_BYTES: first row, end row, their UTF-8 bytes, offsets of each text in them.
 

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, WORD, sent, written
+from tessera.llm.common import SPACE, WORD, matched, sent, written
 
 #: The base patterns. Look-behind and \G (the end of the last match) only spare starts inside a run that fail as its first letter did.
 PATTERNS = {
@@ -135,7 +135,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, s
         return None
     chosen = held.join(entities.select("entity"), "entity", "left_semi").groupBy("_key", "_hash", "entity").agg(F.count(F.lit(1)).alias("n"))
     keys = written(chosen.groupBy("_key", "_hash").agg(F.collect_list(F.struct("entity", "n")).alias("own")), "entity-documents")
-    texts = _texts(docs).join(sent(keys, BROADCAST_ROWS), "_key").groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("own").alias("own"))
+    texts = matched(_texts(docs), keys, "_key", BROADCAST_ROWS).groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("own").alias("own"))
     # A text that several rows share is split into terms once; its rows count through n.
     pairs = texts.select(F.explode("own").alias("o"), _terms().alias("terms")).select("o.entity", F.col("o.n").alias("n"), F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
@@ -157,7 +157,7 @@ def marked(docs: DataFrame, support: int = SUPPORT, slack: float = SLACK) -> Dat
         return base.withColumn("_all", F.col("_spans"))
     found = _texts(docs).select("_key", F.explode(_terms()).alias("term")).join(sent(terms.select("term"), BROADCAST_ROWS), "term")
     found = written(found.groupBy("_key").agg(F.collect_set("term").alias("_found")), "term-documents")
-    places = with_matches(_texts(docs).join(sent(found, BROADCAST_ROWS), "_key").dropDuplicates(["_key"]), "_words", WORD)
+    places = with_matches(matched(_texts(docs), found, "_key", BROADCAST_ROWS).dropDuplicates(["_key"]), "_words", WORD)
     hit = F.filter("_words", lambda x: F.array_contains(F.col("_found"), F.lower(x["match"])))
     places = places.select("_key", F.transform(hit, _spans_of("term")).alias("_terms"))
     return base.join(places, "_key", "left").withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_terms", F.slice("_spans", 1, 0))))).drop("_terms")

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASES, range_hashes, sent, small_batches, text_groups, word_hashes, words_of, written
+from tessera.llm.common import BASES, matched, range_hashes, small_batches, text_groups, word_hashes, words_of, written
 
 WINDOW = 50
 ANCHOR = 10
 PIECE = 500
 #: Letters of patterns in an automaton, at about 100 bytes of memory each.
 AUTOMATON_LETTERS = 600_000
-#: Up to so many (document, places) rows are sent to every executor to pick documents; more are joined by shuffle.
+#: Up to so many ids (8 bytes each) are sent to every executor to pick documents.
 BROADCAST_ROWS = 200_000
 
 
@@ -230,7 +230,7 @@ def passages(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, piece
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     picks = contents.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("p0", "p1", "anchor", "content")).alias("picks"))
     window_schema = "w1 long, w2 long, doc_id long, pos long, anchor long, content long, k long"
-    windows = written(texts.join(sent(written(picks, "picks"), BROADCAST_ROWS), "doc_id").mapInArrow(_window_rows(window), window_schema), "windows")
+    windows = written(matched(texts, written(picks, "picks"), "doc_id", BROADCAST_ROWS).mapInArrow(_window_rows(window), window_schema), "windows")
     starts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("start"))
     changed = windows.join(starts, ["w1", "w2"]).filter("start.doc_id < doc_id").groupBy("anchor", "content").agg(F.collect_list(F.struct("k", F.col("start.doc_id").alias("owner"), F.col("start.pos").alias("owner_pos"))).alias("earlier"))
     known = contents.join(changed, ["anchor", "content"], "left").select("anchor", "content", F.col("doc_id").alias("least"), F.col("p0").alias("least_p0"), "earlier")
@@ -245,7 +245,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = passages(texts, window, anchor, piece).select("doc_id", F.explode("runs").alias("run")).select("doc_id", "run.owner", "run.owner_start", "run.windows")
     wanted = runs.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set(F.struct("owner_start", "windows")).alias("wanted"))
-    patterns = texts.join(sent(written(wanted, "wanted"), BROADCAST_ROWS), "doc_id").mapInArrow(_pattern_rows(window), "owner long, owner_start long, windows long, pattern string")
+    patterns = matched(texts, written(wanted, "wanted"), "doc_id", BROADCAST_ROWS).mapInArrow(_pattern_rows(window), "owner long, owner_start long, windows long, pattern string")
     own = runs.distinct().join(written(patterns, "patterns"), ["owner", "owner_start", "windows"]).groupBy("doc_id").agg(F.collect_list(F.struct("owner", "pattern")).alias("patterns"))
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if full else "kept_sha256 string")
     return texts.join(own, "doc_id", "left").mapInArrow(_kept_rows(letters, full), schema)
