@@ -14,8 +14,8 @@ from tessera.operators.history import change_frequency, co_changes, directional_
 from tessera.operators.metrics import budgeted, mcnemar, task_metrics
 from tessera.operators.packing import model_cost, solve_budget
 from tessera.operators.rights import latest
-from tessera.sources.code import python_symbols, skeleton_of, symbols_of
-from tessera.streaming.events import SCHEMA, counters, event_stream, session_states, unique_sessions
+from tessera.sources.code import python_symbols, repository_files, skeleton_of, symbols_of
+from tessera.streaming.events import SCHEMA, counters, event_stream, session_states, unique_sessions, upsert_batches
 
 
 def test_cutoff_counts(spark):
@@ -170,3 +170,21 @@ def test_streams_agree_with_batches(spark, tmp_path):
 def test_latest(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, n int, v string")
     assert {r.v for r in latest(df, ["k"], [F.col("n").desc()]).collect()} == {"b", "c"}
+
+
+def test_repository_scan(spark, tmp_path):
+    root = tmp_path / "repo"
+    for name, text in {"src/a.py": "def f():\n    return 1\n", "node_modules/x/b.py": "x", "docs/guide.md": "# guide", ".git/config": "y"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    got = {r.path: r.size for r in repository_files(spark, str(root)).collect()}
+    assert got == {"src/a.py": 22, "docs/guide.md": 7}
+    assert [r.path for r in repository_files(spark, str(root), "*.md").collect()] == ["docs/guide.md"]
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), i % 3, "view", 1.0, "{}") for i in range(9)], SCHEMA)
+    events.write.parquet(f"{tmp_path}/events")
+    for checkpoint in ("c1", "c2"):  # a new checkpoint delivers everything again
+        upsert_batches(event_stream(spark, f"{tmp_path}/events", files=10), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", ["user_id"]).start().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 9
