@@ -111,7 +111,8 @@ def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WOR
     long = F.array_distinct(F.filter("lines", lambda _, i: F.get(F.col("words"), i) >= least_words))
     lines = rows.select("doc_id", "key", F.explode(long).alias("line"))
     shared = lines.groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = shared.filter("owner.doc_id < last").select("line", "owner", "n")
+    # Written, so that both sides of the join are dealt out anew and a frequent line's rows can be split over tasks.
+    shared = written(shared.filter("owner.doc_id < last").select("line", "owner", "n"), "shared-lines")
     found = lines.join(shared, "line").filter("owner.doc_id < doc_id").groupBy("key").agg(F.min("n").alias("least"), F.collect_set(F.struct("n", F.col("owner.key").alias("owner"))).alias("owners"))
     chosen = F.array_distinct(F.transform(F.filter("owners", lambda x: x["n"] <= F.greatest(F.lit(rare), F.col("least"))), lambda x: x["owner"]))
     pairs = written(found.select("key", F.explode(chosen).alias("owner")), "line-pairs")
