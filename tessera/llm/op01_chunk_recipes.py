@@ -113,5 +113,6 @@ def exact_groups(docs: DataFrame, least: int = 1024, average_bits: int = 12, mos
         marks = pieces.join(variant, ["h", "chunk"]).groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "variant"))).alias("variants"))
         recipes = recipes.join(marks, "text_sha256", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<struct<pos:int,variant:int>>")))
         key = [*key, "variants"]
-    groups = recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join are dealt out anew and a large group's rows can be split over tasks.
+    groups = written(recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return recipes.join(groups, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
