@@ -231,7 +231,9 @@ def passages(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, piece
     picks = contents.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("p0", "p1", "anchor", "content")).alias("picks"))
     window_schema = "w1 long, w2 long, doc_id long, pos long, anchor long, content long, k long"
     windows = written(matched(texts, written(picks, "picks"), "doc_id", BROADCAST_ROWS).mapInArrow(_window_rows(window), window_schema), "windows")
-    starts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("start"))
+    # Only windows that start in several documents are of use; written, so that a frequent window's rows can be split over tasks.
+    starts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("start"), F.max("doc_id").alias("last"))
+    starts = written(starts.filter("start.doc_id < last").drop("last"), "starts")
     changed = windows.join(starts, ["w1", "w2"]).filter("start.doc_id < doc_id").groupBy("anchor", "content").agg(F.collect_list(F.struct("k", F.col("start.doc_id").alias("owner"), F.col("start.pos").alias("owner_pos"))).alias("earlier"))
     known = contents.join(changed, ["anchor", "content"], "left").select("anchor", "content", F.col("doc_id").alias("least"), F.col("p0").alias("least_p0"), "earlier")
     held = rows.join(known, ["anchor", "content"]).filter((F.col("least") < F.col("doc_id")) | F.col("earlier").isNotNull())
