@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 #: Bytes of text whose units share a table, and distinct units that are segmented in one call. Both bound a task's memory.
 GROUP_BYTES = 10_000_000
 CALL_UNITS = 4096
+#: Units that a worker's table holds before it begins anew (a few dozen MB); no result depends on it.
+KNOWN_UNITS = 800_000
 
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -33,6 +35,25 @@ class UnitTable:
 
     def __init__(self, joined: Callable[[str], list[int]], single: Callable[[list[str]], list[list[int]]], leads: np.ndarray, heads: bool, dtype: type):
         self.joined, self.single, self.leads, self.heads, self.dtype = joined, single, leads, heads, dtype
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.flat, self.counts = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def _look_up(self, units: pa.Array) -> np.ndarray:
+        """Places of distinct units in the table; those not in it are segmented and added."""
+        if len(self.known) > KNOWN_UNITS:
+            self._clear()
+        at = pc.index_in(units, value_set=self.known)
+        new = units.filter(pc.is_null(at))
+        base = len(self.known)
+        if len(new):
+            flat, counts = self._segment(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        place = np.asarray(pc.fill_null(at, -1), dtype=np.int64).copy()
+        place[place < 0] = base + np.arange(len(new))
+        return place
 
     def _segment(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, in order, and the number of ids of each."""
@@ -70,12 +91,11 @@ class UnitTable:
         if not len(units):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         coded = pc.dictionary_encode(units)
-        at = np.asarray(coded.indices, dtype=np.int64)
-        flat, counts = self._segment(coded.dictionary)
-        if self.heads:  # the first units of texts come after the others in the table
+        at = self._look_up(coded.dictionary)[np.asarray(coded.indices)]
+        flat, counts = self.flat, self.counts
+        if self.heads:  # the first units of texts, which no space leads, come after the others
             first = bounds[:-1][np.diff(bounds) > 0]
             own = self.single(units.take(pa.array(first)).to_pylist())
-            at = at.copy()
             at[first] = len(counts) + np.arange(len(first))
             flat = np.concatenate([flat, np.fromiter((t for x in own for t in x), self.dtype)])
             counts = np.concatenate([counts, np.fromiter(map(len, own), np.int64, len(own))])
