@@ -116,7 +116,7 @@ def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WOR
     found = lines.join(shared, "line").filter("owner.doc_id < doc_id").groupBy("key").agg(F.min("n").alias("least"), F.collect_set(F.struct("n", F.col("owner.key").alias("owner"))).alias("owners"))
     chosen = F.array_distinct(F.transform(F.filter("owners", lambda x: x["n"] <= F.greatest(F.lit(rare), F.col("least"))), lambda x: x["owner"]))
     pairs = written(found.select("key", F.explode(chosen).alias("owner")), "line-pairs")
-    once = rows.dropDuplicates(["key"])
+    once = written(rows.dropDuplicates(["key"]).select("key", "lines", "words"), "line-hashes-once")
     later = pairs.join(once.select("key", F.col("lines").alias("later"), "words"), "key")
     both = later.join(once.select(F.col("key").alias("owner"), F.col("lines").alias("earlier")), "owner")
     gone = both.select("key", "earlier", "later", "words").mapInArrow(_align(least_words), "key long, gone array<int>")
