@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 1. Lines of at least `least_words` words are hashed. For each hash the document with the smallest doc_id that holds it is its owner.
-2. A document is paired with the owners of its rare shared lines: those found in at most `rare` documents, and always its rarest ones,
-   whatever their number (so groups of any size are paired, each member with the first one, never all with all).
+2. A document is paired with the owner of each of its shared lines, however many documents hold the line: at most one pair a line, never
+   all with all. Where `rare` is given, only with the owners of its lines found in at most `rare` documents, and of its rarest ones.
 3. Each pair's line hashes are aligned by patience diff: lines that are unique in both and in the same order are anchors, stretches
    between anchors are treated alike, equal lines next to an anchor join its block.
 4. Aligned blocks of at least `least_words` words go from the later document. Pairs are judged on the input, not on what is left.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, small_batches, written
 
-RARE = 100
 LEAST_WORDS = 5
 
 
@@ -101,7 +100,7 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def common_lines(docs: DataFrame, rare: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """key and gone (places of lines) of each row that loses lines."""
     small_batches(docs.sparkSession)
     hashes = F.transform(_lines(), lambda x: F.xxhash64(x))
@@ -113,9 +112,12 @@ def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WOR
     shared = lines.groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     # Written, so that both sides of the join are dealt out anew and a frequent line's rows can be split over tasks.
     shared = written(shared.filter("owner.doc_id < last").select("line", "owner", "n"), "shared-lines")
-    found = lines.join(shared, "line").filter("owner.doc_id < doc_id").groupBy("key").agg(F.min("n").alias("least"), F.collect_set(F.struct("n", F.col("owner.key").alias("owner"))).alias("owners"))
-    chosen = F.array_distinct(F.transform(F.filter("owners", lambda x: x["n"] <= F.greatest(F.lit(rare), F.col("least"))), lambda x: x["owner"]))
-    pairs = written(found.select("key", F.explode(chosen).alias("owner")), "line-pairs")
+    found = lines.join(shared, "line").filter("owner.doc_id < doc_id").select("key", "n", F.col("owner.key").alias("owner"))
+    if rare is not None:
+        found = found.groupBy("key").agg(F.min("n").alias("least"), F.collect_set(F.struct("n", "owner")).alias("owners"))
+        chosen = F.filter("owners", lambda x: x["n"] <= F.greatest(F.lit(rare), F.col("least")))
+        found = found.select("key", F.explode(F.transform(chosen, lambda x: x["owner"])).alias("owner"))
+    pairs = written(found.select("key", "owner").distinct(), "line-pairs")
     once = written(rows.dropDuplicates(["key"]).select("key", "lines", "words"), "line-hashes-once")
     later = pairs.join(once.select("key", F.col("lines").alias("later"), "words"), "key")
     both = later.join(once.select(F.col("key").alias("owner"), F.col("lines").alias("earlier")), "owner")
@@ -123,7 +125,7 @@ def common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WOR
     return written(gone.filter("size(gone) > 0").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone-lines")
 
 
-def without_common_lines(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_common_lines(docs: DataFrame, rare: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the text that is left, and _n_lines and _n_removed."""
     columns = docs.columns
     gone = common_lines(docs, rare, least_words).select(F.col("key").alias("_key"), F.col("gone").alias("_gone"))
@@ -135,7 +137,7 @@ def without_common_lines(docs: DataFrame, rare: int = RARE, least_words: int = L
     return rows.select(*columns, "_n_lines", "_n_removed")
 
 
-def line_digest(docs: DataFrame, rare: int = RARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def line_digest(docs: DataFrame, rare: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of each row."""
     rows = without_common_lines(docs.select("doc_id", "text"), rare, least_words)
     return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -80,3 +80,15 @@ def test_copies_and_carried_columns(spark):
 
 def test_empty_table(spark):
     assert line_digest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_owners_of_lines_of_over_100_documents(spark):
+    """Each document shares a rarer line with one that doesn't hold the common passage."""
+    passage = "the first line of a passage\nand its second line goes on here"
+    rows = [(0, passage, None, None)]
+    for i in range(1, 120):
+        own = f"line {i} is in two documents"
+        rows += [(i, own, None, None), (1000 + i, f"{own}\nbetween {i}\n{passage}", None, None)]
+    got = line_digest(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, len(rows), 5)
+    assert all(r.n_removed == 3 for r in got if r.doc_id > 1000)
