@@ -128,15 +128,18 @@ def _terms() -> Column:
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, slack: float = SLACK) -> DataFrame | None:
     """term, and information left (bits) of the entity that it discloses most of; None if no entity has enough support."""
-    held = base.filter("size(_entities) > 0").select("_key", "_hash", F.explode("_entities").alias("entity"))
+    held = base.filter("size(_entities) > 0").select("_hash", F.explode("_entities").alias("entity"))
     per_text = held.groupBy("entity", "_hash").agg(F.count(F.lit(1)).alias("n"))
     entities = written(per_text.groupBy("entity").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support), "entities")
     if entities.isEmpty():
         return None
-    chosen = held.join(entities.select("entity"), "entity", "left_semi").groupBy("_key", "_hash", "entity").agg(F.count(F.lit(1)).alias("n"))
-    keys = written(chosen.groupBy("_key", "_hash").agg(F.collect_list(F.struct("entity", "n")).alias("own")), "entity-documents")
-    texts = matched(_texts(docs), keys, "_key", BROADCAST_ROWS).groupBy("_hash").agg(F.first("_text").alias("_text"), F.first("own").alias("own"))
-    # A text that several rows share is split into terms once; its rows count through n.
+    chosen = held.join(entities.select("entity"), "entity", "left_semi").groupBy("_hash", "entity").agg(F.count(F.lit(1)).alias("n"))
+    keys = written(chosen.groupBy("_hash").agg(F.collect_list(F.struct("entity", "n")).alias("own")), "entity-texts")
+    texts = _texts(docs).select(F.xxhash64("_text").alias("_hash"), "_text")
+    if keys.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(keys.select("_hash")), "_hash", "left_semi")
+    # A text that several rows share is split into terms once, whatever their ids; n counts all of its rows.
+    texts = texts.groupBy("_hash").agg(F.first("_text").alias("_text")).join(keys, "_hash")
     pairs = texts.select(F.explode("own").alias("o"), _terms().alias("terms")).select("o.entity", F.col("o.n").alias("n"), F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     pairs = written(pairs.select("entity", "term", "both"), "entity-terms")

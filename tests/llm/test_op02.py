@@ -98,3 +98,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert private_spans(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = frame(spark, [(1, "a@b.c", None, None)]).withColumns({c: F.lit(1) for c in ("_key", "_text", "spans", "term", "entity", "n")})
     assert [(r.n_email, r.spans) for r in private_spans(docs).collect()] == [(1, "email:0:5")]
+
+
+def test_copies_under_different_ids(spark):
+    """A term of 100 copies and two other texts, all with one entity, occurs nowhere else."""
+    rows = [(i, "Zanzibar secret@agency.example and more", None, None) for i in range(100)]
+    rows += [(100, "zanzibar one secret@agency.example", None, None), (101, "the zanzibar secret@agency.example", None, None)]
+    rows += [(200 + i, "one and the more", None, None) for i in range(300)]
+    got = private_spans(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sum(r.n_term for r in got) == 102
