@@ -19,7 +19,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import sent, written
 from tessera.llm.textstats import word_count
 
 WEIGHTS = (1, 2, 3)
@@ -122,12 +122,6 @@ def placed(docs: DataFrame, table: DataFrame, blocks: int, seed: int, carry: lis
     return rows.withColumn("partial", partial.cast("long"))
 
 
-def mix_report(docs: DataFrame, blocks: int = 512, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs."""
-    rows = placed(docs, placements(docs, blocks, seed), blocks, seed)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("partial")).cast("long").alias("taken"))
-
-
 def dealt(table: DataFrame, shards: int, seed: int) -> DataFrame:
     """table with `homes`: for each pass that takes the block, the shard that gets it."""
     drawn = F.max("passes") * F.count(F.lit(1)) + F.coalesce(F.max(F.when(F.col("last") > 0, F.col("turn") + 1)), F.lit(0))
@@ -146,13 +140,36 @@ def dealt(table: DataFrame, shards: int, seed: int) -> DataFrame:
     return written(table.join(homes, ["skey", "block"], "left"), "dealt")
 
 
+def shards_of(docs: DataFrame, table: DataFrame, carry: list[str], shards: int, blocks: int, seed: int) -> DataFrame:
+    """The mixture by the placements in table; see mix."""
+    rows = placed(docs, dealt(table, shards, seed + 3), blocks, seed, carry)
+    rows = rows.withColumn("_home", F.explode("homes"))
+    words = F.when(F.col("_home.copy") < F.col("passes"), F.col("size")).otherwise(F.col("partial"))
+    out = rows.select(F.col("_home.shard").alias("shard"), F.xxhash64(F.lit(seed + 4), "doc_id", "_home.copy").alias("place"), "doc_id", F.col("_home.copy").alias("copy"), "size", words.alias("words"), *carry)
+    return out.filter("words > 0").repartition(shards, "shard").sortWithinPartitions("shard", "place")
+
+
 def mix(docs: DataFrame, carry: list[str], shards: int = 16, blocks: int = 512, seed: int = 11) -> DataFrame:
     """The mixture itself: a row for each time a document is taken, with shard, words (fewer than size where it is cut) and carry.
 
     Rows of a shard come together, in an order by hash.
     """
-    rows = placed(docs, dealt(placements(docs, blocks, seed), shards, seed + 3), blocks, seed, carry)
-    rows = rows.withColumn("_home", F.explode("homes"))
-    words = F.when(F.col("_home.copy") < F.col("passes"), F.col("size")).otherwise(F.col("partial"))
-    out = rows.select(F.col("_home.shard").alias("shard"), F.xxhash64(F.lit(seed + 4), "doc_id", "_home.copy").alias("place"), "doc_id", F.col("_home.copy").alias("copy"), "size", words.alias("words"), *carry)
-    return out.filter("words > 0").repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    return shards_of(docs, placements(docs, blocks, seed), carry, shards, blocks, seed)
+
+
+def mix_report(docs: DataFrame, blocks: int = 512, seed: int = 11, shards: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs: what the shards of the mixture, written with their texts, hold of it.
+
+    Without a number of shards there are as many as shuffle partitions.
+    """
+    shards = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    table = placements(docs, blocks, seed)
+    mixture = written(shards_of(docs, table, ["source", "text"], shards, blocks, seed), "mixture")
+    # Rows of one id, source and size are taken alike, so each copy counts once for each of them.
+    name = ["doc_id", "source", "size"]
+    draws = mixture.groupBy(*name, "copy").agg(F.max("words").alias("words"))
+    draws = draws.groupBy(*name).agg(F.sum("words").alias("taken")).select(*[F.col(c).alias(f"_{c}") for c in name], "taken")
+    sources = table.select("skey", "source_size", "target").distinct()
+    rows = sized(docs, blocks, seed, ["source"]).join(sent(sources, BROADCAST_ROWS), "skey")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    return rows.join(draws, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.op06_mixing import mix, mix_report, split_quotas
+from tessera.llm import op06_mixing
+from tessera.llm.op06_mixing import mix, mix_report, placed, placements, split_quotas
 
 from .conftest import SCHEMA, frame
 
@@ -84,3 +85,15 @@ def test_splits_are_as_draws_without_replacement():
     mean = sum(left) / len(left)
     variance = sum((x - mean) ** 2 for x in left) / len(left)
     assert abs(mean - 5) < 0.12 and abs(variance - 20 * 0.25 * 0.75 * 20 / 39) < 0.25
+
+
+def test_report_is_of_the_dealt_shards(spark, awkward, monkeypatch):
+    """The report is what the tree's shards hold, also of repeated ids and rows."""
+    called = []
+    monkeypatch.setattr(op06_mixing, "split_quotas", lambda quotas, shards, seed: called.append(shards) or split_quotas(quotas, shards, seed))
+    docs = frame(spark, [*awkward, *awkward[:40], (0, "a b c d", "en", "s1"), (0, "e f g h", "en", "s1"), (0, "a b c d", "en", "s2")])
+    got = mix_report(docs, blocks=8).collect()
+    assert called == [4]
+    rows = placed(docs, placements(docs, 8, 11), 8, 11)
+    want = rows.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("partial")).alias("taken")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
