@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import sent, written
 from tessera.llm.textstats import base_statistics
 
-#: Statistics of the vector, and the floor of each one's standard deviation.
-FLOORS = {"f_length": 0.25, "f_symbols": 0.08, "f_upper": 0.08, "f_repeat": 0.15}
+#: Statistics of the vector, and the floor of each one's standard deviation. Most texts have no symbols and no repeats, so that the
+#: closest rows don't vary in these and the floor stands for their spread.
+FLOORS = {"f_length": 0.25, "f_symbols": 0.05, "f_upper": 0.01, "f_repeat": 0.1}
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI2_4_MEDIAN = 3.356694
-#: Its 0.9999 quantile.
-CHI2_4_CUTOFF = 23.51
+#: Its 0.99 quantile.
+CHI2_4_CUTOFF = 13.28
 DIMENSIONS = list(FLOORS)
 #: Up to so many groups' estimates are sent to every executor; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000

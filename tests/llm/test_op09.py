@@ -73,3 +73,17 @@ def test_empty_table_and_clashing_columns(spark):
     assert quality_verdicts(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = frame(spark, [(1, None, None, None), (2, "word " * 60, None, None)]).withColumns({c: F.lit(1) for c in ("words", "group", "kind", "f_length", "n_words")})
     assert sorted((r.doc_id, r.base_failed, r.kept) for r in quality_verdicts(docs).collect()) == [(1, True, False), (2, True, False)]
+
+
+def test_tables_and_capitals_are_outliers(spark):
+    """Texts with a symbol in every second word, or far more capitals than the others, go; their group stays."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = prose(rng, 120, 4000).split()
+        if i % 50 == 7:
+            words = [w[:-1] + "|" if k % 2 else w for k, w in enumerate(words)]
+        capitals = 40 if i % 50 == 9 else 8 + i % 5
+        rows.append((i, " ".join(w.upper() if k < capitals else w for k, w in enumerate(words)), "en", "s1"))
+    got = {r.doc_id: r for r in quality_verdicts(frame(spark, rows)).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {i for i in range(300) if i % 50 in (7, 9)}
