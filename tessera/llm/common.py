@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -28,9 +29,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary one in local mode, where one process does all; an error on a cluster.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     if "://" not in where and not where.startswith("file:"):  # as Spark's own writers read it
@@ -50,12 +56,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows and bytes for the plans that are executed within; the session's own settings come back after it."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def per_worker[T](key: tuple, make: Callable[[], T]) -> T:
@@ -69,19 +94,40 @@ def per_worker[T](key: tuple, make: Callable[[], T]) -> T:
     return held[key]
 
 
-def sent(df: DataFrame, most_rows: int) -> DataFrame:
-    """df, to be sent to every executor in a join if it is counted to have at most most_rows rows."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def table_bytes(df: DataFrame) -> int:
+    """About what the rows of df take: letters of strings, 8 bytes for a number, 8 for an array's number or its JSON's letters."""
+    size = F.lit(0).cast("long")
+    for field in df.schema:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+        if kind in ("string", "binary"):
+            width = F.octet_length(c)
+        elif kind in ("array<int>", "array<bigint>"):
+            width = 8 * F.size(c)
+        else:
+            width = F.lit(8) if "<" not in kind else F.octet_length(F.to_json(F.struct(c)))
+        size = size + F.coalesce(width.cast("long"), F.lit(0)) + 8
+    return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+#: Tables of up to so many bytes are sent to every executor; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
+
+
+def sent(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table), to be sent to every executor in a join if it is measured to take at most most_bytes."""
+    return F.broadcast(df) if table_bytes(df) <= most_bytes else df
 
 
-def matched(rows: DataFrame, table: DataFrame, key: str, most_rows: int) -> DataFrame:
-    """rows joined with table by key, a long, through a shuffle of the rows that have a partner.
+def matched(rows: DataFrame, table: DataFrame, key: str | list[str], most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined with table by key, through a shuffle of the rows that have a partner.
 
-    If table is counted to have at most most_rows rows, its keys alone (8 bytes each) go to every executor first and pick those rows.
+    If the keys of table (a written one) are measured to take at most most_bytes, they alone go to every executor first and pick those rows.
     """
-    if table.count() <= most_rows:
-        rows = rows.join(F.broadcast(table.select(key).distinct()), key, "left_semi")
-    return rows.join(table, key)
+    names = [key] if isinstance(key, str) else key
+    keys = table.select(*names)
+    if table_bytes(keys) <= most_bytes:
+        rows = rows.join(F.broadcast(keys.distinct()), names, "left_semi")
+    return rows.join(table, names)
 
 
 def text_groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,8 +1,9 @@
 """Exact dedup by content-defined chunk recipes.
 
 Texts are cut at content-defined points; a chunk's identifier is its 64-bit hash, verified by comparing the bytes of all
-chunks that share a hash. Equal texts have equal ordered lists of identifiers (recipes) and equal lengths, so only the
-short recipes take part in the comparison of documents.
+chunks that share a hash with a chunk of another text (only those can make different texts look equal). Equal texts have equal
+ordered lists of identifiers (recipes) and equal lengths, so only the short recipes take part in the comparison of documents; of the
+texts' bytes only distinct chunks of recurring hashes move.
 
 Null text counts as empty. Empty texts are equal. Repeated rows (also with the same doc_id) are members of their group; each row
 with the largest doc_id stays. A null doc_id never is the largest unless all of a group are null. An empty table gives no rows.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mixed, small_batches, text_groups, written
+from tessera.llm.common import mixed, sent, small_batches, text_groups, written
 
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -97,18 +98,24 @@ def exact_groups(docs: DataFrame, least: int = 1024, average_bits: int = 12, mos
 
     id_bits shortens the identifiers (tests force collisions with it); results don't depend on it.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    with small_batches(docs.sparkSession):
+        return _groups(docs, least, average_bits, most, id_bits)
+
+
+def _groups(docs: DataFrame, least: int, average_bits: int, most: int, id_bits: int) -> DataFrame:
     opts = {"least": least, "average_bits": average_bits, "most": most, "id_bits": id_bits, "keyed": False}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     recipes = written(texts.mapInArrow(_recipes(opts), "doc_id long, recipe array<long>, n_bytes long, text_sha256 string"), "recipes")
     piece_schema = "text_sha256 string, pos int, h long, chunk binary"
+    hashes = recipes.dropDuplicates(["text_sha256"]).select(F.explode(F.array_distinct("recipe")).alias("h"))
+    recurring = written(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "recurring-hashes")
     # Equal pairs of identifier and bytes meet in each task first, so a frequent chunk moves once a task.
-    distinct = texts.mapInArrow(_pieces(opts), piece_schema).groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    pieces = texts.mapInArrow(_pieces(opts), piece_schema).join(sent(recurring), "h", "left_semi")
+    distinct = pieces.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
     collided = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1").select("h"), "collided")
     key = ["recipe", "n_bytes"]
     if not collided.isEmpty():
-        pieces = texts.mapInArrow(_pieces(opts | {"keyed": True}), piece_schema).join(collided, "h", "left_semi").dropDuplicates(["text_sha256", "pos"])
+        pieces = texts.mapInArrow(_pieces(opts | {"keyed": True}), piece_schema).join(sent(collided), "h", "left_semi").dropDuplicates(["text_sha256", "pos"])
         variant = pieces.select("h", "chunk").distinct().withColumn("variant", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
         marks = pieces.join(variant, ["h", "chunk"]).groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "variant"))).alias("variants"))
         recipes = recipes.join(marks, "text_sha256", "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<struct<pos:int,variant:int>>")))

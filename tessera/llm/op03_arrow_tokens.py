@@ -5,7 +5,7 @@ then the end id) cut into sequences of equal length, with a bit mask that is fal
 sequence; `documents-N.arrow` holds doc_id, offset and length of each document in the shard. A shard is written under a name of its
 attempt and then renamed, so a repeated or speculative task leaves one whole file.
 
-Null text counts as empty (only the end id). A null doc_id sorts first; rows with equal doc_id are ordered by their text. An empty
+Null text counts as empty (only the end id). A null doc_id sorts first; rows with equal doc_id are in order of a hash of their text. An empty
 table gives no shards with documents and no rows. Other columns are ignored. A text of any length is encoded whole.
 """
 
@@ -134,11 +134,11 @@ def _write(path: str, folder: str, length: int, end_id: int):
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, length: int = 1024, end_id: int = 0, shards: int | None = None) -> list:
     """Writes docs (doc_id, text) as shards in folder; returns the manifest, a row for each shard in ascending order of doc_id."""
     spark = docs.sparkSession
-    small_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return sorted(dealt.mapInArrow(_write(tokenizer_path, folder, length, end_id), "shard long, documents long, tokens long, sequences long").collect())
+    with small_batches(spark):
+        return sorted(dealt.mapInArrow(_write(tokenizer_path, folder, length, end_id), "shard long, documents long, tokens long, sequences long").collect())
 
 
 def open_shard(folder: str, shard: int, kind: str) -> pa.ipc.RecordBatchFileReader:

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_worker, small_batches
+from tessera.llm.common import per_worker, small_batches, written
 from tessera.llm.units import UnitTable, groups
 
 MARK = "▁"
@@ -90,15 +90,16 @@ def _ids(path: str):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids (with the end id) of each row."""
-    return _texts(docs).mapInArrow(_ids(model_path), "doc_id long, ids array<int>")
+    with small_batches(docs.sparkSession):
+        return written(_texts(docs).mapInArrow(_ids(model_path), "doc_id long, ids array<int>"), "piece-ids")
 
 
 def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    return _texts(docs).mapInArrow(_digest(model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with small_batches(docs.sparkSession):
+        return written(_texts(docs).mapInArrow(_digest(model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "piece-digests")

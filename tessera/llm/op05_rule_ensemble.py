@@ -162,7 +162,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> RuleModel:
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    # Of several rows with one id the least text counts, so that reruns fit the same model.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     stats, names = statistics(chosen, [F.col("doc_id"), F.col("y")])
     rows = sorted(stats.collect(), key=lambda r: r["doc_id"])  # most_rows at most
     return fit(np.array([[r[c] for c in names] for r in rows]).reshape(-1, len(names)), np.array([r["y"] for r in rows]), names)
