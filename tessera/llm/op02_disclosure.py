@@ -8,9 +8,11 @@ terms are marked wherever they stand and generalised in the sanitised text, as a
 
 Chance can't be told from disclosure in a few contexts, so an entity, and a pair of entity and term, must be found in at least SUPPORT
 distinct texts. That prunes exactly: entities below it are dropped before any pair is formed, and pairs are counted only in
-documents that hold an entity above it. Counts cover all documents.
+documents that hold an entity above it, with terms that are found at most 2 ** SLACK times as often as the entity (others can't
+disclose it), so a directory of many entities doesn't meet its common words. Counts cover all documents.
 
-Null text counts as empty. A null doc_id, repeated rows and equal ids are rows of their own (rows are named by id and text). An empty
+Null text counts as empty. A null doc_id, repeated rows and equal ids are rows of their own. Texts and rows are named by two 64-bit
+hashes (of the text; of id and text), so that one collision doesn't mark a text with another's terms. An empty
 table gives no rows; other columns are ignored. Offsets are in code points, ends exclusive. Patterns are possessive, so very long
 runs cost linear time.
 """
@@ -36,8 +38,6 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 SUPPORT = 3
 SLACK = 1.0
-#: Up to so many terms or document keys are sent to every executor; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
 _BLOCK = 32
 
 
@@ -98,7 +98,16 @@ def with_matches(df: DataFrame, name: str, pattern: str, needs: str | None = Non
 
 
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("doc_id", "text").alias("_key"), F.coalesce("text", F.lit("")).alias("_text"), *more)
+    names = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_k2")]
+    return docs.select(F.col("doc_id").alias("doc_id"), *names, F.coalesce("text", F.lit("")).alias("_text"), *more)
+
+
+ROW = ["_k1", "_k2"]
+TEXT = ["_h1", "_h2"]
+
+
+def _text_names() -> list[Column]:
+    return [F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(1), "_text").alias("_h2")]
 
 
 def _span(kind: str, x: Column) -> Column:
@@ -110,14 +119,14 @@ def _spans_of(kind: str) -> Callable[[Column], Column]:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _key, _hash (of the text), n_email, n_ip, n_card, n_phone, _spans (start, rank, end, kind; in order), _entities."""
+    """doc_id, _k1 and _k2 (of the row), _h1 and _h2 (of the text), n_email, n_ip, n_card, n_phone, _spans (start, rank, end, kind; in order), _entities."""
     df = _texts(docs)
     for kind, pattern in PATTERNS.items():
         df = with_matches(df, f"_{kind}", pattern, NEEDS.get(kind))
         df = df.withColumn(f"_{kind}", F.filter(f"_{kind}", _of(_holds, kind)))
     spans = F.sort_array(F.concat(*[F.transform(f"_{k}", _spans_of(k)) for k in PATTERNS]))
     entities = F.array_distinct(F.concat(*[F.transform(f"_{k}", _of(_entity, k)) for k in PATTERNS]))
-    return df.select("doc_id", "_key", F.xxhash64("_text").alias("_hash"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], spans.alias("_spans"), entities.alias("_entities"))
+    return df.select("doc_id", *ROW, *_text_names(), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS], spans.alias("_spans"), entities.alias("_entities"))
 
 
 def _terms() -> Column:
@@ -128,27 +137,24 @@ def _terms() -> Column:
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, slack: float = SLACK) -> DataFrame | None:
     """term, and information left (bits) of the entity that it discloses most of; None if no entity has enough support."""
-    held = base.filter("size(_entities) > 0").select("_hash", F.explode("_entities").alias("entity"))
-    per_text = held.groupBy("entity", "_hash").agg(F.count(F.lit(1)).alias("n"))
-    entities = written(per_text.groupBy("entity").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support), "entities")
+    held = base.filter("size(_entities) > 0").select(*TEXT, F.explode("_entities").alias("entity"))
+    per_text = written(held.groupBy("entity", *TEXT).agg(F.count(F.lit(1)).alias("n")), "text-entities")
+    entities = written(per_text.groupBy("entity").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support).drop("texts"), "entities")
     if entities.isEmpty():
         return None
-    chosen = held.join(entities.select("entity"), "entity", "left_semi").groupBy("_hash", "entity").agg(F.count(F.lit(1)).alias("n"))
-    keys = written(chosen.groupBy("_hash").agg(F.collect_list(F.struct("entity", "n")).alias("own")), "entity-texts")
-    texts = _texts(docs).select(F.xxhash64("_text").alias("_hash"), "_text")
-    if keys.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(keys.select("_hash")), "_hash", "left_semi")
+    chosen = written(per_text.join(sent(entities), "entity"), "entity-texts")
+    most = chosen.agg(F.max("all")).first()[0] * 2.0**slack
+    # A term must be in as many documents as a pair needs texts, and in few enough to leave so little of the most frequent entity.
+    counts = _texts(docs).select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("found"))
+    counts = written(counts.filter(F.col("found").between(support, most)), "term-counts")
     # A text that several rows share is split into terms once, whatever their ids; n counts all of its rows.
-    texts = texts.groupBy("_hash").agg(F.first("_text").alias("_text")).join(keys, "_hash")
-    pairs = texts.select(F.explode("own").alias("o"), _terms().alias("terms")).select("o.entity", F.col("o.n").alias("n"), F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    pairs = written(pairs.select("entity", "term", "both"), "entity-terms")
-    terms = written(pairs.select("term").distinct(), "candidate-terms")
-    counts = _texts(docs).select(F.explode(_terms()).alias("term"))
-    counts = counts.join(F.broadcast(terms), "term") if terms.count() <= BROADCAST_ROWS else counts
-    counts = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    left = F.log2(F.col("n") / F.col("both"))  # IC(e) - PMI(e; t) = -log2 p(e | t)
-    found = pairs.join(counts, "term").withColumn("left", left).filter(F.col("left") <= slack)
+    keys = written(chosen.select(*TEXT).distinct(), "texts-with-entities")
+    texts = matched(_texts(docs).select(*_text_names(), "_text"), keys, TEXT).dropDuplicates(TEXT)
+    terms = texts.select(*TEXT, F.explode(_terms()).alias("term")).join(sent(counts), "term")
+    pairs = terms.join(chosen, TEXT).filter(F.col("found") <= F.col("all") * 2.0**slack)
+    pairs = pairs.groupBy("entity", "term", "found").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    left = F.log2(F.col("found") / F.col("both"))  # IC(e) - PMI(e; t) = -log2 p(e | t)
+    found = pairs.withColumn("left", left).filter(F.col("left") <= slack)
     return written(found.groupBy("term").agg(F.min("left").alias("left")), "disclosing-terms")
 
 
@@ -158,12 +164,12 @@ def marked(docs: DataFrame, support: int = SUPPORT, slack: float = SLACK) -> Dat
     terms = disclosing_terms(docs, base, support, slack)
     if terms is None or terms.isEmpty():
         return base.withColumn("_all", F.col("_spans"))
-    found = _texts(docs).select("_key", F.explode(_terms()).alias("term")).join(sent(terms.select("term"), BROADCAST_ROWS), "term")
-    found = written(found.groupBy("_key").agg(F.collect_set("term").alias("_found")), "term-documents")
-    places = with_matches(matched(_texts(docs), found, "_key", BROADCAST_ROWS).dropDuplicates(["_key"]), "_words", WORD)
+    found = _texts(docs).select(*ROW, F.explode(_terms()).alias("term")).join(sent(terms.select("term")), "term")
+    found = written(found.groupBy(*ROW).agg(F.collect_set("term").alias("_found")), "term-documents")
+    places = with_matches(matched(_texts(docs), found, ROW).dropDuplicates(ROW), "_words", WORD)
     hit = F.filter("_words", lambda x: F.array_contains(F.col("_found"), F.lower(x["match"])))
-    places = places.select("_key", F.transform(hit, _spans_of("term")).alias("_terms"))
-    return base.join(places, "_key", "left").withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_terms", F.slice("_spans", 1, 0))))).drop("_terms")
+    places = places.select(*ROW, F.transform(hit, _spans_of("term")).alias("_terms"))
+    return base.join(places, ROW, "left").withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_terms", F.slice("_spans", 1, 0))))).drop("_terms")
 
 
 def _listed(spans: str) -> Column:
@@ -178,7 +184,7 @@ def private_spans(docs: DataFrame, support: int = SUPPORT, slack: float = SLACK)
 
 def sanitised(docs: DataFrame, support: int = SUPPORT, slack: float = SLACK) -> DataFrame:
     """doc_id and text, with entities and disclosing terms generalised to the name of their kind."""
-    rows = _texts(docs).join(marked(docs, support, slack).select("_key", "_all").dropDuplicates(["_key"]), "_key")
+    rows = _texts(docs).join(marked(docs, support, slack).select(*ROW, "_all").dropDuplicates(ROW), ROW)
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("_text")
 

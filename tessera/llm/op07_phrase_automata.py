@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASES, matched, range_hashes, small_batches, text_groups, word_hashes, words_of, written
+from tessera.llm.common import BASES, matched, range_hashes, sent, small_batches, text_groups, word_hashes, words_of, written
 
 WINDOW = 50
 ANCHOR = 10
 PIECE = 500
 #: Letters of patterns in an automaton, at about 100 bytes of memory each.
 AUTOMATON_LETTERS = 600_000
-#: Up to so many ids (8 bytes each) are sent to every executor to pick documents.
-BROADCAST_ROWS = 200_000
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +222,14 @@ def passages(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, piece
     """doc_id and runs: array of (start, owner, owner_start, windows), for each document that has any."""
     rows = written(texts.filter("doc_id is not null").mapInArrow(_segment_rows(window, anchor), _SEGMENT), "segments")
     recurring = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    rows = written(rows.join(recurring, "anchor", "left_semi"), "recurring-segments")
+    rows = written(rows.join(sent(written(recurring, "recurring-anchors")), "anchor", "left_semi"), "recurring-segments")
     least = F.min(F.struct("doc_id", "p0", "p1")).alias("least")
     contents = written(rows.groupBy("anchor", "content").agg(least).select("anchor", "content", "least.*"), "contents")
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    picks = contents.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("p0", "p1", "anchor", "content")).alias("picks"))
+    # Where they are few they are sent: an anchor with many contents then isn't one task's.
+    picks = contents.join(sent(written(several, "anchors-of-several")), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("p0", "p1", "anchor", "content")).alias("picks"))
     window_schema = "w1 long, w2 long, doc_id long, pos long, anchor long, content long, k long"
-    windows = written(matched(texts, written(picks, "picks"), "doc_id", BROADCAST_ROWS).mapInArrow(_window_rows(window), window_schema), "windows")
+    windows = written(matched(texts, written(picks, "picks"), "doc_id").mapInArrow(_window_rows(window), window_schema), "windows")
     # Only windows that start in several documents are of use; written, so that a frequent window's rows can be split over tasks.
     starts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("start"), F.max("doc_id").alias("last"))
     starts = written(starts.filter("start.doc_id < last").drop("last"), "starts")
@@ -243,11 +242,15 @@ def passages(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, piece
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, piece: int = PIECE, letters: int = AUTOMATON_LETTERS, full: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (full: kept_text) for each row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _without_repeats(docs, window, anchor, piece, letters, full)
+
+
+def _without_repeats(docs: DataFrame, window: int, anchor: int, piece: int, letters: int, full: bool) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = passages(texts, window, anchor, piece).select("doc_id", F.explode("runs").alias("run")).select("doc_id", "run.owner", "run.owner_start", "run.windows")
     wanted = runs.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set(F.struct("owner_start", "windows")).alias("wanted"))
-    patterns = matched(texts, written(wanted, "wanted"), "doc_id", BROADCAST_ROWS).mapInArrow(_pattern_rows(window), "owner long, owner_start long, windows long, pattern string")
+    patterns = matched(texts, written(wanted, "wanted"), "doc_id").mapInArrow(_pattern_rows(window), "owner long, owner_start long, windows long, pattern string")
     own = runs.distinct().join(written(patterns, "patterns"), ["owner", "owner_start", "windows"]).groupBy("doc_id").agg(F.collect_list(F.struct("owner", "pattern")).alias("patterns"))
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_text string" if full else "kept_sha256 string")
-    return texts.join(own, "doc_id", "left").mapInArrow(_kept_rows(letters, full), schema)
+    return written(texts.join(own, "doc_id", "left").mapInArrow(_kept_rows(letters, full), schema), "kept")
