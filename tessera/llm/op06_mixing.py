@@ -6,37 +6,45 @@ documents in a permuted order; of the document where it is met, as many words as
 output shard gets is decided by a tree over the shards: each node deals its quotas to its two sides as draws without replacement
 would. A shard then holds its own, disjoint stretch of each source's permuted blocks, ordered by hash.
 
-The tree works on one count for each source (the catalogue of sources, never documents). Null text has size 0; such documents are
-in the result with nothing taken. Null source is a source of its own, the last one. Repeated rows are documents of their own. An empty
-table gives no rows. Reruns give the same mix: all draws follow from `seed` and the data. Other columns are ignored or carried.
+The tree works on one count for each source (the catalogue of sources, never documents). Words are counted once, and texts move once,
+to their shards. Null text has size 0; such documents are in the result with nothing taken. Null source is a source of its own, the
+last one. Repeated rows are documents of their own: where the last pass stops among rows of one id, source and text, it takes some of
+them whole, one in part and the others not. An empty table gives no rows. Reruns give the same mix: all draws follow from `seed` and
+the data. Other columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sent, written
+from tessera.llm.common import SPACE, new_folder, sent, written
 from tessera.llm.textstats import word_count
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
+#: Rows of the spread of sources over shards that are written at a time.
+SPREAD_ROWS = 20_000
 
 
-def sized(docs: DataFrame, blocks: int, seed: int, carry: list[str] = ()) -> DataFrame:
-    key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return docs.select(
-        F.col("doc_id").alias("doc_id"),
-        key.alias("skey"),
-        word_count(F.col("text")).alias("size"),
-        F.pmod(draw, F.lit(blocks)).cast("int").alias("block"),
+def _named(blocks: int, seed: int) -> list[Column]:
+    """skey (the source, nulls apart), block, draw (order within a block) and the two keys that name a row by id, source and text."""
+    whole = ["doc_id", "source", "text"]
+    return [
+        F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("skey"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks)).cast("int").alias("block"),
         F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("draw"),
-        *[F.col(c) for c in carry],
-    )
+        F.xxhash64(*whole).alias("k1"),
+        F.xxhash64(F.lit(1), *whole).alias("k2"),
+    ]
+
+
+def sized(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """A row for each row of docs: its names, doc_id and size."""
+    return docs.select("doc_id", *_named(blocks, seed), word_count(F.col("text")).alias("size"))
 
 
 def source_targets(blocks: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -63,36 +71,25 @@ def source_targets(blocks: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     """For each shard how many blocks of each source it gets: exact quotas, split down a binary tree over the shards.
 
-    A node with several shards deals its blocks to its two sides as drawing without replacement does, source by source (the
-    multivariate hypergeometric as a chain of hypergeometric draws).
+    A node with several shards deals its blocks to its two sides as drawing without replacement does: the counts of one side are a
+    multivariate hypergeometric draw.
     """
-    rng = random.Random(seed)
-
-    def side(counts: list[int], take: int) -> list[int]:
-        rest, out = sum(counts), []
-        for c in counts:
-            got = 0
-            for i in range(c):
-                if rng.random() * (rest - i) < take - got:
-                    got += 1
-            out.append(got)
-            take, rest = take - got, rest - c
-        return out
-
-    def deal(counts: list[int], n: int) -> list[list[int]]:
+    rng = np.random.Generator(np.random.PCG64(seed))
+
+    def deal(counts: np.ndarray, n: int) -> list[list[int]]:
         if n == 1:
-            return [counts]
+            return [counts.tolist()]
         near = n // 2
-        left = side(counts, sum(counts) * near // n)
-        return deal(left, near) + deal([a - b for a, b in zip(counts, left, strict=True)], n - near)
+        left = rng.multivariate_hypergeometric(counts, int(counts.sum()) * near // n, method="marginals")
+        return deal(left, near) + deal(counts - left, n - near)
 
-    return deal(quotas, shards)
+    return deal(np.array(quotas, dtype=np.int64), shards)
 
 
-def placements(docs: DataFrame, blocks: int = 512, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """A row for each block: skey, block, turn (its place in the source's permutation), words, last (words that the last pass takes),
-    passes, source_size, target and, in the block where the target is met, the document at which it is met and the words taken of it."""
-    table = written(sized(docs, blocks, seed), "sized")
+def placements(table: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """A row for each block of the sized table: skey, block, turn (its place in the source's permutation), words, last (words that the last
+    pass takes), passes, source_size, target; in the block where the target is met also the rows (cut_draw, cut_k1, cut_k2) at which it
+    is met, how many of these are taken whole (cut_whole) and how many words of the next one (cut_words)."""
     totals = written(table.groupBy("skey", "block").agg(F.sum("size").alias("words")), "blocks")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = source_targets(totals, weights, cap).withColumn("passes", passes).withColumn("rest", F.floor("target").cast("long") - F.col("passes") * F.col("source_size"))
@@ -101,29 +98,18 @@ def placements(docs: DataFrame, blocks: int = 512, seed: int = 11, weights: tupl
     permuted = totals.join(targets, "skey").withColumn("turn", F.xxhash64(F.lit(seed + 2), "skey", "block")).select("*", ahead.alias("ahead"), (F.row_number().over(source) - 1).alias("place"))
     last = F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("ahead"))).cast("long")
     permuted = written(permuted.select("skey", "block", F.col("place").alias("turn"), "words", last.alias("last"), "passes", "source_size", "target"), "permuted")
-    # One block of each source is cut: only its documents are put in order.
+    # One block of each source is cut: only its rows are put in order, equal ones as one.
     cut = permuted.filter("last > 0 and last < words").select("skey", "block", "last")
-    inside = Window.partitionBy("skey", "block").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inner = table.join(cut, ["skey", "block"]).withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    met = inner.filter("ahead < last and last <= ahead + size").select("skey", "block", F.col("draw").alias("cut_draw"), F.col("doc_id").alias("cut_doc"), (F.col("last") - F.col("ahead")).alias("cut_words"))
+    inside = Window.partitionBy("skey", "block").orderBy("draw", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    inner = table.join(sent(cut), ["skey", "block"]).filter("size > 0").groupBy("skey", "block", "last", "draw", "k1", "k2", "size").agg(F.count(F.lit(1)).alias("n"))
+    inner = inner.withColumn("over", F.col("last") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    met = inner.filter("over > 0 and over <= size * n").select("skey", "block", *[F.col(c).alias(f"cut_{c}") for c in ("draw", "k1", "k2")], F.expr("over div size").alias("cut_whole"), F.expr("over % size").alias("cut_words"))
     return written(permuted.join(met, ["skey", "block"], "left"), "placements")
 
 
-#: A table of placements of up to so many rows (about 100 bytes each) is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def placed(docs: DataFrame, table: DataFrame, blocks: int, seed: int, carry: list[str] = ()) -> DataFrame:
-    """The documents with their block's placement and partial, what the last pass takes of each."""
-    small = table.count() <= BROADCAST_ROWS
-    rows = sized(docs, blocks, seed, carry).join(F.broadcast(table) if small else table, ["skey", "block"])
-    at, cut = F.struct("draw", "doc_id"), F.struct(F.col("cut_draw").alias("draw"), F.col("cut_doc").alias("doc_id"))
-    partial = F.when(F.col("last") >= F.col("words"), F.col("size")).when(F.col("last") <= 0, 0).when(at < cut, F.col("size")).when(at == cut, F.least("size", "cut_words")).otherwise(0)
-    return rows.withColumn("partial", partial.cast("long"))
-
-
 def dealt(table: DataFrame, shards: int, seed: int) -> DataFrame:
     """table with `homes`: for each pass that takes the block, the shard that gets it."""
+    spark = table.sparkSession
     drawn = F.max("passes") * F.count(F.lit(1)) + F.coalesce(F.max(F.when(F.col("last") > 0, F.col("turn") + 1)), F.lit(0))
     quotas = [(r["skey"], r["n"]) for r in table.groupBy("skey").agg(drawn.alias("n")).orderBy("skey").collect()]  # one row for each source
     rows, begin = [], [0] * len(quotas)
@@ -132,29 +118,50 @@ def dealt(table: DataFrame, shards: int, seed: int) -> DataFrame:
             if c:
                 rows.append({"skey": quotas[k][0], "shard": shard, "from_draw": begin[k], "to_draw": begin[k] + c - 1})
             begin[k] += c
-    spread = table.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<skey:string,shard:int,from_draw:long,to_draw:long>>")))
+    folder, schema = new_folder(spark, "spread"), "skey string, shard int, from_draw long, to_draw long"
+    for i in range(0, max(1, len(rows)), SPREAD_ROWS):
+        part = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows[i : i + SPREAD_ROWS])), "array<struct<skey:string,shard:int,from_draw:long,to_draw:long>>")))
+        part.write.mode("append").parquet(folder)
+    spread = spark.read.schema(schema).parquet(folder)
     n_blocks = F.count(F.lit(1)).over(Window.partitionBy("skey"))
     draws = table.withColumn("n_blocks", n_blocks).select("skey", "block", "turn", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("copy"))
     draws = draws.withColumn("number", F.col("copy") * F.col("n_blocks") + F.col("turn"))
     homes = draws.join(spread, "skey").filter(F.col("number").between(F.col("from_draw"), F.col("to_draw"))).groupBy("skey", "block").agg(F.collect_list(F.struct("copy", "shard")).alias("homes"))
-    return written(table.join(homes, ["skey", "block"], "left"), "dealt")
+    return written(table.join(homes, ["skey", "block"], "left").filter("homes is not null"), "dealt")
 
 
-def shards_of(docs: DataFrame, table: DataFrame, carry: list[str], shards: int, blocks: int, seed: int) -> DataFrame:
+def shards_of(docs: DataFrame, table: DataFrame, shards: int, blocks: int, seed: int) -> DataFrame:
     """The mixture by the placements in table; see mix."""
-    rows = placed(docs, dealt(table, shards, seed + 3), blocks, seed, carry)
-    rows = rows.withColumn("_home", F.explode("homes"))
-    words = F.when(F.col("_home.copy") < F.col("passes"), F.col("size")).otherwise(F.col("partial"))
-    out = rows.select(F.col("_home.shard").alias("shard"), F.xxhash64(F.lit(seed + 4), "doc_id", "_home.copy").alias("place"), "doc_id", F.col("_home.copy").alias("copy"), "size", words.alias("words"), *carry)
-    return out.filter("words > 0").repartition(shards, "shard").sortWithinPartitions("shard", "place")
-
-
-def mix(docs: DataFrame, carry: list[str], shards: int = 16, blocks: int = 512, seed: int = 11) -> DataFrame:
-    """The mixture itself: a row for each time a document is taken, with shard, words (fewer than size where it is cut) and carry.
-
-    Rows of a shard come together, in an order by hash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", *_named(blocks, seed))
+    rows = rows.filter(F.col("text").rlike(f"[^{SPACE}]")).drop("text").join(sent(dealt(table, shards, seed + 3)), ["skey", "block"])
+    at, cut = F.struct("draw", "k1", "k2"), F.struct(F.col("cut_draw").alias("draw"), F.col("cut_k1").alias("k1"), F.col("cut_k2").alias("k2"))
+    met = F.coalesce(at == cut, F.lit(False))
+    # The last pass takes whole blocks, and of the block that it cuts the rows before the cut.
+    home, last = F.col("home"), F.col("home.copy") == F.col("passes")
+    takes = ~last | (F.col("last") >= F.col("words")) | ((F.col("last") > 0) & (at < cut))
+    name = ["doc_id", "k1", "k2"]
+    whole = rows.filter(~met).withColumn("home", F.explode("homes")).filter(takes).select(*name, home, F.lit(None).cast("long").alias("cut"), "row")
+    # Of the rows at the cut (one id, source and text a source), each different one is taken as often as it is there.
+    some = rows.filter(met).withColumn("json", F.to_json("row")).groupBy(*name, "passes", "cut_whole", "cut_words", "json").agg(F.first("row").alias("row"), F.first("homes").alias("homes"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k1", "k2").orderBy("json").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumn("before", before).withColumn("home", F.explode("homes"))
+    places = F.sequence(F.lit(0).cast("long"), F.when(last, F.least(F.col("n"), F.col("cut_whole") + 1 - F.col("before"))).otherwise(F.col("n")) - 1)
+    some = some.filter(~last | (F.col("before") <= F.col("cut_whole"))).withColumn("place", F.explode(places))
+    part = F.when(last & (F.col("before") + F.col("place") == F.col("cut_whole")), F.col("cut_words"))
+    some = some.select(*name, home, part.alias("cut"), "row").filter("cut is null or cut > 0")
+    place = F.xxhash64(F.lit(seed + 4), "doc_id", "home.copy")
+    out = whole.unionByName(some).select("home.shard", place.alias("place"), *name, F.col("home.copy").alias("copy"), "cut", "row")
+    return out.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "k1", "k2")
+
+
+def mix(docs: DataFrame, shards: int = 16, blocks: int = 512, seed: int = 11) -> DataFrame:
+    """The mixture itself: a row for each time a document is taken, with shard, copy, cut and row (the columns of docs).
+
+    cut is null where the document is taken whole, else the number of its words that are taken. Rows of a shard come together, in an
+    order by hash; task i holds shard i.
     """
-    return shards_of(docs, placements(docs, blocks, seed), carry, shards, blocks, seed)
+    table = written(sized(docs, blocks, seed), "sized")
+    return shards_of(docs, placements(table, seed), shards, blocks, seed)
 
 
 def mix_report(docs: DataFrame, blocks: int = 512, seed: int = 11, shards: int | None = None) -> DataFrame:
@@ -162,14 +169,17 @@ def mix_report(docs: DataFrame, blocks: int = 512, seed: int = 11, shards: int |
 
     Without a number of shards there are as many as shuffle partitions.
     """
+    docs = docs.select("doc_id", "source", "text")
     shards = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    table = placements(docs, blocks, seed)
-    mixture = written(shards_of(docs, table, ["source", "text"], shards, blocks, seed), "mixture")
-    # Rows of one id, source and size are taken alike, so each copy counts once for each of them.
-    name = ["doc_id", "source", "size"]
-    draws = mixture.groupBy(*name, "copy").agg(F.max("words").alias("words"))
-    draws = draws.groupBy(*name).agg(F.sum("words").alias("taken")).select(*[F.col(c).alias(f"_{c}") for c in name], "taken")
-    sources = table.select("skey", "source_size", "target").distinct()
-    rows = sized(docs, blocks, seed, ["source"]).join(sent(sources, BROADCAST_ROWS), "skey")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    return rows.join(draws, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    table = written(sized(docs, blocks, seed), "sized")
+    plan = placements(table, seed)
+    mixture = written(shards_of(docs, plan, shards, blocks, seed), "mixture")
+    draws = mixture.groupBy("k1", "k2").agg(F.count_if(F.col("cut").isNull()).alias("whole"), F.coalesce(F.sum("cut"), F.lit(0)).alias("words"))
+    sources = written(plan.select("skey", "source_size", "target").distinct(), "sources")
+    # Equal rows share what is taken of them: each as many whole copies, some one more, and one the part.
+    rows = table.groupBy("doc_id", "skey", "k1", "k2", "size").agg(F.count(F.lit(1)).alias("n")).join(draws, ["k1", "k2"], "left").na.fill(0, ["whole", "words"])
+    rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    more = F.expr("whole % n")
+    copies = F.expr("whole div n") + F.when(F.col("place") < more, 1).otherwise(0)
+    taken = copies * F.col("size") + F.when(F.col("place") == more, F.col("words")).otherwise(0)
+    return rows.join(sent(sources), "skey").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
