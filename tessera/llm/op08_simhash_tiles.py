@@ -1,34 +1,39 @@
 """SimHash near-dedup by tiled exact comparison.
 
 A text's fingerprint has the majority of each bit over the XXH64 hashes of its 3-word shingles. Fingerprints within `RADIUS` = 3 bits
-are linked. As three differing bits leave one of the four 16-bit quarters unchanged, only tiles of fingerprints that share a quarter
-are compared, all of one with all of the other, by numpy exclusive-or and bit counts; a tile's rows stand in order of their
-population count, and stretches whose counts differ by more than the radius are skipped. Quarters with many fingerprints are cut into
-several tiles, and every pair of these is a unit of work of its own. No pair is left out, and equal fingerprints are one.
+are linked. As three differing bits leave two of five stretches of bits unchanged, only fingerprints that share two stretches (about 25
+bits, ten ways) are compared. A key with more than TILE fingerprints is cut into tiles by population count, and by hash where one
+count alone fills several; a pair of tiles is a unit of work of its own, and pairs whose population counts differ beyond the radius
+are left out before anything is shuffled. A unit compares all of one tile with all of the other, once, by numpy exclusive-or and bit
+counts; each tile meets itself in one more unit. No pair within the radius is left out, and equal fingerprints are one.
 
-A unit of work hands on, for each set of fingerprints that it finds connected, a link from each to the least of them (not all pairs).
-Components follow by label propagation with pointer jumping over written tables.
+A unit hands on a spanning forest of the links that it finds, not all pairs. Components follow by label propagation with pointer
+jumping over written tables, which go when the next round has replaced them.
 
 Null text counts as empty; texts without a word have fingerprint zero, which is linked like any other. Repeated rows get a row each.
-A null doc_id is never the smallest unless a component has no other. An empty table gives no rows; other columns are ignored.
+A null doc_id is never the smallest unless a component has no other. An empty table gives no rows; other columns are ignored, or
+carried by `representatives`, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sent, small_batches, text_groups, words_of, written
+from tessera.llm.common import discarded, matched, sent, small_batches, text_groups, words_of, written
 
 RADIUS = 3
 #: Fingerprints in a tile, and rows that are compared at a time within a pair of tiles.
 TILE = 2048
 BLOCK = 256
+#: Stretches of bits (first bit, number); three differing bits leave at least two of the five unchanged.
+STRETCHES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -67,28 +72,41 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         parts = [fingerprints(data, offsets) for _, _, data, offsets in text_groups(batch)]
         found = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(found)], names=["doc_id", "k1", "k2", "fp"])
 
 
-def connected(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each fingerprint of a unit of work the index of the first one that it is connected to, in order of population count."""
-    order = np.argsort(np.bitwise_count(prints), kind="stable")
-    x = prints[order]
-    ones = np.bitwise_count(x).astype(np.int64)
-    label = np.arange(len(x))
-    while True:
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node that it is connected to by the links left[i] - right[i]."""
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
         before = label.copy()
-        for a in range(0, len(x), BLOCK):
-            b = min(a + BLOCK, len(x))
-            low, high = np.searchsorted(ones, ones[a] - radius), np.searchsorted(ones, ones[b - 1] + radius, "right")
-            near = np.bitwise_count(x[a:b, None] ^ x[None, low:high]) <= radius
-            label[a:b] = np.minimum(label[a:b], np.where(near, label[None, low:high], len(x)).min(axis=1))
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
         label = label[label]
         if (label == before).all():
             break
-    out = np.empty_like(label)
-    out[order] = order[label]
-    return out
+    return label
+
+
+def compared(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of the pairs within the radius; y None: pairs within x. Stretches of too different counts are skipped."""
+    inner = y is None
+    xo = np.argsort(np.bitwise_count(x), kind="stable")
+    yo = xo if inner else np.argsort(np.bitwise_count(y), kind="stable")
+    xs, ys = x[xo], x[xo] if inner else y[yo]
+    ones, other = np.bitwise_count(xs).astype(np.int64), np.bitwise_count(ys).astype(np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(xs), BLOCK):
+        b = min(a + BLOCK, len(xs))
+        low, high = np.searchsorted(other, ones[a] - radius), np.searchsorted(other, ones[b - 1] + radius, "right")
+        low = max(low, a) if inner else low
+        i, j = np.nonzero(np.bitwise_count(xs[a:b, None] ^ ys[None, low:high]) <= radius)
+        own = (j + low > i + a) if inner else slice(None)
+        left.append(xo[i[own] + a])
+        right.append(yo[j[own] + low])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _small_units(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,56 +128,92 @@ def _small_units(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
 
 
 def _links(radius: int, small: int = 48):
-    names = ["a", "b"]
-
-    def work(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    def work(keys: np.ndarray, sides: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-        a, b = [], []
-        few = np.repeat(ends - starts <= small, ends - starts)
+        few = np.repeat((ends - starts <= small) & (sides[starts] == 0), ends - starts)
         i, j = _small_units(keys[few], prints[few], radius)
-        a.append(prints[few][i])
-        b.append(prints[few][j])
+        a, b = [prints[few][i]], [prints[few][j]]
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e - s > small:
-                x = prints[s:e]
-                root = connected(x, radius)
-                own = root != np.arange(len(x))
-                a.append(x[own])
-                b.append(x[root[own]])
+            if few[s]:
+                continue
+            x = prints[s:e]
+            if sides[s] == 0:
+                left, right = compared(x, None, radius)
+            else:  # a pair of tiles: side 1, then side 2
+                m = int(np.searchsorted(sides[s:e], 2))
+                left, right = compared(x[:m], x[m:], radius)
+                right = right + m
+            root = forest(left, right, len(x))
+            own = root != np.arange(len(x))
+            a.append(x[own])
+            b.append(x[root[own]])
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].view(np.int64) if len(pairs) else np.zeros(0, np.int64)) for k in range(2)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].view(np.int64) if len(pairs) else np.zeros(0, np.int64)) for k in range(2)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of unit; the unit that a batch ends in waits for the next one."""
-        keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        """Rows come in order of unit and side; the unit that a batch ends in waits for the next one."""
+        held = np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
         for batch in batches:
-            keys = np.concatenate([keys, np.asarray(batch.column("unit"))])
-            prints = np.concatenate([prints, np.asarray(batch.column("fp")).view(np.uint64)])
-            whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+            new = np.asarray(batch.column("unit")), np.asarray(batch.column("side")), np.asarray(batch.column("fp")).view(np.uint64)
+            held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            whole = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
             if whole:
-                yield work(keys[:whole], prints[:whole])
-                keys, prints = keys[whole:], prints[whole:]
-        if len(keys):
-            yield work(keys, prints)
+                yield work(*(x[:whole] for x in held))
+                held = tuple(x[whole:] for x in held)
+        if len(held[0]):
+            yield work(*held)
 
     return run
 
 
+def keyed(prints: DataFrame) -> DataFrame:
+    """fp, key, ones: a row for each of the ten pairs of stretches; key holds the pair's number and its bits."""
+    bits = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1)) for a, n in STRETCHES]
+    pairs = [F.lit(k << 32).cast("long").bitwiseOR(F.shiftleft(bits[i], 16)).bitwiseOR(bits[j]) for k, (i, j) in enumerate(combinations(range(len(bits)), 2))]
+    return prints.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*pairs)).alias("key"))
+
+
+def tiles_of(full: DataFrame, tile: int) -> DataFrame:
+    """key, ones, first, parts of keys with more than a tile's rows: a population count's rows are in tile `first`, or dealt by hash to
+    `parts` tiles from it on. full: key, ones, n."""
+    upto = Window.partitionBy("key").orderBy("ones").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    # Counts that fill tiles of their own begin a new one; the others share tiles with their neighbours.
+    rows = full.withColumn("parts", parts).withColumn("room", F.when(parts > 1, parts * tile).otherwise(F.col("n")))
+    ahead = F.coalesce(F.sum("room").over(upto), F.lit(0))
+    bigs = F.coalesce(F.sum(F.when(F.col("parts") > 1, 2).otherwise(0)).over(upto), F.lit(0)) + F.when(F.col("parts") > 1, 1).otherwise(0)
+    return rows.select("key", "ones", (F.floor(ahead / tile) + bigs).cast("int").alias("first"), "parts")
+
+
+def units_of(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fp, unit, side: rows (fp, ones, key) dealt to units of work. Side 0: a unit of one tile, compared within; 1 and 2: a pair of tiles."""
+    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select("key"), "full-keys")
+    if full.isEmpty():
+        return rows.select("fp", F.xxhash64("key").alias("unit"), F.lit(0).cast("byte").alias("side"))
+    full = sent(full)
+    laid = written(tiles_of(rows.join(full, "key", "left_semi").groupBy("key", "ones").agg(F.count(F.lit(1)).alias("n")), tile), "tiles")
+    spans = laid.select("key", "ones", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile"))
+    spans = written(spans.groupBy("key", "tile").agg(F.min("ones").alias("low"), F.max("ones").alias("high")), "tile-spans")
+    a, b = spans.alias("a"), spans.alias("b")
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") < F.col("b.tile")) & (F.col("b.low") <= F.col("a.high") + radius) & (F.col("a.low") <= F.col("b.high") + radius)
+    pairs = a.join(b, near).select("a.key", F.col("a.tile").alias("t1"), F.col("b.tile").alias("t2"))
+    pairs = pairs.select("key", "t1", "t2", F.explode(F.array(F.struct(F.col("t1").alias("tile"), F.lit(1).alias("side")), F.struct(F.col("t2").alias("tile"), F.lit(2).alias("side")))).alias("x")).select("key", "x.tile", "x.side", "t1", "t2")
+    alone = spans.select("key", "tile", F.lit(0).alias("side"), F.col("tile").alias("t1"), F.col("tile").alias("t2"))
+    places = written(alone.unionByName(pairs).select("key", "tile", F.col("side").cast("byte").alias("side"), F.xxhash64("key", "t1", "t2").alias("unit")), "tile-pairs")
+    crowded = rows.join(sent(laid), ["key", "ones"]).select("fp", "key", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int").alias("tile"))
+    crowded = crowded.join(sent(places), ["key", "tile"]).select("fp", "unit", "side")
+    plain = rows.join(full, "key", "left_anti").select("fp", F.xxhash64("key").alias("unit"), F.lit(0).cast("byte").alias("side"))
+    return plain.unionByName(crowded)
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links of distinct fingerprints (fp) that connect all that lie within the radius of each other."""
     spark = prints.sparkSession
-    bands = F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("band", "value")
-    rows = prints.select("fp", bands)
-    sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("band", "value", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    rows = rows.join(sizes, ["band", "value"])
-    # A fingerprint of tile t takes part in the pairs (min, max) of t with every tile of its quarter.
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    unit = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
+    if radius > 3:
+        raise ValueError("two of five stretches are unchanged only up to three differing bits")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(unit.alias("unit"), "fp").repartition(n, "unit").sortWithinPartitions("unit")
+    dealt = units_of(keyed(prints), radius, tile).repartition(n, "unit").sortWithinPartitions("unit", "side")
     return dealt.mapInArrow(_links(radius), "a long, b long")
 
 
@@ -167,45 +221,68 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, label: the least node that each node (column node) is connected to by links (a, b).
 
     Rounds of taking the least label among neighbours, then the label's label, until nothing changes; rounds grow with the logarithm of
-    the longest chain.
+    the longest chain. Only labels that have moved are looked up, so a giant component's label is sent, not joined by.
     """
     links = links.filter("a <> b")
     links = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    touched = links.select(F.col("a").alias("node")).distinct()
-    labels = written(touched.withColumn("label", F.col("node")), "labels")
+    labels = written(links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
         offer = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
-        least = labels.join(offer, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        least = written(least, "least")
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        labels = written(least.join(jump, "label").select("node", "old", F.col("jump").alias("label")), "labels")
+        least = written(labels.join(offer, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label")), "least")
+        named = least.select(F.col("label").alias("node")).distinct()
+        moved = written(least.join(named, "node", "left_semi").filter("label <> node").select(F.col("node").alias("label"), F.col("label").alias("jump")), "moved")
+        after = written(least.join(sent(moved), "label", "left").select("node", "old", F.coalesce("jump", "label").alias("label")), "labels")
+        discarded(labels, least, moved)
+        labels = after
         if labels.filter("label <> old").isEmpty():
+            discarded(links)
             return nodes.join(labels.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = labels.select("node", "label")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint, component_id for each row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_fingerprint_rows, "doc_id long, fp long"), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = components(prints.select(F.col("fp").alias("node")), near_links(prints.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
+def _row_keys() -> list[Column]:
+    """Two hashes that, with doc_id, name a row by its text."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")]
+
+
+def _order() -> Column:
+    """The order in which a component's rows are first."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+
+
+def labelled(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, k1, k2, fp and `first` (the component's first row, see _order) for each row of docs (doc_id, text)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", *_row_keys())
+    with small_batches(docs.sparkSession):
+        rows = written(texts.mapInArrow(_fingerprint_rows, "doc_id long, k1 long, k2 long, fp long"), "fingerprints")
+    prints = written(rows.groupBy("fp").agg(F.min(_order()).alias("first")), "distinct-fingerprints")
+    with small_batches(docs.sparkSession):
+        links = written(near_links(prints.select("fp"), radius, tile), "found-links")
+    labels = components(prints.select(F.col("fp").alias("node")), links).withColumnRenamed("node", "fp")
     labels = written(labels.join(prints, "fp"), "components")
-    ids = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = labels.join(ids, "label").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    firsts = labels.groupBy("label").agg(F.min("first").alias("first"))
+    return rows.join(written(labels.drop("first").join(firsts, "label").select("fp", "first"), "firsts"), "fp")
 
 
-#: Up to so many ids of documents that go are sent to every executor; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row of docs (doc_id, text)."""
+    rows = labelled(docs, radius, tile)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, one for each component; rows with a null doc_id stay."""
-    groups = written(near_groups(docs, radius, tile), "near-groups")
-    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    left = docs.join(sent(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
-    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """One row of docs for each component: of those with the smallest doc_id the one with the least hash of its text.
+
+    Null doc_ids come last. Of several rows with one id and text the one with the least JSON of its columns stays.
+    """
+    columns = docs.columns
+    name = F.xxhash64("doc_id", "k1", "k2")  # beside k1 and k2, as a null can't be joined by
+    rows = labelled(docs.select("doc_id", "text"), radius, tile).withColumn("stays", _order() == F.col("first")).groupBy("k1", "k2", name.alias("k3")).agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows.filter(~F.col("stays") | (F.col("n") > 1)), "near-copies")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_row_keys()).select("row", "k1", "k2", name.alias("k3"))
+    names = ["k1", "k2", "k3"]
+    left = whole.join(sent(rows.select(*names)), names, "left_anti").select("row.*")
+    again = rows.filter("stays").select(*names)
+    if again.isEmpty():
         return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    once = matched(whole, written(again, "repeated-rows"), names).groupBy(*names).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.unionByName(once.select("row.*"))
