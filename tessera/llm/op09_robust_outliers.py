@@ -1,35 +1,53 @@
 """Quality rules with robust multivariate outliers, in DataFrame operations only.
 
 Each text gives a vector of transformed statistics: mean word length, and square roots of symbols, upper-case letters and repeated
-words by size. For each (language, source) a minimum-covariance-determinant estimate is found by concentration steps from the medians
-and median deviations: the share `subset` of rows with the smallest distances gives the next mean and covariance. Distances are
-rescaled so that their median is that of the chi-square distribution; a text beyond `cutoff` is rejected. Groups with fewer than
-`least_rows` texts use their language's estimate, and that of all texts where the language has too few.
+words by size. For each (language, source) the minimum-covariance-determinant estimate is sought: of all sets with the share `subset` of the rows
+the one whose covariance has the least determinant. From each of several starts (medians and median deviations; all rows; `draws` small
+draws by hash) concentration steps are taken, each of which gives the next mean and covariance by the rows nearest to the last one,
+until the determinant stops falling; the start that ends with the least determinant counts. Distances are rescaled so that their
+median is that of the chi-square distribution; a text beyond `cutoff` is rejected. Groups with fewer than `least_rows` texts use their
+language's estimate, and that of all texts where the language has too few.
+
+Estimates are made on a grid (`UNITS`): a group's texts are counted by cell once, and all steps work on cells and counts, in whole
+numbers. So a step's cost doesn't grow with the number of texts, and no order of rows changes an estimate. Texts are judged by
+their exact statistics. A variance floor for each statistic (a difference that never matters) is added to the covariance, as a fixed target of
+a regularised determinant; concentration steps lower that determinant too. It keeps estimates defined where a statistic hardly varies.
 
-A variance floor for each statistic (a difference that never matters) keeps estimates defined where a statistic hardly varies.
 Null text counts as empty. Texts of under 50 words, or with over half of their words in repeated windows, fail the base rule and are
 neither judged by nor used for the estimates. Null lang and source are groups of their own. Repeated rows are judged one by one.
-An empty table gives no rows; other columns of the input are ignored, also those with the names of statistics.
+An empty table gives no rows; other columns of the input are ignored (or carried by `accepted`), whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sent, written
+from tessera.llm.common import discarded, sent, written
 from tessera.llm.textstats import base_statistics
 
 #: Statistics of the vector, and the floor of each one's standard deviation. Most texts have no symbols and no repeats, so that the
 #: closest rows don't vary in these and the floor stands for their spread.
 FLOORS = {"f_length": 0.25, "f_symbols": 0.05, "f_upper": 0.01, "f_repeat": 0.1}
+#: Width of a cell of the grid, and the most cells from zero (farther ones count as the last).
+UNITS = {"f_length": 0.05, "f_symbols": 0.01, "f_upper": 0.005, "f_repeat": 0.02}
+FARTHEST = 100_000_000
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI2_4_MEDIAN = 3.356694
 #: Its 0.99 quantile.
 CHI2_4_CUTOFF = 13.28
 DIMENSIONS = list(FLOORS)
-#: Up to so many groups' estimates are sent to every executor; more are joined by shuffle.
-BROADCAST_GROUPS = 20_000
+P = len(DIMENSIONS)
+CELL = [f"q_{i}" for i in range(P)]
+#: Least rows for an estimate of a group's own: ten a statistic.
+LEAST_ROWS = 40
+#: Starts by hash, and cells in each.
+DRAWS = 6
+DRAWN = 10
+#: A determinant's logarithm that falls by less than this has stopped falling.
+STOPPED = 1e-9
 
 
 def base_rules(docs: DataFrame, keep: list[Column]) -> DataFrame:
@@ -51,11 +69,14 @@ def _vector(df: DataFrame) -> DataFrame:
     )
 
 
+def _names() -> list[str]:
+    return [f"m_{i}" for i in range(P)] + [f"l_{i}_{j}" for i in range(P) for j in range(i + 1)] + ["logdet"]
+
+
 def _factor(params: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l_i_j of the floored covariance c_i_j."""
-    p = len(DIMENSIONS)
-    for j in range(p):
-        for i in range(j, p):
+    """Adds the Cholesky factor l_i_j of the floored covariance c_i_j, and the logarithm of its determinant."""
+    for j in range(P):
+        for i in range(j, P):
             rest = F.col(f"c_{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
@@ -64,48 +85,86 @@ def _factor(params: DataFrame) -> DataFrame:
                 params = params.withColumn(f"l_{i}_{i}", F.sqrt(F.greatest(rest + floor, F.lit(floor))))
             else:
                 params = params.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
-    return params
+    return params.withColumn("logdet", functools.reduce(Column.__add__, [2 * F.log(f"l_{i}_{i}") for i in range(P)]))
 
 
-def _with_distance(df: DataFrame, name: str) -> DataFrame:
+def _with_distance(df: DataFrame, name: str, values: list[Column]) -> DataFrame:
     """Adds the squared Mahalanobis distance, by forward substitution; each step is a column of its own, so none is computed twice."""
-    for i, c in enumerate(DIMENSIONS):
-        rest = F.col(c) - F.col(f"m_{i}")
+    for i, c in enumerate(values):
+        rest = c - F.col(f"m_{i}")
         for k in range(i):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"_y{k}")
         df = df.withColumn(f"_y{i}", rest / F.col(f"l_{i}_{i}"))
-    steps = [F.col(f"_y{i}") for i in range(len(DIMENSIONS))]
-    return df.withColumn(name, sum((y * y for y in steps[1:]), steps[0] * steps[0])).drop(*[f"_y{i}" for i in range(len(DIMENSIONS))])
-
-
-def _moments(weight: Column | None = None) -> list[Column]:
-    pick = (lambda c: F.col(c)) if weight is None else (lambda c: F.when(weight, F.col(c)))
-    out = [F.avg(pick(c)).alias(f"m_{i}") for i, c in enumerate(DIMENSIONS)]
-    return out + [F.coalesce(F.covar_pop(pick(a), pick(b)), F.lit(0.0)).alias(f"c_{i}_{j}") for i, a in enumerate(DIMENSIONS) for j, b in enumerate(DIMENSIONS[: i + 1])]
-
-
-def estimates(vectors: DataFrame, subset: float = 0.75, steps: int = 3) -> DataFrame:
-    """For each group: rows, mean m_i, factor l_i_j and the scale of its squared distances. vectors: group and the statistics."""
-    centre = vectors.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(c, 0.5).alias(f"m_{i}") for i, c in enumerate(DIMENSIONS)])
-    centre = written(centre, "centres")
-    spread = vectors.join(sent(centre, BROADCAST_GROUPS), "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, c in enumerate(DIMENSIONS)])
-    diagonal = {f"c_{i}_{j}": (1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0) for i in range(len(DIMENSIONS)) for j in range(i + 1)}
-    params = written(_factor(centre.join(spread, "group").withColumns(diagonal)).select("group", "rows", *_names()), "estimate")
-    for step in range(steps + 1):
-        at = _with_distance(vectors.join(sent(params, BROADCAST_GROUPS), "group"), "d2")
-        limits = at.groupBy("group").agg(F.percentile_approx("d2", subset, 100_000).alias("limit"), F.percentile_approx("d2", 0.5, 100_000).alias("middle"))
-        if step == steps:
-            scaled = params.join(limits, "group").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / CHI2_4_MEDIAN))
-            return written(scaled.select("group", "rows", "scale", *_names()), "estimate")
-        limits = written(limits, "limits")
-        close = at.join(sent(limits, BROADCAST_GROUPS), "group").groupBy("group").agg(F.first("rows").alias("rows"), *_moments(F.col("d2") <= F.col("limit")))
-        params = written(_factor(close).select("group", "rows", *_names()), "estimate")
-    raise AssertionError
-
-
-def _names() -> list[str]:
-    p = len(DIMENSIONS)
-    return [f"m_{i}" for i in range(p)] + [f"l_{i}_{j}" for i in range(p) for j in range(i + 1)]
+    steps = [F.col(f"_y{i}") for i in range(P)]
+    return df.withColumn(name, functools.reduce(Column.__add__, [y * y for y in steps])).drop(*[f"_y{i}" for i in range(P)])
+
+
+def _cell_values() -> list[Column]:
+    return [F.col(q) * UNITS[d] for q, d in zip(CELL, DIMENSIONS, strict=True)]
+
+
+def _moments(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """keys, mean m_i and covariance c_i_j of the cells of rows, `w` times each: exact sums of whole numbers, the same in any order."""
+    w = F.col("w").cast("decimal(18,0)")
+    sums = [F.sum(w * F.col(q).cast("decimal(18,0)")).alias(f"s_{i}") for i, q in enumerate(CELL)]
+    sums += [F.sum(w * (F.col(CELL[i]) * F.col(CELL[j])).cast("decimal(18,0)")).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    out = rows.groupBy(*keys).agg(F.sum("w").cast("double").alias("w"), *sums, *more)
+    mean = {f"m_{i}": F.col(f"s_{i}").cast("double") / F.col("w") for i in range(P)}
+    out = out.withColumns(mean)
+    unit = [UNITS[d] for d in DIMENSIONS]
+    cov = {f"c_{i}_{j}": (F.col(f"s_{i}_{j}").cast("double") / F.col("w") - F.col(f"m_{i}") * F.col(f"m_{j}")) * (unit[i] * unit[j]) for i in range(P) for j in range(i + 1)}
+    return out.withColumns(cov).withColumns({f"m_{i}": F.col(f"m_{i}") * unit[i] for i in range(P)})
+
+
+def _lower_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and the least value up to which half of the weight n lies. rows: keys, value, n; a row a value."""
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
+    whole = F.sum("n").over(Window.partitionBy(*keys))
+    return rows.withColumn("enough", 2 * upto >= whole).filter("enough").groupBy(*keys).agg(F.min(value).alias("middle"))
+
+
+def starts(cells: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """group, start and the parameters that the steps begin with. cells: group, the cell and its count n."""
+    sides = cells.select("group", "n", F.posexplode(F.array(*CELL)).alias("side", "value"))
+    middles = _lower_median(sides.groupBy("group", "side", "value").agg(F.sum("n").alias("n")), ["group", "side"], "value")
+    middles = written(middles, "medians")
+    off = sides.join(sent(middles), ["group", "side"]).groupBy("group", "side", F.abs(F.col("value") - F.col("middle")).alias("value")).agg(F.sum("n").alias("n"))
+    spread = _lower_median(off, ["group", "side"], "value").withColumnRenamed("middle", "off").join(middles, ["group", "side"])
+    pick = lambda c, i: F.max(F.when(F.col("side") == i, F.col(c)))
+    robust = spread.groupBy("group").agg(*[(pick("middle", i) * UNITS[d]).alias(f"m_{i}") for i, d in enumerate(DIMENSIONS)], *[((1.4826 * UNITS[d] * pick("off", i)) ** 2).alias(f"c_{i}_{i}") for i, d in enumerate(DIMENSIONS)])
+    robust = robust.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)}).withColumn("start", F.lit(0))
+    # Cells are drawn in proportion to their counts: the least of exponential variates at these rates come first.
+    tried = cells.withColumn("start", F.explode(F.array(*[F.lit(2 + k) for k in range(draws)]))) if draws else cells.withColumn("start", F.lit(2)).filter("false")
+    even = (F.pmod(F.xxhash64("start", *CELL), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    place = F.row_number().over(Window.partitionBy("group", "start").orderBy("race", *CELL))
+    drawn = tried.withColumn("race", -F.log(even) / F.col("n")).withColumn("place", place).filter(F.col("place") <= DRAWN).select("group", "start", *CELL, F.lit(1).cast("long").alias("w"))
+    some = drawn.unionByName(cells.select("group", F.lit(1).alias("start"), *CELL, F.col("n").alias("w")))
+    columns = ["group", "start", *[f"m_{i}" for i in range(P)], *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)]]
+    first = robust.select(*columns).unionByName(_moments(some, ["group", "start"]).select(*columns))
+    # The determinant of a start is no subset's: the first step counts as a fall.
+    return written(_factor(first).withColumn("logdet", F.lit(float("inf"))).select("group", "start", *_names()), "starts")
+
+
+def estimates(cells: DataFrame, subset: float = 0.75, draws: int = DRAWS) -> DataFrame:
+    """For each group: mean m_i, factor l_i_j, logdet and the scale of its squared distances. cells (written): group, the cell, n and rows
+    (of the group)."""
+    now, done = starts(cells, draws), []
+    while True:
+        at = _with_distance(cells.join(sent(now), "group"), "d2", _cell_values())
+        order = Window.partitionBy("group", "start").orderBy("d2", *CELL)
+        share = F.ceil(F.col("rows") * subset) - (F.sum("n").over(order) - F.col("n"))
+        near = at.withColumn("w", F.least(F.col("n"), share)).filter("w > 0")
+        after = written(_factor(_moments(near, ["group", "start"], F.first("logdet").alias("before"))).select("group", "start", "before", *_names()), "estimate")
+        done.append(after.filter(F.col("logdet") >= F.col("before") - STOPPED).drop("before"))
+        discarded(now)
+        now = written(after.filter(F.col("logdet") < F.col("before") - STOPPED).drop("before"), "falling")
+        if now.isEmpty():
+            break
+    ended = functools.reduce(DataFrame.unionByName, done)
+    best = written(ended.groupBy("group").agg(F.min_by(F.struct(*_names()), F.struct("logdet", "start")).alias("x")).select("group", "x.*"), "least-determinants")
+    at = _with_distance(cells.join(sent(best), "group"), "d2", _cell_values()).groupBy("group", "d2").agg(F.sum("n").alias("n"))
+    scale = F.greatest(F.lit(1.0), F.col("middle") / CHI2_4_MEDIAN).alias("scale")
+    return written(best.join(_lower_median(at, ["group"], "d2").select("group", scale), "group"), "estimates")
 
 
 def _levels() -> list[Column]:
@@ -113,25 +172,27 @@ def _levels() -> list[Column]:
     return [F.to_json(F.struct(F.lit(2).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang")), F.lit('{"level":0}')]
 
 
-def fitted(table: DataFrame, least_rows: int, subset: float, steps: int) -> DataFrame:
+def fitted(table: DataFrame, least_rows: int = LEAST_ROWS, subset: float = 0.75, draws: int = DRAWS) -> DataFrame:
     """kind (finest group) and the estimate that its texts are judged by. table: lang, source, base_failed and the vector."""
     levels = _levels()
     judged = table.filter(~F.col("base_failed"))
-    sizes = judged.select(F.explode(F.array(*levels)).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    # Estimates are made for groups that are large enough, and for all texts; the others only ask for their language's.
-    wanted = written(sizes.filter((F.col("n") >= least_rows) | (F.col("group") == '{"level":0}')).select("group"), "groups")
-    vectors = judged.select(F.explode(F.array(*levels)).alias("group"), *DIMENSIONS).join(sent(wanted, BROADCAST_GROUPS), "group")
-    params = estimates(vectors, subset, steps)
-    kinds = judged.select("lang", "source").distinct().withColumns({f"g{k}": c for k, c in enumerate(levels)})
-    for k in range(3):
-        kinds = kinds.join(wanted.select(F.col("group").alias(f"g{k}"), F.lit(True).alias(f"has{k}")), f"g{k}", "left")
-    chosen = F.when(F.col("has0"), F.col("g0")).when(F.col("has1"), F.col("g1")).otherwise(F.col("g2"))
-    return written(kinds.select(F.col("g0").alias("kind"), chosen.alias("group")).join(params, "group"), "kinds")
+    grid = [F.least(F.round(F.col(d) / UNITS[d]), F.lit(float(FARTHEST))).cast("long").alias(q) for d, q in zip(DIMENSIONS, CELL, strict=True)]
+    cells = written(judged.select("lang", "source", *grid).groupBy("lang", "source", *CELL).agg(F.count(F.lit(1)).alias("n")), "cells")
+    kinds = cells.groupBy("lang", "source").agg(F.sum("n").alias("n2")).withColumns({f"g{k}": c for k, c in enumerate(levels)})
+    kinds = kinds.join(cells.groupBy(levels[1].alias("g1")).agg(F.sum("n").alias("n1")), "g1")
+    chosen = F.when(F.col("n2") >= least_rows, F.col("g0")).when(F.col("n1") >= least_rows, F.col("g1")).otherwise(F.col("g2"))
+    kinds = written(kinds.select(F.col("g0").alias("kind"), chosen.alias("group")), "kinds")
+    # A language's estimate, or that of all, is made of all its texts, and only if some group asks for it.
+    wanted = written(kinds.select("group").distinct(), "groups")
+    own = cells.select(F.explode(F.array(*levels)).alias("group"), *CELL, "n").join(sent(wanted), "group").groupBy("group", *CELL).agg(F.sum("n").alias("n"))
+    sizes = own.groupBy("group").agg(F.sum("n").alias("rows"))
+    params = estimates(written(own.join(sizes, "group"), "group-cells"), subset, draws)
+    return written(kinds.join(params, "group"), "kinds")
 
 
 def _judged(rows: DataFrame, kinds: DataFrame, cutoff: float) -> DataFrame:
-    rows = rows.withColumn("kind", _levels()[0]).join(sent(kinds, BROADCAST_GROUPS), "kind", "left")
-    rows = _with_distance(rows, "_d2").withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("scale")))
+    rows = rows.withColumn("kind", _levels()[0]).join(sent(kinds), "kind", "left")
+    rows = _with_distance(rows, "_d2", [F.col(d) for d in DIMENSIONS]).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("scale")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
 
 
@@ -139,22 +200,19 @@ def _keep() -> list[Column]:
     return [F.col(c).alias(c) for c in ("doc_id", "lang", "source")]
 
 
-def quality_verdicts(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = 200, subset: float = 0.75, steps: int = 3) -> DataFrame:
+def quality_verdicts(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = LEAST_ROWS, subset: float = 0.75, draws: int = DRAWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for each row of docs."""
     table = written(_vector(base_rules(docs, _keep())), "statistics")
-    rows = _judged(table, fitted(table, least_rows, subset, steps), cutoff)
+    rows = _judged(table, fitted(table, least_rows, subset, draws), cutoff)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-#: Up to so many keys of rejected rows are sent to every executor; more are joined by shuffle.
-BROADCAST_REJECTED = 500_000
-
-
-def accepted(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = 200, subset: float = 0.75, steps: int = 3) -> DataFrame:
+def accepted(docs: DataFrame, cutoff: float = CHI2_4_CUTOFF, least_rows: int = LEAST_ROWS, subset: float = 0.75, draws: int = DRAWS) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Rows are named by two hashes of id, text, language and source."""
     whole = ["doc_id", "text", "lang", "source"]
-    names = [F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2")]
+    names = [F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2")]
     table = written(_vector(base_rules(docs, [*_keep(), *names])), "statistics")
-    rows = _judged(table, fitted(table, least_rows, subset, steps), cutoff)
-    gone = written(rows.filter(~F.col("kept")).select("_k1", "_k2").distinct(), "rejected")
-    return docs.select("*", *names).join(sent(gone, BROADCAST_REJECTED), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    rows = _judged(table, fitted(table, least_rows, subset, draws), cutoff)
+    gone = written(rows.filter(~F.col("kept")).select("k1", "k2").distinct(), "rejected")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *names)
+    return rows.join(sent(gone), ["k1", "k2"], "left_anti").select("row.*")
