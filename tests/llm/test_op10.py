@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm.op10_patience_lines import aligned_lines, line_digest, patience, without_common_lines
+from tessera.llm import op10_patience_lines
+from tessera.llm.op10_patience_lines import aligned_lines, line_digest, line_hashes, patience, without_common_lines
 
 from .conftest import SCHEMA, frame, prose
 
@@ -13,25 +15,36 @@ def words(line):
     return len(re.findall(r"[^\x20\x09-\x0D]+", line))
 
 
+def units(lines, least):
+    """From each line with a word on: as few lines as have `least` words."""
+    out = []
+    for i, x in enumerate(lines):
+        n, e = 0, i
+        while words(x) and e < len(lines) and n < least:
+            n, e = n + words(lines[e]), e + 1
+        if n >= least:
+            out.append("\n".join(lines[i:e]))
+    return set(out)
+
+
 def brute(rows, rare, least):
     """All pairs that the rule names, aligned on the lines themselves."""
     lines = [(r[1] or "").split("\n") for r in rows]
+    held = [units(ls, least) if r[0] is not None else set() for r, ls in zip(rows, lines, strict=True)]
     count, owner = {}, {}
-    for r, ls in zip(rows, lines, strict=True):
-        if r[0] is not None:
-            for x in {x for x in ls if words(x) >= least}:
-                count[x] = count.get(x, 0) + 1
-                if x not in owner or r[0] < rows[owner[x]][0]:
-                    owner[x] = rows.index(r)
+    for k, r in enumerate(rows):
+        for x in held[k]:
+            count[x] = count.get(x, 0) + 1
+            if x not in owner or r[0] < rows[owner[x]][0]:
+                owner[x] = k
     out = []
-    for r, ls in zip(rows, lines, strict=True):
+    for r, ls, own in zip(rows, lines, held, strict=True):
         gone = set()
-        if r[0] is not None:
-            found = {(count[x], owner[x]) for x in ls if words(x) >= least and rows[owner[x]][0] < r[0]}
-            rarest = min((n for n, _ in found), default=0)
-            for n, o in found:
-                if n <= max(rare, rarest):
-                    gone.update(aligned_lines(lines[o], ls, [words(x) for x in ls], least))
+        found = {(count[x], owner[x]) for x in own if rows[owner[x]][0] < r[0]}
+        rarest = min((n for n, _ in found), default=0)
+        for n, o in found:
+            if n <= max(rare, rarest):
+                gone.update(j for j, _ in aligned_lines(lines[o], ls, [words(x) for x in ls], least))
         kept = "\n".join(x for i, x in enumerate(ls) if i not in gone)
         out.append((r[0], len(ls), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
@@ -72,10 +85,34 @@ def test_patience_is_a_common_subsequence():
 
 def test_copies_and_carried_columns(spark):
     text = "one line of these five\nand another line of six words"
-    docs = frame(spark, [(i, text, "en", f"s{i}") for i in (4, 9, 2)] + [(1, "other words stand here alone", None, None)]).withColumns({c: F.lit(1) for c in ("key", "line", "gone", "owner", "words")})
-    got = {r.doc_id: r for r in without_common_lines(docs).collect()}
-    assert {i: r.text for i, r in got.items()} == {1: "other words stand here alone", 2: text, 4: "", 9: ""}
-    assert got[9].source == "s9" and got[9].owner == 1 and got[9]["_n_removed"] == 2
+    names = ["row", "k1", "k2", "e1", "e2", "lines", "words", "units", "unit", "owner", "last", "n", "pairs", "i", "j", "line", "gone", "kept", "n_lines", "n_removed", "wanted", "_key", "_gone", "_n_removed"]
+    docs = frame(spark, [(i, text, "en", f"s{i}") for i in (4, 9, 2)] + [(1, "other words stand here alone", None, None)]).withColumns({c: F.lit(f"own {c}") for c in names})
+    rows = without_common_lines(docs)
+    assert rows.select("row.*").columns == docs.columns and rows.columns == ["row", "n_lines", "n_removed"]
+    got = {r.row.doc_id: r for r in rows.collect()}
+    assert {i: r.row.text for i, r in got.items()} == {1: "other words stand here alone", 2: text, 4: "", 9: ""}
+    assert got[9].row.source == "s9" and got[9].n_removed == 2 and got[1].n_lines == 1
+    assert all(r.row[c] == f"own {c}" for r in got.values() for c in names)
+
+
+def test_passages_of_short_lines(spark):
+    """A passage of one-word lines is found though no line of it has five words."""
+    verse = "\n".join("the old grey sea runs on and on".split())
+    rows = [(1, f"first\n{verse}\n\nend", None, None), (2, f"{verse}\nsecond", None, None), (3, f"third\n\nthe\nold\ngrey", None, None)]
+    got = {r.doc_id: r.n_removed for r in line_digest(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 8, 3: 0}
+
+
+def test_hashes_alone_remove_nothing(spark, monkeypatch):
+    """With hashes that tell lines apart by their length only, lines still go by their letters."""
+    def poor(data, offsets, least):
+        firsts, hashes, words_, edges, units_ = line_hashes(data, offsets, least)
+        same = lambda x: np.full_like(x, 7)
+        return firsts, same(hashes), words_, edges, same(units_)
+
+    monkeypatch.setattr(op10_patience_lines, "line_hashes", poor)
+    rows = [(1, "five words are in here\nand in this line too", None, None), (2, "five words are in here\nother words are in this", None, None), (3, "nothing of this is there\nnor is any of that", None, None)]
+    assert {r.doc_id: r.n_removed for r in line_digest(frame(spark, rows)).collect()} == {1: 0, 2: 1, 3: 0}
 
 
 def test_empty_table(spark):
