@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table: it is computed once, and the plans of later rounds don't hold those of earlier ones."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode (one process does all), an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table: it is computed once, and the plans of later rounds don't hold those of earlier ones."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
