@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from tessera.functions.text import exact_tokens, lexical_tokens
 
 
+#: What lexical search reads of a unit, where it has it: short fields, never the content.
+SEARCHED = ("title", "path", "name", "qualified_name", "signature")
+
+
+def searched_text(units: DataFrame) -> Column:
+    return F.concat_ws(" ", *[F.col(c) for c in SEARCHED if c in units.columns])
+
+
 def lexical_scores(tasks: DataFrame, units: DataFrame) -> DataFrame:
     """task_id, unit_id, lexical_score: sum over the prompt's distinct terms of ln(1 + tf) by the root of the unit's tokens, 4 places.
 
-    Units are counted into (unit, term) pairs before they meet the terms of the prompts, so the join moves each pair once.
+    A unit's tokens are those of its title, path, names and signature. Units are counted into (unit, term) pairs before they meet the
+    terms of the prompts, so the join moves each pair once.
     """
     terms = tasks.select("task_id", F.explode(F.array_distinct(lexical_tokens(F.col("prompt")))).alias("term"))
-    words = units.select("unit_id", lexical_tokens(F.col("content")).alias("tokens")).select("unit_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
+    words = units.select("unit_id", lexical_tokens(searched_text(units)).alias("tokens")).select("unit_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
     counts = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("unit_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     scored = counts.join(terms, "term").groupBy("task_id", "unit_id", "size").agg(F.sum(F.log1p("tf")).alias("s"))
     return scored.select("task_id", "unit_id", F.round(F.col("s") / F.sqrt("size"), 4).alias("lexical_score")).filter("lexical_score > 0")
@@ -41,24 +50,65 @@ def exact_matches(tasks: DataFrame, units: DataFrame) -> DataFrame:
     return tokens.join(keys.filter("token is not null"), "token").groupBy("task_id", "unit_id").agg(F.min_by("match_type", "p").alias("match_type"))
 
 
+def _endings(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """df with `ending`: the ends of a column as long as some value of the other side (their distinct lengths are few and sent)."""
+    lengths = others.agg(F.collect_set(F.length(other)).alias("lengths"))
+    own = F.filter(F.col("lengths"), lambda n: n.between(1, F.length(column)))
+    return df.crossJoin(F.broadcast(lengths)).withColumn("ending", F.explode(F.transform(own, lambda n: F.right(F.col(column), n)))).drop("lengths")
+
+
 def frame_matches(frames: DataFrame, units: DataFrame) -> DataFrame:
-    """task_id, unit_id, confidence: a stack frame's file ends with a unit's path or the other way; 1.0 if the function agrees, else 0.9.
+    """task_id, unit_id, confidence: a stack frame's file ends with a unit's path or the other way, letter by letter; 1.0 if the frame's function
+    is the unit's name or ends its qualified name (case aside), else 0.9.
 
-    Paths that end alike have the same last part: that is the join's key, the rest is checked on its matches.
+    Two equi-joins: each side's ends, at the lengths that the other side has, meet the other side's whole paths. Blank paths match nothing.
+    frames: task_id, file, function; units: unit_id, path, name, qualified_name (null where a unit is no symbol).
     """
-    norm = lambda c: F.lower(F.regexp_replace(c, r"\\", "/"))
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    f = frames.select("task_id", "function", norm(F.col("file")).alias("file")).withColumn("last", last(F.col("file")))
-    u = units.select("unit_id", "name", norm(F.col("path")).alias("path")).withColumn("last", last(F.col("path")))
-    hit = f.join(u, "last").filter(F.col("file").endswith(F.col("path")) | F.col("path").endswith(F.col("file")))
-    conf = F.when(F.col("function") == F.col("name"), 1.0).otherwise(0.9)
-    return hit.groupBy("task_id", "unit_id").agg(F.max(conf).alias("confidence"))
+    norm = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    f = frames.select("task_id", F.lower("function").alias("function"), norm(F.col("file")).alias("file")).filter("file <> ''").distinct()
+    u = units.select("unit_id", F.lower("name").alias("name"), F.lower("qualified_name").alias("qualified"), norm(F.col("path")).alias("path")).filter("path <> ''")
+    files = f.select("file").distinct()
+    paths = u.select("path").distinct()
+    pairs = _endings(files, "file", paths, "path").join(paths.withColumnRenamed("path", "ending"), "ending").select("file", F.col("ending").alias("path"))
+    pairs = pairs.unionByName(_endings(paths, "path", files, "file").join(files.withColumnRenamed("file", "ending"), "ending").select(F.col("ending").alias("file"), "path")).distinct()
+    hit = f.join(pairs, "file").join(u, "path")
+    agree = (F.col("function") != "") & ((F.col("function") == F.col("name")) | F.col("qualified").endswith(F.col("function")))
+    return hit.groupBy("task_id", "unit_id").agg(F.max(F.when(F.coalesce(agree, F.lit(False)), 1.0).otherwise(0.9)).alias("confidence"))
+
+
+#: Letters of the keys by which needles without a whole inner word are found.
+GRAM = 6
+_BREAK = "[^A-Za-z0-9_]+"
+
+
+def _candidates(hay: DataFrame, needles: DataFrame, a: str, b: str) -> DataFrame:
+    """h, g: hashes of values of hay.a and needles.b (distinct) such that all pairs where a contains b are among them; texts don't move."""
+    hay, needles = hay.select(a, F.xxhash64(a).alias("h")), needles.filter(F.length(b) > 0).select(b, F.xxhash64(b).alias("g"))
+    # The words of a needle between its first and last break stand whole in every text that contains it; the rarest of them is the key.
+    parts = F.split(b, _BREAK)
+    inner = needles.select("g", F.explode(F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.length(w) > 0))).alias("key"))
+    words = hay.select("h", F.explode(F.array_distinct(F.split(a, _BREAK))).alias("key"))
+    counts = words.join(inner.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = inner.join(counts, "key", "left").groupBy("g").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    found = words.join(rarest, "key").select("h", "g")
+    # Needles without such a word by their first letters, among all stretches of so many letters.
+    short = needles.join(rarest.select("g"), "g", "left_anti").withColumn("n", F.least(F.lit(GRAM), F.length(b))).withColumn("key", F.left(F.col(b), F.col("n")))
+    sizes = short.agg(F.collect_set("n").alias("sizes"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(a) - F.col("n") + 1), lambda i: F.substring(F.col(a), i, F.col("n")))
+    cut = hay.crossJoin(F.broadcast(sizes)).select("h", a, F.explode("sizes").alias("n")).filter(F.length(a) >= F.col("n")).select("h", F.explode(F.array_distinct(grams)).alias("key"))
+    return found.unionByName(cut.join(short.select("g", "key"), "key").select("h", "g")).distinct()
 
 
 def containing(left: DataFrame, right: DataFrame, a: str, b: str, either: bool = False) -> DataFrame:
-    """Pairs where a contains b (either: or b contains a). The right side is the small one: evidence, dirty paths, prompts."""
-    test = F.col(a).contains(F.col(b))
-    return left.join(F.broadcast(right) if right.count() <= 10_000 else right, test | F.col(b).contains(F.col(a)) if either else test)
+    """Pairs where a contains b (either: or b contains a), by equi-joins on a key of the contained text; an empty text is contained in none."""
+    hay, needles = (df.select(c).filter(f"{c} is not null").distinct() for df, c in ((left, a), (right, b)))
+    pairs = _candidates(hay, needles, a, b)
+    if either:
+        pairs = pairs.unionByName(_candidates(needles, hay, b, a).select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct()
+    test = F.col(a).contains(F.col(b)) & (F.length(b) > 0)
+    test = test | (F.col(b).contains(F.col(a)) & (F.length(a) > 0)) if either else test
+    rows = left.withColumn("_h", F.xxhash64(a)).join(pairs.select(F.col("h").alias("_h"), F.col("g").alias("_g")), "_h")
+    return rows.join(right.withColumn("_g", F.xxhash64(b)), "_g").filter(test).drop("_h", "_g")
 
 
 #: Weights of fusion: exact match, runtime match, test relationship, lexical score, co-change score.

@@ -73,13 +73,13 @@ def egress(remote: Column, trusted: Column, classes: Column, content: Column, bl
     return F.struct(reason.isNull().alias("allowed"), reason.alias("reason"), F.when(reason.isNull(), redact_secrets(content)).alias("content"))
 
 
-#: Commands that may run in the sandbox, and parts that forbid a command line.
-ALLOWED_COMMANDS = ["git", "node", "python3", "cargo", "go", "ls", "cat"]
+#: Commands that may run in the sandbox, and parts that forbid a command line.
+ALLOWED_COMMANDS = ["git", "node", "scip", "tree-sitter"]
 DENIED_PARTS = ["npm install", "pip install", "curl ", "wget ", "sh ", "bash ", ".sh"]
 
 
 def command_allowed(line: Column) -> Column:
-    line = F.trim(line)
+    line = F.regexp_replace(line, r"^\s+|\s+$", "")
     denied = reduce(lambda a, b: a | b, [F.contains(line, F.lit(p)) for p in DENIED_PARTS])
     return F.when(line == "", False).when(denied, False).otherwise(F.split(line, r"\s+")[0].isin(ALLOWED_COMMANDS))
 

@@ -10,7 +10,7 @@ from tessera.plans.retrieval import _SCORES
 from tessera.sources.tables import TASKS, UNITS, table, tasks, units
 
 _RANKED = f"(SELECT task_id, unit_id, row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) AS rank FROM {_SCORES} QUALIFY rank <= 50)"
-_TARGETS = f"(SELECT t.task_id, u.unit_id FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.prompt))"
+_TARGETS = f"(SELECT t.task_id, u.unit_id FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.passage))"
 
 
 def c(name):
@@ -23,7 +23,7 @@ def ranked(spark, folder):
 
 
 def targets(spark, folder):
-    return containing(units(spark, folder), tasks(spark, folder), "content", "prompt").select("task_id", "unit_id")
+    return containing(units(spark, folder), tasks(spark, folder), "content", "passage").select("task_id", "unit_id")
 
 
 def _ideal(k):

@@ -11,7 +11,7 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda
 _EXACT = "list_distinct(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_./-]+'), lambda x: length(x) >= 3))"
 
 _SCORES = f"""(WITH terms AS (SELECT task_id, unnest(list_distinct({_TOKENS.format('prompt')})) AS term FROM {TASKS}),
-  words AS (SELECT unit_id, len(ts) AS size, unnest(ts) AS term FROM (SELECT unit_id, {_TOKENS.format('content')} AS ts FROM {UNITS})),
+  words AS (SELECT unit_id, len(ts) AS size, unnest(ts) AS term FROM (SELECT unit_id, {_TOKENS.format("(title || ' ' || path)")} AS ts FROM {UNITS})),
   counts AS (SELECT unit_id, size, term, count(*) AS tf FROM words GROUP BY ALL)
   SELECT task_id, unit_id, round(sum(ln(1 + tf)) / sqrt(any_value(size)), 4) AS lexical_score FROM counts JOIN terms USING (term)
   GROUP BY task_id, unit_id HAVING round(sum(ln(1 + tf)) / sqrt(any_value(size)), 4) > 0)"""
@@ -62,25 +62,35 @@ def j02_exact_retrieval(spark, folder):
 
 
 def _frames(spark, folder):
-    key = F.col("p_partkey").cast("string")
-    return table(spark, folder, "part").select(
-        (F.col("p_partkey") % 50).alias("task_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("C:\\Work\\SRC\\P_"), key)).otherwise(F.concat(F.lit("p_"), key)).alias("file"), F.concat(F.lit("p_"), (F.col("p_partkey") - F.col("p_partkey") % 20).cast("string")).alias("function")
-    )
+    """Frames with absolute, relative and cut paths, and functions in other cases, qualified or unknown."""
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    file = F.when(k % 4 == 0, F.concat(F.lit("C:\\Work\\SRC\\P_"), key)).when(k % 4 == 1, F.concat(F.lit("p_"), key)).when(k % 4 == 2, F.substring(key, 2, 9)).otherwise(F.concat(F.lit("/x/data"), key))
+    near = (k - k % 20).cast("string")
+    function = F.when(k % 3 == 0, F.concat(F.lit("P_"), near)).when(k % 3 == 1, F.concat(F.lit("art.P_"), near))
+    return table(spark, folder, "part").select((k % 50).alias("task_id"), file.alias("file"), function.alias("function"))
+
+
+_FRAMES = r"""(SELECT p_partkey % 50 AS task_id, CASE p_partkey % 4 WHEN 0 THEN 'C:\Work\SRC\P_' || p_partkey WHEN 1 THEN 'p_' || p_partkey WHEN 2 THEN substr(p_partkey::VARCHAR, 2, 9) ELSE '/x/data' || p_partkey END AS file,
+  CASE p_partkey % 3 WHEN 0 THEN 'P_' || (p_partkey - p_partkey % 20) WHEN 1 THEN 'art.P_' || (p_partkey - p_partkey % 20) END AS function FROM part)"""
 
 
-_FRAMES = r"(SELECT p_partkey % 50 AS task_id, CASE WHEN p_partkey % 2 = 0 THEN 'C:\Work\SRC\P_' || p_partkey ELSE 'p_' || p_partkey END AS file, 'p_' || (p_partkey - p_partkey % 20) AS function FROM part)"
+def _framed(spark, folder):
+    """Parts as units; some have short paths that others end with."""
+    key = F.col("unit_id").cast("string")
+    return _symbols(spark, folder).withColumn("path", F.when(F.col("unit_id") % 5 == 4, F.concat(F.lit("a"), key)).otherwise(F.col("path")))
 
 
-@query(f"""WITH f AS (SELECT task_id, function, lower(replace(file, '\\', '/')) AS file FROM {_FRAMES})
-  SELECT task_id, unit_id, max(CASE WHEN function = name THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END) AS confidence FROM f JOIN {_SYMBOLS} u
-  ON split_part(file, '/', -1) = split_part(lower(path), '/', -1) AND (ends_with(file, lower(path)) OR ends_with(lower(path), file)) GROUP BY ALL""")
+@query(f"""WITH f AS (SELECT DISTINCT task_id, lower(function) AS function, lower(replace(file, '\\', '/')) AS file FROM {_FRAMES} WHERE file <> ''),
+  u AS (SELECT unit_id, lower(name) AS name, lower(qualified_name) AS qualified, CASE WHEN unit_id % 5 = 4 THEN 'a' || unit_id ELSE path END AS path FROM {_SYMBOLS})
+  SELECT task_id, unit_id, max(CASE WHEN coalesce(function <> '' AND (function = name OR ends_with(qualified, function)), false) THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END) AS confidence FROM f JOIN u
+  ON ends_with(file, path) OR ends_with(path, file) GROUP BY ALL""")
 def j03_stack_frame_suffix(spark, folder):
-    return frame_matches(_frames(spark, folder), _symbols(spark, folder))
+    return frame_matches(_frames(spark, folder), _framed(spark, folder))
 
 
-@query(f"SELECT t.task_id, u.unit_id FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.prompt)")
+@query(f"SELECT t.task_id, u.unit_id FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.passage)")
 def j04_containment(spark, folder):
-    return containing(units(spark, folder), tasks(spark, folder), "content", "prompt").select("task_id", "unit_id")
+    return containing(units(spark, folder), tasks(spark, folder), "content", "passage").select("task_id", "unit_id")
 
 
 @query(f"SELECT unit_id, path, EXISTS (SELECT 1 FROM (SELECT 'doc_' || s_suppkey || '.' AS dirty FROM supplier) d WHERE contains(path, dirty) OR contains(dirty, path)) AS in_dirty_diff FROM {UNITS}")
@@ -95,7 +105,7 @@ _LEXICAL = f"SELECT task_id, unit_id, 'lexical' AS source, lexical_score, NULL::
 _FUSED = f"""(SELECT task_id, unit_id, max(lexical_score) AS lexical_score, min(graph_distance) AS graph_distance, max(co_change_score) AS co_change_score,
     coalesce(bool_or(exact_match), false) AS exact_match, coalesce(bool_or(test_relationship), false) AS test_relationship, coalesce(bool_or(runtime_match), false) AS runtime_match,
     list_sort(list(DISTINCT source)) AS sources FROM ({_LEXICAL}
-    UNION ALL SELECT t.task_id, u.unit_id, 'exact', NULL, NULL, NULL, true, NULL, NULL FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.prompt)
+    UNION ALL SELECT t.task_id, u.unit_id, 'exact', NULL, NULL, NULL, true, NULL, NULL FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.passage)
     UNION ALL SELECT t.task_id, u.unit_id, 'graph', NULL, CAST(1 + u.unit_id % 3 AS INT), NULL, NULL, u.kind = 'TEST', NULL FROM {UNITS} u JOIN {TASKS} t ON u.unit_id % 40 = t.task_id
     UNION ALL SELECT t.task_id, u.unit_id, 'git_co_change', NULL, NULL, (u.unit_id % 10) / 10.0, NULL, NULL, NULL FROM {UNITS} u JOIN {TASKS} t ON u.unit_id % 97 = t.task_id
     UNION ALL SELECT t.task_id, u.unit_id, 'runtime', NULL, NULL, NULL, NULL, NULL, true FROM {UNITS} u JOIN {TASKS} t ON u.unit_id % 61 = t.task_id) GROUP BY task_id, unit_id)"""
@@ -105,7 +115,7 @@ _SCORE = "(CASE WHEN exact_match THEN 5 ELSE 0 END + CASE WHEN runtime_match THE
 def fused_candidates(spark, folder):
     u, t = units(spark, folder), tasks(spark, folder)
     lexical = lexical_scores(t, u).withColumn("source", F.lit("lexical"))
-    exact = containing(u, t, "content", "prompt").select("task_id", "unit_id", F.lit("exact").alias("source"), F.lit(True).alias("exact_match"))
+    exact = containing(u, t, "content", "passage").select("task_id", "unit_id", F.lit("exact").alias("source"), F.lit(True).alias("exact_match"))
     slim = u.select("unit_id", "kind")
     ids = t.select("task_id")
     graph = slim.join(ids, F.col("unit_id") % 40 == F.col("task_id")).select("task_id", "unit_id", F.lit("graph").alias("source"), (1 + F.col("unit_id") % 3).cast("int").alias("graph_distance"), (F.col("kind") == "TEST").alias("test_relationship"))

@@ -1,11 +1,15 @@
 """Queries of sources and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import artifact_kind, trust_level
 from tessera.registry import query
-from tessera.sources.code import scip_edges, skeletons, symbols
+from tessera.sources.code import repository_files, scip_edges, skeletons, symbols, written_files
+from tessera.sources.sinks import read_csv, write_csv
 from tessera.sources.tables import UNITS, table, units
+from tessera.storage import shared_folder, shared_uri
 
 
 def c(name):
@@ -46,6 +50,23 @@ def s04_trust_level(spark, folder):
     return _paths(spark, folder).select("unit_id", trust_level(c("path"), artifact_kind(c("path")), c("origin")).alias("trust"))
 
 
+_TREE = ["src/a{i}.ts", "node_modules/x{i}.js", "vendor/q{i}.go", "lib/b{i}.min.js", ".git/h{i}", "docs/c {i}+%25.md", "dist/d{i}.js", "app/dist{i}.js", "img/e{i}.png", "coverage/f{i}.txt", "k/.hidden{i}", "build.d/g{i}.map.ts", "deep/build/h{i}.ts", "bad/i{i}.bin"]
+_TREE_SQL = "[" + ", ".join(f"'{p}'" for p in _TREE) + f"][CAST(p_partkey % {len(_TREE)} + 1 AS INT)]"
+
+
+@query(f"""SELECT path, length(p_name)::BIGINT + CASE WHEN starts_with(path, 'bad/') THEN 1 ELSE 0 END AS size, NOT starts_with(path, 'bad/') AS readable FROM (SELECT *, replace({_TREE_SQL}, '{{i}}', p_partkey::VARCHAR) AS path FROM part)
+  WHERE NOT regexp_matches(path, '(^|/)(node_modules|[.]git|dist|build|benchmarks|[.]next|[.]venv|__pycache__)/') AND NOT regexp_matches(path, '[.](min[.]js|min[.]css|map|png|jpg|jpeg|gif|svg|ico|woff|woff2)$') AND NOT regexp_matches(path, '(^|/)[.]')""")
+def s01_repository_scan(spark, folder):
+    """A repository of one file for each part, written below the shared folder and scanned: folders, endings and hidden files that are left out."""
+    k = c("p_partkey")
+    path = F.replace(F.element_at(F.array(*map(F.lit, _TREE)), (k % len(_TREE) + 1).cast("int")), F.lit("{i}"), k.cast("string"))
+    files = table(spark, folder, "part").select(path.alias("path"), c("p_name").cast("binary").alias("content"))
+    files = files.withColumn("content", F.when(c("path").startswith("bad/"), F.concat("content", F.unhex(F.lit("FF")))).otherwise(c("content")))
+    root = f"{shared_uri(spark)}/tessera/tree.d-{uuid.uuid4().hex}"
+    written_files(files, root)
+    return repository_files(spark, root).select("path", "size", "readable")
+
+
 @query(f"SELECT repository_id, count(*) AS files, count(*) FILTER (WHERE lang <> 'fr') AS parsed, round(count(*) FILTER (WHERE lang <> 'fr') / count(*), 2) AS coverage, greatest(0.5, 1 - count(*) FILTER (WHERE unit_id % 9 = 0) / count(*)) AS confidence FROM {UNITS} GROUP BY ALL")
 def s05_quality_statistics(spark, folder):
     n = F.count(F.lit(1))
@@ -62,11 +83,15 @@ def s18_snapshot_check(spark, folder):
     return expected.join(observed, "unit_id", "left").select("unit_id", status.alias("status"))
 
 
-@query(f"SELECT repository_id, sha256(string_agg(unit_id || '=' || sha256(content), ';' ORDER BY unit_id || '=' || sha256(content))) AS snapshot_hash FROM {UNITS} GROUP BY ALL")
+@query(f"""WITH h AS (SELECT repository_id, unit_id || '=' || sha256(content) AS h, substr(sha256(unit_id::VARCHAR), 1, 2) AS part FROM {UNITS}),
+  p AS (SELECT repository_id, part, sha256(string_agg(h, ';' ORDER BY h)) AS ph FROM h GROUP BY ALL) SELECT repository_id, sha256(string_agg(part || ph, ';' ORDER BY part)) AS snapshot_hash FROM p GROUP BY repository_id""")
 def s19_snapshot_hash(spark, folder):
-    """A snapshot's hash over its files' hashes in order."""
-    rows = units(spark, folder).select("repository_id", F.concat_ws("=", c("unit_id").cast("string"), F.sha2("content", 256)).alias("h"))
-    return rows.groupBy("repository_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ";"), 256).alias("snapshot_hash"))
+    """A snapshot's hash over its files' hashes: 256 parts by the hash of the file's key, each over its files in order, then over the parts."""
+    key = c("unit_id").cast("string")
+    rows = units(spark, folder).select("repository_id", F.substring(F.sha2(key, 256), 1, 2).alias("part"), F.concat_ws("=", key, F.sha2("content", 256)).alias("h"))
+    joined = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), ";"), 256)
+    parts = rows.groupBy("repository_id", "part").agg(joined(c("h")).alias("h"))
+    return parts.groupBy("repository_id").agg(joined(F.concat("part", "h")).alias("snapshot_hash"))
 
 
 _CODE = {
@@ -126,7 +151,7 @@ def s11_symbol_index(spark, folder):
     name = F.concat(F.lit("f"), (k % 60).cast("string"))
     symbol, role = F.concat(F.lit("pkg#"), name, F.lit("().")), F.when(k % 7 == 0, "definition").otherwise("reference")
     docs = table(spark, folder, "part").groupBy(F.concat(F.lit("src/a"), (k % 50).cast("string")).alias("path")).agg(F.collect_list(F.struct(symbol.alias("symbol"), role.alias("role"))).alias("occurrences"))
-    index = docs.groupBy((F.length("path") % 2).alias("part")).agg(F.collect_list(F.struct("path", "occurrences")).alias("documents"))
+    index = docs.select(F.array(F.struct("path", "occurrences")).alias("documents"))
     return scip_edges(index, table(spark, folder, "part").select(k.alias("unit_id"), name.alias("name")))
 
 
@@ -143,10 +168,13 @@ def s12_typed_table(spark, folder):
     return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").parquet(f"{folder}/nation.parquet")
 
 
-@query("SELECT conv_id, turn, '\"' || replace(role, '\"', '\"\"') || '\"' AS cell FROM conversations")
-def s16_csv_cells(spark, folder):
-    """A CSV line's cells: always quoted, quotes doubled."""
-    return table(spark, folder, "conversations").select("conv_id", "turn", F.concat(F.lit('"'), F.replace(c("role"), F.lit('"'), F.lit('""')), F.lit('"')).alias("cell"))
+@query("""SELECT conv_id, turn, sha256('say "' || role || '",' || chr(10) || text) AS cell FROM conversations""")
+def s16_csv_export(spark, folder):
+    """Rows written as CSV (every cell quoted, quotes doubled, line feeds within cells) and read again."""
+    where = f"{shared_folder(spark)}/tessera/csv-{uuid.uuid4().hex}"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(F.lit('say "'), c("role"), F.lit('",\n'), c("text")).alias("cell"))
+    write_csv(rows, where)
+    return read_csv(spark, where, "conv_id long, turn int, cell string").select("conv_id", c("turn").cast(rows.schema["turn"].dataType).alias("turn"), F.sha2("cell", 256).alias("cell"))
 
 
 @query("SELECT event_id, json_extract_string(p, '$.id')::BIGINT AS id, json_extract_string(p, '$.type') AS type FROM (SELECT event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS p FROM events)")

@@ -1,11 +1,15 @@
 """Batch forms of the event-log queries; streaming/events.py has the streaming forms, tests hold both together."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.registry import query
+from tessera.sources.sinks import KeyedTable
 from tessera.sources.tables import table
-from tessera.streaming.events import counters, latest_events, retained
+from tessera.storage import shared_folder
+from tessera.streaming.events import counters, latest_events, newest_sessions, retained, upsert_batches
 
 
 def c(name):
@@ -44,9 +48,23 @@ def t06_retention(spark, folder):
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def t08_replayed_upsert(spark, folder):
-    """A log that was delivered twice gives each event once."""
+    """A log that is delivered twice, by two streams with checkpoints of their own, into a table with the event as key: each event once."""
+    where = f"{shared_folder(spark)}/tessera/replay-{uuid.uuid4().hex}"
+    schema = "event_id long, user_id long, event_type string"
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
-    return events.unionAll(events.filter("event_id % 3 = 0")).dropDuplicates(["event_id"])
+    events.repartition(3, "event_id").write.parquet(f"{where}/log")
+    keyed = KeyedTable(spark, f"{where}/table", ["event_id"], schema, buckets=8)
+    for delivery in ("first", "second"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/log")
+        upsert_batches(stream, keyed, f"{where}/{delivery}", [c("user_id").desc()]).start().awaitTermination()
+    return keyed.rows()
+
+
+@query("SELECT user_id * 1000 + dayofyear(ts) AS session, min(ts)::VARCHAR AS first FROM events GROUP BY ALL ORDER BY min(ts) DESC, session DESC LIMIT 10000")
+def t02_newest_sessions(spark, folder):
+    """Unique sessions (a user's day), the oldest forgotten beyond 10,000."""
+    events = table(spark, folder, "events").select((c("user_id") * 1000 + F.dayofyear("ts")).alias("session"), "ts")
+    return newest_sessions(events).select("session", c("first").cast("string").alias("first"))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE a <= 2) AS calls, count(*) FILTER (WHERE a > 2) AS over_budget FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events) GROUP BY ALL")

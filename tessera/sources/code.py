@@ -5,9 +5,12 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "unit_id long, kind string, name string, qualified_name string, start_line int, end_line int"
@@ -137,17 +140,52 @@ def skeletons(files: DataFrame) -> DataFrame:
     return files.select("unit_id", "path", "content").mapInPandas(scan, "unit_id long, skeleton string")
 
 
-#: Names of paths that are never indexed.
-EXCLUDED = ["node_modules", ".git", "dist", "build", "coverage", "vendor", ".next", ".cache", "target", "__pycache__", ".venv", "venv", ".idea", ".vscode", "out", "tmp", "logs", ".turbo", ".nyc_output"]
+#: Folders and endings of files that are never indexed.
+EXCLUDED_FOLDERS = ["node_modules", ".git", "dist", "build", "benchmarks", ".next", ".venv", "__pycache__"]
+EXCLUDED_ENDINGS = [".min.js", ".min.css", ".map", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2"]
 
 
-def repository_files(spark, folder: str, glob: str = "*", root: str | None = None) -> DataFrame:
-    """path (relative to root), content and size of the text files below a folder, without excluded parts."""
-    base = (root or folder).rstrip("/")
+def indexed(path: Column) -> Column:
+    """Whether a relative path is indexed: no excluded folder or ending, and no part that begins with a dot."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    ends = reduce(lambda x, y: x | y, [path.endswith(e) for e in EXCLUDED_ENDINGS])
+    return ~F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_FOLDERS))) & ~ends & ~F.exists(parts, lambda p: p.startswith("."))
+
+
+def repository_files(spark, folder: str, glob: str = "*") -> DataFrame:
+    """path (relative to folder), content and size of the indexed files below a folder, and `readable`: whether the content is UTF-8."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    parts = "|".join(p.replace(".", r"\.") for p in EXCLUDED)
-    path = F.regexp_replace("path", rf"^.*?{base.split('/')[-1]}/", "")
-    return rows.select(path.alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size")).filter(~F.col("path").rlike(rf"(^|/)({parts})(/|$)"))
+    at = F.locate(root + "/", F.col("path"))
+    rows = rows.select(F.substring(F.col("path"), at + len(root) + 1, F.length("path")).alias("path"), "content", F.col("length").alias("size")).filter(indexed(F.col("path")))
+    readable = F.is_valid_utf8(F.col("content").cast("string"))
+    return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size", readable.alias("readable"))
+
+
+def scan_quality(files: DataFrame) -> DataFrame:
+    """scanned, errors, parser_coverage and confidence of a scan: unreadable files count as errors; both are rounded to 2 places."""
+    n, bad = F.count(F.lit(1)), F.count_if(~F.col("readable"))
+    rows = files.agg(n.alias("scanned"), bad.alias("errors"))
+    share = F.col("errors") / F.greatest(F.lit(1), F.col("scanned"))
+    coverage = F.when(F.col("scanned") > 0, F.round((F.col("scanned") - F.col("errors")) / F.greatest(F.lit(1), F.col("scanned")), 2)).otherwise(1.0)
+    return rows.select("scanned", "errors", coverage.alias("parser_coverage"), F.when(F.col("errors") == 0, 1.0).otherwise(F.round(F.greatest(F.lit(0.5), 1 - share), 2)).alias("confidence"))
+
+
+def written_files(files: DataFrame, folder: str) -> int:
+    """Writes each row (path, content as bytes) as a file below a folder that all tasks can reach; returns how many."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                system.create_dir(f"{root}/{path}".rsplit("/", 1)[0])
+                with system.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    return files.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def scip_edges(index: DataFrame, symbols: DataFrame) -> DataFrame:

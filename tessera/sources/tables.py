@@ -38,12 +38,16 @@ UNITS = f"""(SELECT doc_id AS unit_id, source AS repository_id, {_by_lang(0)} AS
   CAST(ceil(n_chars / 4) AS BIGINT) AS tokens, n_chars, lang FROM documents)"""
 
 
+#: What a task's prompt says after its passage: two units by title, and in every tenth one all tests.
+_MENTION = "concat(' see doc_', CAST(item_id * 3 AS {0}), ' and DOC_', CAST(item_id * 3 + 1 AS {0}), CASE WHEN item_id % 10 = 0 THEN ' in tests' ELSE '' END)"
+
+
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
-    """task_id, prompt."""
-    return table(spark, folder, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("prompt"))
+    """task_id, passage (text that its units hold), prompt (the passage, and the units that it names)."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"), F.concat("text", F.expr(_MENTION.format("STRING"))).alias("prompt"))
 
 
-TASKS = "(SELECT item_id AS task_id, text AS prompt FROM benchmark)"
+TASKS = f"(SELECT item_id AS task_id, text AS passage, text || {_MENTION.format('VARCHAR')} AS prompt FROM benchmark)"
 
 
 def commit_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder with its scheme, as libraries outside Spark need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    where = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + where[5:] if where.startswith("file:/") and not where.startswith("file://") else where
+
+
 def settled(df: DataFrame, tag: str) -> DataFrame:
     """df as a written table: it is computed once, and the plans of later rounds don't hold those of earlier ones."""
     spark = df.sparkSession

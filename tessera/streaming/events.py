@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources.sinks import KeyedTable
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -61,10 +63,18 @@ def session_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, state string", "state string", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(stream: DataFrame, target: str, checkpoint: str, keys: list[str]):
-    """Writes each batch's last row of a key beside the target's earlier ones: a replayed batch changes nothing."""
+def upsert_batches(stream: DataFrame, target: KeyedTable, checkpoint: str, order: list[Column]):
+    """Upserts each batch into a keyed table: the last write of a key stays, and a batch that is delivered again changes nothing."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([*keys, "event_id"]).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        target.upsert(batch, order, batch=batch_id)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def newest_sessions(events: DataFrame, cap: int = 10_000) -> DataFrame:
+    """session and first (when it was first seen) of the newest sessions: beyond the cap the oldest ones are forgotten.
+
+    The cap is the feature; the sort takes the first `cap` rows of each task before they meet.
+    """
+    return events.groupBy("session").agg(F.min("ts").alias("first")).orderBy(F.col("first").desc(), F.col("session").desc()).limit(cap)
