@@ -119,15 +119,23 @@ def enclosing(uses: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def resolve_calls(uses: DataFrame, symbols: DataFrame) -> DataFrame:
-    """src symbol to dst symbols of the called name: those of the same class, else of the same file, else all.
+    """src symbol to dst symbols of the called name: those of the same class in the file, else of the file, else all; never itself.
 
-    uses: src, file, owner, name; symbols: dst, file, owner, name.
+    Each level joins on its own keys and hands on only the uses that it doesn't resolve, so a name that stands in every file meets all
+    of its namesakes only where nothing nearer has it.
+    uses: src, file, owner (null outside classes), name; symbols: dst, file, owner, name.
     """
-    s = symbols.select("dst", F.col("file").alias("s_file"), F.col("owner").alias("s_owner"), "name")
-    hits = uses.join(s, "name").filter("src <> dst")
-    level = F.when((F.col("file") == F.col("s_file")) & F.col("owner").eqNullSafe(F.col("s_owner")), 1).when(F.col("file") == F.col("s_file"), 2).otherwise(3)
-    hits = hits.withColumn("level", level).withColumn("best", F.min("level").over(Window.partitionBy("src", "name")))
-    return hits.filter("level = best").select("src", "dst", "name", "level").distinct()
+    key = ["src", "file", "owner", "name"]
+    left = settled(uses.select(*key).distinct(), "uses")
+    out = []
+    for level, by in ((1, ["file", "owner", "name"]), (2, ["file", "name"]), (3, ["name"])):
+        found = settled(left.join(symbols.select("dst", *by), by).select(*key, "dst"), "resolved")
+        out.append(found.filter("src <> dst").select("src", "dst", "name", F.lit(level).alias("level")))
+        if level < 3:
+            done = found.select(*key).distinct()
+            same = (left["src"] == done["src"]) & (left["file"] == done["file"]) & left["owner"].eqNullSafe(done["owner"]) & (left["name"] == done["name"])
+            left = settled(left.join(done, same, "left_anti"), "unresolved")
+    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
 
 
 def chains(snapshots: DataFrame, hops: int) -> DataFrame:

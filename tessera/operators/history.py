@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import settled
+
 
 def until(df: DataFrame, cutoff: str, column: str = "ts") -> DataFrame:
     """Rows not later than the cutoff, which counts."""
@@ -27,17 +29,36 @@ def change_frequency(files: DataFrame, cutoff: str, days: int = 30) -> DataFrame
     return until(files, cutoff).groupBy("file").agg(F.count_distinct("sha").alias("changes"), F.count_distinct(recent).alias("recent_changes"))
 
 
-def co_changes(files: DataFrame) -> DataFrame:
-    """file, other, shared: directed pairs of files in a commit, with the number of commits. Commits are small: pairs stay in them."""
-    a, b = files.select("sha", "file"), files.select("sha", F.col("file").alias("other"))
-    return a.join(b, "sha").filter("file <> other").groupBy("file", "other").agg(F.count(F.lit(1)).alias("shared"))
+#: Files of a commit that are paired at a time; larger commits are cut into chunks, whose pairs are units of work of their own.
+CHUNK = 256
+
+
+def _undirected(files: DataFrame, chunk: int) -> DataFrame:
+    """file, other, shared for file < other: pairs come from arrays of at most chunk files, so no commit is one task's."""
+    place = F.row_number().over(Window.partitionBy("sha").orderBy("file")) - 1
+    parts = files.select("sha", "file").distinct().withColumn("part", F.floor(place / chunk).cast("int"))
+    parts = settled(parts.groupBy("sha", "part").agg(F.sort_array(F.collect_list("file")).alias("held")), "commit-files")
+    after = F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.struct(x.alias("file"), y.alias("other"))))
+    within = parts.select(F.inline(F.flatten(after)))
+    several = parts.filter("part > 0").select("sha").distinct()
+    big = parts.join(several, "sha", "left_semi")
+    a, b = big.select("sha", F.col("part").alias("p"), F.col("held").alias("x")), big.select("sha", F.col("part").alias("q"), F.col("held").alias("y"))
+    across = a.join(b, "sha").filter("p < q").repartition("sha", "p", "q")
+    across = across.select(F.inline(F.flatten(F.transform("x", lambda m: F.transform("y", lambda n: F.struct(m.alias("file"), n.alias("other")))))))
+    return within.unionByName(across).groupBy("file", "other").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def co_changes(files: DataFrame, least_shared: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """file, other, shared: directed pairs of files in a commit, with the number of commits (at least least_shared)."""
+    pairs = _undirected(files, chunk).filter(F.col("shared") >= least_shared)
+    return pairs.select("shared", F.explode(F.array(F.struct("file", "other"), F.struct(F.col("other").alias("file"), F.col("file").alias("other")))).alias("x")).select("x.file", "x.other", "shared")
 
 
-def co_change_scores(files: DataFrame, cutoff: str, least_shared: int, least_score: float) -> DataFrame:
+def co_change_scores(files: DataFrame, cutoff: str, least_shared: int = 3, least_score: float = 0.15) -> DataFrame:
     """file, other, shared, score: shared commits by the commits of file."""
     known = until(files, cutoff)
-    totals = known.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
-    scored = co_changes(known).filter(F.col("shared") >= least_shared).join(totals, "file").withColumn("score", F.col("shared") / F.col("total"))
+    totals = known.groupBy("file").agg(F.count_distinct("sha").alias("total"))
+    scored = co_changes(known, least_shared).join(totals, "file").withColumn("score", F.col("shared") / F.col("total"))
     return scored.filter(F.col("score") >= least_score)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import settled
+
 
 def budgeted(ranked: DataFrame, limit: int) -> DataFrame:
     """Ranked rows (task_id, rank, unit_id, tokens) that fit a token limit taken in order of rank, misfits skipped; ranks anew.
@@ -54,15 +56,30 @@ def graded_ndcg(ranked: DataFrame, k: int, exponential: bool = False) -> DataFra
     return out.select("task_id", F.when(F.col("ideal") == 0, 1.0).otherwise(F.round(F.col("dcg") / F.col("ideal"), 4)).alias("ndcg"))
 
 
+#: Stretches of a key's range of values among which a place in its order is looked up first.
+STRETCHES = 4096
+
+
 def descriptive(df: DataFrame, key: str, value: str) -> DataFrame:
-    """mean, population deviation, least, greatest, p95 (the sorted value at floor(.95 n)) and median (at floor(n / 2)) of each key."""
-    w = Window.partitionBy(key)
-    rows = df.select(key, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col("v")))
-    return rows.groupBy(key).agg(
-        F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("deviation"), F.min("v").alias("least"), F.max("v").alias("greatest"),
-        at(F.floor(0.95 * F.col("n"))).alias("p95"), at(F.floor(F.col("n") / 2)).alias("median"),
-    )
+    """mean, population deviation, least, greatest, p95 (the sorted value at floor(.95 n)) and median (at floor(n / 2)) of each key.
+
+    The two places are found exactly without sorting a key's values: counts by stretch of its range tell the stretch that holds each place,
+    and only that stretch's values are counted and put in order.
+    """
+    rows = df.select(key, F.col(value).alias("v")).filter("v is not null")
+    stats = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.min("v").alias("least"), F.max("v").alias("greatest")), "moments")
+    width = F.col("greatest") - F.col("least")
+    at = F.when(width > 0, F.least(F.lit(STRETCHES - 1), F.floor((F.col("v") - F.col("least")) / width * STRETCHES).cast("int"))).otherwise(0)
+    placed = rows.join(stats.select(key, "least", "greatest"), key).select(key, at.alias("stretch"), "v")
+    counts = placed.groupBy(key, "stretch").agg(F.count(F.lit(1)).alias("k"))
+    places = F.explode(F.array(F.struct(F.lit("p95").alias("what"), F.floor(0.95 * F.col("n")).alias("place")), F.struct(F.lit("median").alias("what"), F.floor(F.col("n") / 2).alias("place")))).alias("x")
+    before = F.sum("k").over(Window.partitionBy(key).orderBy("stretch")) - F.col("k")
+    wanted = counts.withColumn("before", before).join(stats.select(key, places).select(key, "x.*"), key).filter("place >= before and place < before + k")
+    wanted = settled(wanted.select(key, "stretch", "what", (F.col("place") - F.col("before")).alias("place")), "places")
+    values = placed.join(wanted, [key, "stretch"]).groupBy(key, "what", "place", "v").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(key, "what").orderBy("v"))
+    found = values.withColumn("upto", upto).filter("upto > place").groupBy(key).agg(F.min(F.when(F.col("what") == "p95", F.col("v"))).alias("p95"), F.min(F.when(F.col("what") == "median", F.col("v"))).alias("median"))
+    return stats.join(found, key).select(key, F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "least", "greatest", "p95", "median")
 
 
 def correlation(x: str, y: str) -> Column:
@@ -101,17 +118,25 @@ def lcg_jump(seed: int, steps: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(39)), F.lit(seed).cast("long"), step)
 
 
-def bootstrap(sample: DataFrame, iterations: int, seed: int) -> DataFrame:
+def bootstrap(sample: DataFrame, iterations: int = 2000, seed: int = 42) -> DataFrame:
     """mean, bounds of the 95 % interval, p value, wins, ties and losses of a sample (i from 0, delta) resampled with the generator.
 
-    Draw j of iteration k is the generator's state after k n + j + 1 steps, so iterations are rows, not a loop. The means are ordered
-    once: their number is a parameter, not the data's.
+    Draw j of iteration k is the generator's state after k n + j + 1 steps. The generator has a full period of LCG[2] states, so the values
+    drawn over one period are added up once, exactly, and each iteration's sum is a difference of two such sums and whole periods:
+    iterations cost a row each, however large the sample. The means are ordered once: their number is a parameter, not the data's.
     """
     spark = sample.sparkSession
     n = sample.count()
     m = LCG[2]
-    draws = spark.range(iterations * n).select(F.expr(f"id div {max(n, 1)}").alias("k"), F.floor(lcg_jump(seed, F.col("id") + 1) * n / m).alias("i"))
-    means = draws.join(F.broadcast(sample) if n <= 100_000 else sample, "i").groupBy("k").agg(F.avg("delta").alias("mean"))
+    rows = sample.select("i", F.col("delta").cast("decimal(30,12)").alias("d"))
+    drawn = spark.range(1, m + 1).select(F.col("id").alias("s"), F.floor(lcg_jump(seed, F.col("id")) * n / m).alias("i")).join(rows, "i")
+    sums = drawn.select("s", F.sum("d").over(Window.orderBy("s")).alias("sum"))  # one period: a fixed number of rows
+    sums = settled(sums.unionByName(spark.range(1).select(F.col("id").alias("s"), F.lit(0).cast("decimal(38,12)").alias("sum"))), "period")
+    ends = spark.range(iterations).select("id", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (F.col("id") * n).alias("t")), F.struct(F.lit(1).alias("sign"), ((F.col("id") + 1) * n).alias("t")))).alias("x")).select("id", "x.*")
+    whole = F.broadcast(sums.filter(F.col("s") == m).select(F.col("sum").alias("whole")))
+    parts = ends.withColumn("s", F.col("t") % m).join(sums, "s").crossJoin(whole)
+    total = F.col("sign") * (F.expr(f"t div {m}").cast("decimal(18,0)") * F.col("whole") + F.col("sum"))
+    means = parts.groupBy("id").agg((F.sum(total).cast("double") / n).alias("mean"))
     ordered = means.select("mean", (F.row_number().over(Window.orderBy("mean")) - 1).alias("place"))
     whole = sample.agg(F.avg("delta").alias("m"), *wins_ties_losses("delta"))
     at = lambda p: F.max(F.when(F.col("place") == int(iterations * p), F.col("mean")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,14 +69,29 @@ def resolution_curve(units: DataFrame, utility: Column) -> DataFrame:
     return rows.select("unit_id", c("o.resolution").alias("resolution"), c("o.allowed").alias("allowed"), cost.cast("long").alias("token_cost"), F.round(c("u") * c("o.share"), 4).alias("utility"))
 
 
-def solve_budget(selected: DataFrame, limit: int) -> DataFrame:
-    """selected (task_id, unit_id, place, heuristic_score, tokens, kind, unsafe, distance, is_direct, evidence flags) with resolution and token_cost under a token limit.
+#: Token limits of the named profiles.
+PROFILES = {"MINIMAL": 4000, "BALANCED": 16_000, "THOROUGH": 32_000, "MAXIMAL": 64_000}
+
+
+def affordable(max_cost: float | None, model: str) -> int | None:
+    """The most tokens whose price, rounded to 6 places, is within a ceiling in dollars; None without one."""
+    if not max_cost:
+        return None
+    micros = Decimal(str(max_cost)).scaleb(6) + Decimal("0.5")
+    return max(0, -int(-micros // Decimal(str(price_of(model)))) - 1)
+
+
+def solve_budget(selected: DataFrame, limit: int, max_cost: float | None = None, model: str = "claude-3-7-sonnet") -> DataFrame:
+    """selected (task_id, unit_id, place, heuristic_score, tokens, kind, unsafe, distance, is_direct, evidence flags) with resolution and token_cost
+    under a token limit and, if given, a ceiling of cost in dollars.
 
     First an allocation by pressure; while a task is over its limit, units that are no edit targets go down level by level, lowest
     heuristic score first, until it fits. Within a level the units that go down are a prefix of that order: the first place at which
     what is freed suffices. Five chained windows, no fold.
     """
     task = Window.partitionBy("task_id")
+    most = affordable(max_cost, model)
+    most = limit if most is None else min(limit, most)
     rows = selected.withColumn("raw_total", F.sum("tokens").over(task))
     rows = rows.withColumn("resolution", allocated(c("place") == 1, c("raw_total") / F.lit(limit)))
     rows = rows.withColumn("cost", resolution_tokens(c("tokens"), c("resolution")))
@@ -85,7 +101,7 @@ def solve_budget(selected: DataFrame, limit: int) -> DataFrame:
         order = task.orderBy("heuristic_score", "place").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("freed", F.when(moves, c("cost") - resolution_tokens(c("tokens"), F.lit(level))).otherwise(0))
         # What is over the limit before each unit's turn: degradation stops at the first turn that finds the task within it.
-        rows = rows.withColumn("over", F.sum("cost").over(task) - F.coalesce(F.sum("freed").over(order), F.lit(0)) - limit)
+        rows = rows.withColumn("over", F.sum("cost").over(task) - F.coalesce(F.sum("freed").over(order), F.lit(0)) - most)
         rows = rows.withColumn("stopped", F.max((c("over") <= 0).cast("int")).over(task.orderBy("heuristic_score", "place")) == 1)
         down = moves & ~c("stopped")
         rows = rows.withColumn("cost", F.when(down, c("cost") - c("freed")).otherwise(c("cost"))).withColumn("resolution", F.when(down, level).otherwise(c("resolution")))
@@ -94,11 +110,26 @@ def solve_budget(selected: DataFrame, limit: int) -> DataFrame:
     return rows.select("task_id", "unit_id", "resolution", c("cost").alias("token_cost"))
 
 
-#: Prices of a million prompt tokens, by a part of the model's name; the longest part that fits counts.
+def plan_totals(selected: DataFrame, solved: DataFrame, model: str = "claude-3-7-sonnet") -> DataFrame:
+    """For each task: tokens and cost of the plan (solved) and of its units as they are (selected: tokens), and what is saved."""
+    raw = selected.groupBy("task_id").agg(F.sum("tokens").alias("raw_tokens"))
+    rows = solved.groupBy("task_id").agg(F.sum("token_cost").alias("total_tokens")).join(raw, "task_id")
+    saved = F.greatest(F.lit(0).cast("long"), c("raw_tokens") - c("total_tokens"))
+    cost, base = (model_cost(c(x), F.lit(model)) for x in ("total_tokens", "raw_tokens"))
+    rows = rows.select("task_id", "total_tokens", "raw_tokens", saved.alias("tokens_saved"), F.when(c("raw_tokens") > 0, F.round(saved / c("raw_tokens") * 100, 1)).otherwise(0.0).alias("savings_percentage"), cost.alias("cost"), base.alias("baseline_cost"))
+    return rows.withColumn("cost_saved", F.round(F.greatest(F.lit(0.0), c("baseline_cost") - c("cost")), 6))
+
+
+#: Prices of a million prompt tokens, by a part of the model's name; the longest part that fits counts.
 PRICES = {"claude-3-7-sonnet": 3.0, "claude-3-5-sonnet": 3.0, "claude-3-opus": 15.0, "gpt-4o": 2.5, "gpt-4o-mini": 0.15, "o1": 15.0, "gemini-1.5-pro": 3.5}
 DEFAULT_PRICE = 3.0
 
 
+def price_of(model: str) -> float:
+    fits = [p for p in PRICES if p in model.lower()]
+    return PRICES[max(fits, key=len)] if fits else DEFAULT_PRICE
+
+
 def model_cost(tokens: Column, model: Column) -> Column:
     price = F.lit(DEFAULT_PRICE)
     for part in sorted(PRICES, key=len):
@@ -106,12 +137,14 @@ def model_cost(tokens: Column, model: Column) -> Column:
     return F.round(tokens / 1_000_000 * price, 6)
 
 
-def compose_bundles(ranked: DataFrame, links: DataFrame, evidence: DataFrame, max_units: int = 25, max_tokens: int = 8000) -> DataFrame:
-    """Greedy bundles: task_id, unit_id, place, gain. ranked: task_id, unit_id, rank, score, tokens, path; links: task_id, src, dst; evidence: task_id, path.
+def compose_bundles(ranked: DataFrame, links: DataFrame, evidence: DataFrame, max_units: int = 25, max_tokens: int = 16_000) -> DataFrame:
+    """Greedy bundles: task_id, unit_id, place, gain. ranked: task_id, unit_id, rank, score, tokens, path and, if units are taken by their
+    resolution curves, bonus (five times the utility of the resolution whose tokens these are); links: task_id, src, dst; evidence: task_id, path.
 
     Each choice changes the next ones' gains, so a task is a fold; its candidates are few (a top-n), and tasks run side by side.
     """
-    a = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "score", "tokens", "path"))).alias("rows"))
+    bonus = F.col("bonus") if "bonus" in ranked.columns else F.lit(0.0)
+    a = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "score", "tokens", "path", bonus.alias("bonus")))).alias("rows"))
     b = links.groupBy("task_id").agg(F.collect_set(F.struct("src", "dst")).alias("links"))
     e = evidence.groupBy("task_id").agg(F.collect_set("path").alias("evidence"))
     whole = a.join(b, "task_id", "left").join(e, "task_id", "left")
@@ -130,8 +163,8 @@ def compose_bundles(ranked: DataFrame, links: DataFrame, evidence: DataFrame, ma
                     for r in left:
                         if used + r["tokens"] > max_tokens:
                             continue
-                        gain = r["score"] / 10 + 1.5 * (r["unit_id"] in near) + 30 * any(p in r["path"] or r["path"] in p for p in open_paths)
-                        gain -= 5 * max(0, files.get(r["path"], 0) - 2)
+                        gain = r["score"] / 10 + 1.5 * (r["unit_id"] in near) + 30 * any(p in r["path"] or r["path"] in p for p in open_paths if r["path"])
+                        gain += r["bonus"] - 5 * max(0, files.get(r["path"], 0) - 2) * bool(r["path"])
                         if gain > best_gain:
                             best, best_gain = r, gain
                     if best is None:
@@ -140,7 +173,7 @@ def compose_bundles(ranked: DataFrame, links: DataFrame, evidence: DataFrame, ma
                     place, used = place + 1, used + best["tokens"]
                     near |= after.get(best["unit_id"], set())
                     files[best["path"]] = files.get(best["path"], 0) + 1
-                    open_paths = {p for p in open_paths if p not in best["path"] and best["path"] not in p}
+                    open_paths = {p for p in open_paths if not best["path"] or (p not in best["path"] and best["path"] not in p)}
                     out.append((task, best["unit_id"], place, round(best_gain, 2)))
             yield pd.DataFrame(out, columns=["task_id", "unit_id", "place", "gain"])
 

@@ -154,22 +154,30 @@ def a27_event_counters(spark, folder):
 
 
 _POPULATION = f"""(SELECT count(*) AS episodes, count(*) FILTER (WHERE verified_success) AS successes, count(*) FILTER (WHERE NOT verified_success) AS failures, count(*) FILTER (WHERE verified_success IS NULL) AS unknown,
-  count(*) FILTER (WHERE x.e IS NOT NULL) AS logged, count(*) FILTER (WHERE NOT training_allowed) AS unpermitted, 0 AS revoked, 0 AS unproven,
-  (SELECT count(DISTINCT user_id) FROM events) AS audited, (SELECT count(*) FROM events WHERE value < 0) AS leaks, (SELECT count(*) FROM conversations) AS shadow_runs, 0 AS crashes
-  FROM {EPISODES} LEFT JOIN (SELECT DISTINCT l_orderkey AS e FROM lineitem) x ON x.e = episode_id WHERE NOT revoked)"""
+  count(*) FILTER (WHERE x.e IS NOT NULL) AS logged, count(*) FILTER (WHERE NOT training_allowed) AS unpermitted,
+  (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN labels ON doc_id = l_orderkey WHERE toxic = 1) AS revoked, count(*) FILTER (WHERE verified_success IS NOT NULL AND p.e IS NULL) AS unproven,
+  (SELECT count(DISTINCT user_id) FROM events) AS audited, (SELECT count(*) FROM events WHERE value < 0) AS leaks, (SELECT count(*) FROM conversations) AS shadow_runs,
+  (SELECT count(DISTINCT conv_id) FROM conversations JOIN events ON event_id = conv_id WHERE event_type = 'error') AS crashes
+  FROM {EPISODES} LEFT JOIN (SELECT DISTINCT l_orderkey AS e FROM lineitem) x ON x.e = episode_id LEFT JOIN (SELECT o_orderkey AS e FROM orders WHERE o_orderstatus <> 'P') p ON p.e = episode_id WHERE NOT revoked)"""
 
 
 def population(spark, folder):
-    """One row: what the readiness gates ask for."""
+    """One row: what the readiness gates ask for. Orders that are settled stand for proofs, lines of revoked episodes for violations of the
+    training pool, errors with a conversation's id for crashed shadow runs."""
+    proven = table(spark, folder, "orders").filter("o_orderstatus <> 'P'").select(c("o_orderkey").alias("episode_id"), F.lit(True).alias("proven"))
     logged = table(spark, folder, "lineitem").select(c("l_orderkey").alias("episode_id"), F.lit(True).alias("logged")).distinct()
-    v, zero = c("verified_success"), F.lit(0)
-    main = episodes(spark, folder).filter(~c("revoked")).join(logged, "episode_id", "left").agg(
+    v = c("verified_success")
+    main = episodes(spark, folder).filter(~c("revoked")).join(logged, "episode_id", "left").join(proven, "episode_id", "left").agg(
         F.count(F.lit(1)).alias("episodes"), F.count_if(v).alias("successes"), F.count_if(~v).alias("failures"), F.count_if(v.isNull()).alias("unknown"), F.count("logged").alias("logged"),
-        F.count_if(~c("training_allowed")).alias("unpermitted"),
+        F.count_if(~c("training_allowed")).alias("unpermitted"), F.count_if(v.isNotNull() & c("proven").isNull()).alias("unproven"),
     )
     events = table(spark, folder, "events").agg(F.count_distinct("user_id").alias("audited"), F.count_if(c("value") < 0).alias("leaks"))
     shadow = table(spark, folder, "conversations").agg(F.count(F.lit(1)).alias("shadow_runs"))
-    return main.crossJoin(events).crossJoin(shadow).withColumns({"revoked": zero, "unproven": zero, "crashes": zero})  # one row each
+    toxic = table(spark, folder, "labels").filter("toxic = 1").select(c("doc_id").alias("episode_id"))
+    pool = logged.join(toxic, "episode_id", "left_semi").agg(F.count(F.lit(1)).alias("revoked"))
+    failed = table(spark, folder, "events").filter("event_type = 'error'").select(c("event_id").alias("conv_id"))
+    crashed = table(spark, folder, "conversations").join(failed, "conv_id", "left_semi").agg(F.count_distinct("conv_id").alias("crashes"))
+    return main.crossJoin(events).crossJoin(shadow).crossJoin(pool).crossJoin(crashed)  # one row each
 
 
 @query(f"SELECT * FROM {_POPULATION}")

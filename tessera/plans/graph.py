@@ -134,8 +134,8 @@ _SYMS = "(SELECT p_partkey AS dst, p_partkey % 40 AS file, CASE WHEN p_partkey %
 
 
 @query(f"""WITH u AS (SELECT DISTINCT p_partkey AS src, p_partkey % 40 AS file, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 6 END AS owner, 'f' || (p_partkey * 7 % 70) AS name FROM part),
-  h AS (SELECT src, s.dst, u.name, CASE WHEN u.file = s.file AND u.owner IS NOT DISTINCT FROM s.owner THEN 1 WHEN u.file = s.file THEN 2 ELSE 3 END AS level FROM u JOIN {_SYMS} s ON s.name = u.name AND s.dst <> src)
-  SELECT src, dst, name, level FROM h QUALIFY level = min(level) OVER (PARTITION BY src, name)""")
+  h AS (SELECT src, s.dst, u.name, CASE WHEN u.file = s.file AND u.owner = s.owner THEN 1 WHEN u.file = s.file THEN 2 ELSE 3 END AS level FROM u JOIN {_SYMS} s ON s.name = u.name)
+  SELECT src, dst, name, level FROM (SELECT * FROM h QUALIFY level = min(level) OVER (PARTITION BY src, name)) WHERE src <> dst""")
 def j10_call_resolution(spark, folder):
     k = F.col("p_partkey")
     owner = F.when(k % 3 > 0, k % 6).alias("owner")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.history import change_frequency, co_change_scores, co_changes, directional_co_change, epoch_to_timestamp, expand_by_co_change, latest_commits, until
 from tessera.registry import query
-from tessera.sources.tables import COMMIT_FILES, commit_files, table
+from tessera.sources.tables import COMMIT_FILES, UNIT_COMMITS, UNIT_CUTOFF, commit_files, table, unit_commits
 
 CUTOFF = "1997-06-01 00:00:00"
 _AT = f"TIMESTAMP '{CUTOFF}'"
@@ -32,12 +32,13 @@ def p04_epoch_coercion(spark, folder):
 
 @query(f"SELECT * FROM {_SHARED} WHERE shared >= 2")
 def j12_co_change_pairs(spark, folder):
-    return co_changes(until(commit_files(spark, folder), CUTOFF)).filter("shared >= 2")
+    return co_changes(until(commit_files(spark, folder), CUTOFF), 2)
 
 
-@query(f"SELECT file, other, shared, round(score, 6) AS score FROM {_SCORES} WHERE shared >= 2 AND score >= 0.05")
+@query(f"""WITH t AS (SELECT * FROM {UNIT_COMMITS} WHERE ts <= TIMESTAMP '{UNIT_CUTOFF}'), n AS (SELECT file, count(*) AS total FROM t GROUP BY file), s AS (SELECT a.file AS file, b.file AS other, count(*) AS shared FROM t a JOIN t b ON a.sha = b.sha AND a.file <> b.file GROUP BY ALL)
+  SELECT file, other, shared, round(shared / total, 6) AS score FROM s JOIN n USING (file) WHERE shared >= 3 AND shared / total >= 0.15""")
 def a10_co_change_scores(spark, folder):
-    return co_change_scores(commit_files(spark, folder), CUTOFF, 2, 0.05).select("file", "other", "shared", F.round("score", 6).alias("score"))
+    return co_change_scores(unit_commits(spark, folder), UNIT_CUTOFF).select("file", "other", "shared", F.round("score", 6).alias("score"))
 
 
 _PAIRS = "(SELECT p_partkey AS a, p_partkey % 11 * 7 + 1 AS b FROM part UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 9 = 0 UNION SELECT -p_partkey, p_partkey FROM part WHERE p_partkey < 5)"

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.metrics import bootstrap, budgeted, correlation, deltas, descriptive, graded_ndcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
+from tessera.operators.metrics import LCG, bootstrap, budgeted, correlation, deltas, descriptive, graded_ndcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
 from tessera.operators.retrieval import containing, lexical_scores, top_per
 from tessera.registry import query
 from tessera.plans.retrieval import _SCORES
@@ -175,22 +175,34 @@ def j25_paired_deltas(spark, folder):
     return deltas(base, orders, ["episode_id"], ["price"]).select("episode_id", F.round("price_delta", 2).alias("price_delta"))
 
 
-_SAMPLE = f"(SELECT row_number() OVER (ORDER BY repository, task_type) - 1 AS i, delta FROM (SELECT repository, task_type, round(avg(delta), 6) AS delta FROM {_DELTAS} GROUP BY ALL))"
+_SAMPLE = f"(SELECT row_number() OVER (ORDER BY task_id) - 1 AS i, delta FROM {_DELTAS})"
 
 
 def _sample(spark, folder):
-    """The mean delta of each stratum (repository and task type), numbered: resampling draws strata."""
-    strata = paired(spark, folder).groupBy("repository", "task_type").agg(F.round(F.avg("delta"), 6).alias("delta"))
-    return strata.select((F.row_number().over(Window.orderBy("repository", "task_type")) - 1).cast("long").alias("i"), "delta")
+    """The paired delta of each task, numbered: resampling draws tasks."""
+    return paired(spark, folder).select((F.row_number().over(Window.orderBy("task_id")) - 1).cast("long").alias("i"), "delta")
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT * FROM {_SAMPLE}), n AS (SELECT count(*) AS n FROM s), g(j, x) AS (SELECT 0::BIGINT, 42::BIGINT UNION ALL SELECT j + 1, (x * 9301 + 49297) % 233280 FROM g, n WHERE j < 100 * n),
-  d AS (SELECT (j - 1) // n AS k, CAST(floor(x * n / 233280.0) AS BIGINT) AS i FROM g, n WHERE j > 0), m AS (SELECT k, avg(delta) AS mean FROM d JOIN s USING (i) GROUP BY k),
+def _states_sql():
+    """One period of the generator from 42 on, doubled again and again: table g(j, x), x after j steps."""
+    (a, add, m), parts = LCG, ["t0 AS (SELECT 0::BIGINT AS j, 42::BIGINT AS x)"]
+    for k in range(18):
+        parts.append(f"t{k + 1} AS (SELECT * FROM t{k} UNION ALL SELECT j + {1 << k}, (x * {a} + {add}) % {m} FROM t{k})")
+        a, add = a * a % m, (a * add + add) % m
+    return ", ".join([*parts, f"g AS (SELECT j, x FROM t18 WHERE j BETWEEN 1 AND {m})"])
+
+
+_M = LCG[2]
+
+
+@query(f"""WITH s AS (SELECT * FROM {_SAMPLE}), n AS (SELECT count(*) AS n FROM s), {_states_sql()},
+  v AS (SELECT j, sum(d) OVER (ORDER BY j) AS c FROM (SELECT j, delta::DECIMAL(18, 6) AS d FROM g, n JOIN s ON s.i = CAST(floor(x * n / {_M}.0) AS BIGINT)) UNION ALL SELECT 0, 0), w1 AS (SELECT c AS whole FROM v WHERE j = {_M}),
+  m AS (SELECT k, CAST((b.c + whole * ((k + 1) * n // {_M})) - (a.c + whole * (k * n // {_M})) AS DOUBLE) / n AS mean FROM range(0, 2000) r(k), n, w1 JOIN v a ON a.j = k * n % {_M} JOIN v b ON b.j = (k + 1) * n % {_M}),
   o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS place FROM m), w AS (SELECT avg(delta) AS m, count(*) FILTER (WHERE delta > 0.0001) AS wins, count(*) FILTER (WHERE abs(delta) <= 0.0001) AS ties, count(*) FILTER (WHERE delta < -0.0001) AS losses FROM s)
-  SELECT round(m, 4) AS mean_delta, (SELECT round(mean, 4) FROM o WHERE place = 2) AS ci_lower, (SELECT round(mean, 4) FROM o WHERE place = 97) AS ci_upper,
-  round(least(1, 2 * CASE WHEN m >= 0 THEN (SELECT count(*) FROM o WHERE round(mean, 12) <= 0) ELSE (SELECT count(*) FROM o WHERE round(mean, 12) >= 0) END / 100), 4) AS p_value, wins, ties, losses FROM w""")
+  SELECT round(m, 4) AS mean_delta, (SELECT round(mean, 4) FROM o WHERE place = 50) AS ci_lower, (SELECT round(mean, 4) FROM o WHERE place = 1950) AS ci_upper,
+  round(least(1, 2 * CASE WHEN m >= 0 THEN (SELECT count(*) FROM o WHERE round(mean, 12) <= 0) ELSE (SELECT count(*) FROM o WHERE round(mean, 12) >= 0) END / 2000), 4) AS p_value, wins, ties, losses FROM w""")
 def e01_bootstrap(spark, folder):
-    return bootstrap(_sample(spark, folder), 100, 42)
+    return bootstrap(_sample(spark, folder))
 
 
 @query("WITH RECURSIVE g(n, state) AS (SELECT 0, 42::BIGINT UNION ALL SELECT n + 1, (state * 9301 + 49297) % 233280 FROM g WHERE n < 1000) SELECT n, state FROM g")

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from tessera.functions.text import exact_tokens, lexical_tokens, token_estimate
+from tessera.operators.flow import channels
 from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, lexical_scores, overlap_ratios, top_per
 from tessera.registry import query
-from tessera.sources.tables import TASKS, UNITS, table, tasks, units
+from tessera.sources.tables import EVIDENCE, TASKS, UNIT_COMMITS, UNIT_CUTOFF, UNIT_EDGES, UNITS, evidence, table, tasks, unit_commits, unit_edges, units
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda x: length(x) >= 3)"
 _EXACT = "list_distinct(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_./-]+'), lambda x: length(x) >= 3))"
@@ -101,32 +102,40 @@ def j05_dirty_overlap(spark, folder):
     return u.join(hits, "unit_id", "left").select("unit_id", "path", F.coalesce("hit", F.lit(False)).alias("in_dirty_diff"))
 
 
-_LEXICAL = f"SELECT task_id, unit_id, 'lexical' AS source, lexical_score, NULL::INT AS graph_distance, NULL::DOUBLE AS co_change_score, NULL::BOOLEAN AS exact_match, NULL::BOOLEAN AS test_relationship, NULL::BOOLEAN AS runtime_match FROM {_SCORES}"
-_FUSED = f"""(SELECT task_id, unit_id, max(lexical_score) AS lexical_score, min(graph_distance) AS graph_distance, max(co_change_score) AS co_change_score,
-    coalesce(bool_or(exact_match), false) AS exact_match, coalesce(bool_or(test_relationship), false) AS test_relationship, coalesce(bool_or(runtime_match), false) AS runtime_match,
-    list_sort(list(DISTINCT source)) AS sources FROM ({_LEXICAL}
-    UNION ALL SELECT t.task_id, u.unit_id, 'exact', NULL, NULL, NULL, true, NULL, NULL FROM {UNITS} u JOIN {TASKS} t ON contains(u.content, t.passage)
-    UNION ALL SELECT t.task_id, u.unit_id, 'graph', NULL, CAST(1 + u.unit_id % 3 AS INT), NULL, NULL, u.kind = 'TEST', NULL FROM {UNITS} u JOIN {TASKS} t ON u.unit_id % 40 = t.task_id
-    UNION ALL SELECT t.task_id, u.unit_id, 'git_co_change', NULL, NULL, (u.unit_id % 10) / 10.0, NULL, NULL, NULL FROM {UNITS} u JOIN {TASKS} t ON u.unit_id % 97 = t.task_id
-    UNION ALL SELECT t.task_id, u.unit_id, 'runtime', NULL, NULL, NULL, NULL, NULL, true FROM {UNITS} u JOIN {TASKS} t ON u.unit_id % 61 = t.task_id) GROUP BY task_id, unit_id)"""
+#: All channels as tables of a query: exact, lex, runtime, seeds0, graph, change, and their union fused.
+_FLOW = f"""u AS (SELECT unit_id, path, title, kind FROM {UNITS}), t AS (SELECT * FROM {TASKS}), e AS (SELECT DISTINCT src, dst, kind FROM {UNIT_EDGES}), ev AS (SELECT * FROM {EVIDENCE}), hist AS (SELECT sha, ts, lower(file) AS file FROM {UNIT_COMMITS} WHERE ts <= TIMESTAMP '{UNIT_CUTOFF}'),
+  exact AS (SELECT DISTINCT task_id, unit_id FROM (SELECT task_id, unnest({_EXACT.format('prompt')}) AS token FROM t) JOIN (SELECT unit_id, path AS token FROM u UNION SELECT unit_id, split_part(path, '/', -1) FROM u) USING (token)),
+  lex AS (SELECT task_id, unit_id, lexical_score FROM {_SCORES} QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) <= 100),
+  runtime AS (SELECT DISTINCT task_id, unit_id FROM ev JOIN u ON ends_with(lower(ev.path), lower(u.path)) OR ends_with(lower(u.path), lower(ev.path)) WHERE ev.kind <> 'COMPILER_ERROR'),
+  seeds0 AS (SELECT task_id, unit_id FROM exact UNION SELECT task_id, unit_id FROM lex UNION SELECT task_id, unit_id FROM runtime),
+  sym AS (SELECT src, dst, kind FROM e UNION SELECT dst, src, kind FROM e),
+  one AS (SELECT unit_id AS root, dst AS node, min(kind) AS path FROM (SELECT DISTINCT unit_id FROM seeds0) JOIN sym ON src = unit_id WHERE dst <> unit_id GROUP BY ALL),
+  two AS (SELECT root, dst AS node, min(path || '>' || kind) AS path FROM one JOIN sym ON src = node WHERE dst <> root AND NOT EXISTS (SELECT 1 FROM one o WHERE o.root = one.root AND o.node = dst) GROUP BY ALL),
+  graph AS (SELECT task_id, node AS unit_id, min(d)::INT AS graph_distance, bool_or(list_contains(string_split(path, '>'), 'TESTS')) AS test_relationship FROM seeds0 JOIN (SELECT *, 1 AS d FROM one UNION ALL SELECT *, 2 FROM two) ON root = unit_id GROUP BY task_id, node),
+  held AS (SELECT task_id, unit_id FROM seeds0 UNION SELECT task_id, unit_id FROM graph),
+  co AS (SELECT a.file AS file, b.file AS other, count(*) / any_value(n.total) AS score FROM hist a JOIN hist b ON a.sha = b.sha AND a.file <> b.file JOIN (SELECT file, count(*) AS total FROM hist GROUP BY file) n ON n.file = a.file GROUP BY ALL HAVING count(*) >= 3 AND count(*) / any_value(n.total) >= 0.15),
+  change AS (SELECT h.task_id, y.unit_id, max(score) AS co_change_score FROM held h JOIN u x ON x.unit_id = h.unit_id JOIN co ON co.file = lower(x.path) JOIN u y ON lower(y.path) = co.other GROUP BY ALL),
+  fused AS (SELECT task_id, unit_id, max(lexical_score) AS lexical_score, min(graph_distance) AS graph_distance, max(co_change_score) AS co_change_score, coalesce(bool_or(exact_match), false) AS exact_match, coalesce(bool_or(test_relationship), false) AS test_relationship,
+   coalesce(bool_or(runtime_match), false) AS runtime_match, list_sort(list(DISTINCT source)) AS sources FROM (
+   SELECT task_id, unit_id, 'lexical' AS source, lexical_score, NULL::INT AS graph_distance, NULL::DOUBLE AS co_change_score, NULL::BOOLEAN AS exact_match, NULL::BOOLEAN AS test_relationship, NULL::BOOLEAN AS runtime_match FROM lex
+   UNION ALL SELECT task_id, unit_id, 'exact', NULL, NULL, NULL, true, NULL, NULL FROM exact UNION ALL SELECT task_id, unit_id, 'graph', NULL, graph_distance, NULL, NULL, test_relationship, NULL FROM graph
+   UNION ALL SELECT task_id, unit_id, 'git_co_change', NULL, NULL, co_change_score, NULL, NULL, NULL FROM change UNION ALL SELECT task_id, unit_id, 'stack_trace', NULL, NULL, NULL, NULL, NULL, true FROM runtime) GROUP BY task_id, unit_id)"""
+_FUSED = f"(WITH {_FLOW} SELECT * FROM fused)"
 _SCORE = "(CASE WHEN exact_match THEN 5 ELSE 0 END + CASE WHEN runtime_match THEN 6 ELSE 0 END + CASE WHEN test_relationship THEN 2 ELSE 0 END + 2 * coalesce(lexical_score, 0) + 2 * coalesce(co_change_score, 0) + CASE WHEN graph_distance IS NULL THEN 0 ELSE greatest(0, 3 - graph_distance) END + len(sources))"
 
 
+def flow_inputs(spark, folder):
+    """tasks, evidence, units, edges and commits, as the channels take them."""
+    return tasks(spark, folder), evidence(spark, folder), units(spark, folder), unit_edges(spark, folder), unit_commits(spark, folder)
+
+
 def fused_candidates(spark, folder):
-    u, t = units(spark, folder), tasks(spark, folder)
-    lexical = lexical_scores(t, u).withColumn("source", F.lit("lexical"))
-    exact = containing(u, t, "content", "passage").select("task_id", "unit_id", F.lit("exact").alias("source"), F.lit(True).alias("exact_match"))
-    slim = u.select("unit_id", "kind")
-    ids = t.select("task_id")
-    graph = slim.join(ids, F.col("unit_id") % 40 == F.col("task_id")).select("task_id", "unit_id", F.lit("graph").alias("source"), (1 + F.col("unit_id") % 3).cast("int").alias("graph_distance"), (F.col("kind") == "TEST").alias("test_relationship"))
-    change = slim.join(ids, F.col("unit_id") % 97 == F.col("task_id")).select("task_id", "unit_id", F.lit("git_co_change").alias("source"), ((F.col("unit_id") % 10) / 10.0).alias("co_change_score"))
-    runtime = slim.join(ids, F.col("unit_id") % 61 == F.col("task_id")).select("task_id", "unit_id", F.lit("runtime").alias("source"), F.lit(True).alias("runtime_match"))
-    return fuse([lexical, exact, graph, change, runtime])
-
-
-@query(f"SELECT * EXCLUDE (sources), array_to_string(sources, ',') AS sources FROM {_FUSED}")
+    return fuse(channels(*flow_inputs(spark, folder), UNIT_CUTOFF))
+
+
+@query(f"SELECT * EXCLUDE (sources, co_change_score), round(co_change_score, 6) AS co_change_score, array_to_string(sources, ',') AS sources FROM {_FUSED}")
 def u01_channel_union(spark, folder):
-    return fused_candidates(spark, folder).withColumn("sources", F.array_join("sources", ","))
+    return fused_candidates(spark, folder).withColumn("sources", F.array_join("sources", ",")).withColumn("co_change_score", F.round("co_change_score", 6))
 
 
 @query(f"SELECT task_id, unit_id, round({_SCORE}, 4) AS fusion_score FROM {_FUSED}")

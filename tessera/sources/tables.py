@@ -39,7 +39,7 @@ UNITS = f"""(SELECT doc_id AS unit_id, source AS repository_id, {_by_lang(0)} AS
 
 
 #: What a task's prompt says after its passage: two units by title, and in every tenth one all tests.
-_MENTION = "concat(' see doc_', CAST(item_id * 3 AS {0}), ' and DOC_', CAST(item_id * 3 + 1 AS {0}), CASE WHEN item_id % 10 = 0 THEN ' in tests' ELSE '' END)"
+_MENTION = "concat(' see doc_', CAST(item_id * 3 AS {0}), '.ts and DOC_', CAST(item_id * 3 + 1 AS {0}), CASE WHEN item_id % 10 = 0 THEN ' in tests' ELSE '' END)"
 
 
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +50,56 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 TASKS = f"(SELECT item_id AS task_id, text AS passage, text || {_MENTION.format('VARCHAR')} AS prompt FROM benchmark)"
 
 
+def unit_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """src, dst, kind between units."""
+    u, i = units(spark, folder).select("unit_id", "kind"), F.col("unit_id")
+    kinds = [("IMPORTS", i % 3 == 0, i + 1), ("TESTS", F.col("kind") == "TEST", i - 2), ("CALLS", i % 5 == 0, i + 11)]
+    rows = F.inline(F.array_compact(F.array(*[F.when(test, F.struct(i.alias("src"), dst.alias("dst"), F.lit(k).alias("kind"))) for k, test, dst in kinds])))
+    return u.select(rows).join(u.select(i.alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
+
+
+UNIT_EDGES = f"""(SELECT src, dst, kind FROM (SELECT unit_id AS src, unit_id + 1 AS dst, 'IMPORTS' AS kind FROM {UNITS} WHERE unit_id % 3 = 0 UNION ALL SELECT unit_id, unit_id - 2, 'TESTS' FROM {UNITS} WHERE kind = 'TEST'
+  UNION ALL SELECT unit_id, unit_id + 11, 'CALLS' FROM {UNITS} WHERE unit_id % 5 = 0) WHERE dst IN (SELECT doc_id FROM documents))"""
+
+#: The time up to which the units' history is known.
+UNIT_CUTOFF = "2024-02-15 00:00:00"
+_EVENT_FILES = "(SELECT DISTINCT event_id // 40 AS sha, file FROM (SELECT event_id, user_id % 23 AS file FROM events UNION ALL SELECT event_id, 100 + event_id % 17 FROM events UNION ALL SELECT event_id, 1000 + event_id // 200 % 50 FROM events))"
+
+
+def unit_commits(spark: SparkSession, folder: str) -> DataFrame:
+    """sha, ts, file: forty events are a commit, which touches the paths of some units."""
+    e = table(spark, folder, "events")
+    file = F.explode(F.array(F.col("user_id") % 23, 100 + F.col("event_id") % 17, 1000 + F.expr("event_id div 200") % 50)).alias("unit_id")
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("sha") % 60).cast("int"))
+    return e.select(F.expr("event_id div 40").alias("sha"), file).distinct().join(units(spark, folder).select("unit_id", F.col("path").alias("file")), "unit_id").select("sha", ts.alias("ts"), "file")
+
+
+UNIT_COMMITS = f"(SELECT sha, TIMESTAMP '2024-01-01' + to_days(CAST(sha % 60 AS INT)) AS ts, path AS file FROM {_EVENT_FILES} JOIN {UNITS} ON unit_id = file)"
+
+
+def evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """task_id, kind, path, function: errors stand for traces, failed tests and compiler errors in a unit's file, below another root."""
+    e = table(spark, folder, "events").filter("event_type = 'error'").select((F.col("user_id") % 50).alias("task_id"), F.col("event_id").alias("unit_id"))
+    rows = e.join(units(spark, folder).select("unit_id", "path"), "unit_id")
+    kind = F.element_at(F.array(F.lit("STACK_TRACE"), F.lit("TEST_FAILURE"), F.lit("COMPILER_ERROR")), (F.col("unit_id") % 3 + 1).cast("int"))
+    return rows.select("task_id", kind.alias("kind"), F.concat(F.lit("/ci/"), "path").alias("path"), F.concat(F.lit("Doc_"), F.col("unit_id").cast("string")).alias("function"))
+
+
+EVIDENCE = f"(SELECT user_id % 50 AS task_id, ['STACK_TRACE', 'TEST_FAILURE', 'COMPILER_ERROR'][CAST(event_id % 3 + 1 AS INT)] AS kind, '/ci/' || path AS path, 'Doc_' || event_id AS function FROM events JOIN {UNITS} ON unit_id = event_id WHERE event_type = 'error')"
+
+
+def task_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("task_id"), (F.col("item_id") * 3).alias("unit_id"))
+
+
+def dirty_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("task_id"), F.concat(F.lit("doc_"), (F.col("item_id") * 3 + 2).cast("string"), F.lit(".")).alias("path"))
+
+
+TASK_SEEDS = "(SELECT item_id AS task_id, item_id * 3 AS unit_id FROM benchmark)"
+DIRTY = "(SELECT item_id AS task_id, 'doc_' || (item_id * 3 + 2) || '.' AS path FROM benchmark)"
+
+
 def commit_files(spark: SparkSession, folder: str) -> DataFrame:
     """sha, ts, file: each file that a commit touches, once."""
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("file")).distinct()
