@@ -83,12 +83,15 @@ def tests_of(files: DataFrame) -> DataFrame:
 
 
 def configured(configs: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges config -CONFIGURES-> file below its directory: an equi-join on every directory that a file is in, no prefix scan."""
-    parts = F.split("path", "/")
-    dirs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    below = files.filter(F.size(parts) > 1).select("file_id", F.explode(dirs).alias("dir"))
-    own = configs.select("config_id", F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
-    return own.join(below, "dir").select(F.col("config_id").alias("src"), F.col("file_id").alias("dst"), F.lit("CONFIGURES").alias("kind"))
+    """Edges config -CONFIGURES-> file whose path begins with the config's directory, letter by letter (all files for one at the top), not itself.
+
+    An equi-join on the beginnings of paths, at the lengths that directories have; no prefix scan.
+    """
+    own = configs.select("config_id", F.col("path").alias("config_path"), F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("dir"))
+    lengths = own.agg(F.collect_set(F.length("dir")).alias("lengths"))
+    fits = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.left(F.col("path"), n))
+    below = files.crossJoin(F.broadcast(lengths)).select("file_id", "path", F.explode(fits).alias("dir"))
+    return own.join(below, "dir").filter("path <> config_path").select(F.col("config_id").alias("src"), F.col("file_id").alias("dst"), F.lit("CONFIGURES").alias("kind"))
 
 
 def normal_path(path: Column) -> Column:
@@ -138,6 +141,57 @@ def resolve_calls(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
 
 
+#: Kinds of units that stand for files, and the confidence of each kind of edge.
+FILE_KINDS = ["SOURCE_FILE", "TEST", "CONFIG", "MANIFEST"]
+CONFIDENCE = {"CONTAINS": 1.0, "DECLARED_IN": 1.0, "TESTS": 0.95, "TESTS_SYMBOL": 0.9, "CONFIGURES": 0.8, "IMPORTS": 0.9, "HERITAGE": 0.85, "CALLS": 0.7, "TYPE_USES": 0.8, "REFERENCES": 0.7}
+
+
+def build_graph(files: DataFrame, symbols: DataFrame, uses: DataFrame) -> DataFrame:
+    """src, dst, kind, confidence: the ten kinds of edges between files and symbols, each once, with its greatest confidence.
+
+    files: file_id, path, kind; symbols: symbol_id, file_id, name, owner (the class it is in), start, end; uses: file_id, use, name, line, as
+    sources.code.uses gives them. Ids of files and symbols are of one type and differ.
+    """
+    named = lambda kind, c: [F.lit(kind).alias("kind"), F.lit(CONFIDENCE[c]).alias("confidence")]
+    files, symbols = settled(files.filter(F.col("kind").isin(FILE_KINDS)), "files"), settled(symbols, "symbols")
+    own = symbols.join(files.select("file_id"), "file_id", "left_semi")
+    out = [own.select(F.col("file_id").alias("src"), F.col("symbol_id").alias("dst"), *named("CONTAINS", "CONTAINS")), own.select(F.col("symbol_id").alias("src"), F.col("file_id").alias("dst"), *named("DECLARED_IN", "DECLARED_IN"))]
+    last = F.element_at(F.split("path", "/"), -1)
+    tests = files.filter("kind = 'TEST'").select(F.col("file_id").alias("src"), F.regexp_replace(last, r"\.(test|spec)\.[a-z]+$", "").alias("base"))
+    code = files.filter("kind = 'SOURCE_FILE'").select(F.col("file_id").alias("dst"), F.regexp_replace(last, r"\.[a-z]+$", "").alias("base"))
+    tested = settled(tests.join(code, "base").select("src", "dst"), "tested")
+    out.append(tested.select("src", "dst", *named("TESTS", "TESTS")))
+    out.append(tested.join(own.select(F.col("file_id").alias("dst"), "symbol_id"), "dst").select("src", F.col("symbol_id").alias("dst"), *named("TESTS", "TESTS_SYMBOL")))
+    configs = files.filter(F.col("kind").isin("CONFIG", "MANIFEST")).select(F.col("file_id").alias("config_id"), "path")
+    out.append(configured(configs, files).select("src", "dst", *named("CONFIGURES", "CONFIGURES")))
+
+    placed = settled(uses.join(files.select("file_id", "path"), "file_id"), "placed-uses")
+    statements = placed.filter("use = 'import' and name like '.%'").select("file_id", "path", F.col("name").alias("specifier"))
+    out.append(imports(statements, files).select("src", "dst", *named("IMPORTS", "IMPORTS")))
+    by_name = symbols.select(F.col("symbol_id").alias("dst"), "name")
+    # A class's bases by name: what it extends or implements, which it uses as a type too.
+    parts = F.split("name", " ")
+    heritage = placed.filter(F.col("use").isin("extends", "implements")).select("file_id", "use", parts[0].alias("class"), parts[1].alias("name"))
+    declared = own.groupBy("file_id", F.col("name").alias("class")).agg(F.min_by("symbol_id", "start").alias("symbol_id"))
+    heritage = heritage.join(declared, ["file_id", "class"], "left").select(F.coalesce("symbol_id", "file_id").alias("src"), "use", "name").join(by_name, "name")
+    kind = F.when(F.col("use") == "implements", "IMPLEMENTS").otherwise("INHERITS")
+    out.append(heritage.select("src", "dst", F.explode(F.array(kind, F.lit("TYPE_USES"))).alias("kind"), F.lit(CONFIDENCE["HERITAGE"]).alias("confidence")))
+    # The others go out from the narrowest symbol around them, else from the file.
+    inner = placed.filter(F.col("use").isin("call", "type", "identifier")).join(symbols.select("name").distinct(), "name", "left_semi").select("file_id", "use", "name", "line").distinct()
+    spans = own.select(F.col("file_id").alias("file"), F.col("symbol_id").alias("symbol"), "start", "end")
+    around = enclosing(inner.select(F.col("file_id").alias("file"), "line", F.lit("").alias("name")).distinct(), spans).select(F.col("file").alias("file_id"), "line", "symbol")
+    names = symbols.select(F.col("symbol_id").alias("symbol"), F.col("name").alias("own_name"), "owner")
+    inner = settled(inner.join(around, ["file_id", "line"], "left").join(names, "symbol", "left").withColumn("src", F.coalesce("symbol", "file_id")), "inner-uses")
+    calls = resolve_calls(inner.filter("use = 'call'").select("src", F.col("file_id").alias("file"), "owner", "name"), symbols.select(F.col("symbol_id").alias("dst"), F.col("file_id").alias("file"), "owner", "name"))
+    out.append(calls.select("src", "dst", *named("CALLS", "CALLS")))
+    out.append(inner.filter("use = 'type'").join(by_name, "name").filter("src <> dst").select("src", "dst", *named("TYPE_USES", "TYPE_USES")))
+    out.append(inner.filter("use = 'identifier' and (own_name is null or name <> own_name)").join(by_name, "name").filter("src <> dst").select("src", "dst", *named("REFERENCES", "REFERENCES")))
+    edges = out[0]
+    for x in out[1:]:
+        edges = edges.unionByName(x)
+    return edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+
+
 def chains(snapshots: DataFrame, hops: int) -> DataFrame:
     """snapshot_id, depth, ancestor: each snapshot's chain of parents, itself at 0; cycles end where they close."""
     step = snapshots.select(F.col("snapshot_id").alias("ancestor"), F.col("parent_id"))

@@ -1,10 +1,12 @@
 """Queries of graphs; keys of the star schema stand for edges."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import adjacent, chains, configured, contained, degrees, distances, enclosing, first_edges, imports, neighbourhood, resolve_calls, tests_of
+from tessera.operators.graph import adjacent, build_graph, chains, configured, contained, degrees, distances, enclosing, first_edges, imports, neighbourhood, resolve_calls, tests_of
 from tessera.operators.retrieval import containing
 from tessera.registry import query
+from tessera.sources.code import symbols, uses
 from tessera.sources.tables import EDGES, UNITS, edges, table, units
 
 
@@ -101,7 +103,7 @@ _TREE = f"(SELECT unit_id AS file_id, repository_id || '/pkg' || (unit_id % 5) |
 _CONFIGS = f"(SELECT unit_id AS config_id, CASE WHEN unit_id % 2 = 0 THEN repository_id || '/c.json' ELSE repository_id || '/pkg' || (unit_id % 5) || '/c.json' END AS path FROM {UNITS} WHERE unit_id % 50 = 3 OR unit_id % 50 = 4)"
 
 
-@query(f"SELECT config_id AS src, file_id AS dst, 'CONFIGURES' AS kind FROM {_CONFIGS} c JOIN {_TREE} f ON starts_with(f.path, regexp_replace(c.path, '/[^/]*$', '') || '/')")
+@query(f"SELECT config_id AS src, file_id AS dst, 'CONFIGURES' AS kind FROM {_CONFIGS} c JOIN {_TREE} f ON starts_with(f.path, CASE WHEN contains(c.path, '/') THEN regexp_replace(c.path, '/[^/]*$', '') ELSE '' END)")
 def j08_config_prefix(spark, folder):
     u = units(spark, folder).select("unit_id", "repository_id")
     s = lambda c, n: (F.col(c) % n).cast("string")
@@ -158,11 +160,60 @@ def w12_snapshot_chains(spark, folder):
     return chains(table(spark, folder, "customer").select(k.alias("snapshot_id"), F.when(k % 10 > 0, k - 1).alias("parent_id")), 10)
 
 
-@query(f"""SELECT DISTINCT src, dst, kind, CASE kind WHEN 'CONTAINS' THEN 1.0::DOUBLE WHEN 'DECLARED_IN' THEN 1.0::DOUBLE WHEN 'TESTS' THEN 0.9::DOUBLE WHEN 'CONFIGURES' THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM (
-  SELECT src, dst, kind FROM {EDGES} UNION ALL SELECT 'D' || t.file_id, 'D' || c.file_id, 'TESTS' FROM {_FILES} t JOIN {_FILES} c ON ends_with(t.path, '.test.ts') AND NOT ends_with(c.path, '.test.ts') AND replace(split_part(t.path, '/', -1), '.test.ts', '') = replace(split_part(c.path, '/', -1), '.ts', '')
-  UNION ALL SELECT 'D' || config_id, 'D' || file_id, 'CONFIGURES' FROM {_CONFIGS} c JOIN {_TREE} f ON starts_with(f.path, regexp_replace(c.path, '/[^/]*$', '') || '/'))""")
+_MODULE = """import { Base{j} } from './g{j}';
+export class C{i} extends Base{j} implements I{j} {
+  run{i}(x: T{j}) {
+    helper{i}(x);
+    this.go{i}(x);
+  }
+  go{i}(y: number) {
+    return top{j}(y);
+  }
+}
+export class Base{i} {}
+interface I{i} { a: string }
+type T{i} = string;
+function helper{i}(z: string) { return z; }
+export function top{i}(k: number) { return new C{i}(k); }
+"""
+
+
+def graph_files(spark, folder):
+    """A module for each part, tests of every fourth one, and a config at the top of each package."""
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    part = table(spark, folder, "part").select("p_partkey")
+    body = F.replace(F.replace(F.lit(_MODULE), F.lit("{i}"), n), F.lit("{j}"), (k + 1).cast("string"))
+    pkg = F.concat(F.lit("pkg"), F.expr("cast(p_partkey div 50 as string)"))
+    modules = part.select((k * 10).alias("unit_id"), F.concat(F.lit("src/g"), n, F.lit(".ts")).alias("path"), F.lit("SOURCE_FILE").alias("kind"), body.alias("content"))
+    tests = part.filter("p_partkey % 4 = 0").select((k * 10 + 1).alias("unit_id"), F.concat(pkg, F.lit("/g"), n, F.lit(".test.ts")).alias("path"), F.lit("TEST").alias("kind"), F.lit("").alias("content"))
+    configs = part.filter("p_partkey % 50 = 0").select((k * 10 + 2).alias("unit_id"), F.concat(pkg, F.lit("/tsconfig.json")).alias("path"), F.lit("CONFIG").alias("kind"), F.lit("").alias("content"))
+    return modules.unionByName(tests).unionByName(configs)
+
+
+#: Symbols of a module in order, and the edges that its text makes: from, to (with j for the next module's), kind, confidence.
+_SYMBOLS_OF = ["C", "run", "go", "Base", "I", "T", "helper", "top"]
+_WITHIN = [("C", "Base+", "INHERITS", 0.85), ("C", "Base+", "TYPE_USES", 0.85), ("C", "I+", "IMPLEMENTS", 0.85), ("C", "I+", "TYPE_USES", 0.85), ("run", "T+", "TYPE_USES", 0.8), ("run", "helper", "CALLS", 0.7), ("run", "go", "CALLS", 0.7), ("go", "top+", "CALLS", 0.7), ("top", "C", "CALLS", 0.7),
+    ("file", "Base+", "REFERENCES", 0.7), ("C", "Base+", "REFERENCES", 0.7), ("C", "I+", "REFERENCES", 0.7), ("run", "go", "REFERENCES", 0.7)]
+
+
+def _graph_sql():
+    sym = lambda n, k="k": f"'f' || ({k} * 10)" if n == "file" else f"'f' || ({k} * 10) || '#{_SYMBOLS_OF.index(n)}'"
+    parts = [f"SELECT 'f' || (k * 10) AS src, {sym(n)} AS dst, 'CONTAINS' AS kind, 1.0::DOUBLE AS confidence FROM m" for n in _SYMBOLS_OF] + [f"SELECT {sym(n)}, 'f' || (k * 10), 'DECLARED_IN', 1.0 FROM m" for n in _SYMBOLS_OF]
+    parts += ["SELECT 'f' || (k * 10 + 1), 'f' || (k * 10), 'TESTS', 0.95 FROM m WHERE k % 4 = 0", *[f"SELECT 'f' || (k * 10 + 1), {sym(n)}, 'TESTS', 0.9 FROM m WHERE k % 4 = 0" for n in _SYMBOLS_OF]]
+    parts.append("SELECT 'f' || (c.k * 10 + 2), 'f' || (t.k * 10 + t.o), 'CONFIGURES', 0.8 FROM m c JOIN (SELECT k, 1 AS o FROM m WHERE k % 4 = 0 UNION ALL SELECT k, 2 FROM m WHERE k % 50 = 0) t ON starts_with('pkg' || (t.k // 50), 'pkg' || (c.k // 50)) WHERE c.k % 50 = 0 AND NOT (t.k = c.k AND t.o = 2)")
+    parts.append("SELECT 'f' || (k * 10), 'f' || ((k + 1) * 10), 'IMPORTS', 0.9 FROM m WHERE k + 1 IN (SELECT k FROM m)")
+    for a, b, kind, confidence in _WITHIN:
+        after = b.endswith("+")
+        parts.append(f"SELECT {sym(a)}, {sym(b.rstrip('+'), '(k + 1)' if after else 'k')}, '{kind}', {confidence} FROM m" + (" WHERE k + 1 IN (SELECT k FROM m)" if after else ""))
+    return f"WITH m AS (SELECT p_partkey AS k FROM part) {' UNION ALL '.join(parts)}"
+
+
+@query(_graph_sql())
 def g01_graph_build(spark, folder):
-    name = lambda c: F.concat(F.lit("D"), F.col(c).cast("string")).alias(c)
-    more = j07_test_edges(spark, folder).unionAll(j08_config_prefix(spark, folder)).select(name("src"), name("dst"), "kind")
-    sure = F.when(F.col("kind").isin("CONTAINS", "DECLARED_IN"), 1.0).when(F.col("kind") == "TESTS", 0.9).when(F.col("kind") == "CONFIGURES", 0.7).otherwise(0.8)
-    return edges(spark, folder).unionAll(more).distinct().withColumn("confidence", sure)
+    """The ten kinds of edges between modules, their symbols, tests and configs."""
+    files = graph_files(spark, folder)
+    found = symbols(files)
+    place = F.row_number().over(Window.partitionBy("unit_id").orderBy("start_byte")) - 1
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    held = found.select(F.concat(name("unit_id"), F.lit("#"), place.cast("string")).alias("symbol_id"), name("unit_id").alias("file_id"), "name", F.col("parent").alias("owner"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    return build_graph(files.select(name("unit_id").alias("file_id"), "path", "kind"), held, uses(files).select(name("unit_id").alias("file_id"), "use", "name", "line"))

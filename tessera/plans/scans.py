@@ -112,10 +112,29 @@ def code_files(spark, folder):
     return table(spark, folder, "part").select(k.alias("unit_id"), F.concat(F.lit("src/f"), k.cast("string"), pick(ext)).alias("path"), content.alias("content"))
 
 
-@query("""SELECT p_partkey AS unit_id, CASE WHEN p_partkey % 5 = 4 THEN 0 WHEN p_partkey % 5 = 1 THEN 4 ELSE 3 + CASE WHEN p_partkey % 5 = 3 THEN 1 ELSE 0 END END::BIGINT AS symbols FROM part WHERE p_partkey % 5 <> 4""")
+#: Symbols of each template: extension's place, kind, name, qualified name, lines, first letters, last letters (both found once in the text), head, class, decorated.
+_HELD = [
+    (0, "class", "A{i}", "A{i}", 1, 4, "@deco", "        return {i}", "class A{i}:", None, True), (0, "method", "run", "A{i}.run", 3, 4, "    def run", "        return {i}", "def run(self):", "A{i}", False), (0, "function", "top{i}", "top{i}", 6, 9, "def top", "1|    return 2", "def top{i}(x):", None, False),
+    (1, "class", "A{i}", "A{i}", 1, 5, "export class", "  }|}", "export class A{i}", None, False), (1, "method", "run", "A{i}.run", 2, 4, "run(x", "// }|  }", "run(x: number)", "A{i}", False), (1, "function", "top{i}", "top{i}", 6, 8, "export function", "return a;|}", "export function top{i}(a: string)", None, False), (1, "interface", "I{i}", "I{i}", 9, 9, "interface", "a: string }", "interface I{i}", None, False),
+    (2, "class", "A{i}", "A{i}", 3, 5, "type A", "x int|}", "type A{i} struct", None, False), (2, "method", "Run", "Run", 7, 9, "func (a", "a.x|}", "func (a A{i}) Run() int", None, False), (2, "function", "Top{i}", "Top{i}", 11, 13, "func Top", '"{"|}', "func Top{i}() string", None, False),
+    (3, "class", "A{i}", "A{i}", 1, 3, "pub struct", "i32,|}", "pub struct A{i}", None, False), (3, "impl", "A{i}", "A{i}", 4, 6, "impl A", "self.x }|}", "impl A{i}", None, False), (3, "function", "run", "run", 5, 5, "pub fn", "self.x }", "pub fn run(&self) -> i32", None, False), (3, "function", "top{i}", "top{i}", 7, 9, "fn top", "/* } */|}", "fn top{i}()", None, False),
+]
+
+
+def _held_sql():
+    said = lambda x: "NULL::VARCHAR" if x is None else "replace('" + x.replace("'", "''").replace("|", "' || chr(10) || '") + "', '{i}', p_partkey::VARCHAR)"
+    texts = ["replace('" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "', '{i}', p_partkey::VARCHAR)" for t in _CODE.values()]
+    rows = []
+    for ext, kind, name, qualified, first, last, head, tail, signature, parent, decorated in _HELD:
+        text = texts[ext]
+        rows.append(f"SELECT p_partkey AS unit_id, '{kind}' AS kind, {said(name)} AS name, {said(qualified)} AS qualified_name, {first} AS start_line, {last} AS end_line, strpos({text}, {said(head)}) - 1 AS start_byte, strpos({text}, {said(tail)}) - 1 + length({said(tail)}) AS end_byte, {said(signature)} AS signature, {said(parent)} AS parent, {decorated} AS unsafe FROM part WHERE p_partkey % 5 = {ext}")
+    return " UNION ALL ".join(rows)
+
+
+@query(_held_sql())
 def s06_symbols(spark, folder):
-    """Symbols of Python, TypeScript, Go and Rust files by extension (s06 to s09); other files have none."""
-    return symbols(code_files(spark, folder)).groupBy("unit_id").agg(F.count(F.lit(1)).alias("symbols"))
+    """Symbols of Python, TypeScript, Go and Rust files by extension (s06 to s09), with spans by line and byte, heads and classes; other files have none."""
+    return symbols(code_files(spark, folder)).select("unit_id", "kind", "name", "qualified_name", "start_line", "end_line", "start_byte", "end_byte", "signature", "parent", "unsafe")
 
 
 @query("SELECT p_partkey AS unit_id, 'top' || p_partkey AS name, 6 AS start_line, 9 AS end_line FROM part WHERE p_partkey % 5 = 0")

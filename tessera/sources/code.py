@@ -13,27 +13,62 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS = "unit_id long, kind string, name string, qualified_name string, start_line int, end_line int"
+#: A symbol's columns beside its file: spans by line and by byte of the UTF-8 text (end exclusive), the head's text, the class it is in,
+#: and what makes a skeleton of it unsafe.
+COLUMNS = ["kind", "name", "qualified_name", "start_line", "end_line", "start_byte", "end_byte", "signature", "parent", "has_decorators", "has_top_level_code", "is_module_init", "unsafe"]
+SYMBOLS = "unit_id long, kind string, name string, qualified_name string, start_line int, end_line int, start_byte int, end_byte int, signature string, parent string, has_decorators boolean, has_top_level_code boolean, is_module_init boolean, unsafe boolean"
 
 
-def python_symbols(text: str) -> list[tuple[str, str, str, int, int]]:
+def _symbol(kind, name, qualified, lines, span, signature="", parent=None, decorated=False, loose=False, init=False) -> dict:
+    return dict(zip(COLUMNS, (kind, name, qualified, *lines, *span, signature, parent, decorated, loose, init, decorated), strict=True))
+
+
+def _indented_symbols(text: str) -> list[dict]:
+    """Python that doesn't parse: heads at the margin, each up to the next line at the margin."""
+    lines, starts, out = text.split("\n"), [0], []
+    for line in lines:
+        starts.append(starts[-1] + len(line.encode()) + 1)
+    for i, line in enumerate(lines):
+        if m := re.match(r"(class|(?:async )?def) +(\w+)", line):
+            end = next((j for j in range(i + 1, len(lines)) if lines[j].strip() and not lines[j][0].isspace()), len(lines))
+            out.append(_symbol("class" if m[1] == "class" else "function", m[2], m[2], (i + 1, end), (starts[i], min(starts[end], len(text.encode()))), line.strip()))
+    return out
+
+
+def python_symbols(text: str, path: str = "file.py") -> list[dict]:
     """Top-level functions and classes and their methods; a decorated symbol begins at its first decorator. Text that doesn't parse: by indentation."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        found = []
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if m := re.match(r"(class|(?:async )?def) +(\w+)", line):
-                end = next((j for j in range(i + 1, len(lines)) if lines[j].strip() and not lines[j][0].isspace()), len(lines))
-                found.append(("class" if m[1] == "class" else "function", m[2], m[2], i + 1, end))
-        return found
+        return _indented_symbols(text)
+    lines, starts = text.splitlines(keepends=True), [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line.encode()))
+    defines = (ast.FunctionDef, ast.AsyncFunctionDef)
+    texts = lambda x: isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str)
+    loose = any(not isinstance(x, (*defines, ast.ClassDef, ast.Import, ast.ImportFrom)) and not texts(x) for x in tree.body)
+    init = path.endswith("__init__.py")
+
+    def head(at: int) -> str:
+        said = []
+        for line in lines[at - 1 : at + 10]:
+            said.append(line.strip())
+            if ":" in line:
+                break
+        return " ".join(said)
+
+    def symbol(kind: str, x, parent: str | None) -> dict:
+        first = min([d.lineno for d in x.decorator_list], default=x.lineno)
+        name = f"{parent}.{x.name}" if parent else x.name
+        return _symbol(kind, x.name, name, (first, x.end_lineno), (starts[first - 1], starts[x.end_lineno - 1] + x.end_col_offset), head(x.lineno), parent, bool(x.decorator_list), loose and parent is None, init)
+
     out = []
     for node in tree.body:
-        for kind, x, prefix in [("class" if isinstance(node, ast.ClassDef) else "function", node, ""), *[("method", y, f"{node.name}.") for y in node.body if isinstance(node, ast.ClassDef)]] if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) else []:
-            if isinstance(x, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-                start = min([x.lineno, *[d.lineno for d in x.decorator_list]])
-                out.append((kind, x.name, prefix + x.name, start, x.end_lineno))
+        if isinstance(node, ast.ClassDef):
+            out.append(symbol("class", node, None))
+            out += [symbol("method", x, node.name) for x in node.body if isinstance(x, defines)]
+        elif isinstance(node, defines):
+            out.append(symbol("function", node, None))
     return out
 
 
@@ -63,30 +98,59 @@ def matching_brace(text: str, at: int) -> int:
     return n
 
 
-#: Heads of brace languages' symbols: kind and pattern, the name is the group `name`.
+_DECORATED = r"^[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()]*\))?\s*)*)"
+_WORDS = "if|for|while|switch|catch|return|function|constructor|new|do|else|try|typeof|await|throw"
+#: Heads of brace languages' symbols: kind and pattern, the name is the group `name`, decorators before it the group `deco`.
 HEADS = {
-    "ts": [("function", r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(?P<name>\w+)"), ("class", r"^(?:export\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("interface", r"^(?:export\s+)?interface\s+(?P<name>\w+)"), ("enum", r"^(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)"), ("alias", r"^(?:export\s+)?type\s+(?P<name>\w+)\s*="), ("method", r"^\s+(?:public\s+|private\s+|static\s+|async\s+)*(?P<name>(?!if|for|while|switch|catch|return)\w+)\s*\([^;{}]*\)[^;{}=]*\{")],
-    "go": [("method", r"^func\s+\([^)]*\)\s+(?P<name>\w+)"), ("function", r"^func\s+(?P<name>\w+)"), ("class", r"^type\s+(?P<name>\w+)\s+struct"), ("interface", r"^type\s+(?P<name>\w+)\s+interface")],
-    "rs": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?P<name>\w+)"), ("class", r"^(?:pub\s+)?struct\s+(?P<name>\w+)"), ("enum", r"^(?:pub\s+)?enum\s+(?P<name>\w+)"), ("interface", r"^(?:pub\s+)?trait\s+(?P<name>\w+)"), ("impl", r"^impl(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*\{")],
+    "ts": [
+        ("function", _DECORATED + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)"), ("class", _DECORATED + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)"),
+        ("interface", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+(?P<name>[\w$]+)"), ("enum", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(?P<name>[\w$]+)"),
+        ("alias", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:declare\s+)?type\s+(?P<name>[\w$]+)\s*(?:<[^=]*>)?\s*="),
+        ("method", _DECORATED + rf"(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*\*?(?P<name>(?!(?:{_WORDS})\b)#?[\w$]+)\s*(?:<[^(]*>)?\([^;{{}}]*\)[^;{{}}=]*\{{"),
+    ],
+    "go": [("method", r"^(?P<deco>)func\s+\([^)]*\)\s+(?P<name>\w+)"), ("function", r"^(?P<deco>)func\s+(?P<name>\w+)"), ("class", r"^(?P<deco>)type\s+(?P<name>\w+)\s+struct"), ("interface", r"^(?P<deco>)type\s+(?P<name>\w+)\s+interface")],
+    "rs": [("function", r"^\s*(?P<deco>)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?P<name>\w+)"), ("class", r"^(?P<deco>)(?:pub\s+)?struct\s+(?P<name>\w+)"), ("enum", r"^(?P<deco>)(?:pub\s+)?enum\s+(?P<name>\w+)"), ("interface", r"^(?P<deco>)(?:pub\s+)?trait\s+(?P<name>\w+)"), ("impl", r"^(?P<deco>)impl(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*\{")],
 }
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "go": "go", "rs": "rs", "py": "py"}
+_BODIED = ("function", "method", "class", "interface", "impl")
 
 
-def brace_symbols(text: str, language: str) -> list[tuple[str, str, str, int, int]]:
-    out = []
+def brace_symbols(text: str, language: str) -> list[dict]:
+    """Symbols of a brace language in order; a TypeScript method is one inside a class, and is named by it."""
+    found = []
+    plain = without_literals(text)
     for kind, pattern in HEADS[language]:
-        for m in re.finditer(pattern, text, re.MULTILINE):
-            start = text.count("\n", 0, m.start("name")) + 1
-            brace, semi = text.find("{", m.end() - 1), text.find(";", m.end())
-            end = matching_brace(text, brace) if brace >= 0 and (semi < 0 or brace < semi) else (semi if semi >= 0 else m.end())
-            out.append((kind, m["name"].strip(), m["name"].strip(), start, text.count("\n", 0, end) + 1))
-    return sorted(out, key=lambda x: (x[3], x[1]))
+        for m in re.finditer(pattern, plain, re.MULTILINE):
+            start = m.start() + len(m.group()) - len(m.group().lstrip())
+            brace, semi = plain.find("{", m.end() - 1), plain.find(";", m.end())
+            bodied = brace >= 0 and (semi < 0 or brace < semi) and kind != "alias"
+            end = matching_brace(text, brace) if bodied else semi + 1 if semi >= 0 else m.end()
+            name = m["name"].strip()
+            head = text[start:brace].strip() if bodied and kind in _BODIED else f"{ {'alias': 'type'}.get(kind, kind)} {name}" if kind in ("alias", "enum", "class", "interface") else text[start:end].strip()
+            found.append((start, end, kind, name, head, bool(m["deco"].strip())))
+    classes = [x for x in found if x[2] == "class"]
+    out = []
+    for start, end, kind, name, head, decorated in sorted(found, key=lambda x: (x[0], -x[1])):
+        around = [x for x in classes if x[0] < start and end <= x[1]]
+        parent = max(around)[3] if around and language == "ts" else None
+        if kind == "method" and language == "ts" and parent is None:
+            continue
+        first, last = (text.count("\n", 0, x) + 1 for x in (start, end))
+        qualified = f"{parent}.{name}" if kind == "method" and parent else name
+        out.append(_symbol(kind, name, qualified, (first, last), (len(text[:start].encode()), len(text[:end].encode())), head, parent, decorated))
+    return out
+
 
+def without_literals(text: str) -> str:
+    """text with the inside of strings and comments blanked, letter by letter, so that places stay."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m.group()) if m.group()[0] == "/" else m.group()[0] + re.sub(r"[^\n]", " ", m.group()[1:-1]) + m.group()[-1]
+    return re.sub(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", blank, text)
 
-def symbols_of(path: str, text: str) -> list[tuple[str, str, str, int, int]]:
+
+def symbols_of(path: str, text: str) -> list[dict]:
     """Symbols by the path's extension; none for other files."""
     language = LANGUAGES.get(path.rsplit(".", 1)[-1])
-    return [] if language is None else python_symbols(text) if language == "py" else brace_symbols(text, language)
+    return [] if language is None else python_symbols(text, path) if language == "py" else brace_symbols(text, language)
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -94,12 +158,59 @@ def symbols(files: DataFrame) -> DataFrame:
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, *s) for i, p, t in zip(f["unit_id"], f["path"], f["content"], strict=True) for s in symbols_of(p, t or "")]
-            yield pd.DataFrame(rows, columns=["unit_id", "kind", "name", "qualified_name", "start_line", "end_line"])
+            rows = [(i, *s.values()) for i, p, t in zip(f["unit_id"], f["path"], f["content"], strict=True) for s in symbols_of(p, t or "")]
+            yield pd.DataFrame(rows, columns=["unit_id", *COLUMNS])
 
     return files.select("unit_id", "path", "content").mapInPandas(scan, SYMBOLS)
 
 
+USES = "unit_id long, use string, name string, line int"
+
+
+def typescript_uses(text: str) -> list[tuple[str, str, int]]:
+    """(use, name, line) of what a TypeScript file says of others: import (the specifier), implements and extends (class and base, by a space),
+    call, type and identifier."""
+    plain, out = without_literals(text), []
+    line = lambda at: plain.count("\n", 0, at) + 1
+    for m in re.finditer(r"\b(?:import|export)\b[^;'\"]*?\bfrom\s*(['\"])|\bimport\s*(['\"])", plain):
+        quote = m.end() - 1
+        out.append(("import", text[quote + 1 : text.index(text[quote], quote + 1)], line(m.start())))
+    taken = set()  # places of identifiers that are something else
+    for m in re.finditer(r"\b(class|interface)\s+([\w$]+)([^{]*)\{", plain):
+        for part, use in (("extends", "extends"), ("implements", "implements")):
+            if found := re.search(rf"\b{part}\s+([^{{]*?)(?=\b(?:extends|implements)\b|$)", m[3]):
+                bare = re.sub(r"<[^<>]*>", "", found[1])
+                out += [(use, f"{m[2]} {x.strip()}", line(m.start())) for x in bare.split(",") if x.strip()]
+    for m in re.finditer(r"(\bfunction\s*\*?\s*)?([\w$]+)\s*(?:<[\w$, .\[\]]*>)?\(", plain):
+        if m[1] or re.fullmatch(_WORDS + "|super|import", m[2]) or m[2][0].isdigit():
+            continue
+        before = plain[: m.start(2)].rstrip()
+        if not before.endswith((".", "new")) and re.match(r"[^;{}()]*\)\s*(?::[^;{}=]*)?\{", plain[m.end() :]):
+            continue  # a method's head
+        out.append(("call", m[2], line(m.start(2))))
+        if not before.endswith("."):
+            taken.add(m.start(2))
+    for m in re.finditer(r"(?:[:|&]|\bas|\btype\s+[\w$]+\s*=|<)\s*([A-Z][\w$]*)", plain):
+        out.append(("type", m[1], line(m.start(1))))
+        taken.add(m.start(1))
+    for m in re.finditer(r"(?<![\w$])[A-Za-z_$][\w$]*", plain):
+        argument = re.search(r"[(,]\s*$", plain[max(0, m.start() - 40) : m.start()]) and re.match(r"\s*[,)]", plain[m.end() :])
+        if m.start() not in taken and not argument:
+            out.append(("identifier", m.group(), line(m.start())))
+    return out
+
+
+def uses(files: DataFrame) -> DataFrame:
+    """USES rows of the TypeScript and JavaScript files among files (unit_id, path, content); a name once for each use and line."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, *u) for i, p, t in zip(f["unit_id"], f["path"], f["content"], strict=True) if LANGUAGES.get(p.rsplit(".", 1)[-1]) == "ts" for u in dict.fromkeys(typescript_uses(t or ""))]
+            yield pd.DataFrame(rows, columns=["unit_id", "use", "name", "line"])
+
+    return files.select("unit_id", "path", "content").mapInPandas(scan, USES)
+
+
 class _Bodiless(ast.NodeTransformer):
     def visit_FunctionDef(self, node):
         doc = ast.get_docstring(node)

@@ -16,7 +16,7 @@ from tessera.operators.metrics import budgeted, mcnemar, task_metrics
 from tessera.operators.packing import model_cost, solve_budget
 from tessera.operators.retrieval import containing, frame_matches
 from tessera.operators.rights import command_allowed, latest
-from tessera.sources.code import python_symbols, repository_files, scan_quality, skeleton_of, symbols_of
+from tessera.sources.code import python_symbols, repository_files, scan_quality, skeleton_of, symbols_of, typescript_uses
 from tessera.sources.sinks import KeyedTable, write_csv
 from tessera.streaming.events import SCHEMA, counters, event_stream, session_states, unique_sessions, upsert_batches
 
@@ -119,12 +119,23 @@ def test_paths(spark):
 
 
 def test_code():
-    text = "@d\nclass A:\n    def f(self):\n        return 1\n"
-    assert python_symbols(text) == [("class", "A", "A", 1, 4), ("method", "f", "A.f", 3, 4)]
-    assert python_symbols("def g(:\n  x\ndef h():\n  y\n")[0][1] == "g"
-    assert [s[1] for s in symbols_of("a.go", 'func (x T) M() {\n}\nfunc F() string { return "}" }\n')] == ["M", "F"]
-    assert "return" not in skeleton_of("a.py", "def f():\n    return 1\n") and skeleton_of("a.txt", "as is") == "as is"
-    assert skeleton_of("a.ts", 'function f() { return "}" }\nlet x = 1') == "function f() { ... }\nlet x = 1"
+    text = "x = 1\n@d\nclass Aé:\n    @p\n    def f(self,\n          y):\n        return 1\ndef g(): pass\n"
+    got = [tuple(s.values()) for s in python_symbols(text, "a/__init__.py")]
+    raw = text.encode()
+    end = raw.index(b"return 1") + 8
+    assert got[0] == ("class", "Aé", "Aé", 2, 7, 6, end, "class Aé:", None, True, True, True, True)
+    assert got[1] == ("method", "f", "Aé.f", 4, 7, raw.index(b"    @p"), end, "def f(self, y):", "Aé", True, False, True, True)
+    assert got[2][:4] == ("function", "g", "g", 8) and text.encode()[got[2][5] : got[2][6]] == b"def g(): pass" and not got[2][12]
+    assert python_symbols("def g(:\n  x\ndef h():\n  y\n")[0]["name"] == "g"
+    assert [s["name"] for s in symbols_of("a.go", 'func (x T) M() {\n}\nfunc F() string { return "}" }\n')] == ["M", "F"]
+    script = '@Dec({a: "é"})\nexport class C<T> extends B<T> {\n  @log async run(x: T): Promise<void> {\n    if (x) { call("}") }\n  }\n}\nconst o = { m(a) { return 1 } };\n  function inner() {}\n'
+    found = symbols_of("a.ts", script)
+    assert [(s["kind"], s["qualified_name"], s["start_line"], s["end_line"], s["has_decorators"], s["parent"]) for s in found] == [("class", "C", 1, 6, True, None), ("method", "C.run", 3, 5, True, "C"), ("function", "inner", 8, 8, False, None)]
+    assert script.encode()[found[1]["start_byte"] : found[1]["end_byte"]].decode().endswith('call("}") }\n  }') and found[1]["signature"] == "@log async run(x: T): Promise<void>"
+    said = set(typescript_uses("import x from './a'; import './b'; // import './no'\nclass K extends P implements I, J<T> { go(q: Typ) { f(q); this.h(); return new Q(z) } }"))
+    assert {("import", "./a", 1), ("import", "./b", 1), ("extends", "K P", 2), ("implements", "K I", 2), ("implements", "K J", 2), ("call", "f", 2), ("call", "h", 2), ("call", "Q", 2), ("type", "Typ", 2)} <= said
+    assert not {x for x in said if x[:2] in (("call", "go"), ("import", "./no"), ("identifier", "f"), ("identifier", "q"))} - {("identifier", "q", 2)}
+
 
 
 def test_splits_and_overlaps(spark):
