@@ -124,3 +124,52 @@ def purge_trace(requests: DataFrame, rows: DataFrame) -> DataFrame:
     by_repository = rows.join(requests.filter("repository is not null").select("request_id", "repository"), "repository").select("request_id", "row_id")
     by_task = rows.join(requests.filter("task is not null").select("request_id", "task"), "task").select("request_id", "row_id")
     return by_source.union(by_repository).union(by_task).distinct()
+
+
+#: Fields that may not be known before an outcome, and the set of features that a snapshot must name.
+FORBIDDEN_BEFORE_OUTCOME = ["solutionCommit", "solutionDiff", "futurePatch", "futureChangedFiles", "futureTests", "postTaskReads", "postTaskEdits", "agentEdits", "agentTrajectory", "verifiedSuccess", "verifiedOutcome", "humanReview"]
+FEATURE_SET = "CONTEXT_FEATURES_V1"
+
+
+def integrity_audit(snapshots: DataFrame) -> DataFrame:
+    """episode_id, has_leakage, has_hash_mismatch, has_provenance_error, passed of sealed snapshots, taken before the outcome was known.
+
+    snapshots: episode_id, fields (a map of all of a snapshot's fields to their JSON), candidate_fields (the names of the fields of its
+    candidates and their features), body (canonical JSON without the seal), seal, base_commit, cutoff_commit, feature_set. A null
+    body stands for a snapshot that can't be read.
+    """
+    forbidden = F.array(*map(F.lit, FORBIDDEN_BEFORE_OUTCOME))
+    own = F.map_keys(F.map_filter("fields", lambda _, v: v.isNotNull()))
+    leak = F.coalesce(F.arrays_overlap(own, forbidden), F.lit(False)) | F.coalesce(F.arrays_overlap("candidate_fields", forbidden), F.lit(False))
+    commit = F.coalesce("base_commit", F.lit(""))
+    origin = ((F.length(commit) != 40) & (commit != "HEAD")) | (F.coalesce("cutoff_commit", F.lit("")) == "") | ~F.col("feature_set").eqNullSafe(F.lit(FEATURE_SET))
+    corrupt = F.col("body").isNull()
+    rows = snapshots.select("episode_id", (leak & ~corrupt).alias("has_leakage"), (corrupt | ~F.sha2("body", 256).eqNullSafe(F.col("seal"))).alias("has_hash_mismatch"), (corrupt | origin).alias("has_provenance_error"))
+    return rows.withColumn("passed", ~F.col("has_leakage") & ~F.col("has_hash_mismatch") & ~F.col("has_provenance_error"))
+
+
+def acceptance(minimum_valid: int = 1, least_share: float | None = None, production: bool = True) -> Column:
+    """Names of the criteria of a live run that fail, in order; none means that it is accepted. A measure that is null doesn't count
+    against the run, where its criterion is only about what was measured.
+
+    Columns: live, endpoint_production, provenance_clean, harness_error, selected, started, completed, attempts, successes, valid_signals,
+    failed_calls, fallback_only, synthetic, http_requests, max_http_requests, task_attempts_exceeded, requests_exceeded, plan_invariant,
+    lineage_verified, lineage_complete, no_lineage_mismatch, no_unexpected_egress, report_consistent.
+    """
+    c, zero = F.col, F.lit(0)
+    no = lambda x: c(x).eqNullSafe(F.lit(False))
+    missing = lambda x: ~F.coalesce(c(x), F.lit(False))
+    known = lambda test: F.coalesce(test, F.lit(False))
+    attempts, successes = F.coalesce("attempts", zero), F.coalesce("successes", zero)
+    tests = {
+        "live": no("live"), "production endpoint": no("endpoint_production") & F.lit(production), "clean provenance": no("provenance_clean"), "harness without error": c("harness_error").isNotNull(),
+        "all selected started": known(c("started") != c("selected")), "all selected completed": known(c("completed") != c("selected")),
+        "provider attempts": attempts <= 0, "provider successes": successes < minimum_valid, "valid signals": F.coalesce("valid_signals", zero) < minimum_valid,
+        "no failed calls": ~c("failed_calls").eqNullSafe(zero), "no fallback only": known(c("fallback_only") > 0), "no synthetic signals": known(c("synthetic") > 0),
+        "requests within budget": known(c("http_requests") > c("max_http_requests")), "attempts per task": c("task_attempts_exceeded").eqNullSafe(F.lit(True)), "request budget kept": c("requests_exceeded").eqNullSafe(F.lit(True)),
+        "plans invariant": missing("plan_invariant"), "lineage verified": no("lineage_verified"), "lineage complete": no("lineage_complete"), "no lineage mismatch": missing("no_lineage_mismatch"),
+        "no unexpected egress": missing("no_unexpected_egress"), "report consistent": no("report_consistent"),
+    }
+    if least_share is not None:
+        tests["share of successes"] = (attempts > 0) & (successes / F.greatest(attempts, F.lit(1)) < least_share)
+    return F.array_compact(F.array(*[F.when(t, name) for name, t in tests.items()]))

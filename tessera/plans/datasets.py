@@ -2,19 +2,22 @@
 
 import hashlib
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators.datasets import canonical, hash_split, pairs_within, prompt_overlaps, split_overlaps, stratified_groups, train_linear, train_stumps
 from tessera.operators.labels import binary_label
-from tessera.operators.ranking import feature_vector, linear_score, stump_score
+from tessera.operators.metrics import task_metrics
+from tessera.operators.ranking import feature_vector, linear_score, ranked, stump_score
 from tessera.operators.rights import observation_rules, reasons
 from tessera.plans.labels import _LIM
 from tessera.plans.ranking import FEATURES, features
 from tessera.plans.rights import _OBS, _R, _observations
 from tessera.registry import query
 from tessera.sources.tables import EPISODES, EXPOSURES, episodes, exposures, table
+from tessera.storage import shared_folder
 
 
 def c(name):
@@ -55,9 +58,12 @@ def l16_stratified_split(spark, folder):
     return rows.join(F.broadcast(spark.createDataFrame(dealt, "repository string, grp string, split string")), ["repository", "grp"])
 
 
-@query("SELECT 0::BIGINT AS shared_groups, 0::BIGINT AS shared_episodes")
+@query(f"""WITH a AS (SELECT o_orderkey AS episode_id, o_custkey AS group_id, {_SPLIT} AS split FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'test' FROM orders WHERE o_orderkey % 97 = 0)
+  SELECT (SELECT count(*) FROM (SELECT group_id FROM a GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS shared_groups, (SELECT count(*) FROM (SELECT episode_id FROM a GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS shared_episodes""")
 def j26_split_leakage(spark, folder):
+    """Groups and episodes in several splits, where some episodes were put into the test split as well."""
     a = assignments(spark, folder)
+    a = a.unionByName(a.filter("episode_id % 97 = 0").withColumn("split", F.lit("test")))
     groups = split_overlaps(a, "group_id").agg(F.count(F.lit(1)).alias("shared_groups"))
     return groups.crossJoin(split_overlaps(a, "episode_id").agg(F.count(F.lit(1)).alias("shared_episodes")))  # one row each
 
@@ -113,11 +119,13 @@ def a17_pair_report(spark, folder):
 _PWORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda x: x <> ''))"
 
 
-@query(f"""WITH a AS (SELECT conv_id * 100 + turn AS id, {_PWORDS.format('text')} AS w FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id * 100 + turn AS id, {_PWORDS.format('text')} AS w FROM conversations WHERE conv_id % 2 = 1)
-  SELECT a.id AS new_id, b.id AS prior_id, round(s / (len(a.w) + len(b.w) - s), 4) AS jaccard FROM (SELECT a, b, len(list_intersect(a.w, b.w)) AS s FROM a, b) WHERE s / nullif(len(a.w) + len(b.w) - s, 0) > 0.85""")
+@query(f"""WITH a AS (SELECT conv_id * 100 + turn AS id, {_PWORDS.format('text')} AS w FROM conversations)
+  SELECT x.id AS new_id, y.id AS prior_id, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 4) AS jaccard FROM a x JOIN a y ON x.id > y.id
+  WHERE least(len(x.w), len(y.w)) > 0.85 * greatest(len(x.w), len(y.w)) AND len(list_intersect(x.w, y.w)) / nullif(len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)), 0) > 0.85""")
 def j27_prompt_overlap(spark, folder):
-    t = table(spark, folder, "conversations").select((c("conv_id") * 100 + c("turn")).alias("id"), "conv_id", c("text").alias("prompt"))
-    return prompt_overlaps(t.filter("conv_id % 2 = 0"), t.filter("conv_id % 2 = 1")).withColumn("jaccard", F.round("jaccard", 4))
+    """Every prompt against all earlier ones."""
+    t = table(spark, folder, "conversations").select((c("conv_id") * 100 + c("turn")).alias("id"), c("text").alias("prompt"))
+    return prompt_overlaps(t, t).filter("new_id > prior_id").withColumn("jaccard", F.round("jaccard", 4))
 
 
 @query("SELECT 'task_id' AS match, count(*) AS collisions FROM events e JOIN customer ON c_custkey = user_id WHERE event_type = 'error' UNION ALL SELECT 'commit', count(*) FROM events JOIN orders ON lower('SHA' || o_orderkey) = lower('sha' || event_id) WHERE event_type = 'error'")
@@ -129,54 +137,91 @@ def j27_key_collisions(spark, folder):
     return by_id.unionAll(by_sha)
 
 
-#: Pairs that a model is fitted on at most, those of the first episodes: fitting is a driver's job on a bounded sample.
+#: Pairs that a model is fitted on at most: those of the training episodes that come first by a hash of their ids, a sample that no order of
+#: the data has a part in. Fitting is a driver's job.
 MOST_PAIRS = 2000
 
 
-def _matrix(spark, folder, episodes_up_to=10**9):
-    f = features(spark, folder).select(c("task_id").alias("episode_id"), "unit_id", feature_vector().alias("v")).dropDuplicates(["episode_id", "unit_id"])
-    pairs = j24_pairs(spark, folder).filter(c("episode_id") <= episodes_up_to).orderBy("episode_id", "positive", "negative").limit(MOST_PAIRS)
+def training_pairs(spark, folder, most=MOST_PAIRS):
+    """(episode, positive vector, negative vector) of the sampled pairs, episodes in order of their hash."""
+    f = features(spark, folder).select(c("task_id").alias("episode_id"), "unit_id", feature_vector().alias("v")).groupBy("episode_id", "unit_id").agg(F.min("v").alias("v"))
+    train = assignments(spark, folder).filter("split = 'train'").select("episode_id")
+    place = [F.xxhash64("episode_id"), "episode_id", "positive", "negative"]
+    pairs = j24_pairs(spark, folder).join(train, "episode_id").orderBy(*place).limit(most)
     rows = pairs.join(f.select("episode_id", c("unit_id").alias("positive"), c("v").alias("p")), ["episode_id", "positive"]).join(f.select("episode_id", c("unit_id").alias("negative"), c("v").alias("n")), ["episode_id", "negative"])
-    got = sorted(rows.collect(), key=lambda r: (r["episode_id"], r["positive"], r["negative"]))
-    return np.array([r["p"] for r in got]).reshape(-1, 33), np.array([r["n"] for r in got]).reshape(-1, 33)
+    return [(r["episode_id"], r["p"], r["n"]) for r in rows.orderBy(*place).collect()]  # most rows
+
+
+def _sides(pairs):
+    return [np.array([x[k] for x in pairs]).reshape(-1, 33) for k in (1, 2)]
+
+
+def boosted(spark, folder):
+    return train_stumps(*_sides(training_pairs(spark, folder)))
+
+
+def linear(spark, folder):
+    positive, negative = _sides(training_pairs(spark, folder))
+    return train_linear(positive - negative) if len(positive) else [0.0] * 33
 
 
 @query()
 def m01_train_boosted(spark, folder):
-    positive, negative = _matrix(spark, folder)
-    stumps = train_stumps(positive, negative, rounds=12, cuts=24)
+    stumps = boosted(spark, folder)
     rows = features(spark, folder).withColumn("v", feature_vector())
     return rows.select("task_id", "unit_id", F.round(stump_score(c("v"), stumps, 0.08), 6).alias("score"))
 
 
 @query()
 def m03_train_linear(spark, folder):
-    positive, negative = _matrix(spark, folder)
-    weights = train_linear(positive - negative, rounds=5) if len(positive) else [0.0] * 33
+    weights = linear(spark, folder)
     rows = features(spark, folder).withColumn("v", feature_vector())
     return rows.select("task_id", "unit_id", F.round(linear_score(c("v"), weights), 6).alias("score"))
 
 
+def validation_metrics(spark, folder, stumps):
+    """Mean NDCG and recall at 10 and MRR of a model on the validation episodes that have a target."""
+    held = assignments(spark, folder).filter("split = 'validation'").select(c("episode_id").alias("task_id"))
+    rows = features(spark, folder).withColumn("v", feature_vector()).groupBy("task_id", "unit_id").agg(F.min("v").alias("v")).join(held, "task_id", "left_semi")
+    order = ranked(rows.withColumn("score", F.round(stump_score(c("v"), stumps, 0.08), 6)), "task_id", "score", "unit_id")
+    targets = labelled(spark, folder).filter("label = 1").select(c("episode_id").alias("task_id"), "unit_id").join(held, "task_id", "left_semi")
+    return task_metrics(order.select("task_id", "rank", "unit_id"), targets).agg(*[F.round(F.avg(k), 4).alias(k) for k in ("ndcg10", "recall10", "mrr")])
+
+
 @query()
 def w11_learning_curve(spark, folder):
-    """Share of pairs that models of the first 10, 50 and all episodes' pairs put in order."""
-    positive, negative = _matrix(spark, folder)
-    out = []
-    for n in (50, 200, len(positive)):
-        stumps = train_stumps(positive[:n], negative[:n], rounds=6, cuts=16)
-        value = lambda x, stumps=stumps: sum(np.where(x[:, f] <= t, a, b) for f, t, a, b in stumps) if stumps else np.zeros(len(x))
-        out.append((n, float(np.round((value(positive) > value(negative)).mean(), 4)) if len(positive) else 0.0))
-    return spark.createDataFrame(out, "pairs long, ordered double")
+    """Models of the pairs of the first 10, 25, 50 and all sampled training episodes, each measured on the validation episodes."""
+    pairs = training_pairs(spark, folder)
+    episodes_ = list(dict.fromkeys(x[0] for x in pairs))
+    out = None
+    for n in sorted({k for k in (10, 25, 50) if k < len(episodes_)} | {len(episodes_)}):
+        some = set(episodes_[:n])
+        chosen = [x for x in pairs if x[0] in some]
+        row = validation_metrics(spark, folder, train_stumps(*_sides(chosen))).select(F.lit(n).alias("tasks"), F.lit(len(chosen)).alias("pairs"), "ndcg10", "recall10", "mrr")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def sealed(model: dict) -> str:
+    return json.dumps(model | {"checksum": hashlib.sha256(canonical(model).encode()).hexdigest()})
+
+
+def verified(text: str) -> bool:
+    back = json.loads(text)
+    seal = back.pop("checksum", None)
+    return seal == hashlib.sha256(canonical(back).encode()).hexdigest()
 
 
 @query()
 def m07_artifact_checksum(spark, folder):
-    """A model's JSON with its checksum, verified when it is read again."""
-    model = {"trees": [{"feature": 1, "at": 0.5, "none": None}], "kind": "stumps", "rate": 0.08}
-    text = json.dumps(model | {"checksum": hashlib.sha256(canonical(model).encode()).hexdigest()})
-    back = json.loads(text)
-    seal = back.pop("checksum")
-    return spark.createDataFrame([("stumps", seal, seal == hashlib.sha256(canonical(back).encode()).hexdigest())], "model string, checksum string, verified boolean")
+    """The fitted models written as sealed JSON below the shared folder, read again and verified; one of them also after a change."""
+    models = {"stumps": {"kind": "stumps", "rate": 0.08, "trees": [{"feature": f, "at": t, "low": a, "high": b} for f, t, a, b in boosted(spark, folder)]}, "linear": {"kind": "linear", "weights": linear(spark, folder), "note": None}}
+    texts = [(name, sealed(model)) for name, model in models.items()]
+    texts.append(("changed", texts[0][1].replace('"rate": 0.08', '"rate": 0.09')))
+    where = f"{shared_folder(spark)}/tessera/models-{uuid.uuid4().hex}"
+    spark.createDataFrame(texts, "model string, text string").write.json(where)
+    back = [(r["model"], json.loads(r["text"])["checksum"], verified(r["text"])) for r in spark.read.schema("model string, text string").json(where).collect()]
+    return spark.createDataFrame(back, "model string, checksum string, verified boolean")
 
 
 @query("SELECT o_orderkey AS episode_id, sha256('{\"customer\":' || o_custkey || ',\"status\":\"' || o_orderstatus || '\"}') AS seal FROM orders")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.flow import build_features, candidates, pack, rank_features
+from tessera.operators.judgments import local_judgment
 from tessera.operators.packing import plan_totals
 from tessera.plans.ranking import _H, _RANK_SCORE
 from tessera.plans.retrieval import _FLOW, _SCORE, _TOKENS, flow_inputs
@@ -74,6 +75,19 @@ def flow_ranking(spark, folder):
     return rank_features(flow_rows(spark, folder)).select("task_id", "unit_id", "score", "rank")
 
 
+_WORDS = "list_filter(regexp_split_to_array(lower(prompt), '\\W+'), lambda k: length(k) > 2)"
+
+
+@query(_sql(f"""SELECT task_id, unit_id, matches, round(least(1, 0.2 * matches + CASE d WHEN 1 THEN 0.3 WHEN 2 THEN 0.15 ELSE 0 END + CASE WHEN seen THEN 0.4 ELSE 0 END), 4)::DOUBLE AS relevance, seen OR matches >= 4 OR (matches >= 2 AND coalesce(d = 1, false)) AS edit_target, seen OR (matches >= 3 AND dep) AS root_cause
+  FROM (SELECT r.task_id, r.unit_id, min_distance_to_seed AS d, in_stack_trace OR is_failing_test_target AS seen, is_direct_dependency AS dep, coalesce(list_sum(list_transform({_WORDS}, lambda k: CASE WHEN contains(lower(r.path), k) THEN 2 ELSE 0 END + CASE WHEN contains(lower(title), k) THEN 3 ELSE 0 END)), 0)::INT AS matches FROM r JOIN t USING (task_id) JOIN u USING (unit_id))"""))
+def r23_local_judgment(spark, folder):
+    """The local judgment of each task's first 50 candidates, by its prompt's words, the graph and the evidence."""
+    t, _, u, _, _ = flow_inputs(spark, folder)
+    rows = flow_rows(spark, folder).select("task_id", "unit_id", "path", c("min_distance_to_seed").alias("distance"), (c("in_stack_trace") | c("is_failing_test_target")).alias("in_evidence"), "is_direct_dependency")
+    rows = local_judgment(rows.join(t.select("task_id", "prompt"), "task_id").join(u.select("unit_id", "title"), "unit_id"))
+    return rows.select("task_id", "unit_id", "matches", "relevance", "edit_target", "root_cause")
+
+
 def packed(spark, folder, **options):
     from tessera.sources.tables import evidence, unit_edges
 

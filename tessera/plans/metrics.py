@@ -244,10 +244,3 @@ def e04_promotion_gate(spark, folder):
 def e05_plan_hash(spark, folder):
     parts = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat_ws(":", c("o_orderkey").cast("string"), "o_orderstatus").alias("s"))))
     return table(spark, folder, "orders").groupBy(c("o_custkey").alias("task_id")).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["s"]), ";"), 256).alias("plan_hash"))
-
-
-@query("SELECT array_to_string(list_filter([CASE WHEN n < 20000 THEN 'TOO_FEW_EVENTS' END, CASE WHEN errors = 0 THEN 'NO_ERRORS' END, CASE WHEN users < 10 THEN 'TOO_FEW_USERS' END], lambda x: x IS NOT NULL), ',') AS failed FROM (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events)")
-def e06_acceptance(spark, folder):
-    g = table(spark, folder, "events").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "error").alias("errors"), F.count_distinct("user_id").alias("users"))
-    failed = F.array_compact(F.array(F.when(c("n") < 20_000, "TOO_FEW_EVENTS"), F.when(c("errors") == 0, "NO_ERRORS"), F.when(c("users") < 10, "TOO_FEW_USERS")))
-    return g.select(F.array_join(failed, ",").alias("failed"))

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import JUDGMENTS, MASKS, WEIGHTS, feature_vector, heuristic_score, linear_score, masked, rank_score, ranked, safe_score, shadow_candidates, stump_score
+from tessera.operators.judgments import ProviderFailure, local_judgment, shadow_run
+from tessera.plans.retrieval import _FLOW, fused_candidates
 from tessera.registry import query
 from tessera.sources.tables import TASKS, UNITS, table, tasks, units
 
@@ -170,30 +172,37 @@ def k05_shadow_candidates(spark, folder):
 _WORDS = "list_filter(regexp_split_to_array(lower(prompt), '\\W+'), lambda k: length(k) > 2)"
 
 
-@query(f"""SELECT task_id, unit_id, hits, CASE WHEN hits >= 4 THEN 'ROOT' WHEN hits >= 1 OR contains(path, 'types') OR contains(path, 'models') THEN 'TYPE' ELSE 'DEAD' END AS class FROM
+@query(f"""WITH {_FLOW} SELECT task_id, unit_id, hits, CASE WHEN hits >= 4 THEN 'ROOT' WHEN hits >= 1 OR contains(path, 'types') OR contains(path, 'models') THEN 'TYPE' ELSE 'DEAD' END AS class FROM
   (SELECT task_id, unit_id, lower(path) AS path, (3 * len(list_filter(k, lambda w: contains(lower(path), w))) + 2 * len(list_filter(k, lambda w: contains(lower(content), w))))::INT AS hits
-   FROM {UNITS} JOIN (SELECT task_id, {_WORDS} AS k FROM {TASKS}) ON unit_id % 40 = task_id)""")
+   FROM fused JOIN {UNITS} USING (unit_id) JOIN (SELECT task_id, {_WORDS} AS k FROM t) USING (task_id))""")
 def r22_relevance_gate(spark, folder):
+    """Every candidate of every task, over all channels."""
     words = F.filter(F.split(F.lower("prompt"), r"\W+"), lambda k: F.length(k) > 2)
-    rows = units(spark, folder).join(F.broadcast(tasks(spark, folder).select("task_id", words.alias("k"))), c("unit_id") % 40 == c("task_id"))
-    hits = 3 * F.size(F.filter("k", lambda w: F.contains(F.lower("path"), w))) + 2 * F.size(F.filter("k", lambda w: F.contains(F.lower("content"), w)))
-    rows = rows.select("task_id", "unit_id", F.lower("path").alias("path"), hits.alias("hits"))
+    rows = fused_candidates(spark, folder).select("task_id", "unit_id").join(units(spark, folder).select("unit_id", "path", "content"), "unit_id").join(tasks(spark, folder).select("task_id", words.alias("k")), "task_id")
+    rows = rows.withColumns({"path": F.lower("path"), "content": F.lower("content")})
+    hits = 3 * F.size(F.filter("k", lambda w: F.contains(F.col("path"), w))) + 2 * F.size(F.filter("k", lambda w: F.contains(F.col("content"), w)))
+    rows = rows.select("task_id", "unit_id", "path", hits.alias("hits"))
     return rows.select("task_id", "unit_id", "hits", F.when(c("hits") >= 4, "ROOT").when((c("hits") >= 1) | c("path").contains("types") | c("path").contains("models"), "TYPE").otherwise("DEAD").alias("class"))
 
 
-@query(f"""SELECT task_id, unit_id, round(least(1, 0.2 * m + CASE min_distance_to_seed WHEN 1 THEN 0.3 WHEN 2 THEN 0.15 ELSE 0 END + CASE WHEN in_stack_trace THEN 0.4 ELSE 0 END), 4)::DOUBLE AS relevance,
-  in_stack_trace OR m >= 4 OR (m >= 2 AND coalesce(min_distance_to_seed = 1, false)) AS edit_target, in_stack_trace OR (m >= 3 AND is_direct_dependency) AS root_cause FROM (SELECT *, (unit_id % 6)::INT AS m FROM {FEATURES})""")
-def r23_local_judgment(spark, folder):
-    m, hop1 = (c("unit_id") % 6).cast("int"), F.coalesce(c("min_distance_to_seed") == 1, F.lit(False))
-    bonus = F.when(c("min_distance_to_seed") == 1, 0.3).when(c("min_distance_to_seed") == 2, 0.15).otherwise(0.0)
-    relevance = F.round(F.least(F.lit(1.0), 0.2 * m + bonus + F.when(c("in_stack_trace"), 0.4).otherwise(0.0)), 4)
-    return features(spark, folder).select("task_id", "unit_id", relevance.alias("relevance"), (c("in_stack_trace") | (m >= 4) | ((m >= 2) & hop1)).alias("edit_target"), (c("in_stack_trace") | ((m >= 3) & c("is_direct_dependency"))).alias("root_cause"))
+def _provider(row):
+    """An offline provider that fails as real ones do: never in time, too often at first, or with an answer that can't be read."""
+    kind = row["unit_id"] % 27
+    if kind == 0:
+        raise ProviderFailure("TIMEOUT")
+    if kind == 9:
+        raise ProviderFailure("RATE_LIMITED")
+    if kind == 18:
+        return {"relevance": "much"}
+    return {"relevance": 0.5, "implementation": True, "edit_target": False, "root_cause": False}
 
 
-@query(f"SELECT status, category, count(*) AS n FROM (SELECT CASE WHEN unit_id % 9 = 0 THEN 'FALLBACK' ELSE 'OK' END AS status, CASE unit_id % 27 WHEN 0 THEN 'TIMEOUT' WHEN 9 THEN 'RATE_LIMIT' WHEN 18 THEN 'INVALID' ELSE 'NONE' END AS category FROM {_RANKED} WHERE rank <= 2) GROUP BY ALL")
+@query(f"""SELECT task_id, unit_id, CASE WHEN reason = 'NONE' THEN 'OK' ELSE 'FALLBACK' END AS status, reason, CASE reason WHEN 'TIMEOUT' THEN 2 WHEN 'RATE_LIMITED' THEN 2 WHEN 'NONE' THEN 1 WHEN 'MALFORMED_RESPONSE' THEN 1 ELSE 0 END AS tries, CASE WHEN reason = 'NONE' THEN 0.5 ELSE 0.0 END::DOUBLE AS relevance FROM
+  (SELECT task_id, unit_id, CASE WHEN task_id % 13 = 0 THEN 'RIGHTS_DENIED' WHEN unit_id % 7 = 0 THEN 'TRUST_DENIED' WHEN rank > 2 THEN 'BUDGET_EXHAUSTED' WHEN unit_id % 27 = 0 THEN 'TIMEOUT' WHEN unit_id % 27 = 9 THEN 'RATE_LIMITED' WHEN unit_id % 27 = 18 THEN 'MALFORMED_RESPONSE' ELSE 'NONE' END AS reason FROM
+   (SELECT task_id, unit_id, row_number() OVER (PARTITION BY task_id ORDER BY rank, unit_id) AS rank FROM {_RANKED}))""")
 def r24_shadow_judgments(spark, folder):
-    """A provider's answers for each task's first two candidates, with the offline provider's fallbacks by kind."""
-    u = c("unit_id")
-    rows = w01_rank(spark, folder).filter("rank <= 2")
-    status, category = F.when(u % 9 == 0, "FALLBACK").otherwise("OK"), F.when(u % 27 == 0, "TIMEOUT").when(u % 27 == 9, "RATE_LIMIT").when(u % 27 == 18, "INVALID").otherwise("NONE")
-    return rows.groupBy(status.alias("status"), category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """A provider's answers for each task's first two candidates, within its rights, trust and budget, with the reasons of fallbacks."""
+    none = F.lit(None).cast("int")
+    rows = w01_rank(spark, folder).select("task_id", "unit_id", "rank", F.lit("").alias("prompt"), F.lit("p").alias("path"), F.lit("t").alias("title"), none.alias("distance"), F.lit(False).alias("in_evidence"), F.lit(False).alias("is_direct_dependency"))
+    rows = rows.withColumns({"rights": c("task_id") % 13 != 0, "trusted": c("unit_id") % 7 != 0})
+    return shadow_run(local_judgment(rows), _provider, calls=2).select("task_id", "unit_id", "status", "reason", "tries", "relevance")

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.text import BOUNDARY, INJECTIONS, NOTICE, REDACTED, SECRETS, guarded, injection_hits, redact_map, redact_secrets
-from tessera.operators.rights import command_allowed, conjunctive, egress, first_reason, latest, not_revoked, observation_rules, orphans, permitted, provenance_rules, purge_trace, reasons, redacted, resolve_lineage
+from tessera.operators.rights import acceptance, command_allowed, conjunctive, egress, first_reason, integrity_audit, latest, not_revoked, observation_rules, orphans, permitted, provenance_rules, purge_trace, reasons, redacted, resolve_lineage
 from tessera.registry import query
 from tessera.sources.sinks import KeyedTable
 from tessera.sources.tables import EPISODES, EXPOSURES, TRAJECTORY, UNITS, episodes, exposures, table, trajectory, units
@@ -274,7 +274,41 @@ def s14_keyed_delete(spark, folder):
     return keyed.rows().select(F.lit(n).alias("deleted"), "user_id", "event_type", "event_id")
 
 
-@query(f"SELECT episode_id, CASE WHEN bool_or(type = 'FILE_EDIT' AND value > 90) THEN 'LEAK' WHEN count(DISTINCT type) < 5 THEN 'INCOMPLETE' ELSE 'OK' END AS audit FROM {TRAJECTORY} GROUP BY ALL")
+_BODY = "'{\"customer\":' || o_custkey || ',\"episode\":' || o_orderkey || '}'"
+
+
+@query(f"""SELECT *, NOT has_leakage AND NOT has_hash_mismatch AND NOT has_provenance_error AS passed FROM (SELECT o_orderkey AS episode_id, o_orderkey % 23 <> 0 AND (o_orderkey % 11 = 0 OR o_orderkey % 13 = 0) AS has_leakage,
+  o_orderkey % 23 = 0 OR o_orderkey % 7 = 0 AS has_hash_mismatch, o_orderkey % 23 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS has_provenance_error FROM orders WHERE length({_BODY}) > 0)""")
 def l14_integrity_audit(spark, folder):
-    leak = F.bool_or((F.col("type") == "FILE_EDIT") & (F.col("value") > 90))
-    return trajectory(spark, folder).groupBy("episode_id").agg(F.when(leak, "LEAK").when(F.count_distinct("type") < 5, "INCOMPLETE").otherwise("OK").alias("audit"))
+    """Sealed snapshots, some with fields from after the outcome (their own or a candidate's), other content than was sealed, or no origin."""
+    k, text = F.col("o_orderkey"), lambda x: F.col(x).cast("string")
+    body = F.to_json(F.struct(F.col("o_custkey").alias("customer"), k.alias("episode")))
+    fields = F.create_map(F.lit("customer"), text("o_custkey"), F.lit("futurePatch"), F.when(k % 11 == 0, "x"), F.lit("verifiedSuccess"), F.lit(None).cast("string"))
+    rows = table(spark, folder, "orders").select(
+        k.alias("episode_id"), fields.alias("fields"), F.when(k % 13 == 0, F.array(F.lit("path"), F.lit("agentEdits"))).otherwise(F.array(F.lit("path"))).alias("candidate_fields"), F.when(k % 23 != 0, body).alias("body"),
+        F.sha2(F.when(k % 7 == 0, F.concat(body, F.lit("!"))).otherwise(body), 256).alias("seal"), F.when(k % 5 == 0, "abc").when(k % 2 == 0, "HEAD").otherwise(F.sha1(text("o_orderkey"))).alias("base_commit"),
+        F.when(k % 17 != 0, "c1").alias("cutoff_commit"), F.when(k % 19 != 0, "CONTEXT_FEATURES_V1").otherwise("V0").alias("feature_set"))
+    return integrity_audit(rows)
+
+
+#: A criterion's name and the SQL that fails it, for runs whose measures come from a supplier's key.
+_FAILS = {
+    "live": "k % 29 = 0", "production endpoint": "k % 31 = 0", "clean provenance": "k % 7 = 3", "harness without error": "k % 19 = 4", "all selected started": "k % 8 = 7", "all selected completed": "k % 10 = 9", "provider attempts": "k % 6 = 0", "provider successes": "k % 5 < 2", "valid signals": "k % 4 < 2",
+    "no failed calls": "k % 3 = 0", "no fallback only": "k % 9 = 2", "no synthetic signals": "k % 9 = 3", "requests within budget": "k % 12 > 10", "attempts per task": "k % 13 = 1", "request budget kept": "k % 13 = 2", "plans invariant": "k % 14 < 2", "lineage verified": "k % 15 = 1", "lineage complete": "k % 15 = 2",
+    "no lineage mismatch": "k % 16 < 2", "no unexpected egress": "k % 18 < 2", "report consistent": "k % 21 = 1", "share of successes": "k % 6 > 0 AND (k % 5) / (k % 6) < 0.75",
+}
+
+
+@query(f"SELECT k AS run, array_to_string(list_filter([{', '.join(f'CASE WHEN {t} THEN {chr(39)}{n}{chr(39)} END' for n, t in _FAILS.items())}], lambda x: x IS NOT NULL), ',') AS failed FROM (SELECT s_suppkey AS k FROM supplier)")
+def e06_acceptance(spark, folder):
+    """Which criteria of acceptance each of many runs fails."""
+    k = F.col("s_suppkey")
+    flag = lambda bad, unknown: F.when(unknown, None).otherwise(~bad)
+    measures = {
+        "live": flag(k % 29 == 0, k % 2 == 5), "endpoint_production": flag(k % 31 == 0, k % 31 == 5), "provenance_clean": flag(k % 7 == 3, k % 7 == 5), "harness_error": F.when(k % 19 == 4, "boom"), "selected": F.lit(5), "started": F.when(k % 8 == 7, 4).when(k % 8 < 6, 5), "completed": F.when(k % 10 == 9, 4).when(k % 10 < 7, 5),
+        "attempts": F.when(k % 6 > 0, (k % 6).cast("int")), "successes": F.when(k % 5 > 0, (k % 5).cast("int")), "valid_signals": (k % 4).cast("int"), "failed_calls": F.when(k % 6 == 0, 2).when(k % 3 > 0, 0), "fallback_only": F.when(k % 9 == 2, 1).when(k % 9 > 4, 0), "synthetic": F.when(k % 9 == 3, 1),
+        "http_requests": (k % 12).cast("int"), "max_http_requests": F.lit(10), "task_attempts_exceeded": F.when(k % 13 == 1, True).when(k % 13 > 5, False), "requests_exceeded": F.when(k % 13 == 2, True), "plan_invariant": F.when(k % 14 > 1, True).when(k % 14 == 1, False), "lineage_verified": flag(k % 15 == 1, k % 15 == 7),
+        "lineage_complete": flag(k % 15 == 2, k % 15 == 8), "no_lineage_mismatch": F.when(k % 16 > 1, True), "no_unexpected_egress": F.when(k % 18 > 1, True).when(k % 18 == 1, False), "report_consistent": flag(k % 21 == 1, k % 21 == 4),
+    }
+    rows = table(spark, folder, "supplier").select(k.alias("run"), *[v.alias(n) for n, v in measures.items()])
+    return rows.select("run", F.array_join(acceptance(minimum_valid=2, least_share=0.75), ",").alias("failed"))
