@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import ROUND_CEILING, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,7 +78,7 @@ def affordable(max_cost: float | None, model: str) -> int | None:
     if not max_cost:
         return None
     micros = Decimal(str(max_cost)).scaleb(6) + Decimal("0.5")
-    return max(0, -int(-micros // Decimal(str(price_of(model)))) - 1)
+    return max(0, int((micros / Decimal(str(price_of(model)))).to_integral_value(ROUND_CEILING)) - 1)
 
 
 def solve_budget(selected: DataFrame, limit: int, max_cost: float | None = None, model: str = "claude-3-7-sonnet") -> DataFrame:
