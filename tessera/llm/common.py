@@ -55,7 +55,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
