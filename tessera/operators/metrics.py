@@ -71,13 +71,13 @@ def descriptive(df: DataFrame, key: str, value: str) -> DataFrame:
     width = F.col("greatest") - F.col("least")
     at = F.when(width > 0, F.least(F.lit(STRETCHES - 1), F.floor((F.col("v") - F.col("least")) / width * STRETCHES).cast("int"))).otherwise(0)
     placed = rows.join(stats.select(key, "least", "greatest"), key).select(key, at.alias("stretch"), "v")
-    counts = placed.groupBy(key, "stretch").agg(F.count(F.lit(1)).alias("k"))
+    counts = placed.groupBy(key, "stretch").agg(F.count(F.lit(1)).alias("_held"))
     places = F.explode(F.array(F.struct(F.lit("p95").alias("what"), F.floor(0.95 * F.col("n")).alias("place")), F.struct(F.lit("median").alias("what"), F.floor(F.col("n") / 2).alias("place")))).alias("x")
-    before = F.sum("k").over(Window.partitionBy(key).orderBy("stretch")) - F.col("k")
-    wanted = counts.withColumn("before", before).join(stats.select(key, places).select(key, "x.*"), key).filter("place >= before and place < before + k")
+    before = F.sum("_held").over(Window.partitionBy(key).orderBy("stretch")) - F.col("_held")
+    wanted = counts.withColumn("before", before).join(stats.select(key, places).select(key, "x.*"), key).filter("place >= before and place < before + _held")
     wanted = settled(wanted.select(key, "stretch", "what", (F.col("place") - F.col("before")).alias("place")), "places")
-    values = placed.join(wanted, [key, "stretch"]).groupBy(key, "what", "place", "v").agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(key, "what").orderBy("v"))
+    values = placed.join(wanted, [key, "stretch"]).groupBy(key, "what", "place", "v").agg(F.count(F.lit(1)).alias("_held"))
+    upto = F.sum("_held").over(Window.partitionBy(key, "what").orderBy("v"))
     found = values.withColumn("upto", upto).filter("upto > place").groupBy(key).agg(F.min(F.when(F.col("what") == "p95", F.col("v"))).alias("p95"), F.min(F.when(F.col("what") == "median", F.col("v"))).alias("median"))
     return stats.join(found, key).select(key, F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "least", "greatest", "p95", "median")
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import artifact_kind
 from tessera.functions.text import NOTICE, REDACTED, guarded, has_secret, injection_hits, redact_secrets
 from tessera.operators.datasets import canonical, prompt_overlaps, stratified_groups, train_linear, train_stumps
-from tessera.operators.graph import distances, normal_path
+from tessera.operators.graph import distances, normal_path, resolve_calls
+from tessera.operators.judgments import ProviderFailure, local_judgment, shadow_run
 from tessera.operators.history import change_frequency, co_changes, directional_co_change, until
-from tessera.operators.metrics import budgeted, mcnemar, task_metrics
+from tessera.operators.metrics import bootstrap, budgeted, descriptive, mcnemar, task_metrics
 from tessera.operators.packing import model_cost, solve_budget
 from tessera.operators.retrieval import containing, frame_matches
 from tessera.operators.rights import command_allowed, latest
@@ -258,3 +259,112 @@ def test_containing_finds_all_pairs(spark):
     assert {(r.i, r.j) for r in containing(left, right, "a", "b").collect()} == one
     both = containing(left, right, "a", "b", either=True).collect()
     assert {(r.i, r.j) for r in both} == one | other and len(both) == len(one | other)
+
+
+def test_pairs_of_large_commits(spark):
+    """Commits cut into chunks give the same pairs."""
+    rng = random.Random(2)
+    commits = {f"c{i}": set(rng.sample(range(30), rng.randrange(1, 25))) for i in range(12)}
+    files = spark.createDataFrame([(s, f) for s, fs in commits.items() for f in fs] + [("c0", next(iter(commits["c0"])))], "sha string, file int")
+    want = {}
+    for fs in commits.values():
+        for a in fs:
+            for b in fs - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    for chunk in (3, 256):
+        assert {(r.file, r.other): r.shared for r in co_changes(files, 1, chunk).collect()} == want
+    assert {(r.file, r.other) for r in co_changes(files, 4, 5).collect()} == {k for k, n in want.items() if n >= 4}
+
+
+def test_calls_resolve_by_level(spark):
+    """Same class, then same file, then all; a call of itself resolves and gives no edge, also where others have the name."""
+    symbols = spark.createDataFrame([(1, "f", "A", "run"), (2, "f", "B", "run"), (3, "f", None, "run"), (4, "g", None, "run"), (5, "f", "A", "go"), (6, "g", None, "go"), (7, "g", "Z", "far"), (8, "f", None, "solo"), (9, "g", None, "solo")], "dst int, file string, owner string, name string")
+    uses = spark.createDataFrame([(5, "f", "A", "run"), (3, "f", None, "run"), (3, "f", None, "go"), (4, "g", None, "far"), (1, "f", "A", "far"), (8, "f", None, "solo"), (1, "f", "A", "run"), (1, "f", "A", "none")], "src int, file string, owner string, name string")
+    got = {(r.src, r.dst, r.name, r.level) for r in resolve_calls(uses, symbols).collect()}
+    assert got == {(5, 1, "run", 1), (3, 1, "run", 2), (3, 2, "run", 2), (3, 5, "go", 2), (4, 7, "far", 2), (1, 7, "far", 3)}
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=501).tolist(), "b": [3.0] * 40, "c": [1.5], "d": rng.integers(0, 5, 200).astype(float).tolist(), "e": [0.0, 1e9, 1.0, 2.0] * 5}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("a", None)], "k string, v double")
+    for r in descriptive(rows, "k", "v").collect():
+        x = sorted(values[r.k])
+        assert (r.p95, r.median, r.least, r.greatest) == (x[int(0.95 * len(x))], x[len(x) // 2], x[0], x[-1])
+        assert abs(r["mean"] - np.mean(x)) < 1e-3 + 1e-9 * abs(np.mean(x)) and abs(r.deviation - np.std(x)) < 1e-3
+
+
+@pytest.mark.parametrize("n", [1, 7, 60])
+def test_bootstrap_against_a_loop(spark, n):
+    rng = random.Random(n)
+    deltas = [round(rng.uniform(-0.2, 0.25), 4) for _ in range(n)]
+    state, means = 42, []
+    for _ in range(2000):
+        total = 0
+        for _ in range(n):
+            state = (state * 9301 + 49297) % 233280
+            total += round(deltas[state * n // 233280] * 10000)
+        means.append(total / n / 10000)
+    means.sort()
+    m = sum(deltas) / n
+    got = bootstrap(spark.createDataFrame(list(enumerate(deltas)), "i long, delta double")).first()
+    extreme = sum(x <= 0 for x in means) if m >= 0 else sum(x >= 0 for x in means)
+    assert abs(got.mean_delta - m) < 1e-4 and abs(got.ci_lower - means[50]) <= 1e-4 and abs(got.ci_upper - means[1950]) <= 1e-4
+    assert abs(got.p_value - min(1, 2 * extreme / 2000)) < 1e-3 and (got.wins, got.losses) == (sum(d > 1e-4 for d in deltas), sum(d < -1e-4 for d in deltas))
+
+
+def naive_stumps(positive, negative, rounds, rate, cuts):
+    """The trainer, letter by letter: pair by pair, feature by feature, threshold by threshold."""
+    n, width, out = len(positive), len(positive[0]), []
+    score = [[0.0] * n, [0.0] * n]
+    grids = []
+    for f in range(width):
+        seen = sorted({x[f] for x in positive} | {x[f] for x in negative})
+        mids = [(a + b) / 2 for a, b in zip(seen, seen[1:], strict=False)]
+        grids.append([mids[int(i)] for i in np.linspace(0, len(mids) - 1, min(len(mids), cuts))] if mids else [])
+    for _ in range(rounds):
+        gradient = [1 / (1 + np.exp(np.clip(a - b, -20, 20))) for a, b in zip(*score, strict=True)]
+        best = (0.0, 0, 0.0, 0.0)
+        for f in range(width):
+            for t in grids[f]:
+                d = [(p[f] <= t) - (q[f] <= t) for p, q in zip(positive, negative, strict=True)]
+                k, s = sum(map(abs, d)), sum(x * g for x, g in zip(d, gradient, strict=True))
+                if k and s * s / (k + 1) > best[0] + 1e-12:
+                    best = (s * s / (k + 1), f, t, s / (k + 1))
+        _, f, t, delta = best
+        if abs(delta) < 1e-6:
+            break
+        out.append((f, t, delta / 2, -delta / 2))
+        for side, rows in zip(score, (positive, negative), strict=True):
+            for i, x in enumerate(rows):
+                side[i] += rate * (delta / 2 if x[f] <= t else -delta / 2)
+    return out
+
+
+def test_trainers_against_loops():
+    rng = np.random.default_rng(6)
+    positive, negative = rng.integers(0, 6, (40, 4)) + np.array([1, 0, 0, 0.5]), rng.integers(0, 6, (40, 4)) * 1.0
+    got, want = train_stumps(positive, negative, rounds=15, cuts=4), naive_stumps(positive.tolist(), negative.tolist(), 15, 0.08, 4)
+    assert len(got) == len(want) > 5 and np.allclose(np.array(got), np.array(want))
+    w = [0.0] * 4
+    for _ in range(60):
+        for d in (positive - negative).tolist():
+            short = sum(a * b for a, b in zip(w, d, strict=True)) < 1
+            w = [a + 0.05 * ((x if short else 0) - 0.01 * a) for a, x in zip(w, d, strict=True)]
+    assert np.allclose(train_linear(positive - negative), w)
+
+
+def test_judgments(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "Fix the parser parser of Run", "src/parser.ts", "Parser", 2, False, True), (1, 2, 2, "of it", "a.ts", "a", 1, True, False), (1, 3, 3, "fix run", "x/run.ts", None, 1, False, True), (2, 4, 1, "", "p", "t", None, False, False)], "task_id long, unit_id long, rank int, prompt string, path string, title string, distance int, in_evidence boolean, is_direct_dependency boolean")
+    got = {r.unit_id: (r.matches, r.relevance, r.implementation, r.edit_target, r.root_cause) for r in local_judgment(rows).collect()}
+    assert got == {1: (10, 1.0, True, True, True), 2: (0, 0.7, True, True, True), 3: (2, 0.7, True, True, False), 4: (0, 0.0, False, False, False)}
+    judged = local_judgment(rows).withColumns({"rights": F.lit(True), "trusted": F.col("unit_id") != 4})
+
+    def provider(row):
+        if row["unit_id"] == 1:
+            raise ProviderFailure("CONNECTION_ERROR")
+        return {"relevance": 0.25, "implementation": False, "edit_target": True, "root_cause": False}
+
+    got = {r.unit_id: (r.status, r.reason, r.tries, r.relevance) for r in shadow_run(judged, provider, calls=2, attempts=3).collect()}
+    assert got == {1: ("FALLBACK", "CONNECTION_ERROR", 3, 1.0), 2: ("OK", "NONE", 1, 0.25), 3: ("FALLBACK", "BUDGET_EXHAUSTED", 0, 0.7), 4: ("FALLBACK", "TRUST_DENIED", 0, 0.0)}
+    assert {r.reason for r in shadow_run(judged, None, calls=2).collect()} == {"NO_API_KEY"}
