@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASES, matched, range_hashes, sent, small_batches, text_groups, word_hashes, words_of, written
+from tessera.llm.common import BASES, GROUP_BYTES, matched, range_hashes, sent, small_batches, text_groups, word_hashes, words_of, written
 
 WINDOW = 50
 ANCHOR = 10
@@ -136,19 +136,24 @@ def _run_rows(window: int, piece: int):
 
 
 def _pattern_rows(window: int):
-    """The text of each wanted passage: its words, joined by one space."""
+    """The text of each wanted passage: its words, joined by one space. A much quoted owner's come in several batches."""
     names = ["owner", "owner_start", "windows", "pattern"]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, letters = [], 0
             for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 for x in wanted:
                     part = words[x["owner_start"] : x["owner_start"] + x["windows"] + window - 1]
                     if len(part) == x["windows"] + window - 1:  # else another row with the owner's id
                         rows.append((doc, x["owner_start"], x["windows"], b" ".join(part).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=names)
+                        letters += len(rows[-1][3])
+                    if letters > GROUP_BYTES:
+                        yield batch_of(rows)
+                        rows, letters = [], 0
+            yield batch_of(rows)
 
     return run
 
