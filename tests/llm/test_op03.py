@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.common import new_folder
@@ -42,3 +43,9 @@ def test_sequences_have_equal_length_and_masks(spark):
         mask = np.array([m for row in table["mask"].to_pylist() for m in row])
         assert table.num_rows == x["sequences"] and mask.sum() == x["tokens"] and mask[: x["tokens"]].all()
     assert read_documents(spark, folder, manifest).count() == 50
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"some words {i}", "en", "s") for i in range(20)]
+    docs = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in ("ids", "mask", "offset", "n_tokens", "shard", "base", "start", "sequences")})
+    assert sorted(map(tuple, token_digest(docs, PATH, length=32).collect()), key=lambda r: r[1]) == brute(rows)

@@ -2,6 +2,7 @@ import hashlib
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tessera.llm.op04_pieces import encode_pieces, piece_digest
 
@@ -23,3 +24,9 @@ def test_against_the_library(spark, awkward):
 
 def test_empty_table(spark):
     assert piece_digest(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    docs = frame(spark, [(i, f"some words {i}", "en", "s") for i in range(20)])
+    more = docs.withColumns({c: F.lit(f"own {c}") for c in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")})
+    assert sorted(map(tuple, piece_digest(more, PATH).collect())) == sorted(map(tuple, piece_digest(docs, PATH).collect()))

@@ -69,3 +69,13 @@ def test_lasso_keeps_few_rules():
     assert (np.round(model.score(x)) == y).mean() > 0.97 and len(model.rules) < 90
     strong = {k for r, w in zip(model.rules, model.weights, strict=True) if abs(w) > 0.5 for k, *_ in r}
     assert {0, 3} <= strong
+
+
+def test_repeated_ids_fit_the_same_model(spark):
+    """Of several texts with one id the least is learnt from, however the rows are dealt."""
+    _, labels, rows, _ = corpus(spark, 150)
+    twice = rows + [(i, "zzz " * (40 + i), "en", "s") for i, *_ in rows[::3]] + rows[::5]
+    first = train(frame(spark, twice).repartition(3), labels)
+    for n in (1, 8):
+        again = train(frame(spark, twice[::-1]).repartition(n), labels)
+        assert again.rules == first.rules and again.weights == first.weights and again.intercept == first.intercept
