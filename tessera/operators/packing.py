@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Resolutions, coarse to full, with the share of a unit's raw tokens and of its utility that each has.
+#: Resolutions, coarse to full, with the share of a unit's raw tokens and of its utility that each has.
 OMIT, NAME, SIGNATURE, SKELETON, BODY, FULL = range(6)
 SHARE = {SIGNATURE: 0.10, SKELETON: 0.25, BODY: 0.75}
 UTILITY = {NAME: 0.15, SIGNATURE: 0.40, SKELETON: 0.70, BODY: 0.95, FULL: 1.0}

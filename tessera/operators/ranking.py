@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights of the deterministic ranker.
+#: Weights of the deterministic ranker.
 WEIGHTS = {
     "in_stack_trace": 45, "is_failing_test_target": 35, "in_compiler_error": 35, "in_dirty_diff": 25, "exact_symbol_match": 30, "exact_path_match": 25,
     "lexical": 2.0, "token_overlap": 15, "hop1": 20, "hop2": 10, "co_change": 15, "recent_change": 2,
     "semantic": 15, "implementation": 10, "edit_target": 25, "root_cause": 20, "lockfile": -30, "unrelated_test": -10,
 }
-#: Weights of the heuristic score of a feature row.
+#: Weights of the heuristic score of a feature row.
 HEURISTIC = {"in_stack_trace": 40, "is_failing_test_target": 35, "in_compiler_error": 35, "in_dirty_diff": 25, "exact_symbol_match": 30, "exact_path_match": 25}
 
 
@@ -37,7 +37,7 @@ def heuristic_score() -> Column:
     return total([F.when(c(k), float(w)).otherwise(0.0) for k, w in HEURISTIC.items()]) + F.least(F.lit(25.0), c("lexical_score")) + c("token_overlap_ratio") * 15 + hop("min_distance_to_seed") + hop("min_distance_to_error_frame") + c("max_co_change") * 15 + F.least(F.lit(10.0), c("recent_changes") * 2.0)
 
 
-#: The vector's order; the first 28 without judgments.
+#: The vector's order; the first 28 without judgments.
 BOOLEANS = {1: "is_test", 2: "is_config", 3: "is_documentation", 4: "is_schema", 5: "is_exported", 6: "exact_symbol_match", 7: "exact_path_match", 13: "is_direct_dependency", 14: "is_direct_dependent", 18: "in_stack_trace", 19: "is_failing_test_target", 20: "in_compiler_error", 21: "in_dirty_diff", 22: "from_exact", 23: "from_lexical", 24: "from_graph", 25: "from_history", 26: "from_runtime"}
 SCALED = {0: ("tokens", 2000), 8: ("lexical_score", 25), 10: ("graph_degree", 20), 15: ("changes", 50), 16: ("recent_changes", 10), 27: ("heuristic_score", 100)}
 PLAIN = {9: "token_overlap_ratio", 17: "max_co_change"}

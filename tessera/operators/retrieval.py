@@ -111,7 +111,7 @@ def containing(left: DataFrame, right: DataFrame, a: str, b: str, either: bool =
     return rows.join(right.withColumn("_g", F.xxhash64(b)), "_g").filter(test).drop("_h", "_g")
 
 
-#: Weights of fusion: exact match, runtime match, test relationship, lexical score, co-change score.
+#: Weights of fusion: exact match, runtime match, test relationship, lexical score, co-change score.
 FUSION = {"exact_match": 5.0, "runtime_match": 6.0, "test_relationship": 2.0, "lexical_score": 2.0, "co_change_score": 2.0}
 
 

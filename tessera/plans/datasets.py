@@ -55,7 +55,7 @@ def l16_stratified_split(spark, folder):
     rows = table(spark, folder, "customer").select(c("c_custkey").alias("episode_id"), c("c_nationkey").cast("string").alias("repository"), c("c_mktsegment").alias("grp"))
     groups = [tuple(r) for r in rows.groupBy("repository", "grp").agg(F.count(F.lit(1)).alias("n")).collect()]
     dealt = [(r, g, s) for (r, g), s in stratified_groups(groups).items()]
-    return rows.join(F.broadcast(spark.createDataFrame(dealt, "repository string, grp string, split string")), ["repository", "grp"])
+    return rows.join(spark.createDataFrame(dealt, "repository string, grp string, split string"), ["repository", "grp"])
 
 
 @query(f"""WITH a AS (SELECT o_orderkey AS episode_id, o_custkey AS group_id, {_SPLIT} AS split FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'test' FROM orders WHERE o_orderkey % 97 = 0)
