@@ -25,7 +25,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discarded, sent, written
+from tessera.llm.common import sent, written
 from tessera.llm.textstats import base_statistics
 
 #: Statistics of the vector, and the floor of each one's standard deviation. Most texts have no symbols and no repeats, so that the
@@ -46,6 +46,8 @@ LEAST_ROWS = 40
 #: Starts by hash, and cells in each.
 DRAWS = 6
 DRAWN = 10
+#: Concentration steps between two looks at the determinants: one plan each time.
+STEPS = 4
 #: A determinant's logarithm that falls by less than this has stopped falling.
 STOPPED = 1e-9
 
@@ -75,45 +77,35 @@ def _names() -> list[str]:
 
 def _factor(params: DataFrame) -> DataFrame:
     """Adds the Cholesky factor l_i_j of the floored covariance c_i_j, and the logarithm of its determinant."""
+    steps = []
     for j in range(P):
         for i in range(j, P):
-            rest = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            if i == j:
-                floor = FLOORS[DIMENSIONS[i]] ** 2
-                params = params.withColumn(f"l_{i}_{i}", F.sqrt(F.greatest(rest + floor, F.lit(floor))))
-            else:
-                params = params.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
-    return params.withColumn("logdet", functools.reduce(Column.__add__, [2 * F.log(f"l_{i}_{i}") for i in range(P)]))
-
-
-def _with_distance(df: DataFrame, name: str, values: list[Column]) -> DataFrame:
+            rest = f"c_{i}_{j}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+            floor = FLOORS[DIMENSIONS[i]] ** 2
+            steps.append(f"sqrt(greatest({rest} + {floor!r}D, {floor!r}D)) AS l_{i}_{i}" if i == j else f"({rest}) / l_{j}_{j} AS l_{i}_{j}")
+    return params.selectExpr("*", *steps, " + ".join(f"2 * ln(l_{i}_{i})" for i in range(P)) + " AS logdet")
+
+
+def _with_distance(df: DataFrame, name: str, values: list[str]) -> DataFrame:
     """Adds the squared Mahalanobis distance, by forward substitution; each step is a column of its own, so none is computed twice."""
-    for i, c in enumerate(values):
-        rest = c - F.col(f"m_{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"_y{k}")
-        df = df.withColumn(f"_y{i}", rest / F.col(f"l_{i}_{i}"))
-    steps = [F.col(f"_y{i}") for i in range(P)]
-    return df.withColumn(name, functools.reduce(Column.__add__, [y * y for y in steps])).drop(*[f"_y{i}" for i in range(P)])
+    steps = [f"({v} - m_{i}" + "".join(f" - l_{i}_{k} * _y{k}" for k in range(i)) + f") / l_{i}_{i} AS _y{i}" for i, v in enumerate(values)]
+    return df.selectExpr("*", *steps, " + ".join(f"_y{i} * _y{i}" for i in range(P)) + f" AS {name}").drop(*[f"_y{i}" for i in range(P)])
 
 
-def _cell_values() -> list[Column]:
-    return [F.col(q) * UNITS[d] for q, d in zip(CELL, DIMENSIONS, strict=True)]
+def _cell_values() -> list[str]:
+    return [f"{q} * {UNITS[d]!r}D" for q, d in zip(CELL, DIMENSIONS, strict=True)]
 
 
 def _moments(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """keys, mean m_i and covariance c_i_j of the cells of rows, `w` times each: exact sums of whole numbers, the same in any order."""
+    """keys, more, mean m_i and covariance c_i_j of the cells of rows, `w` times each: exact sums of whole numbers, the same in any order."""
     w = F.col("w").cast("decimal(18,0)")
     sums = [F.sum(w * F.col(q).cast("decimal(18,0)")).alias(f"s_{i}") for i, q in enumerate(CELL)]
     sums += [F.sum(w * (F.col(CELL[i]) * F.col(CELL[j])).cast("decimal(18,0)")).alias(f"s_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(F.sum("w").cast("double").alias("w"), *sums, *more)
-    mean = {f"m_{i}": F.col(f"s_{i}").cast("double") / F.col("w") for i in range(P)}
-    out = out.withColumns(mean)
-    unit = [UNITS[d] for d in DIMENSIONS]
-    cov = {f"c_{i}_{j}": (F.col(f"s_{i}_{j}").cast("double") / F.col("w") - F.col(f"m_{i}") * F.col(f"m_{j}")) * (unit[i] * unit[j]) for i in range(P) for j in range(i + 1)}
-    return out.withColumns(cov).withColumns({f"m_{i}": F.col(f"m_{i}") * unit[i] for i in range(P)})
+    out = rows.groupBy(*keys).agg(*more, F.sum("w").cast("double").alias("w"), *sums)
+    held, unit = out.columns[: len(keys) + len(more)], [UNITS[d] for d in DIMENSIONS]
+    means = [f"CAST(s_{i} AS DOUBLE) / w AS u_{i}" for i in range(P)]
+    cov = [f"(CAST(s_{i}_{j} AS DOUBLE) / w - u_{i} * u_{j}) * {unit[i] * unit[j]!r}D AS c_{i}_{j}" for i in range(P) for j in range(i + 1)]
+    return out.selectExpr(*[f"`{k}`" for k in held], *means, *[f"u_{i} * {unit[i]!r}D AS m_{i}" for i in range(P)], *cov).drop(*[f"u_{i}" for i in range(P)])
 
 
 def _lower_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -150,14 +142,16 @@ def estimates(cells: DataFrame, subset: float = 0.75, draws: int = DRAWS) -> Dat
     (of the group)."""
     now, done = starts(cells, draws), []
     while True:
-        at = _with_distance(cells.join(sent(now), "group"), "d2", _cell_values())
-        order = Window.partitionBy("group", "start").orderBy("d2", *CELL)
-        share = F.ceil(F.col("rows") * subset) - (F.sum("n").over(order) - F.col("n"))
-        near = at.withColumn("w", F.least(F.col("n"), share)).filter("w > 0")
-        after = written(_factor(_moments(near, ["group", "start"], F.first("logdet").alias("before"))).select("group", "start", "before", *_names()), "estimate")
-        done.append(after.filter(F.col("logdet") >= F.col("before") - STOPPED).drop("before"))
-        discarded(now)
-        now = written(after.filter(F.col("logdet") < F.col("before") - STOPPED).drop("before"), "falling")
+        after = now
+        for _ in range(STEPS):
+            at = _with_distance(cells.join(sent(now) if after is now else after, "group"), "d2", _cell_values())
+            order = Window.partitionBy("group", "start").orderBy("d2", *CELL)
+            share = F.ceil(F.col("rows") * subset) - (F.sum("n").over(order) - F.col("n"))
+            near = at.withColumn("w", F.least(F.col("n"), share)).filter("w > 0")
+            after = _factor(_moments(near, ["group", "start"], F.first("logdet").alias("before"))).select("group", "start", "before", *_names())
+        after = written(after.withColumn("falls", F.col("logdet") < F.col("before") - STOPPED), "estimate")
+        done.append(after.filter("not falls").drop("before", "falls"))
+        now = after.filter("falls").drop("before", "falls")
         if now.isEmpty():
             break
     ended = functools.reduce(DataFrame.unionByName, done)
@@ -192,7 +186,7 @@ def fitted(table: DataFrame, least_rows: int = LEAST_ROWS, subset: float = 0.75,
 
 def _judged(rows: DataFrame, kinds: DataFrame, cutoff: float) -> DataFrame:
     rows = rows.withColumn("kind", _levels()[0]).join(sent(kinds), "kind", "left")
-    rows = _with_distance(rows, "_d2", [F.col(d) for d in DIMENSIONS]).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("scale")))
+    rows = _with_distance(rows, "_d2", DIMENSIONS).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("scale")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
 
 
