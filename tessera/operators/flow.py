@@ -72,14 +72,16 @@ def _said(text: str, what: Column) -> Column:
 def build_features(chosen: DataFrame, tasks: DataFrame, evidence: DataFrame, seeds: DataFrame, dirty: DataFrame, units: DataFrame, edges: DataFrame, commits: DataFrame, cutoff: str, days: int = 30) -> DataFrame:
     """The feature row of each candidate (chosen: what candidates gives), as of the cut-off: static, lexical, graph, runtime and history."""
     units = _full(units)
-    rows = chosen.select(*KEY, "exact_match", "lexical_score", "sources").join(tasks.select("task_id", "prompt"), "task_id").join(units, "unit_id")
-    query = lexical_tokens(F.col("prompt"))
+    rows = chosen.select(*KEY, "exact_match", "lexical_score", "sources").join(tasks.select("task_id", "prompt", lexical_tokens(F.col("prompt")).alias("query")), "task_id").join(units, "unit_id")
     text = F.concat_ws(" ", "path", F.col("unit_id").cast("string"), "qualified_name", "content", "title")
-    overlap = overlap_ratio(query, lexical_tokens(text))
+    # The words that prompt and unit share are settled first: within the ratio they would be found anew for each word of the prompt.
+    rows = rows.withColumn("shared", F.array_intersect("query", lexical_tokens(text))).withColumn("tokens", token_estimate(F.col("tokens"), F.col("content"))).drop("content")
+    rows = settled(rows, "shared-words")
+    overlap = overlap_ratio(F.col("query"), F.col("shared"))
     low, kind = F.lower(F.coalesce("path", F.lit(""))), F.col("kind")
     rows = rows.select(
         *KEY, "kind", "path", "sources", F.coalesce("unsafe", F.lit(False)).alias("unsafe"),
-        token_estimate(F.col("tokens"), F.col("content")).alias("tokens"),
+        "tokens",
         ((kind == "TEST") | low.contains("test")).alias("is_test"), (kind == "CONFIG").alias("is_config"), (kind == "DOCUMENTATION").alias("is_documentation"), kind.isin("SCHEMA", "MIGRATION").alias("is_schema"), F.coalesce("is_exported", F.lit(False)).alias("is_exported"),
         (F.col("exact_match") | F.array_contains("sources", "exact") | _said("prompt", F.col("name")) | _said("prompt", F.col("title"))).alias("exact_symbol_match"),
         _said("prompt", F.col("path")).alias("exact_path_match"), "lexical_score", overlap.alias("token_overlap_ratio"),
@@ -98,8 +100,8 @@ def build_features(chosen: DataFrame, tasks: DataFrame, evidence: DataFrame, see
     errors = evidence.select("task_id", F.col("path").alias("error")).filter("error <> ''").distinct()
     placed = units.select("unit_id", "path").filter("path <> ''").join(nodes, "unit_id", "left_semi")
     at_error = containing(placed, errors.select("error").distinct(), "path", "error", either=True).join(errors, "error").select("task_id", F.col("unit_id").alias("root")).distinct()
-    reach = distances(at_error.select("root").distinct(), edges)
-    by_error = at_error.join(reach, "root").select("task_id", F.col("node").alias("unit_id"), "distance").join(own.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("distance").alias("min_distance_to_error_frame"))
+    reach = distances(at_error.select(F.col("task_id").alias("root"), F.col("root").alias("node")).distinct(), edges)  # from all of a task's frames at once
+    by_error = reach.select(F.col("root").alias("task_id"), F.col("node").alias("unit_id"), F.col("distance").alias("min_distance_to_error_frame")).join(own.select(*KEY), KEY, "left_semi")
 
     # Evidence and uncommitted changes: paths within paths.
     places = own.select("path").filter("path <> ''").distinct()

@@ -32,8 +32,8 @@ def distances(seeds: DataFrame, edges: DataFrame, hops: int = 5, directed: bool
     if not directed:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     step = settled(step.distinct(), "steps")
-    seen = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")) if "node" not in seeds.columns else seeds.select("root", "node", F.lit(0).alias("distance"))
-    frontier = seen
+    node = F.col("node") if "node" in seeds.columns else F.col("root").alias("node")
+    frontier = seen = settled(seeds.select("root", node, F.lit(0).alias("distance")), "roots")
     for hop in range(1, hops + 1):
         reached = frontier.select("root", F.col("node").alias("src")).join(step, "src").select("root", F.col("dst").alias("node")).distinct()
         frontier = settled(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(hop)), "frontier")
