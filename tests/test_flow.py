@@ -10,6 +10,7 @@ from tessera.operators.flow import pack, rank_features
 from tessera.operators.packing import affordable, compose_bundles, fit_rendered, plan_totals, solve_budget
 from tessera.plans.flow import flow_rows
 from tessera.sources.tables import evidence, unit_edges
+from tessera.storage import settled
 
 FOLDER = "/root/testdata/sf0.001"
 CODE, WHOLE = ("SOURCE_FILE", "TEST", "CODE_SYMBOL"), ("CONFIG", "SCHEMA", "MIGRATION", "LOCKFILE", "DOCUMENTATION")
@@ -102,10 +103,15 @@ def gate(units, limit):
     return units, False
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not here")
+@pytest.fixture(scope="module")
+def rows(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("tables are not here")
+    return settled(rank_features(flow_rows(spark, FOLDER)), "ranked-features")
+
+
 @pytest.mark.parametrize("limit, ceiling", [(4000, None), (1500, None), (16_000, 0.005)])
-def test_flow_against_plain_python(spark, limit, ceiling):
-    rows = rank_features(flow_rows(spark, FOLDER)).cache()
+def test_flow_against_plain_python(spark, rows, limit, ceiling):
     links, paths = unit_edges(spark, FOLDER), evidence(spark, FOLDER)
     got = {}
     for r in pack(rows, links, paths, limit=limit, max_cost=ceiling).collect():
