@@ -16,3 +16,20 @@ WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+_STEP = """SELECT a.*, CASE WHEN n.us <= t1 + 300000000 AND (x.us IS NULL OR x.us > n.us) THEN n.us END AS t{k}
+  FROM a{j} a ASOF LEFT JOIN rows n ON a.client_id = n.client_id AND a.s{k} = n.kind AND a.t{j} < n.us
+  ASOF LEFT JOIN rows x ON a.client_id = x.client_id AND a.barred = x.kind AND a.t{j} < x.us"""
+
+OP11 = f"""
+WITH rows AS (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS us FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+     funnels(funnel, s1, s2, s3, s4, barred) AS (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'), ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')),
+     a1 AS (SELECT funnels.*, client_id, us AS t1 FROM rows JOIN funnels ON kind = s1),
+     a2 AS ({_STEP.format(j=1, k=2)}), a3 AS ({_STEP.format(j=2, k=3)}), a4 AS ({_STEP.format(j=3, k=4)}),
+     depths AS (SELECT funnel, client_id, count(*) AS n1, count(t2) AS n2, count(t3) AS n3, count(t4) AS n4,
+       CAST(max(CASE WHEN t4 IS NOT NULL THEN 4 WHEN t3 IS NOT NULL THEN 3 WHEN t2 IS NOT NULL THEN 2 ELSE 1 END) AS INT) AS deepest,
+       list_sort(list(t2 - t1) FILTER (t2 IS NOT NULL)) AS d2, list_sort(list(t3 - t2) FILTER (t3 IS NOT NULL)) AS d3, list_sort(list(t4 - t3) FILTER (t4 IS NOT NULL)) AS d4 FROM a4 GROUP BY ALL)
+SELECT funnel, client_id, n1, n2, n3, n4, deepest, d2[(25 * n2 + 99) // 100] AS t2, d3[(25 * n3 + 99) // 100] AS t3, d4[(25 * n4 + 99) // 100] AS t4,
+       count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
+FROM depths
+"""

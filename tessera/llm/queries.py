@@ -18,6 +18,7 @@ from tessera.llm.op07_phrase_automata import without_repeats
 from tessera.llm.op08_simhash_tiles import near_groups
 from tessera.llm.op09_robust_outliers import quality_verdicts
 from tessera.llm.op10_patience_lines import line_digest
+from tessera.llm.op11_funnels import funnel_report
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,6 +67,10 @@ def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(documents(spark, sf_dir))
 
 
+def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel_report(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
     "op2_disclosure_sanitisation": op2_disclosure_sanitisation,
@@ -77,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_tiles": op8_simhash_tiles,
     "op9_robust_outlier_rules": op9_robust_outlier_rules,
     "op10_patience_line_dedup": op10_patience_line_dedup,
+    "op11_ordered_funnels": op11_ordered_funnels,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chunk_recipe_dedup": oracles.OP1,
     "op7_phrase_automata": oracles.OP7,
+    "op11_ordered_funnels": oracles.OP11,
 }
