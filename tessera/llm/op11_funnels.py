@@ -6,7 +6,8 @@ stand before candidates, so that only later rows count. Each further step fills
 
 An attempt looks ahead by WITHIN at most. So rows are dealt by client and stretch of time: a row also goes to the stretch before its own
 if it lies in its own's first WITHIN, and attempts to their own alone. A stretch of BUCKET holds at most a row for each kind and time that
-the clock can tell, however many rows a client has. Order statistics take counts by value, then by bins, then in the one bin that holds the rank.
+the clock can tell, however many rows a client has. Counts by funnel, client, step and time taken are written once; order statistics take
+them by bins first, then in the one bin that holds the rank.
 
 Rows with a null among client, kind and time are left out, repeated rows count once, an empty table gives no rows, other columns are ignored.
 Clients without an attempt have no row.
@@ -19,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 #: Name: kinds of the steps, excluded kind.
 FUNNELS: dict[str, tuple[tuple[str, ...], str | None]] = {
     "A": (("view", "click", "view", "purchase"), "error"),
@@ -104,7 +107,7 @@ def funnel_report(rows: DataFrame, funnels: dict[str, tuple[tuple[str, ...], str
     steps = [F.struct(F.lit(1).alias("_step"), F.lit(0).cast("long").alias("_d"))]
     steps += [F.when(F.col(f"_d{k}").isNotNull(), F.struct(F.lit(k).alias("_step"), F.col(f"_d{k}").alias("_d"))) for k in range(2, most + 1)]
     reached = attempts(base, specs, within, bucket).select("_funnel", "_client", F.inline(F.array_compact(F.array(*steps))))
-    counts = reached.groupBy("_funnel", "_client", "_step", "_d").agg(F.count("*").alias("_count"))
+    counts = written(reached.groupBy("_funnel", "_client", "_step", "_d").agg(F.count("*").alias("_count")), "funnel-counts")
     depth = counts.groupBy("_funnel", "_client").agg(
         *[F.coalesce(F.sum(F.when(F.col("_step") == k, F.col("_count"))), F.lit(0)).alias(f"n{k}") for k in range(1, most + 1)], F.max("_step").alias("deepest")
     )
