@@ -19,6 +19,7 @@ from tessera.llm.op08_simhash_tiles import near_groups
 from tessera.llm.op09_robust_outliers import quality_verdicts
 from tessera.llm.op10_patience_lines import line_digest
 from tessera.llm.op11_funnels import funnel_report
+from tessera.llm.op12_jump_shards import shard_report
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,6 +72,10 @@ def op11_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel_report(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
 
 
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
     "op2_disclosure_sanitisation": op2_disclosure_sanitisation,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_robust_outlier_rules": op9_robust_outlier_rules,
     "op10_patience_line_dedup": op10_patience_line_dedup,
     "op11_ordered_funnels": op11_ordered_funnels,
+    "op12_jump_shards": op12_jump_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
