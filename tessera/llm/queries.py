@@ -20,6 +20,7 @@ from tessera.llm.op09_robust_outliers import quality_verdicts
 from tessera.llm.op10_patience_lines import line_digest
 from tessera.llm.op11_funnels import funnel_report
 from tessera.llm.op12_jump_shards import shard_report
+from tessera.llm.op13_prefix_trie import trie
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +77,10 @@ def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
     "op2_disclosure_sanitisation": op2_disclosure_sanitisation,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_patience_line_dedup": op10_patience_line_dedup,
     "op11_ordered_funnels": op11_ordered_funnels,
     "op12_jump_shards": op12_jump_shards,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
