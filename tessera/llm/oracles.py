@@ -33,3 +33,20 @@ SELECT funnel, client_id, n1, n2, n3, n4, deepest, d2[(25 * n2 + 99) // 100] AS
        count(*) OVER (PARTITION BY funnel, deepest) AS same_depth
 FROM depths
 """
+
+#: CRC-32 bit by bit of a decimal number.
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+OP13 = rf"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     cut AS (SELECT *, {_CRC} % 4 AS h FROM own),
+     whole AS (SELECT o.conv_id, coalesce(b.turns[1:h], o.turns[1:0]) || o.turns[h + 1:] AS turns FROM cut o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+     members AS (SELECT conv_id, t.d AS d, turns[1:t.d] AS path, len(turns) AS n FROM whole, unnest(range(0, len(turns) + 1)) AS t(d)),
+     nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, bool_or(n > d) AS has_more,
+       sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+       (count(*) - 1) * CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own_saved FROM members GROUP BY path, d),
+     subtrees AS (SELECT path[1:t.k] AS path, CAST(sum(own_saved) AS BIGINT) AS saved_tokens, count(*) FILTER (NOT has_more) AS n_leaves FROM nodes, unnest(range(0, d + 1)) AS t(k) GROUP BY 1),
+     children AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees USING (path) LEFT JOIN children USING (path) LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+"""

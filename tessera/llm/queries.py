@@ -101,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chunk_recipe_dedup": oracles.OP1,
     "op7_phrase_automata": oracles.OP7,
     "op11_ordered_funnels": oracles.OP11,
+    "op13_prefix_trie": oracles.OP13,
 }
