@@ -2,7 +2,7 @@
 
 Tables, for many tasks at once:
     tasks     task_id, prompt
-    evidence  task_id, kind (one of EVIDENCE), path, function
+    evidence  task_id, kind (one of EVIDENCE), path, function, and its texts: title, body, trace, message
     seeds     task_id, unit_id: units that a task is known to be about
     dirty     task_id, path: files with changes that aren't committed
     units     unit_id, path, title, content, kind, tokens, and name, qualified_name, unsafe, is_exported where they are known
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import lexical_tokens, token_estimate
 from tessera.operators.graph import degrees, distances, neighbourhood
+from tessera.operators.lexical import LexicalIndex, query_terms
 from tessera.operators.history import change_frequency, co_change_scores, directional_co_change, until
 from tessera.operators.packing import compose_bundles, fit_rendered, least_useful, resolution_curve, solve_budget
 from tessera.operators.ranking import heuristic_score, rank_score, ranked
-from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, lexical_scores, overlap_ratio, top_per
-from tessera.storage import settled
+from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, overlap_ratio, top_per
+from tessera.storage import new_folder, settled
 
 #: Kinds of evidence, and the feature that says that a unit's path is in it.
 EVIDENCE = {"STACK_TRACE": "in_stack_trace", "TEST_FAILURE": "is_failing_test_target", "COMPILER_ERROR": "in_compiler_error"}
@@ -37,11 +38,17 @@ def _full(units: DataFrame) -> DataFrame:
     return units.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in units.columns})
 
 
-def channels(tasks: DataFrame, evidence: DataFrame, units: DataFrame, edges: DataFrame, commits: DataFrame, cutoff: str, hops: int = 2, lexical: int = 100) -> list[DataFrame]:
-    """The five channels of candidates: exact, lexical, stack_trace, and from their hits graph and (from all of these) git_co_change."""
+def channels(tasks: DataFrame, evidence: DataFrame, units: DataFrame, edges: DataFrame, commits: DataFrame, cutoff: str, hops: int = 2, lexical: int = 100, index: LexicalIndex | None = None) -> list[DataFrame]:
+    """The five channels of candidates: exact, lexical, stack_trace, and from their hits graph and (from all of these) git_co_change.
+
+    index: of the units, where there is one already.
+    """
     units = _full(units)
-    exact = exact_matches(tasks, units).select(*KEY, F.lit("exact").alias("source"), F.lit(True).alias("exact_match"))
-    words = top_per(lexical_scores(tasks, units), "task_id", "lexical_score", "unit_id", lexical).select(*KEY, F.lit("lexical").alias("source"), "lexical_score")
+    if index is None:
+        index = LexicalIndex.build(units, new_folder(units.sparkSession, "lexical-index"))
+    terms = settled(query_terms(tasks, evidence), "terms")
+    exact = exact_matches(tasks, units, evidence).select(*KEY, F.lit("exact").alias("source"), F.lit(True).alias("exact_match"))
+    words = index.top(terms, lexical).select(*KEY, F.lit("lexical").alias("source"), "lexical_score")
     frames = evidence.filter(F.col("kind").isin("STACK_TRACE", "TEST_FAILURE")).select("task_id", F.col("path").alias("file"), "function")
     runtime = frame_matches(frames, units).select(*KEY, F.lit("stack_trace").alias("source"), F.lit(True).alias("runtime_match"))
     direct = [settled(x, "channel") for x in (exact, words, runtime)]
@@ -59,9 +66,9 @@ def channels(tasks: DataFrame, evidence: DataFrame, units: DataFrame, edges: Dat
     return [*direct, graph, change]
 
 
-def candidates(tasks: DataFrame, evidence: DataFrame, units: DataFrame, edges: DataFrame, commits: DataFrame, cutoff: str, most: int = 50, hops: int = 2) -> DataFrame:
+def candidates(tasks: DataFrame, evidence: DataFrame, units: DataFrame, edges: DataFrame, commits: DataFrame, cutoff: str, most: int = 50, hops: int = 2, index: LexicalIndex | None = None) -> DataFrame:
     """The fused candidates of each task (fuse's columns), with fusion_score and place: the best `most`, ties by unit."""
-    rows = fuse(channels(tasks, evidence, units, edges, commits, cutoff, hops)).withColumn("fusion_score", F.round(fusion_score(), 6))
+    rows = fuse(channels(tasks, evidence, units, edges, commits, cutoff, hops, index=index)).withColumn("fusion_score", F.round(fusion_score(), 6))
     return top_per(rows, "task_id", "fusion_score", "unit_id", most, "place")
 
 

@@ -8,27 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import exact_tokens, lexical_tokens
 
 
-#: What lexical search reads of a unit, where it has it: short fields, never the content.
-SEARCHED = ("title", "path", "name", "qualified_name", "signature")
-
-
-def searched_text(units: DataFrame) -> Column:
-    return F.concat_ws(" ", *[F.col(c) for c in SEARCHED if c in units.columns])
-
-
-def lexical_scores(tasks: DataFrame, units: DataFrame) -> DataFrame:
-    """task_id, unit_id, lexical_score: sum over the prompt's distinct terms of ln(1 + tf) by the root of the unit's tokens, 4 places.
-
-    A unit's tokens are those of its title, path, names and signature. Units are counted into (unit, term) pairs before they meet the
-    terms of the prompts, so the join moves each pair once.
-    """
-    terms = tasks.select("task_id", F.explode(F.array_distinct(lexical_tokens(F.col("prompt")))).alias("term"))
-    words = units.select("unit_id", lexical_tokens(searched_text(units)).alias("tokens")).select("unit_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    counts = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("unit_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    scored = counts.join(terms, "term").groupBy("task_id", "unit_id", "size").agg(F.sum(F.log1p("tf")).alias("s"))
-    return scored.select("task_id", "unit_id", F.round(F.col("s") / F.sqrt("size"), 4).alias("lexical_score")).filter("lexical_score > 0")
-
-
 def top_per(df: DataFrame, key: str, score: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
     """The n best rows of each key, numbered; equal scores in order of tie."""
     order = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie))
@@ -39,12 +18,21 @@ def top_per(df: DataFrame, key: str, score: str, tie: str, n: int, rank: str = "
 MATCHES = {"path": 1, "qualified_name": 2, "symbol_name": 3}
 
 
-def exact_matches(tasks: DataFrame, units: DataFrame) -> DataFrame:
-    """task_id, unit_id, match_type: a token of the prompt equals the unit's path or its last part, its qualified name, or its name.
+def evidence_text() -> Column:
+    """What exact retrieval reads of a piece of evidence: title and body, or else its trace, or else its message."""
+    return F.coalesce(F.when(F.col("title").isNotNull(), F.concat_ws(" ", "title", "body")), F.col("trace"), F.col("message"))
+
+
+def exact_matches(tasks: DataFrame, units: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """task_id, unit_id, match_type: a token of the prompt or of the evidence's texts equals the unit's path or its last part, its qualified
+    name, or its name. Texts of a task are never put together.
 
-    units: unit_id, path, qualified_name, name.
+    units: unit_id, path, qualified_name, name. evidence: task_id, title, body, trace, message.
     """
-    tokens = tasks.select("task_id", F.explode(exact_tokens(F.col("prompt"))).alias("token"))
+    texts = tasks.select("task_id", F.col("prompt").alias("text"))
+    if evidence is not None:
+        texts = texts.unionByName(evidence.select("task_id", evidence_text().alias("text")).filter("text is not null").join(tasks.select("task_id"), "task_id", "left_semi"))
+    tokens = texts.select("task_id", F.explode(exact_tokens(F.col("text"))).alias("token")).distinct()
     last = F.element_at(F.split("path", "/"), -1)
     keys = units.select("unit_id", F.explode(F.array(*[F.struct(c.alias("token"), F.lit(m).alias("match_type"), F.lit(MATCHES[m]).alias("p")) for c, m in ((F.col("path"), "path"), (last, "path"), (F.col("qualified_name"), "qualified_name"), (F.col("name"), "symbol_name"))])).alias("k")).select("unit_id", "k.*")
     return tokens.join(keys.filter("token is not null"), "token").groupBy("task_id", "unit_id").agg(F.min_by("match_type", "p").alias("match_type"))

@@ -6,7 +6,7 @@ from tessera.operators.flow import build_features, candidates, pack, rank_featur
 from tessera.operators.judgments import local_judgment
 from tessera.operators.packing import plan_totals
 from tessera.plans.ranking import _H, _RANK_SCORE
-from tessera.plans.retrieval import _FLOW, _SCORE, _TOKENS, flow_inputs
+from tessera.plans.retrieval import _FLOW, _SCORE, _TOKENS, flow_inputs, lexical_index
 from tessera.registry import query
 from tessera.sources.tables import DIRTY, TASK_SEEDS, UNIT_CUTOFF, UNITS, dirty_paths, task_seeds
 
@@ -58,7 +58,7 @@ _ROUNDED = ["lexical_score", "token_overlap_ratio", "max_co_change", "heuristic_
 
 def flow_rows(spark, folder):
     inputs = flow_inputs(spark, folder)
-    chosen = candidates(*inputs, UNIT_CUTOFF, MOST)
+    chosen = candidates(*inputs, UNIT_CUTOFF, MOST, index=lexical_index(spark, folder))
     t, ev, u, e, commits = inputs
     return build_features(chosen, t, ev, task_seeds(spark, folder), dirty_paths(spark, folder), u, e, commits, UNIT_CUTOFF)
 

@@ -4,9 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import LCG, bootstrap, budgeted, correlation, deltas, descriptive, graded_ndcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
-from tessera.operators.retrieval import containing, lexical_scores, top_per
+from tessera.operators.retrieval import containing
 from tessera.registry import query
-from tessera.plans.retrieval import _SCORES
+from tessera.plans.retrieval import _SCORES, lexical_top
 from tessera.sources.tables import TASKS, UNITS, table, tasks, units
 
 _RANKED = f"(SELECT task_id, unit_id, row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) AS rank FROM {_SCORES} QUALIFY rank <= 50)"
@@ -18,8 +18,7 @@ def c(name):
 
 
 def ranked(spark, folder):
-    u, t = units(spark, folder), tasks(spark, folder)
-    return top_per(lexical_scores(t, u), "task_id", "lexical_score", "unit_id", 50).select("task_id", "unit_id", "rank")
+    return lexical_top(spark, folder, 50).select("task_id", "unit_id", "rank")
 
 
 def targets(spark, folder):
@@ -107,7 +106,7 @@ def w07_exponential_ndcg(spark, folder):
   LEFT JOIN (SELECT task_id, {', '.join(f'count(*) FILTER (WHERE rank <= {k}) AS h{k}' for k in (20, 50, 100, 200))} FROM {_TARGETS} JOIN (SELECT task_id, unit_id, row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) AS rank FROM {_SCORES}) USING (task_id, unit_id) GROUP BY ALL) h USING (task_id)""")
 def w08_recall(spark, folder):
     t = tasks(spark, folder).select("task_id")
-    found = top_per(lexical_scores(tasks(spark, folder), units(spark, folder)), "task_id", "lexical_score", "unit_id", 200)
+    found = lexical_top(spark, folder, 200)
     hits = targets(spark, folder).join(found, ["task_id", "unit_id"], "left").groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c("rank") <= k).alias(f"h{k}") for k in (20, 50, 100, 200)])
     return t.join(hits, "task_id", "left").select("task_id", *[F.when(c("n").isNull(), 1.0).otherwise(F.round(c(f"h{k}") / c("n"), 4)).alias(f"recall{k}") for k in (20, 50, 100, 200)])
 

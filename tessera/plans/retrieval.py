@@ -4,14 +4,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import exact_tokens, lexical_tokens, token_estimate
 from tessera.operators.flow import channels
-from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, lexical_scores, overlap_ratios, top_per
+from tessera.operators.lexical import LexicalIndex, lexical_scores, query_terms
+from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, overlap_ratios, top_per
 from tessera.registry import query
 from tessera.sources.tables import EVIDENCE, TASKS, UNIT_COMMITS, UNIT_CUTOFF, UNIT_EDGES, UNITS, evidence, table, tasks, unit_commits, unit_edges, units
+from tessera.storage import new_folder
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda x: length(x) >= 3)"
 _EXACT = "list_distinct(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_./-]+'), lambda x: length(x) >= 3))"
 
-_SCORES = f"""(WITH terms AS (SELECT task_id, unnest(list_distinct({_TOKENS.format('prompt')})) AS term FROM {TASKS}),
+_SCORES = f"""(WITH terms AS (SELECT DISTINCT task_id, term FROM (SELECT task_id, unnest({_TOKENS.format('prompt')}) AS term FROM {TASKS} UNION ALL SELECT task_id, unnest({_TOKENS.format('message')}) FROM {EVIDENCE}) WHERE task_id IN (SELECT task_id FROM {TASKS})),
   words AS (SELECT unit_id, len(ts) AS size, unnest(ts) AS term FROM (SELECT unit_id, {_TOKENS.format("(title || ' ' || path)")} AS ts FROM {UNITS})),
   counts AS (SELECT unit_id, size, term, count(*) AS tf FROM words GROUP BY ALL)
   SELECT task_id, unit_id, round(sum(ln(1 + tf)) / sqrt(any_value(size)), 4) AS lexical_score FROM counts JOIN terms USING (term)
@@ -30,12 +32,29 @@ def r02_exact_tokens(spark, folder):
 
 @query(f"SELECT * FROM {_SCORES}")
 def r03_lexical_scores(spark, folder):
-    return lexical_scores(tasks(spark, folder), units(spark, folder))
+    return lexical_scores(tasks(spark, folder), units(spark, folder), evidence(spark, folder))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def lexical_index(spark, folder):
+    """The index of a folder's units, written once in an application."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _INDEXES:
+        path = new_folder(spark, "lexical-index")
+        LexicalIndex.build(units(spark, folder), path)
+        _INDEXES[key] = path
+    return LexicalIndex.open(spark, _INDEXES[key])
+
+
+def lexical_top(spark, folder, k):
+    return lexical_index(spark, folder).top(query_terms(tasks(spark, folder), evidence(spark, folder)), k)
 
 
 @query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) AS rank FROM {_SCORES}) WHERE rank <= 100")
 def k01_lexical_top100(spark, folder):
-    return top_per(lexical_scores(tasks(spark, folder), units(spark, folder)), "task_id", "lexical_score", "unit_id", 100)
+    return lexical_top(spark, folder, 100)
 
 
 def _prompts(spark, folder):
@@ -54,12 +73,25 @@ _PROMPTS = "(SELECT l_orderkey AS task_id, string_agg(s, ', ' ORDER BY s) AS pro
 _SYMBOLS = "(SELECT p_partkey AS unit_id, 'src/p_' || p_partkey AS path, 'Part.p_' || p_partkey AS qualified_name, CASE WHEN p_partkey % 2 = 0 THEN 'p_' || p_partkey END AS name FROM part)"
 
 
-@query(f"""WITH t AS (SELECT task_id, unnest({_EXACT.format('prompt')}) AS token FROM {_PROMPTS}),
+def _reports(spark, folder):
+    """Evidence of every order with a first line: an issue, a trace or a message that names a part."""
+    lines = table(spark, folder, "lineitem").filter("l_linenumber = 1")
+    part = F.col("l_partkey").cast("string")
+    kind = F.col("l_partkey") % 4
+    return lines.select(F.col("l_orderkey").alias("task_id"), F.when(kind == 0, F.concat(F.lit("p_"), part, F.lit(" breaks"))).alias("title"), F.when(F.col("l_partkey") % 8 == 0, F.concat(F.lit("Part.p_"), part)).alias("body"),
+                        F.when(kind == 1, F.concat(F.lit("at src/p_"), part, F.lit(":1"))).alias("trace"), F.when(kind < 3, F.concat(F.lit("(p_"), part, F.lit("1)"))).alias("message"))
+
+
+_REPORTS = """(SELECT l_orderkey AS task_id, CASE WHEN l_partkey % 4 = 0 THEN concat_ws(' ', 'p_' || l_partkey || ' breaks', CASE WHEN l_partkey % 8 = 0 THEN 'Part.p_' || l_partkey END) WHEN l_partkey % 4 = 1 THEN 'at src/p_' || l_partkey || ':1'
+  WHEN l_partkey % 4 = 2 THEN '(p_' || l_partkey || '1)' END AS text FROM lineitem WHERE l_linenumber = 1)"""
+
+
+@query(f"""WITH t AS (SELECT task_id, unnest({_EXACT.format('prompt')}) AS token FROM {_PROMPTS} UNION SELECT task_id, unnest({_EXACT.format('text')}) FROM {_REPORTS}),
   k AS (SELECT unit_id, path AS token, 1 AS p FROM {_SYMBOLS} UNION ALL SELECT unit_id, split_part(path, '/', -1), 1 FROM {_SYMBOLS} UNION ALL SELECT unit_id, qualified_name, 2 FROM {_SYMBOLS} UNION ALL SELECT unit_id, name, 3 FROM {_SYMBOLS}),
   m AS (SELECT task_id, unit_id, p FROM t JOIN k USING (token))
   SELECT task_id, unit_id, ['path', 'qualified_name', 'symbol_name'][min(p)] AS match_type FROM m GROUP BY task_id, unit_id""")
 def j02_exact_retrieval(spark, folder):
-    return exact_matches(_prompts(spark, folder), _symbols(spark, folder))
+    return exact_matches(_prompts(spark, folder), _symbols(spark, folder), _reports(spark, folder))
 
 
 def _frames(spark, folder):
@@ -104,7 +136,7 @@ def j05_dirty_overlap(spark, folder):
 
 #: All channels as tables of a query: exact, lex, runtime, seeds0, graph, change, and their union fused.
 _FLOW = f"""u AS (SELECT unit_id, path, title, kind FROM {UNITS}), t AS (SELECT * FROM {TASKS}), e AS (SELECT DISTINCT src, dst, kind FROM {UNIT_EDGES}), ev AS (SELECT * FROM {EVIDENCE}), hist AS (SELECT sha, ts, lower(file) AS file FROM {UNIT_COMMITS} WHERE ts <= TIMESTAMP '{UNIT_CUTOFF}'),
-  exact AS (SELECT DISTINCT task_id, unit_id FROM (SELECT task_id, unnest({_EXACT.format('prompt')}) AS token FROM t) JOIN (SELECT unit_id, path AS token FROM u UNION SELECT unit_id, split_part(path, '/', -1) FROM u) USING (token)),
+  exact AS (SELECT DISTINCT task_id, unit_id FROM (SELECT task_id, unnest({_EXACT.format('prompt')}) AS token FROM t UNION SELECT task_id, unnest({_EXACT.format("coalesce(title || coalesce(' ' || body, ''), trace, message)")}) FROM ev WHERE task_id IN (SELECT task_id FROM t)) JOIN (SELECT unit_id, path AS token FROM u UNION SELECT unit_id, split_part(path, '/', -1) FROM u) USING (token)),
   lex AS (SELECT task_id, unit_id, lexical_score FROM {_SCORES} QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) <= 100),
   runtime AS (SELECT DISTINCT task_id, unit_id FROM ev JOIN u ON ends_with(lower(ev.path), lower(u.path)) OR ends_with(lower(u.path), lower(ev.path)) WHERE ev.kind <> 'COMPILER_ERROR'),
   seeds0 AS (SELECT task_id, unit_id FROM exact UNION SELECT task_id, unit_id FROM lex UNION SELECT task_id, unit_id FROM runtime),
@@ -130,7 +162,7 @@ def flow_inputs(spark, folder):
 
 
 def fused_candidates(spark, folder):
-    return fuse(channels(*flow_inputs(spark, folder), UNIT_CUTOFF))
+    return fuse(channels(*flow_inputs(spark, folder), UNIT_CUTOFF, index=lexical_index(spark, folder)))
 
 
 @query(f"SELECT * EXCLUDE (sources, co_change_score), round(co_change_score, 6) AS co_change_score, array_to_string(sources, ',') AS sources FROM {_FUSED}")

@@ -77,15 +77,30 @@ def unit_commits(spark: SparkSession, folder: str) -> DataFrame:
 UNIT_COMMITS = f"(SELECT sha, TIMESTAMP '2024-01-01' + to_days(CAST(sha % 60 AS INT)) AS ts, path AS file FROM {_EVENT_FILES} JOIN {UNITS} ON unit_id = file)"
 
 
+#: What a piece of evidence says, by its unit's number: an issue's title and body, a trace, or a message that alone names other files.
+_TEXTS = {
+    "title": "CASE WHEN {id} % 4 = 0 THEN concat('doc_', CAST({id} + 3 AS {text}), ' is wrong') END",
+    "body": "CASE WHEN {id} % 8 = 0 THEN concat('see src/doc_', CAST({id} + 4 AS {text}), '.ts, or Doc_', CAST({id} AS {text}), '?') END",
+    "trace": "CASE WHEN {id} % 3 = 0 THEN concat('Error: at doc_', CAST({id} + 5 AS {text}), '.ts:12 in (run)') END",
+    "message": "CASE WHEN {id} % 3 <> 0 OR {id} % 4 = 0 THEN concat('doc_', CAST({id} + 6 AS {text}), '.md failed; DOC_', CAST({id} + 7 AS {text}), ' expected') END",
+}
+
+
+def _texts(id_: str, text: str) -> str:
+    return ", ".join(f"{v.format(id=id_, text=text)} AS {k}" for k, v in _TEXTS.items())
+
+
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """task_id, kind, path, function: errors stand for traces, failed tests and compiler errors in a unit's file, below another root."""
+    """task_id, kind, path, function, title, body, trace, message: errors stand for traces, failed tests and compiler errors in a unit's
+    file, below another root."""
     e = table(spark, folder, "events").filter("event_type = 'error'").select((F.col("user_id") % 50).alias("task_id"), F.col("event_id").alias("unit_id"))
     rows = e.join(units(spark, folder).select("unit_id", "path"), "unit_id")
     kind = F.element_at(F.array(F.lit("STACK_TRACE"), F.lit("TEST_FAILURE"), F.lit("COMPILER_ERROR")), (F.col("unit_id") % 3 + 1).cast("int"))
-    return rows.select("task_id", kind.alias("kind"), F.concat(F.lit("/ci/"), "path").alias("path"), F.concat(F.lit("Doc_"), F.col("unit_id").cast("string")).alias("function"))
+    shown = rows.select("*", kind.alias("kind"), F.concat(F.lit("Doc_"), F.col("unit_id").cast("string")).alias("function"))
+    return shown.selectExpr("task_id", "kind", "concat('/ci/', path) AS path", "function", *[f"{v.format(id='unit_id', text='STRING')} AS {k}" for k, v in _TEXTS.items()])
 
 
-EVIDENCE = f"(SELECT user_id % 50 AS task_id, ['STACK_TRACE', 'TEST_FAILURE', 'COMPILER_ERROR'][CAST(event_id % 3 + 1 AS INT)] AS kind, '/ci/' || path AS path, 'Doc_' || event_id AS function FROM events JOIN {UNITS} ON unit_id = event_id WHERE event_type = 'error')"
+EVIDENCE = f"(SELECT user_id % 50 AS task_id, ['STACK_TRACE', 'TEST_FAILURE', 'COMPILER_ERROR'][CAST(event_id % 3 + 1 AS INT)] AS kind, '/ci/' || path AS path, 'Doc_' || event_id AS function, {_texts('event_id', 'VARCHAR')} FROM events JOIN {UNITS} ON unit_id = event_id WHERE event_type = 'error')"
 
 
 def task_seeds(spark: SparkSession, folder: str) -> DataFrame:

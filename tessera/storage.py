@@ -26,9 +26,13 @@ def shared_uri(spark: SparkSession) -> str:
     return "file://" + where[5:] if where.startswith("file:/") and not where.startswith("file://") else where
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, tag: str) -> DataFrame:
     """df as a written table: it is computed once, and the plans of later rounds don't hold those of earlier ones."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
