@@ -260,7 +260,7 @@ def s13_upsert(spark, folder):
     """Three batches written to a keyed table, the last one twice: the last write of each key stays."""
     events, keyed = table(spark, folder, "events").select("user_id", "event_type", "event_id", "value"), _event_table(spark, "upsert")
     for batch, k in enumerate((2, 1, 0, 0)):
-        keyed.upsert(events.filter(F.col("event_id") % 3 == k), [F.col("event_id").desc()], batch=min(batch, 2))
+        keyed.upsert(events.filter(F.col("event_id") % 3 == k), [F.col("event_id").desc()], batch=("log", min(batch, 2)))
     return keyed.rows()
 
 

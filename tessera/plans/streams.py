@@ -53,7 +53,7 @@ def t08_replayed_upsert(spark, folder):
     schema = "event_id long, user_id long, event_type string"
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
     events.repartition(3, "event_id").write.parquet(f"{where}/log")
-    keyed = KeyedTable(spark, f"{where}/table", ["event_id"], schema, buckets=8)
+    keyed = KeyedTable(spark, f"{where}/table", ["event_id"], schema)
     for delivery in ("first", "second"):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/log")
         upsert_batches(stream, keyed, f"{where}/{delivery}", [c("user_id").desc()]).start().awaitTermination()

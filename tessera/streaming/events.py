@@ -64,10 +64,10 @@ def session_states(events: DataFrame) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, target: KeyedTable, checkpoint: str, order: list[Column]):
-    """Upserts each batch into a keyed table: the last write of a key stays, and a batch that is delivered again changes nothing."""
+    """Upserts each batch into a keyed table: the last write of a key stays, and a batch that one checkpoint delivers again changes nothing."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        target.upsert(batch, order, batch=batch_id)
+        target.upsert(batch, order, batch=(checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -202,7 +202,7 @@ def test_repository_scan(spark, tmp_path):
 def test_replayed_batches_change_nothing(spark, tmp_path):
     events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), i % 3, "view", float(i), "{}") for i in range(9)], SCHEMA)
     events.write.parquet(f"{tmp_path}/events")
-    keyed = KeyedTable(spark, f"file://{tmp_path}/out", ["user_id"], "user_id long, event_id long, value double", buckets=2)
+    keyed = KeyedTable(spark, f"file://{tmp_path}/out", ["user_id"], "user_id long, event_id long, value double")
     for checkpoint in ("c1", "c2"):  # a new checkpoint delivers everything again
         upsert_batches(event_stream(spark, f"{tmp_path}/events", files=10), keyed, f"{tmp_path}/{checkpoint}", [F.col("event_id").desc()]).start().awaitTermination()
         assert sorted(map(tuple, keyed.rows().collect())) == [(0, 6, 6.0), (1, 7, 7.0), (2, 8, 8.0)]
@@ -210,7 +210,7 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
 
 def test_keyed_table(spark, tmp_path):
     """The last write of a key stays; a failed change leaves the table as it was; deletes tell how many rows went."""
-    keyed = KeyedTable(spark, f"file://{tmp_path}/t", ["k"], "k long, v string", buckets=3)
+    keyed = KeyedTable(spark, f"file://{tmp_path}/t", ["k"], "k long, v string")
     frame = lambda rows: spark.createDataFrame(rows, "k long, v string, n int")
     assert keyed.rows().collect() == [] and keyed.delete(frame([(1, "", 0)])) == 0
     keyed.upsert(frame([(i, "a", 0) for i in range(10)] + [(3, "late", 1)]), [F.col("n").desc()])
