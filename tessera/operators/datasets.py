@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.metrics import LCG
+from tessera.operators.metrics import LCG, lcg_jump
+from tessera.operators.training import numbered
+from tessera.storage import settled
 
 
 def hash_split(group: Column, train: int = 60, validation: int = 15) -> Column:
@@ -51,6 +54,21 @@ def stratified_groups(groups: list[tuple[str, str, int]], test: float = 0.25, va
     return out
 
 
+def stratified_split(rows: DataFrame, test: float = 0.25, validation: float = 0.15, seed: int = 42) -> DataFrame:
+    """repository, grp, split of the groups of rows: as stratified_groups. Each repository is a task's work of its own, as the generator can be
+    started where the repositories before it have left it: a draw for each group but one."""
+    groups = settled(rows.groupBy("repository", "grp").agg(F.count(F.lit(1)).alias("n")), "groups")
+    before = numbered(groups.select("repository", "grp"), "repository", "grp").groupBy("repository").agg(F.min("number").alias("groups"))
+    before = numbered(before, "repository").select("repository", lcg_jump(seed, F.col("groups") - F.col("number")).alias("state"))
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        own = [(r, g, int(n)) for r, g, n in zip(frame["repository"], frame["grp"], frame["n"], strict=True)]
+        out = stratified_groups(own, test, validation, int(frame["state"].iloc[0]))
+        return pd.DataFrame([(*k, v) for k, v in out.items()], columns=["repository", "grp", "split"])
+
+    return groups.join(before, "repository").groupBy("repository").applyInPandas(deal, "repository string, grp string, split string")
+
+
 def split_overlaps(assignments: DataFrame, key: str) -> DataFrame:
     """Keys found in more than one split."""
     return assignments.groupBy(key).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")

@@ -25,6 +25,11 @@ def budgeted(ranked: DataFrame, limit: int) -> DataFrame:
     return out.select("task_id", (F.col("i") + 1).alias("rank"), "x.unit_id", "x.tokens")
 
 
+def ideal_dcg(targets: Column, k: int) -> Column:
+    """The DCG at k of a ranking that has all targets first."""
+    return F.aggregate(F.sequence(F.lit(1), F.least(targets, F.lit(k)).cast("int")), F.lit(0.0), lambda acc, t: acc + 1 / F.log2(t + 1))
+
+
 def task_metrics(ranked: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """For each task with targets (task_id, unit_id): first_hit_rank, mrr, dcg, ndcg and recall at each k. ranked: task_id, rank, unit_id.
 
@@ -36,12 +41,11 @@ def task_metrics(ranked: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (5
     ranks = hits.select("task_id", "rank").distinct().groupBy("task_id").agg(F.min("rank").alias("first_hit_rank"), *[F.sum(F.when(F.col("rank") <= k, gain)).alias(f"dcg{k}") for k in ks])
     found = hits.groupBy("task_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"hits{k}") for k in ks])
     rows = n.join(ranks, "task_id", "left").join(found, "task_id", "left")
-    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("targets"), F.lit(k)).cast("int")), F.lit(0.0), lambda acc, t: acc + 1 / F.log2(t + 1))
     return rows.select(
         "task_id",
         F.coalesce("first_hit_rank", F.lit(0)).alias("first_hit_rank"),
         F.round(F.coalesce(1 / F.col("first_hit_rank"), F.lit(0.0)), 4).alias("mrr"),
-        *[F.round(F.least(F.lit(1.0), F.coalesce(f"dcg{k}", F.lit(0.0)) / ideal(k)), 4).alias(f"ndcg{k}") for k in ks],
+        *[F.round(F.least(F.lit(1.0), F.coalesce(f"dcg{k}", F.lit(0.0)) / ideal_dcg(F.col("targets"), k)), 4).alias(f"ndcg{k}") for k in ks],
         *[F.round(F.coalesce(f"hits{k}", F.lit(0)) / F.col("targets"), 4).alias(f"recall{k}") for k in ks],
     )
 

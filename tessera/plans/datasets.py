@@ -4,20 +4,21 @@ import hashlib
 import json
 import uuid
 
-import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.datasets import canonical, hash_split, pairs_within, prompt_overlaps, split_overlaps, stratified_groups, train_linear, train_stumps
+from tessera.operators.datasets import canonical, hash_split, pairs_within, prompt_overlaps, split_overlaps, stratified_split
 from tessera.operators.labels import binary_label
 from tessera.operators.metrics import task_metrics
 from tessera.operators.ranking import feature_vector, linear_score, ranked, stump_score
 from tessera.operators.rights import observation_rules, reasons
+from tessera.operators.training import fit_hinge, fit_stumps
 from tessera.plans.labels import _LIM
 from tessera.plans.ranking import FEATURES, features
 from tessera.plans.rights import _OBS, _R, _observations
 from tessera.registry import query
 from tessera.sources.tables import EPISODES, EXPOSURES, episodes, exposures, table
-from tessera.storage import shared_folder
+from tessera.storage import settled, shared_folder
 
 
 def c(name):
@@ -51,11 +52,9 @@ def l16_hash_split(spark, folder):
 
 @query()
 def l16_stratified_split(spark, folder):
-    """The generator's split: groups are counted in Spark, dealt on the driver (a row for each group), and joined back."""
+    """The generator's split: groups are counted in Spark, and dealt repository by repository."""
     rows = table(spark, folder, "customer").select(c("c_custkey").alias("episode_id"), c("c_nationkey").cast("string").alias("repository"), c("c_mktsegment").alias("grp"))
-    groups = [tuple(r) for r in rows.groupBy("repository", "grp").agg(F.count(F.lit(1)).alias("n")).collect()]
-    dealt = [(r, g, s) for (r, g), s in stratified_groups(groups).items()]
-    return rows.join(spark.createDataFrame(dealt, "repository string, grp string, split string"), ["repository", "grp"])
+    return rows.join(stratified_split(rows), ["repository", "grp"])
 
 
 @query(f"""WITH a AS (SELECT o_orderkey AS episode_id, o_custkey AS group_id, {_SPLIT} AS split FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'test' FROM orders WHERE o_orderkey % 97 = 0)
@@ -119,12 +118,13 @@ def a17_pair_report(spark, folder):
 _PWORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda x: x <> ''))"
 
 
-@query(f"""WITH a AS (SELECT conv_id * 100 + turn AS id, {_PWORDS.format('text')} AS w FROM conversations)
+@query(f"""WITH t AS (SELECT conv_id * 100 + turn AS id, text FROM conversations), a AS (SELECT id, {_PWORDS.format('text')} AS w FROM (SELECT * FROM t UNION ALL SELECT id + 50, text || ' Again, please!' FROM t))
   SELECT x.id AS new_id, y.id AS prior_id, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 4) AS jaccard FROM a x JOIN a y ON x.id > y.id
   WHERE least(len(x.w), len(y.w)) > 0.85 * greatest(len(x.w), len(y.w)) AND len(list_intersect(x.w, y.w)) / nullif(len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)), 0) > 0.85""")
 def j27_prompt_overlap(spark, folder):
-    """Every prompt against all earlier ones."""
+    """Every prompt against all earlier ones; each turn is also said again, with two words more."""
     t = table(spark, folder, "conversations").select((c("conv_id") * 100 + c("turn")).alias("id"), c("text").alias("prompt"))
+    t = t.unionByName(t.select((c("id") + 50).alias("id"), F.concat("prompt", F.lit(" Again, please!")).alias("prompt")))
     return prompt_overlaps(t, t).filter("new_id > prior_id").withColumn("jaccard", F.round("jaccard", 4))
 
 
@@ -137,32 +137,35 @@ def j27_key_collisions(spark, folder):
     return by_id.unionAll(by_sha)
 
 
-#: Pairs that a model is fitted on at most: those of the training episodes that come first by a hash of their ids, a sample that no order of
-#: the data has a part in. Fitting is a driver's job.
-MOST_PAIRS = 2000
+_HELD: dict = {}
 
 
-def training_pairs(spark, folder, most=MOST_PAIRS):
-    """(episode, positive vector, negative vector) of the sampled pairs, episodes in order of their hash."""
-    f = features(spark, folder).select(c("task_id").alias("episode_id"), "unit_id", feature_vector().alias("v")).groupBy("episode_id", "unit_id").agg(F.min("v").alias("v"))
-    train = assignments(spark, folder).filter("split = 'train'").select("episode_id")
-    place = [F.xxhash64("episode_id"), "episode_id", "positive", "negative"]
-    pairs = j24_pairs(spark, folder).join(train, "episode_id").orderBy(*place).limit(most)
-    rows = pairs.join(f.select("episode_id", c("unit_id").alias("positive"), c("v").alias("p")), ["episode_id", "positive"]).join(f.select("episode_id", c("unit_id").alias("negative"), c("v").alias("n")), ["episode_id", "negative"])
-    return [(r["episode_id"], r["p"], r["n"]) for r in rows.orderBy(*place).collect()]  # most rows
+def _once(spark, folder, what, make):
+    """What is costly to fit, once an application and folder."""
+    key = spark.sparkContext.applicationId, folder, what
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
 
 
-def _sides(pairs):
-    return [np.array([x[k] for x in pairs]).reshape(-1, 33) for k in (1, 2)]
+def training_pairs(spark, folder):
+    """episode_id, p, n: the feature vectors of all pairs of the training episodes, written once."""
+    def make():
+        f = features(spark, folder).select(c("task_id").alias("episode_id"), "unit_id", feature_vector().alias("v")).groupBy("episode_id", "unit_id").agg(F.min("v").alias("v"))
+        train = assignments(spark, folder).filter("split = 'train'").select("episode_id")
+        pairs = j24_pairs(spark, folder).join(train, "episode_id")
+        rows = pairs.join(f.select("episode_id", c("unit_id").alias("positive"), c("v").alias("p")), ["episode_id", "positive"]).join(f.select("episode_id", c("unit_id").alias("negative"), c("v").alias("n")), ["episode_id", "negative"])
+        return settled(rows.select("episode_id", "p", "n"), "training-pairs")
+
+    return _once(spark, folder, "pairs", make)
 
 
 def boosted(spark, folder):
-    return train_stumps(*_sides(training_pairs(spark, folder)))
+    return _once(spark, folder, "stumps", lambda: fit_stumps(training_pairs(spark, folder)))
 
 
 def linear(spark, folder):
-    positive, negative = _sides(training_pairs(spark, folder))
-    return train_linear(positive - negative) if len(positive) else [0.0] * 33
+    return _once(spark, folder, "linear", lambda: fit_hinge(training_pairs(spark, folder))[0].tolist() or [0.0] * 33)
 
 
 @query()
@@ -188,16 +191,23 @@ def validation_metrics(spark, folder, stumps):
     return task_metrics(order.select("task_id", "rank", "unit_id"), targets).agg(*[F.round(F.avg(k), 4).alias(k) for k in ("ndcg10", "recall10", "mrr")])
 
 
+#: Episodes of the points of the learning curve before the last, which has all.
+CURVE = (10, 25, 50)
+
+
 @query()
 def w11_learning_curve(spark, folder):
-    """Models of the pairs of the first 10, 25, 50 and all sampled training episodes, each measured on the validation episodes."""
+    """Models of all pairs of the first 10, 25, 50 (by a hash of their ids) and all training episodes, each measured on the validation episodes."""
     pairs = training_pairs(spark, folder)
-    episodes_ = list(dict.fromkeys(x[0] for x in pairs))
-    out = None
-    for n in sorted({k for k in (10, 25, 50) if k < len(episodes_)} | {len(episodes_)}):
-        some = set(episodes_[:n])
-        chosen = [x for x in pairs if x[0] in some]
-        row = validation_metrics(spark, folder, train_stumps(*_sides(chosen))).select(F.lit(n).alias("tasks"), F.lit(len(chosen)).alias("pairs"), "ndcg10", "recall10", "mrr")
+    first = pairs.select("episode_id").distinct().orderBy(F.xxhash64("episode_id"), "episode_id").limit(max(CURVE))  # the points are the feature
+    place = F.row_number().over(Window.orderBy(F.xxhash64("episode_id"), "episode_id"))
+    ordered = settled(first.withColumn("place", place), "curve-episodes")
+    out, episodes_ = None, pairs.select("episode_id").distinct().count()
+    for n in (*(k for k in CURVE if k < episodes_), episodes_):
+        part = n in CURVE and n < episodes_
+        chosen = settled(pairs.join(F.broadcast(ordered.filter(c("place") <= n).select("episode_id")), "episode_id").coalesce(1), "curve-pairs") if part else pairs
+        stumps = fit_stumps(chosen) if part else boosted(spark, folder)
+        row = validation_metrics(spark, folder, stumps).select(F.lit(n).alias("tasks"), F.lit(chosen.count()).alias("pairs"), "ndcg10", "recall10", "mrr")
         out = row if out is None else out.unionAll(row)
     return out
 

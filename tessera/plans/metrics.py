@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.metrics import LCG, bootstrap, budgeted, correlation, deltas, descriptive, graded_ndcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
+from tessera.operators.metrics import LCG, bootstrap, budgeted, correlation, deltas, descriptive, graded_ndcg, ideal_dcg, lcg_jump, mcnemar, offline_gate, paired_t, task_metrics, wins_ties_losses
 from tessera.operators.retrieval import containing
+from tessera.operators.training import numbered
 from tessera.registry import query
 from tessera.plans.retrieval import _SCORES, lexical_top
 from tessera.sources.tables import TASKS, UNITS, table, tasks, units
@@ -52,11 +53,11 @@ def w04_first_hits(spark, folder):
     return task_metrics(ranked(spark, folder), targets(spark, folder)).select("task_id", "first_hit_rank", "mrr")
 
 
-@query("SELECT n AS targets, round(list_sum(list_transform(range(1, least(n, 10) + 1), lambda t: 1 / log2(t + 1))), 6) AS ideal FROM range(1, 31) r(n)")
+@query("SELECT l_orderkey AS task_id, count(DISTINCT l_partkey) AS targets, round(list_sum(list_transform(range(1, least(count(DISTINCT l_partkey), 5) + 1), lambda t: 1 / log2(t + 1))), 6) AS ideal FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey")
 def w05_ideal_dcg(spark, folder):
-    n = c("id").cast("int")
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(10))), F.lit(0.0), lambda acc, t: acc + 1 / F.log2(t + 1))
-    return spark.range(1, 31).select(c("id").alias("targets"), F.round(ideal, 6).alias("ideal"))
+    """The best DCG at 5 that a task can have: all of its targets (units that were read) come first."""
+    found = table(spark, folder, "lineitem").filter("l_returnflag <> 'N'").groupBy(c("l_orderkey").alias("task_id")).agg(F.count_distinct("l_partkey").alias("targets"))
+    return found.select("task_id", "targets", F.round(ideal_dcg(c("targets").cast("int"), 5), 6).alias("ideal"))
 
 
 @query(f"SELECT task_id, recall5, recall10, recall20 FROM {_METRICS}")
@@ -179,7 +180,7 @@ _SAMPLE = f"(SELECT row_number() OVER (ORDER BY task_id) - 1 AS i, delta FROM {_
 
 def _sample(spark, folder):
     """The paired delta of each task, numbered: resampling draws tasks."""
-    return paired(spark, folder).select((F.row_number().over(Window.orderBy("task_id")) - 1).cast("long").alias("i"), "delta")
+    return numbered(paired(spark, folder).select("task_id", "delta"), "task_id").select(c("number").alias("i"), "delta")
 
 
 def _states_sql():
@@ -204,9 +205,10 @@ def e01_bootstrap(spark, folder):
     return bootstrap(_sample(spark, folder))
 
 
-@query("WITH RECURSIVE g(n, state) AS (SELECT 0, 42::BIGINT UNION ALL SELECT n + 1, (state * 9301 + 49297) % 233280 FROM g WHERE n < 1000) SELECT n, state FROM g")
+@query(f"WITH {_states_sql()} SELECT o_orderkey, x AS state FROM orders JOIN g ON j = o_orderkey % {_M} + 1")
 def l17_generator(spark, folder):
-    return spark.range(1001).select(c("id").cast("int").alias("n"), lcg_jump(42, c("id")).alias("state"))
+    """The draw that belongs to each task by its number: the generator jumps to it, no draws are made in order."""
+    return table(spark, folder, "orders").select("o_orderkey", lcg_jump(42, c("o_orderkey") % _M + 1).alias("state"))
 
 
 def _mcnemar_sql(b, x):
@@ -214,10 +216,14 @@ def _mcnemar_sql(b, x):
     return f"CASE WHEN {b} + {x} = 0 THEN 0.0 ELSE round(pow(greatest(0, abs({b} - {x}) - 1), 2) / ({b} + {x}), 4) END::DOUBLE AS statistic, CASE WHEN {b} + {x} = 0 THEN 1.0 ELSE round({p}, 4) END::DOUBLE AS p_value"
 
 
-@query(f"SELECT b, c, {_mcnemar_sql('b', 'c')} FROM (SELECT (n % 7)::INT AS b, (n // 7)::INT AS c FROM range(0, 84) r(n))")
+_DISCORDANT = "(SELECT l_orderkey AS task_id, (count(*) FILTER (WHERE l_returnflag = 'A'))::INT AS b, (count(*) FILTER (WHERE l_returnflag = 'R'))::INT AS c FROM lineitem GROUP BY ALL)"
+
+
+@query(f"SELECT task_id, b, c, {_mcnemar_sql('b', 'c')} FROM {_DISCORDANT}")
 def e02_mcnemar(spark, folder):
-    rows = spark.range(84).select((c("id") % 7).cast("int").alias("b"), F.expr("cast(id div 7 as int)").alias("c"))
-    return rows.select("b", "c", mcnemar(c("b"), c("c")).alias("m")).select("b", "c", "m.*")
+    """Paired outcomes of each task's runs: those that one side alone solved, and those that the other alone did."""
+    rows = table(spark, folder, "lineitem").groupBy(c("l_orderkey").alias("task_id")).agg(*[F.count_if(c("l_returnflag") == f).cast("int").alias(n) for f, n in (("A", "b"), ("R", "c"))])
+    return rows.select("task_id", "b", "c", mcnemar(c("b"), c("c")).alias("m")).select("task_id", "b", "c", "m.*")
 
 
 _T = "(1 / (1 + 0.2316419 * z))"

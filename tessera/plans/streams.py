@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessera.registry import query
 from tessera.sources.sinks import KeyedTable
 from tessera.sources.tables import table
-from tessera.storage import shared_folder
+from tessera.storage import new_folder, shared_folder
 from tessera.streaming.events import counters, latest_events, newest_sessions, retained, upsert_batches
+from tessera.streaming.state import expired_items, newest_items, newest_of, run_to_end, slot_table
 
 
 def c(name):
@@ -72,3 +73,43 @@ def t07_call_budget(spark, folder):
     """Calls within a per-task budget, and those beyond it."""
     rows = table(spark, folder, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("a"))
     return rows.groupBy("user_id").agg(F.count_if(c("a") <= 2).alias("calls"), F.count_if(c("a") > 2).alias("over_budget"))
+
+
+def _in_two_runs(spark, folder, columns, changes, apply):
+    """Events arrive in a log in two deliveries; the stream of changes ends after the first, and goes on from its checkpoint."""
+    events, where = table(spark, folder, "events"), new_folder(spark, "stream")
+    rows = events.select(c("ts").cast("timestamp").alias("ts"), *columns)
+    middle = F.timestamp_micros(((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2).cast("long"))
+    half = events.agg(middle.alias("half")).first()["half"]
+    for delivery in (c("ts") < F.lit(half), c("ts") >= F.lit(half)):
+        rows.filter(delivery).write.mode("append").parquet(f"{where}/log")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{where}/log")
+        run_to_end(changes(stream), f"{where}/checkpoint", lambda batch, n: apply(batch, (where, n)))
+
+
+def _newest(spark, folder, item, cap):
+    slots = slot_table(spark, new_folder(spark, "slots"))
+    _in_two_runs(spark, folder, [item.alias("item"), F.unix_micros(c("ts").cast("timestamp")).alias("at")], lambda s: newest_items(s.select("item", "at"), cap), lambda batch, n: slots.upsert(batch, [c("at").desc()], n))
+    return newest_of(slots, cap)
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 150")
+def t03_ring_stream(spark, folder):
+    """The last 150 events as the state of a stream that is started twice."""
+    held = _newest(spark, folder, c("event_id"), 150).select(c("item").alias("event_id"))
+    return table(spark, folder, "events").join(held, "event_id", "left_semi").select("event_id", "user_id")
+
+
+@query("SELECT user_id * 1000 + dayofyear(ts) AS session, epoch_us(min(ts)) AS first_us FROM events GROUP BY ALL ORDER BY min(ts) DESC, session DESC LIMIT 10000")
+def t02_session_stream(spark, folder):
+    """Unique sessions as the state of a stream that is started twice: the oldest goes when one more than 10,000 comes."""
+    return _newest(spark, folder, c("user_id") * 1000 + F.dayofyear("ts"), 10_000).select(c("item").alias("session"), c("at").alias("first_us"))
+
+
+@query("SELECT event_id FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR + INTERVAL 10 DAYS > (SELECT max(ts) FROM events) - INTERVAL 2 DAYS")
+def t06_retention_stream(spark, folder):
+    """A keyed table from which a stream's timers take what is older than ten days at its watermark."""
+    kept = KeyedTable(spark, new_folder(spark, "retained"), ["event_id"], "event_id long, user_id long")
+    kept.upsert(table(spark, folder, "events"), [c("user_id").desc()])
+    _in_two_runs(spark, folder, [c("event_id").alias("item")], lambda s: expired_items(s, 10), lambda batch, n: kept.delete(batch.select(c("item").alias("event_id"))))
+    return kept.rows().select("event_id")
