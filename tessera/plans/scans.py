@@ -98,7 +98,7 @@ _CODE = {
     ".py": '@deco\nclass A{i}:\n    def run(self):\n        return {i}\n\ndef top{i}(x):\n    if x:\n        return 1\n    return 2\n',
     ".ts": 'export class A{i} {\n  run(x: number) {\n    return "}" + x; // }\n  }\n}\nexport function top{i}(a: string) {\n  return a;\n}\ninterface I{i} { a: string }\n',
     ".go": "package m\n\ntype A{i} struct {\n\tx int\n}\n\nfunc (a A{i}) Run() int {\n\treturn a.x\n}\n\nfunc Top{i}() string {\n\treturn \"{\"\n}\n",
-    ".rs": "pub struct A{i} {\n  x: i32,\n}\nimpl A{i} {\n  pub fn run(&self) -> i32 { self.x }\n}\nfn top{i}() {\n  /* } */\n}\n",
+    ".rs": "#[derive(Clone)]\npub struct A{i} {\n  x: i32,\n}\nimpl<T> Show<T> for A{i} {\n  pub fn run(&self) -> i32 { self.x }\n}\nfn top{i}() {\n  /* } */\n}\nmacro_rules! m{i} {\n  () => { 1; }\n}\n",
     ".txt": "nothing {i}\n",
 }
 
@@ -116,8 +116,9 @@ def code_files(spark, folder):
 _HELD = [
     (0, "class", "A{i}", "A{i}", 1, 4, "@deco", "        return {i}", "class A{i}:", None, True), (0, "method", "run", "A{i}.run", 3, 4, "    def run", "        return {i}", "def run(self):", "A{i}", False), (0, "function", "top{i}", "top{i}", 6, 9, "def top", "1|    return 2", "def top{i}(x):", None, False),
     (1, "class", "A{i}", "A{i}", 1, 5, "export class", "  }|}", "export class A{i}", None, False), (1, "method", "run", "A{i}.run", 2, 4, "run(x", "// }|  }", "run(x: number)", "A{i}", False), (1, "function", "top{i}", "top{i}", 6, 8, "export function", "return a;|}", "export function top{i}(a: string)", None, False), (1, "interface", "I{i}", "I{i}", 9, 9, "interface", "a: string }", "interface I{i}", None, False),
-    (2, "class", "A{i}", "A{i}", 3, 5, "type A", "x int|}", "type A{i} struct", None, False), (2, "method", "Run", "Run", 7, 9, "func (a", "a.x|}", "func (a A{i}) Run() int", None, False), (2, "function", "Top{i}", "Top{i}", 11, 13, "func Top", '"{"|}', "func Top{i}() string", None, False),
-    (3, "class", "A{i}", "A{i}", 1, 3, "pub struct", "i32,|}", "pub struct A{i}", None, False), (3, "impl", "A{i}", "A{i}", 4, 6, "impl A", "self.x }|}", "impl A{i}", None, False), (3, "function", "run", "run", 5, 5, "pub fn", "self.x }", "pub fn run(&self) -> i32", None, False), (3, "function", "top{i}", "top{i}", 7, 9, "fn top", "/* } */|}", "fn top{i}()", None, False),
+    (2, "class", "A{i}", "A{i}", 3, 5, "type A", "x int|}", "type A{i} struct", None, False), (2, "method", "Run", "A{i}.Run", 7, 9, "func (a", "a.x|}", "func (a A{i}) Run() int", "A{i}", False), (2, "function", "Top{i}", "Top{i}", 11, 13, "func Top", '"{"|}', "func Top{i}() string", None, False),
+    (3, "class", "A{i}", "A{i}", 1, 4, "#[derive", "i32,|}", "pub struct A{i}", None, True), (3, "impl", "A{i}", "impl A{i}", 5, 7, "impl<T>", "self.x }|}", "impl<T> Show<T> for A{i}", None, False), (3, "method", "run", "A{i}::run", 6, 6, "pub fn", "self.x }", "pub fn run(&self) -> i32", "A{i}", False), (3, "function", "top{i}", "top{i}", 8, 10, "fn top", "/* } */|}", "fn top{i}()", None, False),
+    (3, "function", "m{i}", "m{i}", 11, 13, "macro_rules!", "1; }|}", "macro_rules! m{i}", None, True),
 ]
 
 
@@ -149,18 +150,28 @@ def s08_go_functions(spark, folder):
     return rows.select("unit_id", "name", "start_line", "end_line")
 
 
-@query("SELECT p_partkey AS unit_id, 'file' AS level FROM part UNION ALL SELECT p_partkey, 'symbol' FROM part, range(0, 4) r(n) WHERE n < CASE p_partkey % 5 WHEN 4 THEN 0 WHEN 1 THEN 4 WHEN 3 THEN 4 ELSE 3 END")
+@query("SELECT p_partkey AS unit_id, 'file' AS level FROM part UNION ALL SELECT p_partkey, 'symbol' FROM part, range(0, 5) r(n) WHERE n < CASE p_partkey % 5 WHEN 4 THEN 0 WHEN 1 THEN 4 WHEN 3 THEN 5 ELSE 3 END")
 def s02_content_units(spark, folder):
     """One unit for each file and one for each of its symbols."""
     files = code_files(spark, folder)
     return files.select("unit_id", F.lit("file").alias("level")).unionAll(symbols(files).select("unit_id", F.lit("symbol").alias("level")))
 
 
-@query("SELECT p_partkey AS unit_id, p_partkey % 5 = 4 AS unchanged, p_partkey % 5 = 4 AS full_body FROM part")
+#: What is left of each template without its functions' bodies.
+_BARE = [
+    "@deco|class A{i}:||    def run(self):|        ...||def top{i}(x):|    ...",
+    "export class A{i} {|  run(x: number) { ... }|}|export function top{i}(a: string) { ... }|interface I{i} { a: string }|",
+    "package m||type A{i} struct {|\tx int|}||func (a A{i}) Run() int { ... }||func Top{i}() string { ... }|",
+    "#[derive(Clone)]|pub struct A{i} {|  x: i32,|}|impl<T> Show<T> for A{i} {|  pub fn run(&self) -> i32 { ... }|}|fn top{i}() { ... }|macro_rules! m{i} {|  () => { 1; }|}|",
+    "nothing {i}|",
+]
+_BARE_SQL = "[" + ", ".join("replace('" + x.replace("\t", "' || chr(9) || '") + "', '|', chr(10))" for x in _BARE) + "][CAST(p_partkey % 5 + 1 AS INT)]"
+
+
+@query(f"SELECT p_partkey AS unit_id, replace({_BARE_SQL}, '{{i}}', p_partkey::VARCHAR) AS skeleton FROM part")
 def r21_skeletons(spark, folder):
-    files = code_files(spark, folder)
-    body = c("skeleton").rlike(r"return|self\.x|/\*|nothing")
-    return files.join(skeletons(files), "unit_id").select("unit_id", (c("skeleton") == c("content")).alias("unchanged"), body.alias("full_body"))
+    """Files without the bodies of their functions, as text."""
+    return skeletons(code_files(spark, folder)).select("unit_id", "skeleton")
 
 
 @query("""WITH r AS (SELECT DISTINCT p_partkey % 50 AS f, p_partkey % 60 AS n FROM part WHERE p_partkey % 7 > 0), d AS (SELECT DISTINCT p_partkey % 60 AS n FROM part WHERE p_partkey % 7 = 0)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -72,33 +74,38 @@ def python_symbols(text: str, path: str = "file.py") -> list[dict]:
     return out
 
 
-def matching_brace(text: str, at: int) -> int:
-    """The place after the brace that closes the one at `at`; strings and comments don't count."""
-    depth, i, n = 0, at, len(text)
-    while i < n:
-        ch = text[i]
-        if text.startswith("//", i):
-            i = text.find("\n", i)
-            if i < 0:
-                return n
-        elif text.startswith("/*", i):
-            end = text.find("*/", i + 2)
-            i = n if end < 0 else end + 1
-        elif ch in "\"'`":
-            i += 1
-            while i < n and text[i] != ch and not (ch != "`" and text[i] == "\n"):
-                i += 2 if text[i] == "\\" else 1
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        i += 1
-    return n
+class Places:
+    """Lines, bytes, braces and semicolons of a text, each found in one pass; `plain` has its strings and comments blanked."""
+
+    def __init__(self, text: str, plain: str):
+        self.size, self.lines = len(text), [m.end() for m in re.finditer("\n", text)]
+        self.wide = None if text.isascii() else list(accumulate((len(x.encode()) for x in text), initial=0))
+        self.opens, self.ends, self.closing, held = [], [m.start() for m in re.finditer(";", plain)], {}, []
+        for m in re.finditer("[{}]", plain):
+            if m.group() == "{":
+                self.opens.append(m.start())
+                held.append(m.start())
+            elif held:
+                self.closing[held.pop()] = m.end()
+
+    def line(self, at: int) -> int:
+        return bisect_right(self.lines, at) + 1
+
+    def byte(self, at: int) -> int:
+        return at if self.wide is None else self.wide[at]
+
+    @staticmethod
+    def after(places: list[int], at: int) -> int:
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def closed(self, brace: int) -> int:
+        """The place after the brace that closes this one; the text's end where none does."""
+        return self.closing.get(brace, self.size)
 
 
 _DECORATED = r"^[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()]*\))?\s*)*)"
+_ATTRIBUTES = r"^[ \t]*(?P<deco>(?:#\[[^\]]*\]\s*)*)"
 _WORDS = "if|for|while|switch|catch|return|function|constructor|new|do|else|try|typeof|await|throw"
 #: Heads of brace languages' symbols: kind and pattern, the name is the group `name`, decorators before it the group `deco`.
 HEADS = {
@@ -108,36 +115,43 @@ HEADS = {
         ("alias", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:declare\s+)?type\s+(?P<name>[\w$]+)\s*(?:<[^=]*>)?\s*="),
         ("method", _DECORATED + rf"(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*\*?(?P<name>(?!(?:{_WORDS})\b)#?[\w$]+)\s*(?:<[^(]*>)?\([^;{{}}]*\)[^;{{}}=]*\{{"),
     ],
-    "go": [("method", r"^(?P<deco>)func\s+\([^)]*\)\s+(?P<name>\w+)"), ("function", r"^(?P<deco>)func\s+(?P<name>\w+)"), ("class", r"^(?P<deco>)type\s+(?P<name>\w+)\s+struct"), ("interface", r"^(?P<deco>)type\s+(?P<name>\w+)\s+interface")],
-    "rs": [("function", r"^\s*(?P<deco>)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?P<name>\w+)"), ("class", r"^(?P<deco>)(?:pub\s+)?struct\s+(?P<name>\w+)"), ("enum", r"^(?P<deco>)(?:pub\s+)?enum\s+(?P<name>\w+)"), ("interface", r"^(?P<deco>)(?:pub\s+)?trait\s+(?P<name>\w+)"), ("impl", r"^(?P<deco>)impl(?:<[^>]*>)?\s+(?P<name>[\w:<> ]+?)\s*\{")],
+    "go": [("method", r"^(?P<deco>)func\s*\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)(?:\[[^\]]*\])?\s*\)\s*(?P<name>\w+)"), ("function", r"^(?P<deco>)func\s+(?P<name>\w+)"), ("class", r"^(?P<deco>)type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+struct"), ("interface", r"^(?P<deco>)type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+interface")],
+    "rs": [("function", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern)\s+)*fn\s+(?P<name>\w+)"), ("class", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)"), ("enum", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)"),
+           ("interface", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)"), ("impl", _ATTRIBUTES + r"impl(?:<[^>]*>)?\s+(?:[^{;]*?\s+for\s+)?(?P<name>\w+)[^{;]*(?=\{)"), ("macro", _ATTRIBUTES + r"macro_rules!\s*(?P<name>\w+)")],
 }
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "go": "go", "rs": "rs", "py": "py"}
 _BODIED = ("function", "method", "class", "interface", "impl")
 
 
 def brace_symbols(text: str, language: str) -> list[dict]:
-    """Symbols of a brace language in order; a TypeScript method is one inside a class, and is named by it."""
+    """Symbols of a brace language in order. A TypeScript method is one inside a class, and is named by it; a Go method is named by its receiver's
+    type, a Rust one by the type of the impl that it stands in; what stands inside a Rust function or macro is none."""
     found = []
     plain = without_literals(text)
+    at = Places(text, plain)
     for kind, pattern in HEADS[language]:
         for m in re.finditer(pattern, plain, re.MULTILINE):
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            brace, semi = plain.find("{", m.end() - 1), plain.find(";", m.end())
-            bodied = brace >= 0 and (semi < 0 or brace < semi) and kind != "alias"
-            end = matching_brace(text, brace) if bodied else semi + 1 if semi >= 0 else m.end()
-            name = m["name"].strip()
-            head = text[start:brace].strip() if bodied and kind in _BODIED else f"{ {'alias': 'type'}.get(kind, kind)} {name}" if kind in ("alias", "enum", "class", "interface") else text[start:end].strip()
-            found.append((start, end, kind, name, head, bool(m["deco"].strip())))
-    classes = [x for x in found if x[2] == "class"]
-    out = []
-    for start, end, kind, name, head, decorated in sorted(found, key=lambda x: (x[0], -x[1])):
-        around = [x for x in classes if x[0] < start and end <= x[1]]
-        parent = max(around)[3] if around and language == "ts" else None
-        if kind == "method" and language == "ts" and parent is None:
+            brace, semi = at.after(at.opens, m.end() - 1 if m.group().endswith("{") else m.end()), at.after(at.ends, m.end())
+            bodied = brace >= 0 and (semi < 0 or brace < semi or kind == "macro") and kind != "alias"
+            if language == "rs" and kind == "function" and not bodied:
+                continue  # a trait's promise
+            end = at.closed(brace) if bodied else semi + 1 if semi >= 0 else m.end()
+            name, begins = m["name"], m.end("deco")
+            head = f"macro_rules! {name}" if kind == "macro" else text[begins if language == "rs" else start : brace].strip() if bodied and kind in _BODIED else f"{ {'alias': 'type'}.get(kind, kind)} {name}" if kind in ("alias", "enum", "class", "interface") else text[start:end].strip()
+            found.append((start, end, kind, name, head, bool(m["deco"].strip()), m.groupdict().get("owner")))
+    out, around = [], []
+    for start, end, kind, name, head, decorated, owner in sorted(found, key=lambda x: (x[0], -x[1])):
+        while around and around[-1][0] <= start:
+            around.pop()
+        holder = around[-1] if around else (0, None, None)
+        parent = owner or (next((x[2] for x in reversed(around) if x[1] == "class"), None) if language == "ts" else holder[2] if holder[1] == "impl" else None)
+        if (kind == "method" and language == "ts" and parent is None) or (language == "rs" and holder[1] in ("function", "macro")):
             continue
-        first, last = (text.count("\n", 0, x) + 1 for x in (start, end))
-        qualified = f"{parent}.{name}" if kind == "method" and parent else name
-        out.append(_symbol(kind, name, qualified, (first, last), (len(text[:start].encode()), len(text[:end].encode())), head, parent, decorated))
+        around.append((end, kind, name))
+        shown = "method" if kind == "function" and language == "rs" and parent else "function" if kind == "macro" else kind
+        qualified = f"impl {name}" if kind == "impl" else f"{parent}{'::' if language == 'rs' else '.'}{name}" if shown == "method" and parent else name
+        out.append(_symbol(shown, name, qualified, (at.line(start), at.line(max(start, end - 1))), (at.byte(start), at.byte(end)), head, parent, decorated or kind == "macro"))
     return out
 
 
@@ -167,12 +181,26 @@ def symbols(files: DataFrame) -> DataFrame:
 USES = "unit_id long, use string, name string, line int"
 
 
+_CALL = re.compile(r"(\bfunction\s*\*?\s*)?([\w$]+)\s*(?:<[\w$, .\[\]]*>)?\(")
+_HEAD_FOLLOWS = re.compile(r"[^;{}()]*\)\s*(?::[^;{}=]*)?\{")
+_ENDS_ARGUMENT = re.compile(r"\s*[,)]")
+_NO_CALL = re.compile(_WORDS + "|super|import")
+
+
 def typescript_uses(text: str) -> list[tuple[str, str, int]]:
     """(use, name, line) of what a TypeScript file says of others: import (the specifier), implements and extends (class and base, by a space),
     call, type and identifier."""
     plain, out = without_literals(text), []
-    line = lambda at: plain.count("\n", 0, at) + 1
-    for m in re.finditer(r"\b(?:import|export)\b[^;'\"]*?\bfrom\s*(['\"])|\bimport\s*(['\"])", plain):
+    breaks = [m.end() for m in re.finditer("\n", plain)]
+    line = lambda at: bisect_right(breaks, at) + 1
+
+    def before(at: int) -> int:
+        """The place after the last letter before `at` that isn't blank."""
+        while at > 0 and plain[at - 1].isspace():
+            at -= 1
+        return at
+
+    for m in re.finditer(r"\b(?:import|export)\b[^;'\"(={}]*(?:\{[^;'\"(={}]*\}[^;'\"(={}]*?)?\bfrom\s*(['\"])|\bimport\s*(['\"])", plain):
         quote = m.end() - 1
         out.append(("import", text[quote + 1 : text.index(text[quote], quote + 1)], line(m.start())))
     taken = set()  # places of identifiers that are something else
@@ -181,20 +209,22 @@ def typescript_uses(text: str) -> list[tuple[str, str, int]]:
             if found := re.search(rf"\b{part}\s+([^{{]*?)(?=\b(?:extends|implements)\b|$)", m[3]):
                 bare = re.sub(r"<[^<>]*>", "", found[1])
                 out += [(use, f"{m[2]} {x.strip()}", line(m.start())) for x in bare.split(",") if x.strip()]
-    for m in re.finditer(r"(\bfunction\s*\*?\s*)?([\w$]+)\s*(?:<[\w$, .\[\]]*>)?\(", plain):
-        if m[1] or re.fullmatch(_WORDS + "|super|import", m[2]) or m[2][0].isdigit():
+    for m in _CALL.finditer(plain):
+        if m[1] or _NO_CALL.fullmatch(m[2]) or m[2][0].isdigit():
             continue
-        before = plain[: m.start(2)].rstrip()
-        if not before.endswith((".", "new")) and re.match(r"[^;{}()]*\)\s*(?::[^;{}=]*)?\{", plain[m.end() :]):
+        end = before(m.start(2))
+        dotted = plain.startswith(".", end - 1) if end else False
+        if not dotted and not plain.endswith("new", 0, end) and _HEAD_FOLLOWS.match(plain, m.end()):
             continue  # a method's head
         out.append(("call", m[2], line(m.start(2))))
-        if not before.endswith("."):
+        if not dotted:
             taken.add(m.start(2))
     for m in re.finditer(r"(?:[:|&]|\bas|\btype\s+[\w$]+\s*=|<)\s*([A-Z][\w$]*)", plain):
         out.append(("type", m[1], line(m.start(1))))
         taken.add(m.start(1))
     for m in re.finditer(r"(?<![\w$])[A-Za-z_$][\w$]*", plain):
-        argument = re.search(r"[(,]\s*$", plain[max(0, m.start() - 40) : m.start()]) and re.match(r"\s*[,)]", plain[m.end() :])
+        end = before(m.start())
+        argument = end and plain[end - 1] in "(," and _ENDS_ARGUMENT.match(plain, m.end())
         if m.start() not in taken and not argument:
             out.append(("identifier", m.group(), line(m.start())))
     return out
@@ -230,14 +260,15 @@ def skeleton_of(path: str, text: str) -> str:
             return text
     if language is None:
         return text
-    out, at = [], 0
-    heads = [m for kind, p in HEADS[language] if kind in ("function", "method") for m in re.finditer(p, text, re.MULTILINE)]
+    out, at, plain = [], 0, without_literals(text)
+    places = Places(text, plain)
+    heads = [m for kind, p in HEADS[language] if kind in ("function", "method") for m in re.finditer(p, plain, re.MULTILINE)]
     for m in sorted(heads, key=lambda m: m.start()):
-        brace = text.find("{", m.end() - 1)
+        brace = places.after(places.opens, m.end() - 1)
         if m.start() < at or brace < 0:
             continue
         out.append(text[at : brace + 1] + " ... }")
-        at = matching_brace(text, brace)
+        at = places.closed(brace)
     return "".join(out) + text[at:]
 
 
