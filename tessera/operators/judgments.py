@@ -81,3 +81,25 @@ def shadow_run(judged: DataFrame, provider: Callable[[dict], dict] | None, calls
                 yield pd.concat([frame[["task_id", "unit_id"]].reset_index(drop=True), got], axis=1)
 
     return rows.mapInPandas(run, "task_id long, unit_id long, status string, reason string, tries int, relevance double, implementation boolean, edit_target boolean, root_cause boolean")
+
+
+#: What the statistics call the reasons of calls that failed.
+FAILED = {"TIMEOUT": "timeouts", "RATE_LIMITED": "rate_limited", "MALFORMED_RESPONSE": "malformed", "CONNECTION_ERROR": "connection_errors", "PROVIDER_ERROR": "provider_errors"}
+
+
+def call_statistics(calls: DataFrame, order: list[str], most_calls: int = 20) -> DataFrame:
+    """For each task: eligible, attempted, successful, failed, fallback, rights_denied, trust_denied, budget_skipped, and failures by reason.
+
+    calls: task_id, the columns of order, and outcome (OK, or one of FALLBACKS). Denied ones are never attempted; of the others the first
+    most_calls are, and the rest is skipped, whatever would have come of it.
+    """
+    denied = F.col("outcome").isin("RIGHTS_DENIED", "TRUST_DENIED")
+    before = Window.partitionBy("task_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = calls.withColumn("place", F.count(F.when(~denied, True)).over(before))
+    said = F.when(denied | (F.col("place") <= most_calls), F.col("outcome")).otherwise("BUDGET_EXHAUSTED")
+    rows = rows.select("task_id", said.alias("said"))
+    count = lambda *names: F.count_if(F.col("said").isin(*names))
+    return rows.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("eligible"), count("OK", *FAILED).alias("attempted"), count("OK").alias("successful"), count(*FAILED).alias("failed"), F.count_if(F.col("said") != "OK").alias("fallback"),
+        count("RIGHTS_DENIED").alias("rights_denied"), count("TRUST_DENIED").alias("trust_denied"), count("BUDGET_EXHAUSTED").alias("budget_skipped"), *[count(k).alias(v) for k, v in FAILED.items()],
+    )

@@ -134,9 +134,16 @@ def overlap_ratio(query: Column, unit: Column) -> Column:
     return F.when(F.size(query) > 0, F.size(F.filter(query, lambda x: F.array_contains(unit, x))) / F.size(query)).otherwise(0.0)
 
 
-def overlap_ratios(tasks: DataFrame, units: DataFrame) -> DataFrame:
-    """overlap_ratio of all pairs of task and unit that share a token: a join on tokens, the prompt's with their counts, the unit's once."""
+def overlap_ratios(candidates: DataFrame, tasks: DataFrame, units: DataFrame) -> DataFrame:
+    """task_id, unit_id, overlap_ratio of given candidates (task_id, unit_id): the prompt's tokens with their counts against the unit's, once each.
+
+    Only candidates' texts are cut, and no pair is made that isn't asked for.
+    """
+    candidates = candidates.select("task_id", "unit_id").distinct()
+    units = units.join(candidates.select("unit_id").distinct(), "unit_id", "left_semi")
     q = tasks.select("task_id", lexical_tokens(F.col("prompt")).alias("q")).select("task_id", F.size("q").alias("n"), F.explode("q").alias("w"))
     q = q.groupBy("task_id", "n", "w").agg(F.count(F.lit(1)).alias("k"))
     u = units.select("unit_id", F.explode(F.array_distinct(lexical_tokens(F.col("content")))).alias("w"))
-    return u.join(q, "w").groupBy("task_id", "unit_id").agg((F.sum("k") / F.first("n")).alias("overlap_ratio"))
+    asked = q.join(candidates, "task_id").select("task_id", "unit_id", "n", "w", "k")
+    hit = asked.join(u, ["unit_id", "w"]).groupBy("task_id", "unit_id").agg((F.sum("k") / F.first("n")).alias("r"))
+    return candidates.join(hit, ["task_id", "unit_id"], "left").select("task_id", "unit_id", F.coalesce("r", F.lit(0.0)).alias("overlap_ratio"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.history import change_frequency, co_change_scores, co_changes, directional_co_change, epoch_to_timestamp, expand_by_co_change, latest_commits, until
 from tessera.registry import query
-from tessera.sources.tables import COMMIT_FILES, UNIT_COMMITS, UNIT_CUTOFF, commit_files, table, unit_commits
+from tessera.sources.tables import COMMIT_FILES, UNIT_COMMITS, UNIT_CUTOFF, UNITS, commit_files, table, unit_commits, units
 
 CUTOFF = "1997-06-01 00:00:00"
 _AT = f"TIMESTAMP '{CUTOFF}'"
@@ -65,11 +65,14 @@ def t05_trailing_window(spark, folder):
     return table(spark, folder, "orders").filter(F.col("o_orderdate").between(at - F.expr("INTERVAL 30 DAYS"), at)).select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("author"))
 
 
-@query(f"""SELECT task_id, other AS unit_id, round(max(score), 6) AS co_change_score FROM (SELECT DISTINCT l_orderkey AS task_id, l_partkey AS file FROM lineitem)
-  JOIN (SELECT * FROM {_SCORES} WHERE score >= 0.1) USING (file) GROUP BY ALL""")
+@query(f"""WITH hist AS (SELECT sha, file FROM {UNIT_COMMITS} WHERE ts <= TIMESTAMP '{UNIT_CUTOFF}'), co AS (SELECT a.file AS file, b.file AS other, count(*) / any_value(n.total) AS score FROM hist a JOIN hist b ON a.sha = b.sha AND a.file <> b.file
+  JOIN (SELECT file, count(*) AS total FROM hist GROUP BY file) n ON n.file = a.file GROUP BY ALL HAVING count(*) >= 3 AND count(*) / any_value(n.total) >= 0.15)
+  SELECT task_id, other AS unit_id, round(max(score), 6) AS co_change_score FROM (SELECT item_id % 50 AS task_id, path AS file FROM benchmark JOIN {UNITS} ON unit_id % 97 = item_id % 97) JOIN co USING (file) GROUP BY ALL""")
 def j13_co_change_expansion(spark, folder):
-    seeds = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_partkey").alias("file")).distinct()
-    return expand_by_co_change(seeds, co_change_scores(commit_files(spark, folder), CUTOFF, 1, 0.1)).withColumn("co_change_score", F.round("co_change_score", 6))
+    """Partners of each task's seed files, with the least commits and the least share that count."""
+    items = table(spark, folder, "benchmark").select((F.col("item_id") % 50).alias("task_id"), (F.col("item_id") % 97).alias("k"))
+    seeds = items.join(units(spark, folder).select((F.col("unit_id") % 97).alias("k"), F.col("path").alias("file")), "k").select("task_id", "file").distinct()
+    return expand_by_co_change(seeds, co_change_scores(unit_commits(spark, folder), UNIT_CUTOFF)).withColumn("co_change_score", F.round("co_change_score", 6))
 
 
 @query("SELECT DISTINCT o_custkey AS repository, o_orderdate::DATE::VARCHAR AS commit FROM orders")

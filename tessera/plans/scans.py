@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import artifact_kind, trust_level
 from tessera.registry import query
-from tessera.sources.code import repository_files, scip_edges, skeletons, symbols, written_files
+from tessera.sources.code import index_edges, read_symbol_index, repository_files, skeletons, symbols, written_files
 from tessera.sources.sinks import read_csv, write_csv
 from tessera.sources.tables import UNITS, table, units
 from tessera.storage import shared_folder, shared_uri
@@ -174,15 +174,24 @@ def r21_skeletons(spark, folder):
     return skeletons(code_files(spark, folder)).select("unit_id", "skeleton")
 
 
-@query("""WITH r AS (SELECT DISTINCT p_partkey % 50 AS f, p_partkey % 60 AS n FROM part WHERE p_partkey % 7 > 0), d AS (SELECT DISTINCT p_partkey % 60 AS n FROM part WHERE p_partkey % 7 = 0)
-  SELECT 'src/a' || f AS src, p_partkey AS dst, 'REFERENCES' AS kind FROM r JOIN d USING (n) JOIN part ON p_partkey % 60 = n""")
+@query("""WITH u AS (SELECT p_partkey AS unit_id, 'f' || (p_partkey // 4) AS title, 'src/a' || p_partkey AS path FROM part),
+  occ AS (SELECT DISTINCT p_partkey % 50 AS f, (p_partkey * 7 % 1000) // 4 AS n FROM part WHERE p_partkey % 7 <> 0),
+  rel AS (SELECT DISTINCT p_partkey // 4 AS a, p_partkey // 4 + 1 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'IMPLEMENTS' WHEN p_partkey % 3 = 0 THEN 'TYPE_USES' ELSE 'REFERENCES' END AS kind FROM part WHERE p_partkey % 5 = 0)
+  SELECT src, dst, kind, max(confidence)::DOUBLE AS confidence FROM (SELECT d.unit_id AS src, t.unit_id AS dst, 'REFERENCES' AS kind, 0.98 AS confidence FROM occ JOIN u d ON d.path = 'src/a' || f JOIN u t ON t.title = 'f' || n WHERE t.unit_id <> d.unit_id
+   UNION ALL SELECT s.unit_id, t.unit_id, kind, 1.0 FROM rel JOIN u s ON s.title = 'f' || a JOIN u t ON t.title = 'f' || b) GROUP BY ALL""")
 def s11_symbol_index(spark, folder):
+    """Symbol indexes as JSON files, one for each of fifty documents, read and turned into edges: references and relationships."""
     k = c("p_partkey")
-    name = F.concat(F.lit("f"), (k % 60).cast("string"))
-    symbol, role = F.concat(F.lit("pkg#"), name, F.lit("().")), F.when(k % 7 == 0, "definition").otherwise("reference")
-    docs = table(spark, folder, "part").groupBy(F.concat(F.lit("src/a"), (k % 50).cast("string")).alias("path")).agg(F.collect_list(F.struct(symbol.alias("symbol"), role.alias("role"))).alias("occurrences"))
-    index = docs.select(F.array(F.struct("path", "occurrences")).alias("documents"))
-    return scip_edges(index, table(spark, folder, "part").select(k.alias("unit_id"), name.alias("name")))
+    s = lambda x: x.cast("string")
+    occurrence = F.struct(F.concat(F.lit("npm pkg 1.0 src/lib#f"), s(F.expr("p_partkey * 7 % 1000 div 4")), F.lit("()")).alias("symbol"), F.when(k % 7 == 0, 1).when(k % 3 == 0, 8).otherwise(2).alias("symbolRoles"))
+    related = F.struct(F.concat(F.lit("pkg/f"), s(F.expr("p_partkey div 4 + 1")), F.lit("#")).alias("symbol"), (k % 2 == 0).alias("isImplementation"), F.when(k % 3 == 0, True).alias("isTypeDefinition"))
+    symbol = F.when(k % 5 == 0, F.struct(F.concat(F.lit("pkg/f"), s(F.expr("p_partkey div 4")), F.lit("#")).alias("symbol"), F.array(related).alias("relationships")))
+    docs = table(spark, folder, "part").groupBy((k % 50).alias("f")).agg(F.collect_list(occurrence).alias("occurrences"), F.collect_list(symbol).alias("symbols"))
+    where = f"{shared_folder(spark)}/tessera/index-{uuid.uuid4().hex}"
+    path = F.when(c("f") % 2 == 0, F.concat(F.lit("src/a"), s(c("f")))).otherwise(F.concat(F.lit("src\\a"), s(c("f"))))
+    docs.select("f", F.array(F.struct(path.alias("relative_path"), "symbols", "occurrences")).alias("documents")).write.partitionBy("f").json(where)
+    _, index = read_symbol_index(spark, where, "CI_PRECISE")
+    return index_edges(index, table(spark, folder, "part").select(k.alias("unit_id"), F.concat(F.lit("src/a"), s(k)).alias("path"), F.concat(F.lit("f"), s(F.expr("p_partkey div 4"))).alias("title")))
 
 
 @query("SELECT l_orderkey AS task_id, sha256(string_agg('<context_unit id=\"' || l_partkey || '\" line=\"' || l_linenumber || '\">' || l_returnflag || '</context_unit>', chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag)) AS rendered FROM lineitem GROUP BY ALL")
@@ -209,9 +218,10 @@ def s16_csv_export(spark, folder):
 
 @query("SELECT event_id, json_extract_string(p, '$.id')::BIGINT AS id, json_extract_string(p, '$.type') AS type FROM (SELECT event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS p FROM events)")
 def s15_json_round_trip(spark, folder):
-    text = F.to_json(F.struct(c("event_id").alias("id"), c("event_type").alias("type")))
-    back = F.from_json(text, "id long, type string")
-    return table(spark, folder, "events").select("event_id", back.alias("b")).select("event_id", "b.id", "b.type")
+    """Events written as JSON files and read again by their schema."""
+    where = f"{shared_folder(spark)}/tessera/json-{uuid.uuid4().hex}"
+    table(spark, folder, "events").select("event_id", c("event_id").alias("id"), c("event_type").alias("type")).write.json(where)
+    return spark.read.schema("event_id long, id long, type string").option("mode", "FAILFAST").json(where)
 
 
 @query(f"SELECT unit_id, n AS line FROM (SELECT unit_id, unnest(regexp_split_to_array(content, chr(10))) AS l, generate_subscripts(regexp_split_to_array(content, chr(10)), 1) AS n FROM {UNITS}) WHERE contains(l, 'tion') ORDER BY unit_id, n LIMIT 50")

@@ -2,9 +2,9 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators.judgments import call_statistics
 from tessera.registry import query
 from tessera.sources.sinks import KeyedTable
 from tessera.sources.tables import table
@@ -68,11 +68,20 @@ def t02_newest_sessions(spark, folder):
     return newest_sessions(events).select("session", c("first").cast("string").alias("first"))
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE a <= 2) AS calls, count(*) FILTER (WHERE a > 2) AS over_budget FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a FROM events) GROUP BY ALL")
+#: Events as calls of a provider: what came of them.
+_OUTCOMES = {"view": "OK", "click": "OK", "purchase": "TRUST_DENIED", "error": "TIMEOUT", "signup": "MALFORMED_RESPONSE"}
+_SAID = "CASE WHEN event_id % 31 = 0 THEN 'RIGHTS_DENIED' " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in _OUTCOMES.items()) + " ELSE 'PROVIDER_ERROR' END"
+
+
+@query(f"""WITH o AS (SELECT user_id, event_id, {_SAID} AS outcome FROM events), p AS (SELECT *, count(*) FILTER (WHERE NOT ends_with(outcome, '_DENIED')) OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM o),
+  s AS (SELECT user_id, CASE WHEN ends_with(outcome, '_DENIED') OR place <= 20 THEN outcome ELSE 'BUDGET_EXHAUSTED' END AS said FROM p)
+  SELECT user_id AS task_id, count(*) AS eligible, count(*) FILTER (WHERE said IN ('OK', 'TIMEOUT', 'MALFORMED_RESPONSE', 'PROVIDER_ERROR')) AS attempted, count(*) FILTER (WHERE said = 'OK') AS successful, count(*) FILTER (WHERE said IN ('TIMEOUT', 'MALFORMED_RESPONSE', 'PROVIDER_ERROR')) AS failed,
+  count(*) FILTER (WHERE said <> 'OK') AS fallback, count(*) FILTER (WHERE said = 'RIGHTS_DENIED') AS rights_denied, count(*) FILTER (WHERE said = 'TRUST_DENIED') AS trust_denied, count(*) FILTER (WHERE said = 'BUDGET_EXHAUSTED') AS budget_skipped, count(*) FILTER (WHERE said = 'TIMEOUT') AS timeouts,
+  0::BIGINT AS rate_limited, count(*) FILTER (WHERE said = 'MALFORMED_RESPONSE') AS malformed, 0::BIGINT AS connection_errors, count(*) FILTER (WHERE said = 'PROVIDER_ERROR') AS provider_errors FROM s GROUP BY user_id""")
 def t07_call_budget(spark, folder):
-    """Calls within a per-task budget, and those beyond it."""
-    rows = table(spark, folder, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("a"))
-    return rows.groupBy("user_id").agg(F.count_if(c("a") <= 2).alias("calls"), F.count_if(c("a") > 2).alias("over_budget"))
+    """What came of each task's calls under a budget of twenty: attempted, denied, skipped, and failed by reason."""
+    calls = table(spark, folder, "events").select(c("user_id").alias("task_id"), "event_id", F.expr(_SAID).alias("outcome"))
+    return call_statistics(calls, ["event_id"])
 
 
 def _in_two_runs(spark, folder, columns, changes, apply):

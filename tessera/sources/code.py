@@ -15,6 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import settled
+
 #: A symbol's columns beside its file: spans by line and by byte of the UTF-8 text (end exclusive), the head's text, the class it is in,
 #: and what makes a skeleton of it unsafe.
 COLUMNS = ["kind", "name", "qualified_name", "start_line", "end_line", "start_byte", "end_byte", "signature", "parent", "has_decorators", "has_top_level_code", "is_module_init", "unsafe"]
@@ -330,12 +332,53 @@ def written_files(files: DataFrame, folder: str) -> int:
     return files.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def scip_edges(index: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges from a JSON symbol index: index rows have documents[].path, occurrences[].symbol and role; symbols: unit_id, name."""
-    occurrence = index.select(F.explode("documents").alias("d")).select(F.col("d.path").alias("path"), F.explode("d.occurrences").alias("o"))
-    base = F.regexp_extract("o.symbol", r"(\w+)[^\w]*$", 1)
-    rows = occurrence.select("path", base.alias("name"), F.col("o.role").alias("role"))
-    hits = rows.join(symbols, "name")
-    defines = hits.filter("role = 'definition'").select("name", F.col("unit_id").alias("dst"))
-    uses = hits.filter("role = 'reference'").select("name", "path")
-    return uses.join(defines, "name").select(F.col("path").alias("src"), "dst", F.lit("REFERENCES").alias("kind")).distinct()
+#: What to do about a symbol index: never read it, read it if it is there, insist on it.
+POLICIES = ["DISABLED", "BEST_EFFORT_LOCAL", "CI_PRECISE"]
+INDEX = """documents array<struct<relative_path: string, symbols: array<struct<symbol: string, relationships: array<struct<symbol: string, isImplementation: boolean, isTypeDefinition: boolean>>>>,
+  occurrences: array<struct<symbol: string, symbolRoles: int>>>>, _broken string"""
+
+
+def read_symbol_index(spark, path: str, policy: str = "BEST_EFFORT_LOCAL") -> tuple[str, DataFrame]:
+    """DISABLED, SKIPPED_NOT_FOUND or INGESTED, and the documents of the JSON index at a path (a file, or a folder of one for each repository).
+
+    A missing index, or one that doesn't parse, is an error under CI_PRECISE; else what is missing or broken is left out.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = policy != "DISABLED" and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    if not there:
+        if policy == "CI_PRECISE":
+            raise FileNotFoundError(f"a symbol index is required, and {path} isn't there")
+        return "DISABLED" if policy == "DISABLED" else "SKIPPED_NOT_FOUND", spark.createDataFrame([], INDEX).drop("_broken")
+    rows = spark.read.schema(INDEX).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    if policy == "CI_PRECISE":
+        rows = settled(rows, "symbol-index")  # parsed once
+        if rows.filter("_broken is not null").isEmpty():
+            return "INGESTED", rows.drop("_broken")
+        raise ValueError(f"a symbol index of {path} doesn't parse")
+    return "INGESTED", rows.drop("_broken")
+
+
+def base_symbol(symbol: Column) -> Column:
+    """The last part of an index's symbol, without its marks."""
+    parts = F.filter(F.split(symbol, r"[\s/#]+"), lambda x: x != "")
+    return F.regexp_replace(F.try_element_at(parts, F.lit(-1)), "[#()]", "")
+
+
+def index_edges(index: DataFrame, units: DataFrame) -> DataFrame:
+    """src, dst, kind, confidence: from a document's file to the units that it refers to, and between units whose symbols are related.
+
+    A symbol stands for the units whose title is its base name. Each document and pair of names meets them once. units: unit_id, path, title.
+    """
+    documents = index.select(F.explode("documents").alias("d")).select("d.*")
+    named = units.select(F.col("unit_id").alias("dst"), F.col("title").alias("name")).filter("name is not null")
+    files = units.filter("path is not null").select(F.col("unit_id").alias("src"), F.replace("path", F.lit("\\"), F.lit("/")).alias("file"))
+    said = documents.select(F.replace("relative_path", F.lit("\\"), F.lit("/")).alias("file"), F.explode("occurrences").alias("o")).filter(F.col("o.symbolRoles").bitwiseAND(F.lit(1)) == 0)
+    refers = said.select("file", base_symbol(F.col("o.symbol")).alias("name")).distinct().join(files, "file").join(named, "name").filter("src <> dst")
+    pairs = documents.select(F.explode("symbols").alias("s")).select(base_symbol(F.col("s.symbol")).alias("source"), F.explode("s.relationships").alias("r"))
+    kind = F.when(F.col("r.isImplementation"), "IMPLEMENTS").when(F.col("r.isTypeDefinition"), "TYPE_USES").otherwise("REFERENCES")
+    pairs = pairs.select("source", base_symbol(F.col("r.symbol")).alias("name"), kind.alias("kind")).distinct()
+    related = pairs.join(named.withColumnsRenamed({"dst": "src", "name": "source"}), "source").join(named, "name")
+    edges = refers.select("src", "dst", F.lit("REFERENCES").alias("kind"), F.lit(0.98).alias("confidence")).unionByName(related.select("src", "dst", "kind", F.lit(1.0).alias("confidence")))
+    return edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))

@@ -89,3 +89,20 @@ def test_scanners_grow_with_the_text(scan):
         scan(unit * n)
         took.append(time.perf_counter() - began)
     assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_index_policies(spark, tmp_path):
+    from tessera.sources.code import index_edges, read_symbol_index
+
+    there = tmp_path / "index.json"
+    assert read_symbol_index(spark, str(there))[0] == "SKIPPED_NOT_FOUND" and read_symbol_index(spark, str(there), "DISABLED")[0] == "DISABLED"
+    with pytest.raises(FileNotFoundError):
+        read_symbol_index(spark, str(there), "CI_PRECISE")
+    there.write_text('{"metadata": {}, "documents": [{"relative_path": "src\\\\a.ts", "symbols": [{"symbol": "npm p 1 `b.ts`/B#", "relationships": [{"symbol": "x/C#", "isImplementation": true}, {"symbol": "x/run()", "isTypeDefinition": true}]}],\n "occurrences": [{"symbol": "npm p 1 b/B#", "symbolRoles": 8, "range": [1, 2, 1, 3]}, {"symbol": "x/C#", "symbolRoles": 1}, {"symbol": "a.ts", "symbolRoles": 2}]}, {"relative_path": "no.ts"}]}')
+    units = spark.createDataFrame([(1, "src/a.ts", "a.ts"), (2, None, "B"), (3, None, "C"), (4, None, "run"), (5, None, None)], "unit_id long, path string, title string")
+    status, index = read_symbol_index(spark, str(there), "CI_PRECISE")
+    assert status == "INGESTED" and sorted(map(tuple, index_edges(index, units).collect())) == [(1, 2, "REFERENCES", 0.98), (2, 3, "IMPLEMENTS", 1.0), (2, 4, "TYPE_USES", 1.0)]
+    there.write_text('{"documents": [')
+    assert index_edges(read_symbol_index(spark, str(there))[1], units).collect() == []
+    with pytest.raises(ValueError):
+        read_symbol_index(spark, str(there), "CI_PRECISE")
