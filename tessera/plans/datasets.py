@@ -141,8 +141,8 @@ _HELD: dict = {}
 
 
 def _once(spark, folder, what, make):
-    """What is costly to fit, once an application and folder."""
-    key = spark.sparkContext.applicationId, folder, what
+    """What is costly to fit, once an application, shared folder and folder."""
+    key = spark.sparkContext.applicationId, shared_folder(spark), folder, what
     if key not in _HELD:
         _HELD[key] = make()
     return _HELD[key]

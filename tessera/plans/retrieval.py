@@ -8,7 +8,7 @@ from tessera.operators.lexical import LexicalIndex, lexical_scores, query_terms
 from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, overlap_ratios, top_per
 from tessera.registry import query
 from tessera.sources.tables import EVIDENCE, TASKS, UNIT_COMMITS, UNIT_CUTOFF, UNIT_EDGES, UNITS, evidence, table, tasks, unit_commits, unit_edges, units
-from tessera.storage import new_folder
+from tessera.storage import new_folder, shared_folder
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda x: length(x) >= 3)"
 _EXACT = "list_distinct(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9_./-]+'), lambda x: length(x) >= 3))"
@@ -35,12 +35,12 @@ def r03_lexical_scores(spark, folder):
     return lexical_scores(tasks(spark, folder), units(spark, folder), evidence(spark, folder))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, str], str] = {}
 
 
 def lexical_index(spark, folder):
-    """The index of a folder's units, written once in an application."""
-    key = spark.sparkContext.applicationId, folder
+    """The index of a folder's units, written once in an application and shared folder."""
+    key = spark.sparkContext.applicationId, shared_folder(spark), folder
     if key not in _INDEXES:
         path = new_folder(spark, "lexical-index")
         LexicalIndex.build(units(spark, folder), path)

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A session's own setting: a folder below the shared one (see scratch), or in its stead in local mode.
+OWN = "spark.tessera.folder"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode (one process does all), an error on a cluster."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get(OWN, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.conf.set(OWN, where)
     return where.rstrip("/")
 
 
@@ -36,3 +43,16 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own below the shared one for all tables that queries write within; it goes at the end, when their results have been read."""
+    before, own = spark.conf.get(OWN, None), f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    spark.conf.set(OWN, own)
+    try:
+        yield own
+    finally:
+        spark.conf.unset(OWN) if before is None else spark.conf.set(OWN, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
