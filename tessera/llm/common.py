@@ -28,17 +28,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: A session's own setting: where its tables go for the time being. Whoever sets it to a folder below the shared one can remove them all at once.
+OWN = "spark.tessera.folder"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
+    """The folder in spark.checkpoint.dir, which driver and executors share, or the session's own one below it (OWN).
 
-    Where it is unset, a temporary one in local mode, where one process does all; an error on a cluster.
+    Where neither is set, a temporary one in local mode, where one process does all; an error on a cluster.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get(OWN, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.conf.set(OWN, where)
     if "://" not in where and not where.startswith("file:"):  # as Spark's own writers read it
         path = spark._jvm.org.apache.hadoop.fs.Path(where)
         where = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discarded, matched, sent, shared_dir, small_batches, table_bytes, written
+from tessera.llm.common import OWN, discarded, matched, sent, shared_dir, small_batches, table_bytes, written
 
 KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -15,8 +15,9 @@ class FakeSession:
 
 
 def test_a_cluster_needs_a_shared_folder():
-    with pytest.raises(ValueError, match="checkpoint"):
-        shared_dir(FakeSession("spark://host:7077"))
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(FakeSession(master))
 
 
 def test_settings_come_back(spark):
@@ -45,3 +46,14 @@ def test_tables_are_written_and_removed(spark):
     discarded(table)
     with pytest.raises(Exception):
         spark.read.parquet(table._written_at)
+
+
+def test_tables_go_below_the_sessions_own_folder(spark, tmp_path):
+    own = f"file://{tmp_path}/own"
+    spark.conf.set(OWN, own)
+    try:
+        table = written(spark.range(3).toDF("x"), "t")
+        assert table._written_at.startswith(own) and table.count() == 3
+    finally:
+        spark.conf.unset(OWN)
+    assert not shared_dir(spark).startswith(own)
