@@ -45,4 +45,4 @@ def test_a_cluster_needs_a_shared_folder():
         shared_folder(FakeSession(master="spark://host:7077"))
     assert shared_folder(FakeSession(master="spark://host:7077", checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
     local = FakeSession(master="local[4]")
-    assert shared_folder(local) == local.get("spark.checkpoint.dir")
+    assert shared_folder(local) == local.get("spark.tessera.folder") == shared_folder(local)
