@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ancestry import roots
 from tessera.operators.graph import adjacent, build_graph, chains, configured, contained, degrees, distances, enclosing, first_edges, imports, neighbourhood, resolve_calls, tests_of
 from tessera.operators.retrieval import containing
 from tessera.registry import query
@@ -160,6 +161,16 @@ def w12_snapshot_chains(spark, folder):
     return chains(table(spark, folder, "customer").select(k.alias("snapshot_id"), F.when(k % 10 > 0, k - 1).alias("parent_id")), 10)
 
 
+_ORIGINS = "CASE WHEN c_custkey % 1000 = 900 THEN c_custkey + 50 WHEN c_custkey % 500 > 0 THEN c_custkey - 1 WHEN c_custkey % 1500 = 1000 THEN -c_custkey END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT c_custkey AS id, {_ORIGINS} AS parent FROM customer), r(id, root, depth) AS (SELECT id, id, 0::BIGINT FROM s WHERE parent IS NULL OR parent NOT IN (SELECT id FROM s) UNION ALL SELECT s.id, r.root, r.depth + 1 FROM r JOIN s ON s.parent = r.id)
+  SELECT s.id AS snapshot_id, root, depth, r.id IS NULL AS cyclic FROM s LEFT JOIN r ON r.id = s.id""")
+def w12_snapshot_roots(spark, folder):
+    """The first ancestor of each snapshot and the steps to it, over chains of hundreds, lost parents and cycles."""
+    return roots(table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.expr(_ORIGINS).alias("parent"))).withColumnRenamed("id", "snapshot_id")
+
+
 _MODULE = """import { Base{j} } from './g{j}';
 export class C{i} extends Base{j} implements I{j} {
   run{i}(x: T{j}) {

@@ -2,14 +2,16 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import artifact_kind, trust_level
+from tessera.operators.substring import LineIndex
 from tessera.registry import query
 from tessera.sources.code import index_edges, read_symbol_index, repository_files, skeletons, symbols, written_files
 from tessera.sources.sinks import read_csv, write_csv
 from tessera.sources.tables import UNITS, table, units
-from tessera.storage import shared_folder, shared_uri
+from tessera.storage import new_folder, shared_folder, shared_uri
 
 
 def c(name):
@@ -228,3 +230,19 @@ def s15_json_round_trip(spark, folder):
 def k07_substring_search(spark, folder):
     lines = units(spark, folder).select("unit_id", F.posexplode(F.split("content", "\n", -1)).alias("n", "l"))
     return lines.filter(c("l").contains("tion")).select("unit_id", (c("n") + 1).alias("line")).orderBy("unit_id", "line").limit(50)
+
+
+_SOUGHT = "(SELECT item_id AS needle_id, substr(text, 1 + item_id % 20, 9 + item_id % 5) AS needle FROM benchmark UNION ALL SELECT 100000 + item_id, substr(text, 2, 2) FROM benchmark WHERE item_id % 50 = 7)"
+
+
+@query(f"""SELECT needle_id, unit_id, n AS line FROM (SELECT needle_id, unit_id, n, row_number() OVER (PARTITION BY needle_id ORDER BY unit_id, n) AS place FROM
+  (SELECT unit_id, unnest(regexp_split_to_array(content, chr(10))) AS l, generate_subscripts(regexp_split_to_array(content, chr(10)), 1) AS n FROM {UNITS}) JOIN {_SOUGHT} ON contains(l, needle)) WHERE place <= 50""")
+def k07_indexed_search(spark, folder):
+    """The first fifty lines that hold each of many needles, by an index of grams."""
+    item = c("item_id")
+    text = table(spark, folder, "benchmark")
+    needles = text.select(item.alias("needle_id"), F.substring(c("text"), (1 + item % 20).cast("int"), (9 + item % 5).cast("int")).alias("needle"))
+    needles = needles.unionByName(text.filter("item_id % 50 = 7").select((item + 100000).alias("needle_id"), F.substring("text", 2, 2).alias("needle")))
+    index = LineIndex.build(units(spark, folder), new_folder(spark, "line-index"))
+    place = F.row_number().over(Window.partitionBy("needle_id").orderBy("unit_id", "line"))
+    return index.search(needles).withColumn("place", place).filter("place <= 50").drop("place")
