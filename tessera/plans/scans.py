@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import artifact_kind, trust_level
+from tessera.operators.snapshots import HashTree
 from tessera.operators.substring import LineIndex
 from tessera.registry import query
 from tessera.sources.code import index_edges, read_symbol_index, repository_files, skeletons, symbols, written_files
@@ -246,3 +247,19 @@ def k07_indexed_search(spark, folder):
     index = LineIndex.build(units(spark, folder), new_folder(spark, "line-index"))
     place = F.row_number().over(Window.partitionBy("needle_id").orderBy("unit_id", "line"))
     return index.search(needles).withColumn("place", place).filter("place <= 50").drop("place")
+
+
+#: Snapshots of the units: as they are, and after a change, with files that were changed, removed and added.
+_TAKEN = f"""(SELECT 'before' AS snapshot_id, path, sha256(coalesce(content, '')) AS content_hash FROM {UNITS} WHERE unit_id % 101 <> 7
+  UNION ALL SELECT 'after', path, sha256(coalesce(content, '') || CASE WHEN unit_id % 97 = 5 THEN '!' ELSE '' END) FROM {UNITS} WHERE unit_id % 89 <> 3)"""
+
+
+@query(f"""WITH s AS (SELECT * FROM {_TAKEN}) SELECT path, CASE WHEN a.path IS NULL THEN 'ADDED' WHEN b.path IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change FROM (SELECT * FROM s WHERE snapshot_id = 'before') a
+  FULL JOIN (SELECT * FROM s WHERE snapshot_id = 'after') b USING (path) WHERE a.content_hash IS DISTINCT FROM b.content_hash""")
+def s19_snapshot_changes(spark, folder):
+    """What differs between two snapshots, by their hash trees."""
+    u, text = units(spark, folder), F.coalesce("content", F.lit(""))
+    before = u.filter("unit_id % 101 <> 7").select(F.lit("before").alias("snapshot_id"), "path", F.sha2(text, 256).alias("content_hash"))
+    after = u.filter("unit_id % 89 <> 3").select(F.lit("after").alias("snapshot_id"), "path", F.sha2(F.concat(text, F.when(c("unit_id") % 97 == 5, "!").otherwise("")), 256).alias("content_hash"))
+    tree = HashTree.build(before.unionByName(after), new_folder(spark, "hash-tree"), u.count())
+    return tree.changes(spark.createDataFrame([("before", "after")], "old string, new string")).select("path", "change")

@@ -3,6 +3,7 @@
 import random
 
 from tessera.operators.ancestry import roots
+from tessera.operators.snapshots import HashTree
 from tessera.operators.substring import LineIndex, grams_of
 from tessera.storage import new_folder
 
@@ -66,3 +67,18 @@ def test_few_lines_are_tested(spark):
 def test_grams(spark):
     rows = spark.createDataFrame([("abcab",), ("ab",), ("",), (None,), ("é中🙂x",)], "t string")
     assert [sorted(r.g or []) for r in rows.select(grams_of(rows.t).alias("g")).collect()] == [["abc", "bca", "cab"], [], [], [], ["é中🙂", "中🙂x"]]
+
+
+def test_hash_trees_find_changes_by_few_nodes(spark):
+    rng = random.Random(3)
+    base = {f"src/{i % 7}/f{i}.ts": f"h{i}" for i in range(5000)}
+    held = {"a": base, "b": base | {"src/0/f0.ts": "other", "new/x.ts": "h"}, "c": {k: v for k, v in base.items() if rng.random() > 0.002}, "d": dict(base)}
+    files = spark.createDataFrame([(s, p, h) for s, own in held.items() for p, h in own.items()], "snapshot_id string, path string, content_hash string")
+    tree = HashTree.build(files, new_folder(spark, "test-tree"), 5000)
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("a", "d"), ("c", "b")]
+    asked = spark.createDataFrame(pairs, "old string, new string")
+    want = {(x, y, p, "ADDED" if p not in held[x] else "REMOVED" if p not in held[y] else "MODIFIED") for x, y in pairs for p in held[x].keys() | held[y].keys() if held[x].get(p) != held[y].get(p)}
+    assert {tuple(r) for r in tree.changes(asked).collect()} == want
+    roots_ = {r.snapshot_id: r.node_hash for r in tree.root_hashes().collect()}
+    assert roots_["a"] == roots_["d"] != roots_["b"] and len(set(roots_.values())) == 3
+    assert sum(x.count() for x in tree.differing(spark.createDataFrame([("a", "b")], "old string, new string"))) <= 2 * len(tree.levels) and len(tree.levels) > 2
