@@ -5,7 +5,8 @@
 2. A document is paired with the owner of each of its shared units, however many documents hold it: at most one pair a unit, never
    all with all. Where `rare` is given, only with the owners of its units found in at most `rare` documents, and of its rarest ones.
 3. Each pair's line hashes are aligned by patience diff: lines that are unique in both and in the same order are anchors, stretches
-   between anchors are treated alike, equal lines next to an anchor join its block.
+   between anchors are treated alike, equal lines next to an anchor join its block. An owner's lines are sent once for each LOT of its
+   documents, so that what moves is linear in the documents, however long an owner with a frequent line is.
 4. Aligned blocks of at least `least_words` words go from the later document, once each line's letters are found equal to those of the
    earlier document's line: a collision of hashes can't remove a line. Pairs are judged on the input, not on what is left.
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import BASES, matched, range_hashes, small_batches, text_groups, word_hashes, words_of, written
 
 LEAST_WORDS = 5
+#: Documents that meet an owner at a time.
+LOT = 256
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -125,13 +128,22 @@ def _hash_rows(least: int):
 
 
 def _align(least: int):
+    """Of rows in order of owner and lot, the owner's own row first: the owner's lines are held while its lot's documents go by."""
     pairs = pa.list_(pa.struct([("j", pa.int32()), ("i", pa.int32())]))
+    names = ["k1", "k2", "e1", "e2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("earlier", "later", "words")]
-            rows = [[{"j": j, "i": i} for j, i in aligned_lines(*x, least)] for x in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "e1", "e2")), pa.array(rows, pairs)], names=["k1", "k2", "e1", "e2", "pairs"])
+            own, lines, words = batch.column("own").to_pylist(), batch.column("lines"), batch.column("words")
+            rows = []
+            for at, first in enumerate(own):
+                if first:
+                    held = lines[at].as_py()
+                else:
+                    rows.append([{"j": j, "i": i} for j, i in aligned_lines(held, lines[at].as_py(), words[at].as_py(), least)])
+            later = pa.array([not x for x in own], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(later) for c in names), pa.array(rows, pairs)], names=[*names, "pairs"])
 
     return run
 
@@ -161,9 +173,14 @@ def common_lines(docs: DataFrame, rare: int | None = None, least_words: int = LE
             found = found.select("k1", "k2", F.inline(chosen)).drop("n")
         pairs = written(found.distinct(), "line-pairs")
         once = written(rows.dropDuplicates(["k1", "k2"]).select("k1", "k2", "lines", "words"), "line-hashes-once")
-        later = pairs.join(once.withColumnRenamed("lines", "later"), ["k1", "k2"])
-        both = later.join(once.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("lines").alias("earlier")), ["e1", "e2"])
-        claims = both.select("k1", "k2", "e1", "e2", "earlier", "later", "words").mapInArrow(_align(least_words), "k1 long, k2 long, e1 long, e2 long, pairs array<struct<j:int,i:int>>")
+        # An owner's lines go once to each lot of LOT of its documents, not to each of them.
+        lots = written(pairs.groupBy("e1", "e2").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")), "line-lots")
+        own = lots.join(once.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "lines"), ["e1", "e2"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        own = own.select(*[F.lit(None).cast(t).alias(c) for c, t in (("k1", "long"), ("k2", "long"))], "e1", "e2", "lot", F.lit(True).alias("own"), "lines", F.array().cast("array<int>").alias("words"))
+        later = pairs.join(lots, ["e1", "e2"]).withColumn("lot", F.pmod(F.xxhash64("k1", "k2"), F.col("lots")).cast("int"))
+        later = later.join(once, ["k1", "k2"]).select("k1", "k2", "e1", "e2", "lot", F.lit(False).alias("own"), "lines", "words")
+        dealt = own.unionByName(later).repartition("e1", "e2", "lot").sortWithinPartitions("e1", "e2", "lot", F.col("own").desc())
+        claims = dealt.mapInArrow(_align(least_words), "k1 long, k2 long, e1 long, e2 long, pairs array<struct<j:int,i:int>>")
         return written(claims.filter("size(pairs) > 0"), "line-claims")
 
 

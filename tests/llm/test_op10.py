@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import op10_patience_lines
+from tessera.llm.common import written
 from tessera.llm.op10_patience_lines import aligned_lines, line_digest, line_hashes, patience, without_common_lines
 
 from .conftest import SCHEMA, frame, prose
@@ -129,3 +130,21 @@ def test_owners_of_lines_of_over_100_documents(spark):
     got = line_digest(frame(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, len(rows), 5)
     assert all(r.n_removed == 3 for r in got if r.doc_id > 1000)
+
+
+def test_a_long_owner_of_a_frequent_line_goes_to_lots_not_to_documents(spark, monkeypatch):
+    """Half of the documents share one line of an owner with thousands of lines: its lines are dealt out once a lot."""
+    line = "all of these documents hold this one line"
+    owner = "\n".join([*(f"own line number {i} of the long one" for i in range(3000)), line])
+    rows = [(1, owner, "en", "s")] + [(i, f"{line}\nand a line of document {i} alone" if i % 2 else f"nothing shared in document {i} at all", "en", "s") for i in range(2, 1202)]
+    monkeypatch.setattr("tessera.llm.op10_patience_lines.LOT", 100)
+    tables = {}
+
+    def kept(df, tag):
+        tables[tag] = written(df, tag)
+        return tables[tag]
+
+    monkeypatch.setattr("tessera.llm.op10_patience_lines.written", kept)
+    got = sorted(map(tuple, line_digest(frame(spark, rows)).collect()), key=str)
+    assert got == brute(rows, len(rows), 5)
+    assert tables["line-lots"].agg({"lots": "sum"}).first()[0] == 6 and tables["line-pairs"].count() == 600
