@@ -6,8 +6,9 @@ documents in a permuted order; of the document where it is met, as many words as
 output shard gets is decided by a tree over the shards: each node deals its quotas to its two sides as draws without replacement
 would. A shard then holds its own, disjoint stretch of each source's permuted blocks, ordered by hash.
 
-The tree works on one count for each source (the catalogue of sources, never documents). Words are counted once, and texts move once,
-to their shards. Null text has size 0; such documents are in the result with nothing taken. Null source is a source of its own, the
+The tree works on a table with a row for each block and pass of a source (never documents), split over tasks; neither sources nor shards
+are looped over on the driver. Words are counted once, and texts move once, to their shards. Rows of one document id in the block
+where a source's target is met are put in order by one task (hashes and sizes, equal rows as one). Null text has size 0; such documents are in the result with nothing taken. Null source is a source of its own, the
 last one. Repeated rows are documents of their own: where the last pass stops among rows of one id, source and text, it takes some of
 them whole, one in part and the others not. An empty table gives no rows. Reruns give the same mix: all draws follow from `seed` and
 the data. Other columns are ignored or carried, whatever their names.
@@ -15,19 +16,17 @@ the data. Other columns are ignored or carried, whatever their names.
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, new_folder, sent, written
 from tessera.llm.textstats import word_count
+from tessera.operators.training import numbered
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-#: Rows of the spread of sources over shards that are written at a time.
-SPREAD_ROWS = 20_000
+#: The block in which a target is met is cut into 2**SLICE_BITS slices before its rows are put in order.
+SLICE_BITS = 12
 
 
 def _named(blocks: int, seed: int) -> list[Column]:
@@ -50,40 +49,55 @@ def sized(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
 def source_targets(blocks: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """skey, source_size, weight, target of each source.
 
-    With sources in order of cap by weight, those that stop at their cap come first; the others share what is left by weight. The first
-    source whose cap is above its share of what those before it leave over settles the level.
+    A source stops at its cap where the level (what is left for a unit of weight) gives it more. The level only rises as sources stop,
+    so it alone is carried from round to round; a round is one aggregate over the sources, and the last one stops none.
     """
     sizes = blocks.groupBy("skey").agg(F.sum("words").alias("source_size"))
     # null (empty key) last, the others by code point
-    place = F.row_number().over(Window.orderBy(F.col("skey") == "", "skey")) - 1
-    weight = F.get(F.array(*[F.lit(w).cast("long") for w in weights]), F.pmod(place, F.lit(len(weights))))
-    ranked = sizes.withColumn("weight", weight)
-    everything = Window.partitionBy()
-    before = Window.orderBy(cap * F.col("source_size") / F.col("weight"), "skey").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0))
-    share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    levels = ranked.withColumn("level", left / share)
-    settled = levels.withColumn("settled", F.when(F.col("level") * F.col("weight") <= cap * F.col("source_size"), F.col("level")))
-    level = F.max("settled").over(everything)
-    return settled.select("skey", "source_size", "weight", F.least(level * F.col("weight"), (cap * F.col("source_size")).cast("double")).alias("target"))
-
-
-def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """For each shard how many blocks of each source it gets: exact quotas, split down a binary tree over the shards.
-
-    A node with several shards deals its blocks to its two sides as drawing without replacement does: the counts of one side are a
-    multivariate hypergeometric draw.
+    ranked = numbered(sizes.withColumn("last", F.col("skey") == ""), "last", "skey")
+    weight = F.get(F.array(*[F.lit(w).cast("long") for w in weights]), F.pmod("number", F.lit(len(weights))))
+    ranked = written(ranked.select("skey", "source_size", weight.alias("weight")), "weights")
+    most, level, stopped = cap * F.col("source_size"), 0.0, -1
+    while True:
+        stops = F.lit(level) * F.col("weight") > most
+        left = F.sum(F.when(stops, F.col("source_size") - most).otherwise(F.col("source_size")))
+        share = F.sum(F.when(~stops, F.col("weight")))
+        now = ranked.agg((left / share).alias("level"), F.count_if(stops).alias("n")).first()
+        if now["n"] == stopped or now["level"] is None:
+            break
+        level, stopped = now["level"], now["n"]
+    return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), most.cast("double")))
+
+
+def _leaf(place: Column, draws: Column, shards: int) -> Column:
+    """The shard whose leaf holds a place among all draws: from the root down, a node's left half of its shards gets the first part of its
+    places, in proportion to its shards (rounded down)."""
+    depth = (shards - 1).bit_length()
+    root = F.struct(F.lit(0).cast("long").alias("first"), draws.cast("long").alias("n"), F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("k"))
+
+    def down(node: Column, _: Column) -> Column:
+        near = F.floor(node["k"] / 2)
+        n = F.floor(node["n"] * near / node["k"])
+        left = place < node["first"] + n
+        to_left = F.struct(node["first"].alias("first"), n.alias("n"), node["shard"].alias("shard"), near.alias("k"))
+        to_right = F.struct((node["first"] + n).alias("first"), (node["n"] - n).alias("n"), (node["shard"] + near).alias("shard"), (node["k"] - near).alias("k"))
+        return F.when(node["k"] == 1, node).when(left, to_left).otherwise(to_right)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, down, lambda node: node["shard"]).cast("int") if depth else F.lit(0)
+
+
+def split_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
+    """draws (skey, number: a row for each block and pass that a source gives) with `shard`, which gets so many blocks of the source.
+
+    All draws are put in an order by hash, and the places are split down a binary tree over the shards. What a node holds is thus in
+    random order, and its left side takes the first part of it: its counts of sources are a multivariate hypergeometric draw from its
+    node's, and quotas are exact. Places are found by ranges; no task holds all draws, and the driver none.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-
-    def deal(counts: np.ndarray, n: int) -> list[list[int]]:
-        if n == 1:
-            return [counts.tolist()]
-        near = n // 2
-        left = rng.multivariate_hypergeometric(counts, int(counts.sum()) * near // n, method="marginals")
-        return deal(left, near) + deal(counts - left, n - near)
-
-    return deal(np.array(quotas, dtype=np.int64), shards)
+    lots = draws.select("skey", F.col("number").alias("item"), F.xxhash64(F.lit(seed), "skey", "number").alias("lot"))
+    mixed = numbered(lots, "lot", "skey", "item")
+    whole = mixed.agg(F.count(F.lit(1)).alias("whole"))
+    dealt = mixed.crossJoin(F.broadcast(whole)).select("skey", "item", _leaf(F.col("number"), F.col("whole"), shards).alias("shard"))
+    return dealt.withColumnRenamed("item", "number")
 
 
 def placements(table: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -98,36 +112,34 @@ def placements(table: DataFrame, seed: int = 11, weights: tuple[int, ...] = WEIG
     permuted = totals.join(targets, "skey").withColumn("turn", F.xxhash64(F.lit(seed + 2), "skey", "block")).select("*", ahead.alias("ahead"), (F.row_number().over(source) - 1).alias("place"))
     last = F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("ahead"))).cast("long")
     permuted = written(permuted.select("skey", "block", F.col("place").alias("turn"), "words", last.alias("last"), "passes", "source_size", "target"), "permuted")
-    # One block of each source is cut: only its rows are put in order, equal ones as one.
+    # One block of each source is cut, in one slice of its draws: only the slice's rows are put in order, equal ones as one.
     cut = permuted.filter("last > 0 and last < words").select("skey", "block", "last")
-    inside = Window.partitionBy("skey", "block").orderBy("draw", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     inner = table.join(sent(cut), ["skey", "block"]).filter("size > 0").groupBy("skey", "block", "last", "draw", "k1", "k2", "size").agg(F.count(F.lit(1)).alias("n"))
-    inner = inner.withColumn("over", F.col("last") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
-    met = inner.filter("over > 0 and over <= size * n").select("skey", "block", *[F.col(c).alias(f"cut_{c}") for c in ("draw", "k1", "k2")], F.expr("over div size").alias("cut_whole"), F.expr("over % size").alias("cut_words"))
+    inner = written(inner.withColumn("slice", F.shiftright("draw", 64 - SLICE_BITS)), "cut-blocks")
+    before = Window.partitionBy("skey", "block").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = inner.groupBy("skey", "block", "last", "slice").agg(F.sum(F.col("size") * F.col("n")).alias("held"))
+    slices = slices.withColumn("missing", F.col("last") - F.coalesce(F.sum("held").over(before), F.lit(0))).filter("missing > 0 and missing <= held")
+    inside = Window.partitionBy("skey", "block").orderBy("draw", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    within = inner.join(sent(written(slices.select("skey", "block", "slice", "missing"), "cut-slices")), ["skey", "block", "slice"])
+    within = within.withColumn("over", F.col("missing") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    met = within.filter("over > 0 and over <= size * n").select("skey", "block", *[F.col(c).alias(f"cut_{c}") for c in ("draw", "k1", "k2")], F.expr("over div size").alias("cut_whole"), F.expr("over % size").alias("cut_words"))
     return written(permuted.join(met, ["skey", "block"], "left"), "placements")
 
 
 def dealt(table: DataFrame, shards: int, seed: int) -> DataFrame:
-    """table with `homes`: for each pass that takes the block, the shard that gets it."""
-    spark = table.sparkSession
-    drawn = F.max("passes") * F.count(F.lit(1)) + F.coalesce(F.max(F.when(F.col("last") > 0, F.col("turn") + 1)), F.lit(0))
-    quotas = [(r["skey"], r["n"]) for r in table.groupBy("skey").agg(drawn.alias("n")).orderBy("skey").collect()]  # one row for each source
-    rows, begin = [], [0] * len(quotas)
-    for shard, counts in enumerate(split_quotas([n for _, n in quotas], shards, seed)):
-        for k, c in enumerate(counts):
-            if c:
-                rows.append({"skey": quotas[k][0], "shard": shard, "from_draw": begin[k], "to_draw": begin[k] + c - 1})
-            begin[k] += c
-    folder, schema = new_folder(spark, "spread"), "skey string, shard int, from_draw long, to_draw long"
-    for i in range(0, max(1, len(rows)), SPREAD_ROWS):
-        part = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows[i : i + SPREAD_ROWS])), "array<struct<skey:string,shard:int,from_draw:long,to_draw:long>>")))
-        part.write.mode("append").parquet(folder)
-    spread = spark.read.schema(schema).parquet(folder)
-    n_blocks = F.count(F.lit(1)).over(Window.partitionBy("skey"))
-    draws = table.withColumn("n_blocks", n_blocks).select("skey", "block", "turn", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("copy"))
-    draws = draws.withColumn("number", F.col("copy") * F.col("n_blocks") + F.col("turn"))
-    homes = draws.join(spread, "skey").filter(F.col("number").between(F.col("from_draw"), F.col("to_draw"))).groupBy("skey", "block").agg(F.collect_list(F.struct("copy", "shard")).alias("homes"))
-    return written(table.join(homes, ["skey", "block"], "left").filter("homes is not null"), "dealt")
+    """table with `homes`: for each pass that takes the block, the shard that gets it.
+
+    A source's shards, in order, stand against its blocks in the order of passes and turns: both are at most blocks times (cap + 1)
+    rows of a source, whatever its size.
+    """
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("copy")
+    draws = table.select("skey", "block", "turn", "passes", "last", copies).filter("copy < passes or last > 0")
+    number = lambda *order: F.row_number().over(Window.partitionBy("skey").orderBy(*order))
+    draws = written(draws.select("skey", "block", "copy", number("copy", "turn").alias("number")), "draws")
+    quotas = split_quotas(draws.select("skey", "number"), shards, seed)
+    quotas = quotas.select("skey", "shard", number("shard", "number").alias("number"))
+    homes = draws.join(quotas, ["skey", "number"]).groupBy("skey", "block").agg(F.collect_list(F.struct("copy", "shard")).alias("homes"))
+    return written(table.join(homes, ["skey", "block"]), "dealt")
 
 
 def shards_of(docs: DataFrame, table: DataFrame, shards: int, blocks: int, seed: int) -> DataFrame:

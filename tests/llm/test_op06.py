@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import op06_mixing
@@ -105,39 +107,74 @@ def test_rows_that_differ_in_carried_columns_only(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def quotas_by_shard(spark, quotas, shards, seed):
+    draws = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(f"={k}").alias("skey"), F.lit(n).alias("n")) for k, n in enumerate(quotas)])).alias("x")).select("x.*")
+    draws = draws.filter("n > 0").select("skey", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("number"))
+    got = Counter((r.shard, r.skey) for r in split_quotas(draws, shards, seed).collect())
+    return [[got[s, f"={k}"] for k in range(len(quotas))] for s in range(shards)]
+
+
 @pytest.mark.parametrize("shards", [1, 2, 5, 8])
-def test_quotas_are_exact(shards):
+def test_quotas_are_exact(spark, shards):
     quotas = [17, 0, 300, 4]
-    parts = split_quotas(quotas, shards, 3)
-    assert len(parts) == shards and [sum(p[k] for p in parts) for k in range(4)] == quotas
+    parts = quotas_by_shard(spark, quotas, shards, 3)
+    assert [sum(p[k] for p in parts) for k in range(4)] == quotas
     assert max(map(sum, parts)) - min(map(sum, parts)) <= len(bin(shards))
 
 
-def test_splits_are_as_draws_without_replacement():
-    left = [split_quotas([30, 10], 2, seed)[0][1] for seed in range(3000)]
+def test_splits_are_as_draws_without_replacement(spark):
+    """The leaves of many trees, each with its own permutation: mean and variance of a side's count of a source."""
+    draws = spark.range(3000).select(F.col("id").alias("tree"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("number"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("tree", "number"))) - 1
+    left = [r.n for r in draws.withColumn("shard", op06_mixing._leaf(place, F.lit(40), 2)).groupBy("tree").agg(F.count_if((F.col("shard") == 0) & (F.col("number") >= 30)).alias("n")).collect()]
     mean = sum(left) / len(left)
     variance = sum((x - mean) ** 2 for x in left) / len(left)
     assert abs(mean - 5) < 0.12 and abs(variance - 20 * 0.25 * 0.75 * 20 / 39) < 0.25
 
 
-def test_the_tree_decides_the_shards(spark, awkward, monkeypatch):
+@pytest.mark.parametrize("shards", [1, 3, 7, 5000])
+def test_leaves_tile_the_draws(spark, shards):
+    """Every node's left side has its share of the places, rounded down."""
+    def deal(first, n, k):
+        if k == 1:
+            return [first] * n
+        near = k // 2
+        left = n * near // k
+        return deal(first, left, near) + deal(first + near, n - left, k - near)
+
+    got = spark.range(12_345).select("id", op06_mixing._leaf(F.col("id"), F.lit(12_345), shards).alias("shard")).orderBy("id").collect()
+    assert [r.shard for r in got] == deal(0, 12_345, shards)
+
+
+def test_many_sources_and_shards(spark):
+    """More sources than blocks and as many shards: targets by the rule, every draw in one shard."""
+    rng = random.Random(3)
+    rows = [(i, "a b c " * rng.randrange(1, 9), "en", f"s{rng.randrange(700):03}") for i in range(2500)]
+    got = mix_report(frame(spark, rows), blocks=4, shards=600).collect()
+    check(rows, got)
+    capped = {r.target == 3 * r.source_size for r in got if r.source_size}
+    assert capped == {True, False}
+
+
+def test_the_tree_decides_the_shards(spark, monkeypatch):
     """Each shard holds as many (block, pass) pairs of each source as its leaf of the tree says."""
     kept = []
-    monkeypatch.setattr(op06_mixing, "split_quotas", lambda quotas, shards, seed: kept.append(split_quotas(quotas, shards, seed)) or kept[-1])
+    monkeypatch.setattr(op06_mixing, "split_quotas", lambda draws, shards, seed: kept.append(split_quotas(draws, shards, seed)) or kept[-1])
     rows = [(i, "a b c", "en", f"s{i % 3}") for i in range(400)]
     docs = frame(spark, rows)
     got = mix(docs, shards=6, blocks=16).collect()
+    said = Counter((r.shard, r.skey) for r in kept[0].collect())
     block = {r.doc_id: (r.skey, r.block) for r in op06_mixing.sized(docs, 16, 11).collect()}
     held = defaultdict(set)
     for r in got:
         held[r.shard, block[r.row.doc_id][0]].add((block[r.row.doc_id][1], r.copy))
-    assert [[len(held[s, f"=s{k}"]) for k in range(3)] for s in range(6)] == kept[0]
+    assert {k: len(v) for k, v in held.items()} == dict(said)
     assert sum(map(len, held.values())) == len(set().union(*[{(k[1], *x) for x in v} for k, v in held.items()]))  # disjoint
     assert mix(docs, shards=6, blocks=16).rdd.getNumPartitions() == 6
 
 
 def test_the_report_is_of_the_dealt_shards(spark, monkeypatch):
     called = []
-    monkeypatch.setattr(op06_mixing, "split_quotas", lambda quotas, shards, seed: called.append(shards) or split_quotas(quotas, shards, seed))
+    monkeypatch.setattr(op06_mixing, "split_quotas", lambda draws, shards, seed: called.append(shards) or split_quotas(draws, shards, seed))
     assert mix_report(frame(spark, [(1, "a b", "en", "s")]), blocks=8).count() == 1
     assert called == [4]
