@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
@@ -76,16 +76,21 @@ def python_symbols(text: str, path: str = "file.py") -> list[dict]:
     return out
 
 
+#: What ends a head or counts in it: arrows, brackets of all kinds, a semicolon, or a line that begins with the next declaration.
+_IN_HEAD = re.compile(r"->|=>|[()\[\]<>{};]|\n(?P<indent>[ \t]*)(?=(?:export|declare|abstract|class|interface|enum|type|function|async|const|let|var|import|func|fn|pub|impl|struct|trait|macro_rules)\b|@|#\[)")
+#: What stands before a brace that opens a type, by language.
+_BEFORE_TYPE = {"ts": re.compile(r"[:|&=]\s*\Z"), "go": re.compile(r"\b(?:interface|struct)\s*\Z"), "rs": re.compile(r"(?!)")}
+
+
 class Places:
-    """Lines, bytes, braces and semicolons of a text, each found in one pass; `plain` has its strings and comments blanked."""
+    """Lines, bytes and braces of a text, each found in one pass; `plain` has its strings and comments blanked."""
 
-    def __init__(self, text: str, plain: str):
-        self.size, self.lines = len(text), [m.end() for m in re.finditer("\n", text)]
+    def __init__(self, text: str, plain: str, language: str):
+        self.plain, self.before_type, self.size, self.lines = plain, _BEFORE_TYPE[language].search, len(text), [m.end() for m in re.finditer("\n", text)]
         self.wide = None if text.isascii() else list(accumulate((len(x.encode()) for x in text), initial=0))
-        self.opens, self.ends, self.closing, held = [], [m.start() for m in re.finditer(";", plain)], {}, []
+        self.closing, held = {}, []
         for m in re.finditer("[{}]", plain):
             if m.group() == "{":
-                self.opens.append(m.start())
                 held.append(m.start())
             elif held:
                 self.closing[held.pop()] = m.end()
@@ -96,18 +101,45 @@ class Places:
     def byte(self, at: int) -> int:
         return at if self.wide is None else self.wide[at]
 
-    @staticmethod
-    def after(places: list[int], at: int) -> int:
-        i = bisect_left(places, at)
-        return places[i] if i < len(places) else -1
-
     def closed(self, brace: int) -> int:
         """The place after the brace that closes this one; the text's end where none does."""
         return self.closing.get(brace, self.size)
 
+    def body(self, at: int, bodiless: bool = False) -> tuple[int, int]:
+        """The brace that opens the body of a head from `at` on (-1: it has none) and the place after the whole. Braces in brackets,
+        and those of types, are none."""
+        first, deep, angles = at, 0, 0
+        while m := _IN_HEAD.search(self.plain, at):
+            mark, at = m.group(), m.end()
+            if mark[0] == "\n":
+                if not (deep or angles) or not m["indent"]:
+                    end = m.start()
+                    while end > first and self.plain[end - 1].isspace():
+                        end -= 1
+                    return -1, end
+            elif mark in "([":
+                deep += 1
+            elif mark in ")]":
+                deep -= 1
+                if deep < 0:
+                    break
+            elif mark in "<>" and not deep:
+                angles = max(0, angles + (1 if mark == "<" else -1))
+            elif mark == "{":
+                if not (deep or angles or bodiless or self.before_type(self.plain, max(first, m.start() - 40), m.start())):
+                    return m.start(), self.closed(m.start())
+                at = self.closed(m.start())
+            elif mark == "}" or (mark == ";" and not deep):
+                return -1, m.end() - (mark == "}")
+        return -1, first
+
 
 _DECORATED = r"^[ \t]*(?P<deco>(?:@[\w.]+(?:\([^()]*\))?\s*)*)"
 _ATTRIBUTES = r"^[ \t]*(?P<deco>(?:#\[[^\]]*\]\s*)*)"
+#: Generic parameters in angle brackets up to three deep, arrows among them.
+_GENERIC = r"(?:<(?:->|[^<>{}]|<(?:->|[^<>{}]|<(?:->|[^<>{}])*+>)*+>)*+>)?"
+#: Parameters in brackets up to three deep, with the braces of types, patterns and empty values.
+_PARAMETERS = r"\((?:[^(){};]|\{[^{}]*\}|\((?:[^(){};]|\{[^{}]*\}|\((?:[^(){};])*+\))*+\))*+\)"
 _WORDS = "if|for|while|switch|catch|return|function|constructor|new|do|else|try|typeof|await|throw"
 #: Heads of brace languages' symbols: kind and pattern, the name is the group `name`, decorators before it the group `deco`.
 HEADS = {
@@ -115,11 +147,11 @@ HEADS = {
         ("function", _DECORATED + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)"), ("class", _DECORATED + r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)"),
         ("interface", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+(?P<name>[\w$]+)"), ("enum", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(?P<name>[\w$]+)"),
         ("alias", r"^[ \t]*(?P<deco>)(?:export\s+)?(?:declare\s+)?type\s+(?P<name>[\w$]+)\s*(?:<[^=]*>)?\s*="),
-        ("method", _DECORATED + rf"(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*\*?(?P<name>(?!(?:{_WORDS})\b)#?[\w$]+)\s*(?:<[^(]*>)?\([^;{{}}]*\)[^;{{}}=]*\{{"),
+        ("method", _DECORATED + rf"(?:(?:public|private|protected|static|async|abstract|override|readonly|get|set)\s+)*\*?(?P<name>(?!(?:{_WORDS})\b)#?[\w$]+)\s*(?:<[^(]*>)?" + _PARAMETERS + r"\s*(?::\s*\{[^{}]*\}\s*(?=\{)|:[^;{}=]*)?\{"),
     ],
     "go": [("method", r"^(?P<deco>)func\s*\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)(?:\[[^\]]*\])?\s*\)\s*(?P<name>\w+)"), ("function", r"^(?P<deco>)func\s+(?P<name>\w+)"), ("class", r"^(?P<deco>)type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+struct"), ("interface", r"^(?P<deco>)type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+interface")],
     "rs": [("function", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern)\s+)*fn\s+(?P<name>\w+)"), ("class", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)"), ("enum", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)"),
-           ("interface", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)"), ("impl", _ATTRIBUTES + r"impl(?:<[^>]*>)?\s+(?:[^{;]*?\s+for\s+)?(?P<name>\w+)[^{;]*(?=\{)"), ("macro", _ATTRIBUTES + r"macro_rules!\s*(?P<name>\w+)")],
+           ("interface", _ATTRIBUTES + r"(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)"), ("impl", _ATTRIBUTES + r"impl\b" + _GENERIC + r"\s*(?:[^{;]*?\s+for\s+(?!<))?(?:&\s*(?:'\w+\s+)?)?(?:mut\s+|dyn\s+)*(?:\w+\s*::\s*)*(?P<name>\w+)[^{;]*(?=\{)"), ("macro", _ATTRIBUTES + r"macro_rules!\s*(?P<name>\w+)")],
 }
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "go": "go", "rs": "rs", "py": "py"}
 _BODIED = ("function", "method", "class", "interface", "impl")
@@ -129,16 +161,15 @@ def brace_symbols(text: str, language: str) -> list[dict]:
     """Symbols of a brace language in order. A TypeScript method is one inside a class, and is named by it; a Go method is named by its receiver's
     type, a Rust one by the type of the impl that it stands in; what stands inside a Rust function or macro is none."""
     found = []
-    plain = without_literals(text)
-    at = Places(text, plain)
+    plain = without_literals(text, language)
+    at = Places(text, plain, language)
     for kind, pattern in HEADS[language]:
         for m in re.finditer(pattern, plain, re.MULTILINE):
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            brace, semi = at.after(at.opens, m.end() - 1 if m.group().endswith("{") else m.end()), at.after(at.ends, m.end())
-            bodied = brace >= 0 and (semi < 0 or brace < semi or kind == "macro") and kind != "alias"
+            brace, end = (m.end() - 1, at.closed(m.end() - 1)) if m.group().endswith("{") else at.body(m.end(), kind == "alias")
+            bodied = brace >= 0
             if language == "rs" and kind == "function" and not bodied:
                 continue  # a trait's promise
-            end = at.closed(brace) if bodied else semi + 1 if semi >= 0 else m.end()
             name, begins = m["name"], m.end("deco")
             head = f"macro_rules! {name}" if kind == "macro" else text[begins if language == "rs" else start : brace].strip() if bodied and kind in _BODIED else f"{ {'alias': 'type'}.get(kind, kind)} {name}" if kind in ("alias", "enum", "class", "interface") else text[start:end].strip()
             found.append((start, end, kind, name, head, bool(m["deco"].strip()), m.groupdict().get("owner")))
@@ -157,10 +188,83 @@ def brace_symbols(text: str, language: str) -> list[dict]:
     return out
 
 
-def without_literals(text: str) -> str:
-    """text with the inside of strings and comments blanked, letter by letter, so that places stay."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m.group()) if m.group()[0] == "/" else m.group()[0] + re.sub(r"[^\n]", " ", m.group()[1:-1]) + m.group()[-1]
-    return re.sub(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", blank, text)
+#: What a text's plain form has to tell apart, by language: comments, strings, letters in quotes (a lone quote is a lifetime in Rust), raw strings,
+#: and in TypeScript the marks of template strings, the slash that may begin a pattern, and the braces that may end a template's expression.
+_STRING = r'"(?:\\.|[^"\\\n])*"'
+_LITERALS = {
+    "ts": re.compile(rf"""//[^\n]*|/\*(?s:.*?)(?:\*/|\Z)|{_STRING}|'(?:\\.|[^'\\\n])*'|[`{{}}/]"""),
+    "go": re.compile(rf"""//[^\n]*|/\*(?s:.*?)(?:\*/|\Z)|{_STRING}|`[^`]*(?:`|\Z)|'(?:\\[^\n][^'\n]*|[^'\\\n])'"""),
+    "rs": re.compile(r"""//[^\n]*|/\*|\bb?r(#*)"(?s:.*?)"\1|"(?:\\(?s:.)|[^"\\])*"|'(?:\\[^\n][^'\n]*|[^'\\\n])'"""),
+}
+_REMARK = re.compile(r"/\*|\*/")
+_IN_TEMPLATE = re.compile(r"\\(?s:.)|`|\$\{")
+_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_BEFORE_PATTERN = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))\Z")
+
+
+def without_literals(text: str, language: str = "ts") -> str:
+    """text with the inside of strings, patterns and comments blanked, letter by letter, so that places stay; the expressions in template strings
+    stay too. One pass; what isn't closed ends with the text (strings on one line: is none)."""
+    out, at, said = [], 0, ""
+    depths: list[int] = []  # braces open in each template expression around
+    next_literal = _LITERALS[language].search
+
+    def hide(to: int, quoted: bool = False) -> None:
+        """Blanks up to `to`; the outer two letters stay if they are quotes."""
+        nonlocal at, said
+        whole = text[at:to]
+        out.append(whole[0] + re.sub(r"[^\n]", " ", whole[1:-1]) + whole[-1] if quoted else re.sub(r"[^\n]", " ", whole))
+        at, said = to, '"' if quoted else said
+
+    def show(to: int) -> None:
+        """Leaves the text up to `to` as it is."""
+        nonlocal at, said
+        if to > at:
+            out.append(text[at:to])
+            said = text[max(at, to - 200) : to].rstrip()[-12:] or said
+            at = to
+
+    def template() -> None:
+        """Blanks a template string from `at` up to its end, or to its next expression, which is left open."""
+        while m := _IN_TEMPLATE.search(text, at):
+            if m.group() == "`":
+                hide(m.start())
+                return show(m.end())
+            hide(m.end() - (m.group() == "${"))
+            if m.group() == "${":
+                depths.append(0)
+                return show(m.end())
+        hide(len(text))
+
+    while m := next_literal(text, at):
+        mark = m.group()
+        show(m.start())
+        if mark == "/*" and language == "rs":  # comments in comments
+            deep, to = 1, m.end()
+            while deep and (x := _REMARK.search(text, to)):
+                deep, to = deep + (1 if x.group() == "/*" else -1), x.end()
+            hide(to if not deep else len(text))
+        elif mark.startswith(("//", "/*")):
+            hide(m.end())
+        elif mark == "/":
+            found = _PATTERN.match(text, at) if _BEFORE_PATTERN.search(said) else None
+            hide(found.end(), quoted=True) if found else show(m.end())
+        elif mark == "`":
+            show(m.end())
+            template()
+        elif mark in ("{", "}"):
+            show(m.end())
+            if depths and mark == "{":
+                depths[-1] += 1
+            elif depths and depths[-1]:
+                depths[-1] -= 1
+            elif depths:
+                depths.pop()
+                template()
+        else:
+            hide(m.end(), quoted=mark[0] in "\"'`" and mark[-1] == mark[0] and len(mark) > 1)
+    show(len(text))
+    return "".join(out)
 
 
 def symbols_of(path: str, text: str) -> list[dict]:
@@ -262,11 +366,11 @@ def skeleton_of(path: str, text: str) -> str:
             return text
     if language is None:
         return text
-    out, at, plain = [], 0, without_literals(text)
-    places = Places(text, plain)
+    out, at, plain = [], 0, without_literals(text, language)
+    places = Places(text, plain, language)
     heads = [m for kind, p in HEADS[language] if kind in ("function", "method") for m in re.finditer(p, plain, re.MULTILINE)]
     for m in sorted(heads, key=lambda m: m.start()):
-        brace = places.after(places.opens, m.end() - 1)
+        brace = m.end() - 1 if m.group().endswith("{") else places.body(m.end())[0]
         if m.start() < at or brace < 0:
             continue
         out.append(text[at : brace + 1] + " ... }")

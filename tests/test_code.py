@@ -1,10 +1,11 @@
 """Names, heads and spans of symbols in shapes beyond the queries' templates, and the scanners' growth."""
 
+import random
 import time
 
 import pytest
 
-from tessera.sources.code import brace_symbols, skeleton_of, typescript_uses
+from tessera.sources.code import brace_symbols, skeleton_of, typescript_uses, without_literals
 
 GO = """package m
 
@@ -80,6 +81,66 @@ def test_import_statements_of_all_forms():
     assert [n for use, n, _ in typescript_uses(text) if use == "import"] == ["a", "b", "c", "./d", "../h", "j", "k", "l"]
 
 
+#: Pieces of text by language, each with the symbols it makes: qualified name (# stands for the piece's number), first line, last line.
+SHAPES = {
+    "ts": [
+        ("export class A# {\n  a() { return `x ${ `}` + f({b: \"y\"}) } {`; }\n  b(s: string) { return s.replace(/[{\"'/]/g, '') / 2 / s.length; }\n}\n", [("A#", 1, 4), ("A#.a", 2, 2), ("A#.b", 3, 3)]),
+        ("function d#() {\n  const x = `open ${a ? `${b}}` : \"}\"} \\` {`;\n}\n", [("d#", 1, 3)]),
+        ("// it's a remark with ` and {\n/* another { ' */\nasync function g#<T extends { a: string }>(x: T) { return /}/.test(x) }\n", [("g#", 3, 3)]),
+        ("interface I# {\n  a: string\n}\nenum E# { X }\ntype T#<K> = { k: K };\n", [("I#", 1, 3), ("E#", 4, 4), ("T#", 5, 5)]),
+        ("export function f#({ a, b }: { a: number; b: string }, c = { d: 1 }): { e: number } {\n  return { e: a };\n}\n", [("f#", 1, 3)]),
+        ("declare function o#(x: string): void\nfunction o#b(x: number[]): Map<string, { a: 1 }> { return x }\ntype L# = {\n  a: string;\n}\ntype M# = L#\n", [("o#", 1, 1), ("o#b", 2, 2), ("L#", 3, 5), ("M#", 6, 6)]),
+        ("class D# {\n  run({ a }: { a: number; b: P }, f = (x) => x): { c: number } {\n    go(1)\n    if (x) { return }\n  }\n}\n", [("D#", 1, 6), ("D#.run", 2, 5)]),
+        ("const s# = 'function no() {' + \"class No {\" + `interface No {`;\n", []),
+        ("@tag('}')\nclass C# extends Base<{ a: 1 }> {\n  static async run<T>(x: T): Promise<T> {\n    if (x) { return x }\n    return `${x}\n}`;\n  }\n}\n", [("C#", 1, 8), ("C#.run", 3, 7)]),
+    ],
+    "rs": [
+        ("pub struct P#<'a> { s: &'a str }\nimpl<'a> P#<'a> {\n  fn get(&self) -> &'a str { self.s }\n}\n", [("P#", 1, 1), ("impl P#", 2, 4), ("P#::get", 3, 3)]),
+        ("impl<'a, T: Into<Option<String>> + Fn(u8) -> u8> Show<'a> for Q#<'a> {\n  fn c(&self) -> char { '{' }\n  fn d(&self) -> &'static str { r#\"}\"{\"# }\n  fn e(&self) -> u8 { b'}' + b'\\'' }\n}\n".replace("r#", "r\0").replace("\"#", "\"\0"), [("impl Q#", 1, 5), ("Q#::c", 2, 2), ("Q#::d", 3, 3), ("Q#::e", 4, 4)]),
+        ("/* a /* b { */ fn no() { */\nfn last#<'a>(x: &'a str) -> &'a str {\n  \"{\n\"\n}\n", [("last#", 2, 5)]),
+        ("impl From<&'static str> for a::R#<u8> {\n  fn from(s: &str) -> Self { '\\u{7b}' }\n}\n", [("impl R#", 1, 3), ("R#::from", 2, 2)]),
+        ("pub async fn w#<F>(x: [u8; 3]) -> [u8; 2]\nwhere\n    F: Fn(u8) -> Vec<u8>,\n{\n  [0; 2]\n}\n", [("w#", 1, 6)]),
+        ("impl<T> Show for &'a mut S# {}\ntrait U# {\n  fn promised(&self);\n}\n", [("impl S#", 1, 1), ("U#", 2, 4)]),
+    ],
+    "go": [
+        ("func A#() string { return `\\` }\n", [("A#", 1, 1)]),
+        ("func I#(x interface{}, f func() struct{ a int }) interface{} {\n\treturn x\n}\n", [("I#", 1, 3)]),
+        ("func B#() rune {\n\treturn '{'\n}\n", [("B#", 1, 3)]),
+        ("type S# struct {\n\tx string `json:\"{\"`\n}\n\nfunc (s *S#) Get() string { return \"}\\\"{\" }\n", [("S#", 1, 3), ("S#.Get", 5, 5)]),
+        ("// don't {\nconst c# = `\nfunc no() {\n`\n", []),
+    ],
+}
+
+
+@pytest.mark.parametrize("language", SHAPES)
+@pytest.mark.parametrize("seed", range(8))
+def test_spans_in_planted_text_of_many_shapes(language, seed):
+    rng = random.Random(seed)
+    text, want, lines = "", [], 0
+    for n in range(40):
+        piece, made = rng.choice(SHAPES[language])
+        text += piece.replace("#", str(n)).replace("\0", "#")
+        want += [(name.replace("#", str(n)), first + lines, last + lines) for name, first, last in made]
+        lines += piece.count("\n")
+    assert [(x["qualified_name"], x["start_line"], x["end_line"]) for x in brace_symbols(text, language)] == want
+    plain = without_literals(text, language)
+    assert len(plain) == len(text) and [i for i, x in enumerate(plain) if x == "\n"] == [i for i, x in enumerate(text) if x == "\n"]
+
+
+def test_calls_in_template_strings_and_none_in_patterns():
+    said = typescript_uses("const a = `x ${ call(b) } ${`no() ${other(1)}`} not(2)`;\nconst r = /fake(1)/.test(x) / two(3) / 4;\n")
+    assert [(n, line) for use, n, line in said if use == "call"] == [("call", 1), ("other", 1), ("test", 2), ("two", 2)]
+
+
+@pytest.mark.parametrize("text", ["`", "a ${", "`${", "`${`${", "/*", "'", '"', "/", "/[", "}", "`${}}", "x = /(/", "\\", 'r#"', "'a"])
+def test_what_is_never_closed(text):
+    for language in SHAPES:
+        for around in (text, f"function f() {{\n{text}\n}}\n"):
+            assert len(without_literals(around, language)) == len(around)
+            brace_symbols(around, language)
+    typescript_uses(text)
+
+
 @pytest.mark.parametrize("scan", [typescript_uses, lambda t: brace_symbols(t, "ts"), lambda t: skeleton_of("a.ts", t)])
 def test_scanners_grow_with_the_text(scan):
     unit = "export class A { run(x: number) { return call(x) + other.call(x) } }\nfunction f(a: B) { return new C(a) }\n"
