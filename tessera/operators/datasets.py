@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -89,26 +90,46 @@ def prompt_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " +"), lambda x: x != ""))
 
 
-def prompt_overlaps(new: DataFrame, prior: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """new_id, prior_id, jaccard of prompts whose word sets overlap by more than the threshold. new, prior: id, prompt.
+#: Longs of the signature by which pairs without enough in common are dropped before their words meet.
+SIGNATURE = 3
+
+
+def _overlap_keys(df: DataFrame, threshold: float) -> DataFrame:
+    """id, size, bits, key: of each word set the keys by which it meets all sets that overlap with it by more than the threshold.
 
-    Two sets that overlap so much share a word among the first few of each in a common order (rarest words first), so only those words
-    are joined on (prefix filter): no pair over the threshold is lost, and frequent words make no pairs.
+    Sizes fall into classes such that two sets that overlap so much are of one class or of neighbouring ones; a set has keys for its own class
+    and for the next. In a class no two such sets differ in more than k words, so that of k + 1 shares of all words (by a hash) one at least is
+    the same in both: a key is the class, the share and the words in it.
     """
-    def words(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(name), prompt_words(F.col("prompt")).alias(f"{name}_words"))
+    base = (1 + 1e-9) / threshold
+    own = F.floor(F.log("size") / math.log(base))
+    top = F.ceil(F.pow(F.lit(base), F.col("class") + 1))  # no set of the class, or of the one before, is larger
+    shares = (F.floor(top * (2 * (1 - threshold) / (1 + threshold)) + 1e-6) + 1).cast("int")
+    hashes = df.select("id", "words", F.size("words").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")).filter("size > 0")
+    # Each word turns one bit, so that signatures differ in no more bits than sets in words; large sets don't fill them.
+    turned = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 20), F.lit(64)).cast("int")))
+    bits = F.array(*[F.aggregate(F.filter("h", lambda x: F.pmod(F.shiftright(x, 40), F.lit(SIGNATURE)) == i), F.lit(0).cast("long"), turned) for i in range(SIGNATURE)])  # noqa: B023
+    rows = hashes.select("id", "size", "h", bits.alias("bits"), F.explode(F.array(own, own + 1)).alias("class")).withColumn("shares", shares)
+    held = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda i: F.xxhash64(F.col("class"), i, F.aggregate(F.filter("h", lambda x: F.pmod(x, F.col("shares")) == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))))
+    return rows.select("id", "size", "bits", F.explode(held).alias("key"))
 
-    a, b = words(new, "new"), words(prior, "prior")
-    counts = b.select(F.explode("prior_words").alias("w")).unionAll(a.select(F.explode("new_words").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
-    def prefix(df: DataFrame, name: str) -> DataFrame:
-        each = df.select(name, F.size(f"{name}_words").alias("size"), F.explode(f"{name}_words").alias("w")).join(counts, "w")
-        place = F.row_number().over(Window.partitionBy(name).orderBy("n", "w"))
-        return each.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select(name, "w")
+def prompt_overlaps(new: DataFrame, prior: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """new_id, prior_id, jaccard of prompts whose word sets overlap by more than the threshold. new, prior: id, prompt.
 
-    candidates = prefix(a, "new").join(prefix(b, "prior"), "w").select("new", "prior").distinct()
+    Sets meet by keys of several words, of which two such sets share one (see _overlap_keys), so no pair over the threshold is lost, and
+    single words make no pairs. Sizes and signatures must allow the overlap before two sets' words are compared.
+    """
+    words = lambda df: df.select("id", prompt_words(F.col("prompt")).alias("words"))
+    a, b = words(new), words(prior)
+    x = _overlap_keys(a, threshold).select("key", F.col("id").alias("new"), F.col("size").alias("m"), F.col("bits").alias("p"))
+    y = _overlap_keys(b, threshold).select("key", F.col("id").alias("prior"), F.col("size").alias("n"), F.col("bits").alias("q"))
+    may = F.least("m", "n") > F.greatest("m", "n") * (threshold - 1e-9)
+    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(SIGNATURE)), F.lit(0)) <= (F.col("m") + F.col("n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    candidates = x.join(y, "key").filter(may & differ).select("new", "prior").distinct()
     shared = F.size(F.array_intersect("new_words", "prior_words"))
-    rows = candidates.join(a, "new").join(b, "prior").withColumn("jaccard", shared / (F.size("new_words") + F.size("prior_words") - shared))
+    rows = candidates.join(a.select(F.col("id").alias("new"), F.col("words").alias("new_words")), "new").join(b.select(F.col("id").alias("prior"), F.col("words").alias("prior_words")), "prior")
+    rows = rows.withColumn("jaccard", shared / (F.size("new_words") + F.size("prior_words") - shared))
     return rows.filter(F.col("jaccard") > threshold).select(F.col("new").alias("new_id"), F.col("prior").alias("prior_id"), "jaccard")
 
 
