@@ -170,21 +170,19 @@ def enclosing(uses: DataFrame, spans: DataFrame) -> DataFrame:
 def resolve_calls(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """src symbol to dst symbols of the called name: those of the same class in the file, else of the file, else all; never itself.
 
-    Each level joins on its own keys and hands on only the uses that it doesn't resolve, so a name that stands in every file meets all
-    of its namesakes only where nothing nearer has it.
-    uses: src, file, owner (null outside classes), name; symbols: dst, file, owner, name.
+    Each level hands on only the uses of which it knows no symbol, so a name that stands in every file meets all of its namesakes only where
+    nothing nearer has it. Pairs are made last, by blocks, and neither written nor shuffled.
+    uses: src, file, owner (null outside classes), name; symbols: dst, file, owner, name. A src is in one file and owner, a dst stands once.
     """
-    key = ["src", "file", "owner", "name"]
-    left = settled(uses.select(*key).distinct(), "uses")
+    left = settled(uses.select("src", "file", "owner", "name").distinct(), "uses")
     out = []
     for level, by in ((1, ["file", "owner", "name"]), (2, ["file", "name"]), (3, ["name"])):
-        found = settled(left.join(symbols.select("dst", *by), by).select(*key, "dst"), "resolved")
+        known = symbols.select(*by).distinct()
+        found = pairs_by_block(left.join(known, by, "left_semi").select(*by, "src"), symbols.select(*by, "dst"), by, "src", "dst")
         out.append(found.filter("src <> dst").select("src", "dst", "name", F.lit(level).alias("level")))
         if level < 3:
-            done = found.select(*key).distinct()
-            same = (left["src"] == done["src"]) & (left["file"] == done["file"]) & left["owner"].eqNullSafe(done["owner"]) & (left["name"] == done["name"])
-            left = settled(left.join(done, same, "left_anti"), "unresolved")
-    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
+            left = settled(left.join(known, by, "left_anti"), "unresolved")
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 #: Kinds of units that stand for files, and the confidence of each kind of edge.

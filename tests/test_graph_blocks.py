@@ -20,6 +20,18 @@ def test_pairs_by_block(spark):
     assert sorted((r.k, r.x, r.y) for r in got) == sorted((k, x, y) for k, x in left for m, y in right if k is not None and k == m)
 
 
+def test_calls_of_one_name_are_not_written(spark, tmp_path):
+    spark.conf.set("spark.tessera.folder", f"file://{tmp_path}")
+    try:
+        uses = spark.range(2000).selectExpr("id + 10000 AS src", "'f' || (id % 3) AS file", "cast(null AS string) AS owner", "'run' AS name")
+        symbols = spark.range(1500).selectExpr("id AS dst", "'g' AS file", "cast(null AS string) AS owner", "'run' AS name")
+        calls = resolve_calls(uses, symbols)
+        assert calls.count() == 2000 * 1500
+        assert written(tmp_path) < 200_000
+    finally:
+        spark.conf.unset("spark.tessera.folder")
+
+
 def test_neighbours_by_three_hops(spark, tmp_path):
     """Hubs, loops, parallel edges and roots with equal neighbours, against a walk of all paths."""
     rng = random.Random(2)
