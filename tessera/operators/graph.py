@@ -137,7 +137,8 @@ def configured(configs: DataFrame, files: DataFrame) -> DataFrame:
     lengths = own.agg(F.collect_set(F.length("dir")).alias("lengths"))
     fits = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.left(F.col("path"), n))
     below = files.crossJoin(F.broadcast(lengths)).select("file_id", "path", F.explode(fits).alias("dir"))
-    return own.join(below, "dir").filter("path <> config_path").select(F.col("config_id").alias("src"), F.col("file_id").alias("dst"), F.lit("CONFIGURES").alias("kind"))
+    pairs = pairs_by_block(own.select("dir", F.struct("config_id", "config_path").alias("c")), below.select("dir", F.struct("file_id", "path").alias("f")), ["dir"], "c", "f")
+    return pairs.filter("f.path <> c.config_path").select(F.col("c.config_id").alias("src"), F.col("f.file_id").alias("dst"), F.lit("CONFIGURES").alias("kind"))
 
 
 def normal_path(path: Column) -> Column:

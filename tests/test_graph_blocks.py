@@ -66,4 +66,11 @@ def test_neighbours_of_one_hub_are_not_written(spark, tmp_path):
         assert neighbourhood(edges.selectExpr("src AS root"), edges).count() == 1200 + 1200 * 1199
         assert written(tmp_path) < 300_000
     finally:
-        spark.conf.unset("spark.tessera.folder")
\ No newline at end of file
+        spark.conf.unset("spark.tessera.folder")
+
+
+def test_config_at_the_top_of_many_files(spark):
+    files = [(i, f"r/pkg{i % 3}/f{i}.ts") for i in range(500)] + [(900, "r/c.json"), (901, "c.json"), (902, "r/pkg1/c.json")]
+    got = [(r.src, r.dst) for r in configured(spark.createDataFrame(files[-3:], "config_id int, path string"), spark.createDataFrame(files, "file_id int, path string")).collect()]
+    dirs = {900: "r", 901: "", 902: "r/pkg1"}
+    assert sorted(got) == sorted((c, f) for c, d in dirs.items() for f, p in files if p.startswith(d) and f != c)
