@@ -147,3 +147,14 @@ def overlap_ratios(candidates: DataFrame, tasks: DataFrame, units: DataFrame) ->
     asked = q.join(candidates, "task_id").select("task_id", "unit_id", "n", "w", "k")
     hit = asked.join(u, ["unit_id", "w"]).groupBy("task_id", "unit_id").agg((F.sum("k") / F.first("n")).alias("r"))
     return candidates.join(hit, ["task_id", "unit_id"], "left").select("task_id", "unit_id", F.coalesce("r", F.lit(0.0)).alias("overlap_ratio"))
+
+
+def shared_overlap_ratios(tasks: DataFrame, units: DataFrame) -> DataFrame:
+    """task_id, unit_id, overlap_ratio of all pairs of task and unit that share a token.
+
+    A unit's tokens stay in one task until they are summed by pair, so that with prompts that are sent to all tasks only pairs are shuffled.
+    """
+    q = tasks.select("task_id", lexical_tokens(F.col("prompt")).alias("q")).select("task_id", F.size("q").alias("n"), F.explode("q").alias("w"))
+    q = q.groupBy("task_id", "n", "w").agg(F.count(F.lit(1)).alias("k"))
+    u = units.select("unit_id", F.explode(F.array_distinct(lexical_tokens(F.col("content")))).alias("w"))
+    return u.join(q, "w").groupBy("task_id", "unit_id").agg((F.sum("k") / F.first("n")).alias("overlap_ratio"))

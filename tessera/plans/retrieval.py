@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import exact_tokens, lexical_tokens, token_estimate
 from tessera.operators.flow import channels
 from tessera.operators.lexical import LexicalIndex, lexical_scores, query_terms
-from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, overlap_ratios, top_per
+from tessera.operators.retrieval import containing, exact_matches, frame_matches, fuse, fusion_score, shared_overlap_ratios, top_per
 from tessera.registry import query
 from tessera.sources.tables import EVIDENCE, TASKS, UNIT_COMMITS, UNIT_CUTOFF, UNIT_EDGES, UNITS, evidence, table, tasks, unit_commits, unit_edges, units
 from tessera.storage import new_folder, shared_folder
@@ -180,12 +180,11 @@ def k02_fusion_top200(spark, folder):
     return top_per(fused_candidates(spark, folder).select("task_id", "unit_id", F.round(fusion_score(), 4).alias("fusion_score")), "task_id", "fusion_score", "unit_id", 200)
 
 
-@query(f"""WITH q AS (SELECT task_id, {_TOKENS.format('prompt')} AS w FROM {TASKS}), u AS (SELECT unit_id, list_distinct({_TOKENS.format('content')}) AS v FROM {UNITS}), k AS (SELECT task_id, unit_id FROM {_SCORES} QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY lexical_score DESC, unit_id) <= 100)
-  SELECT task_id, unit_id, CASE WHEN len(w) = 0 THEN 0 ELSE round(len(list_filter(w, lambda x: list_contains(v, x))) / len(w), 6) END::DOUBLE AS overlap_ratio FROM k JOIN q USING (task_id) JOIN u USING (unit_id)""")
+@query(f"""WITH q AS (SELECT task_id, unnest({_TOKENS.format('prompt')}) AS w, len({_TOKENS.format('prompt')}) AS n FROM {TASKS}), u AS (SELECT DISTINCT unit_id, unnest({_TOKENS.format('content')}) AS w FROM {UNITS})
+  SELECT task_id, unit_id, round(count(*) / any_value(n), 6) AS overlap_ratio FROM q JOIN u USING (w) GROUP BY task_id, unit_id""")
 def r05_overlap_ratio(spark, folder):
-    """Of each task's lexical candidates."""
-    chosen = lexical_top(spark, folder, 100)
-    return overlap_ratios(chosen, tasks(spark, folder), units(spark, folder)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+    """Of every task and unit that share a token."""
+    return shared_overlap_ratios(tasks(spark, folder), units(spark, folder)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
 @query(f"""SELECT unit_id, CAST(CASE WHEN known > 0 THEN known WHEN ceil(length(c) / 4) > 0 THEN ceil(length(c) / 4) WHEN lines > 0 THEN greatest(10, lines * 8) ELSE 50 END AS BIGINT) AS token_estimate
