@@ -64,7 +64,7 @@ def frame_matches(frames: DataFrame, units: DataFrame) -> DataFrame:
     return hit.groupBy("task_id", "unit_id").agg(F.max(F.when(F.coalesce(agree, F.lit(False)), 1.0).otherwise(0.9)).alias("confidence"))
 
 
-#: Letters of the keys by which needles without a whole inner word are found.
+#: Letters of the keys by which needles without any word are found.
 GRAM = 6
 _BREAK = "[^A-Za-z0-9_]+"
 
@@ -79,8 +79,23 @@ def _candidates(hay: DataFrame, needles: DataFrame, a: str, b: str) -> DataFrame
     counts = words.join(inner.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(counts, "key", "left").groupBy("g").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
     found = words.join(rarest, "key").select("h", "g")
-    # Needles without such a word by their first letters, among all stretches of so many letters.
-    short = needles.join(rarest.select("g"), "g", "left_anti").withColumn("n", F.least(F.lit(GRAM), F.length(b))).withColumn("key", F.left(F.col(b), F.col("n")))
+    # Needles without such a word: what stands before their first break ends a word of every text that contains them, what stands after
+    # their last break begins one, and a needle without a break is within one. They meet the distinct words of all texts, by the whole piece.
+    bare = needles.join(rarest.select("g"), "g", "left_anti").withColumn("parts", parts)
+    head, tail = F.col("parts")[0], F.element_at("parts", -1)
+    piece = F.when(F.size("parts") == 1, F.struct(F.lit("in").alias("how"), head.alias("key"))).when((F.length(head) >= F.length(tail)) & (head != ""), F.struct(F.lit("end").alias("how"), head.alias("key"))).when(tail != "", F.struct(F.lit("start").alias("how"), tail.alias("key")))
+    pieces = bare.select("g", b, piece.alias("piece"))
+    asked = pieces.filter("piece is not null").select("g", "piece.how", "piece.key")
+    sizes = asked.select("how", F.length("key").alias("n")).distinct().groupBy("how").agg(F.collect_set("n").alias("sizes"))
+    word = F.col("key")
+    fits = lambda f: F.transform(F.filter("sizes", lambda n: n <= F.length("word")), f)
+    within = F.flatten(fits(lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))))
+    vocabulary = words.select(word.alias("word")).filter("word <> ''").distinct().crossJoin(F.broadcast(sizes))
+    cuts = F.when(F.col("how") == "end", fits(lambda n: F.right(F.col("word"), n))).when(F.col("how") == "start", fits(lambda n: F.left(F.col("word"), n))).otherwise(within)
+    met = vocabulary.select("word", "how", F.explode(F.array_distinct(cuts)).alias("key")).join(asked, ["how", "key"]).select(F.col("word").alias("key"), "g")
+    found = found.unionByName(words.join(met, "key").select("h", "g"))
+    # Needles of breaks alone by their first letters, among all stretches of so many letters.
+    short = pieces.filter("piece is null").withColumn("n", F.least(F.lit(GRAM), F.length(b))).withColumn("key", F.left(F.col(b), F.col("n")))
     sizes = short.agg(F.collect_set("n").alias("sizes"))
     grams = F.transform(F.sequence(F.lit(1), F.length(a) - F.col("n") + 1), lambda i: F.substring(F.col(a), i, F.col("n")))
     cut = hay.crossJoin(F.broadcast(sizes)).select("h", a, F.explode("sizes").alias("n")).filter(F.length(a) >= F.col("n")).select("h", F.explode(F.array_distinct(grams)).alias("key"))
