@@ -192,7 +192,8 @@ export function top{i}(k: number) { return new C{i}(k); }
 def graph_files(spark, folder):
     """A module for each part, tests of every fourth one, and a config at the top of each package."""
     k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    part = table(spark, folder, "part").select("p_partkey")
+    # Keys of a few bytes stand for files that take milliseconds each: they are dealt over all tasks before their texts are made.
+    part = table(spark, folder, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     body = F.replace(F.replace(F.lit(_MODULE), F.lit("{i}"), n), F.lit("{j}"), (k + 1).cast("string"))
     pkg = F.concat(F.lit("pkg"), F.expr("cast(p_partkey div 50 as string)"))
     modules = part.select((k * 10).alias("unit_id"), F.concat(F.lit("src/g"), n, F.lit(".ts")).alias("path"), F.lit("SOURCE_FILE").alias("kind"), body.alias("content"))
