@@ -30,7 +30,14 @@ def cut_points(pairs: DataFrame, most: int = 80) -> list[np.ndarray]:
     width = pairs.select(F.size("p").alias("w")).first()
     if width is None:
         return []
-    values = pairs.select(F.explode(F.array("p", "n")).alias("v")).select(F.posexplode("v").alias("f", "v")).distinct()
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate([_vectors(batch, name, width.w) for name in ("p", "n")])
+            own = [np.unique(both[:, f]) for f in range(width.w)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(width.w, dtype=np.int32), [len(x) for x in own])), pa.array(np.concatenate(own))], names=["f", "v"])
+
+    values = pairs.select("p", "n").mapInArrow(distinct, "f int, v double").distinct()
     rows = numbered(values, "f", "v")
     spans = {r.f: (r.first, r.m) for r in rows.groupBy("f").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("m")).collect()}  # a row for each feature
     places = {f: np.linspace(0, m - 2, min(m - 1, most)).astype(int) + first for f, (first, m) in spans.items() if m > 1}
@@ -46,18 +53,34 @@ def _vectors(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _summed(rows: DataFrame, size: int, sums: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of a vector of `size` numbers: added up within tasks, then by Spark."""
+#: Pairs in a row of a packed table: a round reads the bytes of matrices, not an array a pair.
+PACK = 16
+
+
+def _packed(pairs: DataFrame, made: Callable[[pa.RecordBatch], np.ndarray], tag: str) -> DataFrame:
+    """x, written: the matrices that are made from batches of pairs (a row a pair), PACK pairs in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = made(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([m[i : i + PACK].tobytes() for i in range(0, len(m), PACK)], pa.binary())], names=["x"])
+
+    return settled(pairs.select("p", "n").mapInArrow(run, "x binary"), tag)
+
+
+def _summed(packed: DataFrame, kind: type, width: int, size: int, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all matrices of a packed table of a vector of `size` numbers: added up within tasks, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            total += sums(batch)
+            for i in range(0, len(batch), 1024):
+                total += sums(np.frombuffer(b"".join(batch.column("x").slice(i, 1024).to_pylist()), kind).reshape(-1, width))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "x"])
 
     out = np.zeros(size)
-    for r in rows.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+    for r in packed.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         out[r.at] = r.x
     return out
 
@@ -72,43 +95,37 @@ def fit_stumps(pairs: DataFrame, rounds: int = 40, rate: float = 0.08, cuts: int
     if width == 0 or bins == 1:
         return []
 
-    def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for name in ("p", "n"):
-                v = _vectors(batch, name, width)
-                b = np.stack([np.searchsorted(points[f], v[:, f], "left") for f in range(width)], axis=1).astype(np.uint8)
-                sides.append(pa.array([x.tobytes() for x in b], pa.binary()))
-            yield pa.RecordBatch.from_arrays(sides, names=["p", "n"])
-
-    binned = settled(pairs.select("p", "n").mapInArrow(quantised, "p binary, n binary"), "binned-pairs")
-    offset = np.arange(width) * bins
+    def quantised(batch: pa.RecordBatch) -> np.ndarray:
+        sides = [(name, f) for name in ("p", "n") for f in range(width)]
+        vectors = {name: _vectors(batch, name, width) for name in ("p", "n")}
+        return np.stack([np.searchsorted(points[f], vectors[name][:, f], "left") for name, f in sides], axis=1).astype(np.uint8)
 
-    def sides_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width).astype(np.int64) for c in ("p", "n")]
+    binned = _packed(pairs, quantised, "binned-pairs")
+    offset = np.arange(width) * bins
 
-    def differing(batch: pa.RecordBatch) -> np.ndarray:
-        p, n = sides_of(batch)
+    def differing(both: np.ndarray) -> np.ndarray:
+        p, n = both[:, :width].astype(np.int64), both[:, width:].astype(np.int64)
         count = lambda x: np.bincount((x + offset).ravel(), minlength=width * bins)
         return (count(np.minimum(p, n)) - count(np.maximum(p, n))).astype(float)
 
     by_cut = lambda x: np.cumsum(x.reshape(width, bins), axis=1)
-    told = by_cut(_summed(binned, width * bins, differing))
+    told = by_cut(_summed(binned, np.uint8, 2 * width, width * bins, differing))
     real = np.arange(bins)[None, :] < np.array([len(p) for p in points])[:, None]
     out, steps = [], []
     for _ in range(rounds):
         held = list(steps)
 
-        def gradients(batch: pa.RecordBatch) -> np.ndarray:
-            p, n = sides_of(batch)
+        def gradients(both: np.ndarray) -> np.ndarray:
+            p, n = both[:, :width], both[:, width:]
             ahead = np.zeros(len(p))
             for f, j, low, high in held:
                 ahead += rate * (np.where(p[:, f] <= j, low, high) - np.where(n[:, f] <= j, low, high))
-            g = np.repeat(1 / (1 + np.exp(np.clip(ahead, -20, 20))), width)
-            add = lambda x: np.bincount((x + offset).ravel(), weights=g, minlength=width * bins)
+            g = 1 / (1 + np.exp(np.clip(ahead, -20, 20)))
+            at, f = np.nonzero(p != n)  # equal bins of both sides take each other's weight away
+            add = lambda x: np.bincount(x[at, f] + offset[f], weights=g[at], minlength=width * bins)
             return add(p) - add(n)
 
-        s = by_cut(_summed(binned, width * bins, gradients))
+        s = by_cut(_summed(binned, np.uint8, 2 * width, width * bins, gradients))
         gain = np.where(real & (told > 0.5), s * s / (told + 1), 0.0)
         f, j = divmod(int(np.argmax(gain)), bins)
         delta = s[f, j] / (told[f, j] + 1) if gain[f, j] > 0 else 0.0
@@ -149,16 +166,16 @@ def fit_hinge(pairs: DataFrame, l2: float = 0.01, gap: float = 1e-3, rounds: int
     width = first.w
     w, best, least = np.zeros(width), (np.inf, np.zeros(width)), -np.inf
     planes, offsets, x = np.zeros((0, width)), np.zeros(0), np.zeros(0)
+    packed = _packed(pairs, lambda batch: _vectors(batch, "p", width) - _vectors(batch, "n", width), "pair-differences")
     for _ in range(rounds):
         now = w
 
-        def sums(batch: pa.RecordBatch) -> np.ndarray:
-            d = _vectors(batch, "p", width) - _vectors(batch, "n", width)
+        def sums(d: np.ndarray) -> np.ndarray:
             slack = 1 - d @ now
             short = slack > 0
             return np.r_[-d[short].sum(axis=0), slack[short].sum(), len(d)]
 
-        total = _summed(pairs.select("p", "n"), width + 2, sums)
+        total = _summed(packed, np.float64, width, width + 2, sums)
         slope, loss = total[:width] / total[-1], total[width] / total[-1]
         objective = loss + l2 / 2 * now @ now
         best = min(best, (objective, now), key=lambda t: t[0])

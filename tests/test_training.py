@@ -65,3 +65,15 @@ def test_stratified_split_by_repository_is_the_one_in_order(spark):
     want = stratified_groups([(*k, n) for k, n in counts.items()])
     got = stratified_split(spark.createDataFrame(rows, "repository string, grp string").repartition(4)).collect()
     assert {(r.repository, r.grp): r.split for r in got} == want and len(got) == len(want)
+
+
+def test_rounds_read_packed_matrices(spark, monkeypatch):
+    """Each round of a fit reads its pairs as bytes of matrices; arrays are read only to make these."""
+    from tessera.operators import training
+
+    read = []
+    monkeypatch.setattr(training, "_summed", lambda rows, *a, f=training._summed: read.append(rows.dtypes) or f(rows, *a))
+    p, n = pairs_of(100)
+    fit_stumps(frame(spark, p, n), rounds=2)
+    fit_hinge(frame(spark, p, n))
+    assert read and all(x == [("x", "binary")] for x in read)
