@@ -75,15 +75,23 @@ def split_overlaps(assignments: DataFrame, key: str) -> DataFrame:
     return assignments.groupBy(key).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
-def pairs_within(rows: DataFrame, most: int = 200) -> DataFrame:
+def pairs_within(rows: DataFrame, most: int = 200, value: str | None = None) -> DataFrame:
     """episode_id, positive, negative: each positive with each negative of its episode, at most `most` in order. rows: episode_id, unit_id, label.
+    With the name of a column of rows as value: also p and n, the value of the positive and of the negative.
 
-    The cap is the feature: an episode gives a bounded number of pairs. Only as many of each side as can matter are joined.
+    The cap is the feature: an episode gives a bounded number of pairs. Rows are sorted once: a positive takes from the first `most` negatives
+    as many as those before it have left, so that no pair beyond the cap is made.
     """
-    side = lambda v, name: rows.filter(F.col("label") == v).select("episode_id", F.col("unit_id").alias(name)).withColumn("n", F.row_number().over(Window.partitionBy("episode_id").orderBy(name))).filter(F.col("n") <= most).drop("n")
-    both = side(1, "positive").join(side(0, "negative"), "episode_id")
-    n = F.row_number().over(Window.partitionBy("episode_id").orderBy("positive", "negative"))
-    return both.withColumn("n", n).filter(F.col("n") <= most).drop("n")
+    order = Window.partitionBy("episode_id").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.struct("unit_id", *([value] if value else []))
+    ranks = {"_p": F.count_if(F.col("label") == 1).over(order), "_n": F.count_if(F.col("label") == 0).over(order)}
+    rows = rows.filter("label IN (0, 1) AND episode_id IS NOT NULL").withColumns(ranks).filter((F.col("label") == 0) & (F.col("_n") <= most) | (F.col("label") == 1) & (F.col("_p") <= most))
+    negatives = F.array_sort(F.collect_list(F.when(F.col("label") == 0, held)).over(Window.partitionBy("episode_id")))
+    rows = rows.withColumn("_negatives", negatives).filter((F.col("label") == 1) & (F.size("_negatives") > 0))
+    room = most - (F.col("_p") - 1) * F.size("_negatives")
+    rows = rows.filter(room > 0).withColumn("_negative", F.explode(F.slice("_negatives", F.lit(1), room.cast("int"))))
+    out = ["episode_id", F.col("unit_id").alias("positive"), F.col("_negative.unit_id").alias("negative")]
+    return rows.select(*out, *([F.col(value).alias("p"), F.col(f"_negative.{value}").alias("n")] if value else []))
 
 
 def prompt_words(text: Column) -> Column:

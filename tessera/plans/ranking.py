@@ -33,9 +33,25 @@ _BASE = "(SELECT DISTINCT l_orderkey AS task_id, l_partkey AS unit_id, " + ", ".
 FEATURES = f"(SELECT *, {_H} AS heuristic_score FROM {_BASE})"
 
 
+#: The features that don't follow from the unit alone.
+OWN = {k: v for k, v in _FEATURES.items() if "l_partkey" not in v}
+
+
+def with_unit_features(rows):
+    """rows (unit_id and the features of OWN) with the features that follow from these, which need not be shuffled."""
+    rows = rows.withColumns({k: F.expr(v.replace("l_partkey", "unit_id").replace("::DOUBLE", "D")) for k, v in _FEATURES.items() if k not in OWN})
+    return rows.withColumn("heuristic_score", heuristic_score())
+
+
 def features(spark, folder):
-    lines = table(spark, folder, "lineitem").selectExpr("l_orderkey AS task_id", "l_partkey AS unit_id", *[f"{v.replace('::DOUBLE', 'D')} AS {k}" for k, v in _FEATURES.items()])
-    return lines.distinct().withColumn("heuristic_score", heuristic_score())
+    lines = table(spark, folder, "lineitem").selectExpr("l_orderkey AS task_id", "l_partkey AS unit_id", *[f"{v} AS {k}" for k, v in OWN.items()]).distinct()
+    return with_unit_features(lines).select("task_id", "unit_id", *_FEATURES, "heuristic_score")
+
+
+def least_vector():
+    """Of one unit's rows, the features of OWN whose vector is the least: within a unit, vectors differ in these places alone."""
+    places = [F.get(feature_vector(), F.lit(i)).alias(f"at{i}") for i in (0, 9, 12, 27)]
+    return F.min(F.struct(*places, F.struct(*OWN).alias("own")))["own"]
 
 
 @query(f"SELECT task_id, unit_id, round(heuristic_score, 4) AS heuristic_score, min_distance_to_seed, graph_degree, in_stack_trace FROM {FEATURES}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -182,8 +182,9 @@ EPISODES = """(SELECT d.doc_id AS episode_id, source AS repository_id, CASE WHEN
   coalesce(toxic = 1, false) AS revoked, CAST(ceil(n_chars / 4) AS BIGINT) AS tokens FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
-def exposures(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidate rows: episode_id, unit_id, line, rank, tokens, score, selected, shown, read, edited, task_succeeded (tri-state), kind."""
+def exposures(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    """Candidate rows: episode_id, unit_id, line, rank, tokens, score, selected, shown, read, edited, task_succeeded (tri-state), kind.
+    more: further columns of the line and its order."""
     return table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("l_orderkey").alias("episode_id"),
         F.col("l_partkey").alias("unit_id"),
@@ -196,6 +197,7 @@ def exposures(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("task_succeeded"),
         F.concat(F.lit("K"), (F.col("l_suppkey") % 4).cast("string")).alias("kind"),
         F.element_at(F.array(F.lit("FULL_TOOL_TRACE"), F.lit("OWN_CALLS_ONLY"), F.lit("HARNESS_NATIVE"), F.lit("PARTIAL_AGENT_TRACE")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("observability"),
+        *more,
     )
 
 
