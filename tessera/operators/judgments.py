@@ -51,17 +51,19 @@ def shadow_run(judged: DataFrame, provider: Callable[[dict], dict] | None, calls
     """task_id, unit_id, status (OK or FALLBACK), reason, tries and the judgment: the provider's for each task's first `calls` candidates, else the local one.
 
     judged: what local_judgment gives, with rank, rights and trusted. A task's calls run at most `concurrency` at a time; transient failures
-    are tried again up to `attempts` times. Rows are handled where they are: a batch at a time, nothing is grouped.
+    are tried again up to `attempts` times. Rows are handled where they are: a batch at a time, nothing is grouped. Rows that
+    are not asked for are no work in Python, and their texts don't go there.
     """
     place = F.row_number().over(Window.partitionBy("task_id").orderBy("rank", "unit_id"))
     gate = F.when(~F.col("rights"), "RIGHTS_DENIED").when(~F.col("trusted"), "TRUST_DENIED").when(place > calls, "BUDGET_EXHAUSTED")
     if provider is None:
         gate = F.lit("NO_API_KEY")
     columns = ["task_id", "unit_id", "path", "title", "prompt", *SAID]
-    rows = judged.withColumn("refused", gate).select(*columns, "refused")
+    asked = lambda k: F.when(F.col("refused").isNull(), F.col(k)).alias(k)
+    rows = judged.withColumn("refused", gate).select("task_id", "unit_id", *map(asked, columns[2:5]), *SAID, "refused")
 
     def ask(row: dict) -> tuple:
-        reason, tries = row["refused"], 0
+        reason, tries = None, 0
         while reason is None and tries < attempts:
             tries += 1
             try:
@@ -76,8 +78,14 @@ def shadow_run(judged: DataFrame, provider: Callable[[dict], dict] | None, calls
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             for frame in frames:
+                calls = frame["refused"].isna()
+                local = frame[~calls]
+                yield pd.concat([local[["task_id", "unit_id"]].assign(status="FALLBACK", reason=local["refused"], tries=0), local[SAID]], axis=1)
+                frame = frame[calls]
                 held = frame.astype(object).where(frame.notna(), None).to_dict("records")
-                got = pd.DataFrame(list(pool.map(ask, held)), columns=["status", "reason", "tries", *SAID])
+                step = max(1, min(64, -(-len(held) // concurrency)))  # a thread takes some rows at a time
+                parts = pool.map(lambda part: [ask(row) for row in part], [held[i : i + step] for i in range(0, len(held), step)])
+                got = pd.DataFrame([x for part in parts for x in part], columns=["status", "reason", "tries", *SAID])
                 yield pd.concat([frame[["task_id", "unit_id"]].reset_index(drop=True), got], axis=1)
 
     return rows.mapInPandas(run, "task_id long, unit_id long, status string, reason string, tries int, relevance double, implementation boolean, edit_target boolean, root_cause boolean")
