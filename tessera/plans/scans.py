@@ -19,6 +19,11 @@ def c(name):
     return F.col(name)
 
 
+def dealt(spark, parts):
+    """Rows of the part table, few bytes each, that stand for files which take milliseconds each: dealt over all tasks before these are made."""
+    return parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 PATHS = ["package-lock.json", "src/Cargo.toml", "migrations/001.sql", "db/schema.sql", "tests/a.ts", "src/x.test.ts", "pkg/b_test.go", "test_c.py", "README", "docs/a/b.txt", "guide.RST", "tsconfig.base.json", "app.config.js", "Dockerfile", "src/main.ts", "node_modules/x/y.js", "dist/a.js", "lib/app.min.js", "src\\\\generated\\\\z.ts", "api/openapi.yaml", ".env.local", "vendor/q.go", "src/alembic/v.py", "k/spec.rb"]
 ORIGINS = ["LOCAL_FIRST_PARTY", "DEPENDENCY", "GENERATED", "CLONED_EXTERNAL", "UNKNOWN"]
 _LIST = "[" + ", ".join("'" + p.replace("\\\\", "\\") + "'" for p in PATHS) + "]"
@@ -63,7 +68,7 @@ def s01_repository_scan(spark, folder):
     """A repository of one file for each part, written below the shared folder and scanned: folders, endings and hidden files that are left out."""
     k = c("p_partkey")
     path = F.replace(F.element_at(F.array(*map(F.lit, _TREE)), (k % len(_TREE) + 1).cast("int")), F.lit("{i}"), k.cast("string"))
-    files = table(spark, folder, "part").select(path.alias("path"), c("p_name").cast("binary").alias("content"))
+    files = dealt(spark, table(spark, folder, "part").select("p_partkey", "p_name")).select(path.alias("path"), c("p_name").cast("binary").alias("content"))
     files = files.withColumn("content", F.when(c("path").startswith("bad/"), F.concat("content", F.unhex(F.lit("FF")))).otherwise(c("content")))
     root = f"{shared_uri(spark)}/tessera/tree.d-{uuid.uuid4().hex}"
     written_files(files, root)
@@ -112,7 +117,7 @@ def code_files(spark, folder):
     ext = list(_CODE)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(ext) + 1).cast("int"))
     content = F.replace(pick([v for v in _CODE.values()]), F.lit("{i}"), k.cast("string"))
-    return table(spark, folder, "part").select(k.alias("unit_id"), F.concat(F.lit("src/f"), k.cast("string"), pick(ext)).alias("path"), content.alias("content"))
+    return dealt(spark, table(spark, folder, "part").select("p_partkey")).select(k.alias("unit_id"), F.concat(F.lit("src/f"), k.cast("string"), pick(ext)).alias("path"), content.alias("content"))
 
 
 #: Symbols of each template: extension's place, kind, name, qualified name, lines, first letters, last letters (both found once in the text), head, class, decorated.
