@@ -425,10 +425,13 @@ def written_files(files: DataFrame, folder: str) -> int:
     """Writes each row (path, content as bytes) as a file below a folder that all tasks can reach; returns how many."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(folder)
+        (system, root), made = pafs.FileSystem.from_uri(folder), set()
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                system.create_dir(f"{root}/{path}".rsplit("/", 1)[0])
+                above = f"{root}/{path}".rsplit("/", 1)[0]
+                if above not in made:
+                    system.create_dir(above)
+                    made.add(above)
                 with system.open_output_stream(f"{root}/{path}") as out:
                     out.write(content or b"")
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
