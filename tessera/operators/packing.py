@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import ROUND_CEILING, Decimal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,85 +138,133 @@ def model_cost(tokens: Column, model: Column) -> Column:
     return F.round(tokens / 1_000_000 * price, 6)
 
 
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
+    """For each element of a column of arrays, the place of its row in the batch; and the elements. A null array has none."""
+    held = batch.column(column)
+    return np.repeat(np.arange(len(held)), np.asarray(held.value_lengths().fill_null(0), dtype=np.int64)), held.flatten()
+
+
+def _least(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values, starts)
+
+
 def compose_bundles(ranked: DataFrame, links: DataFrame, evidence: DataFrame, max_units: int = 25, max_tokens: int = 16_000) -> DataFrame:
     """Greedy bundles: task_id, unit_id, place, gain. ranked: task_id, unit_id, rank, score, tokens, path and, if units are taken by their
     resolution curves, bonus (five times the utility of the resolution whose tokens these are); links: task_id, src, dst; evidence: task_id, path.
 
-    Each choice changes the next ones' gains, so a task is a fold; its candidates are few (a top-n), and tasks run side by side.
+    Each choice changes the next ones' gains, so a task is a fold; its candidates are few (a top-n). All tasks of a batch take their next choice at once.
     """
     bonus = F.col("bonus") if "bonus" in ranked.columns else F.lit(0.0)
-    a = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "score", "tokens", "path", bonus.alias("bonus")))).alias("rows"))
+    a = ranked.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "unit_id", "score", "tokens", "path", bonus.alias("bonus")))).alias("rows"))
     b = links.groupBy("task_id").agg(F.collect_set(F.struct("src", "dst")).alias("links"))
     e = evidence.groupBy("task_id").agg(F.collect_set("path").alias("evidence"))
     whole = a.join(b, "task_id", "left").join(e, "task_id", "left")
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for task, rows, pairs, paths in zip(frame["task_id"], frame["rows"], frame["links"], frame["evidence"], strict=True):
-                after: dict = {}
-                for x in pairs if pairs is not None else ():
-                    after.setdefault(x["src"], set()).add(x["dst"])
-                left, open_paths = [dict(r) for r in rows], set(paths if paths is not None else ())
-                near, files, used, place = set(), {}, 0, 0
-                while left and place < max_units and used < max_tokens:
-                    best, best_gain = None, 0.0
-                    for r in left:
-                        if used + r["tokens"] > max_tokens:
-                            continue
-                        gain = r["score"] / 10 + 1.5 * (r["unit_id"] in near) + 30 * any(p in r["path"] or r["path"] in p for p in open_paths if r["path"])
-                        gain += r["bonus"] - 5 * max(0, files.get(r["path"], 0) - 2) * bool(r["path"])
-                        if gain > best_gain:
-                            best, best_gain = r, gain
-                    if best is None:
-                        break
-                    left.remove(best)
-                    place, used = place + 1, used + best["tokens"]
-                    near |= after.get(best["unit_id"], set())
-                    files[best["path"]] = files.get(best["path"], 0) + 1
-                    open_paths = {p for p in open_paths if not best["path"] or (p not in best["path"] and best["path"] not in p)}
-                    out.append((task, best["unit_id"], place, round(best_gain, 2)))
-            yield pd.DataFrame(out, columns=["task_id", "unit_id", "place", "gain"])
-
-    return whole.mapInPandas(pack, "task_id long, unit_id long, place int, gain double")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task, rows = _flat(batch, "rows")
+            unit, score, tokens, extra = (np.asarray(rows.field(k)) for k in ("unit_id", "score", "tokens", "bonus"))
+            paths = rows.field("path").fill_null("").dictionary_encode()
+            names, code = paths.dictionary.to_pylist(), np.asarray(paths.indices)
+            starts = np.searchsorted(task, np.arange(batch.num_rows))
+            # A file is a path of a task, a node a unit of a task.
+            files, file = np.unique(task * len(names) + code, return_inverse=True)
+            named = np.array([bool(x) for x in names])[files % len(names)]
+            owner, shown = _flat(batch, "evidence")
+            shown = shown.dictionary_encode()
+            stated, said = shown.dictionary.to_pylist(), np.asarray(shown.indices)
+            first = np.searchsorted(files // len(names), np.arange(batch.num_rows + 1))
+            n = np.diff(first)[owner]
+            entry = np.repeat(np.arange(len(owner)), n)
+            where = np.repeat(first[owner] - (np.cumsum(n) - n), n) + np.arange(len(entry))
+            asked, back = np.unique((files[where] % len(names)) * max(1, len(stated)) + said[entry], return_inverse=True)
+            meet = np.array([bool(r) and (p in r or r in p) for r, p in ((names[k // len(stated)], stated[k % len(stated)]) for k in asked.tolist())], dtype=bool)[back]
+            entry, where = entry[meet], where[meet]
+            units, node_unit = np.unique(unit, return_inverse=True)
+            nodes, node = np.unique(task * len(units) + node_unit, return_inverse=True)
+            owns, pair = _flat(batch, "links")
+            ends = []
+            for end in ("src", "dst"):
+                value = np.asarray(pair.field(end), dtype=np.int64)
+                at = np.minimum(np.searchsorted(units, value), len(units) - 1)
+                key = owns * len(units) + at
+                place = np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)
+                ends.append((place, (units[at] == value) & (nodes[place] == key)))
+            both = ends[0][1] & ends[1][1]
+            src, dst = ends[0][0][both], ends[1][0][both]
+            left, near, taken, open_ = np.ones(len(unit), bool), np.zeros(len(nodes), bool), np.zeros(len(files), np.int64), np.ones(len(owner), bool)
+            used, every, done, out = np.zeros(batch.num_rows, np.int64), np.arange(len(unit)), np.zeros(batch.num_rows, bool), []
+            for turn in range(1, max_units + 1):
+                covers = np.bincount(where, weights=open_[entry], minlength=len(files)) > 0
+                gain = score / 10 + 1.5 * near[node] + 30 * covers[file]
+                gain = gain + (extra - 5 * np.maximum(0, taken[file] - 2) * named[file])
+                gain = np.where(left & (used[task] + tokens <= max_tokens) & (used < max_tokens)[task] & ~done[task], gain, 0.0)
+                best = np.maximum.reduceat(gain, starts)
+                done |= ~(best > 0)
+                if done.all():
+                    break
+                chosen = _least(np.where(gain == best[task], every, len(unit)), starts)[~done]
+                left[chosen] = False
+                used[task[chosen]] += tokens[chosen]
+                taken[file[chosen]] += 1
+                picked = np.zeros(len(nodes), bool)
+                picked[node[chosen]] = True
+                near[dst[picked[src]]] = True
+                closed = np.zeros(len(files), bool)
+                closed[file[chosen]] = True
+                open_[entry[closed[where]]] = False
+                out.append((task[chosen], unit[chosen], np.full(len(chosen), turn, np.int32), [round(x, 2) for x in gain[chosen].tolist()]))
+            for held, ids, places, gains in out:
+                yield pa.RecordBatch.from_arrays([batch.column("task_id").take(pa.array(held)), pa.array(ids), pa.array(places), pa.array(gains)], ["task_id", "unit_id", "place", "gain"])
+
+    return whole.mapInArrow(pack, "task_id long, unit_id long, place int, gain double")
 
 
 def fit_rendered(plan: DataFrame, limit: int) -> DataFrame:
     """task_id, unit_id, resolution after the last gate: while rendered tokens exceed the limit one unit goes down, the least needed first.
 
-    plan: task_id, unit_id, place, tokens, resolution, least, mandatory, safe. Each step depends on the one before; a task's plan is small.
+    plan: task_id, unit_id, place, tokens, resolution, least, mandatory, safe. Each step depends on the one before; a task's plan is small. All tasks
+    of a batch that are over the limit take their next step at once.
     """
-    whole = plan.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("place", "unit_id", "tokens", "resolution", "least", "mandatory", "safe"))).alias("rows"))
-
-    def cost(r: dict) -> int:
-        share = {FULL: 1.0, BODY: 0.75, SKELETON: 0.25, SIGNATURE: 0.1}.get(r["resolution"])
-        return 5 if share is None else max(5, -int(-r["tokens"] * share // 1)) if share < 1 else r["tokens"]
-
-    def lower(rows: list[dict]) -> bool:
-        for level in (FULL, BODY, SKELETON, SIGNATURE):
-            found = [r for r in rows if r["resolution"] == level and (level == FULL or not r["mandatory"])]
-            if level == FULL:
-                found = [r for r in found if not r["mandatory"]][:1] or found[-1:]
-            elif level in (SKELETON, SIGNATURE):
-                found = found[::-1]
-            for r in found:
-                if level - 1 >= r["least"] and (level - 1 != SKELETON or r["safe"]):
-                    r["resolution"] = level - 1
-                    return True
-        optional = [r for r in rows if not r["mandatory"]]
-        if optional:
-            rows.remove(optional[-1])
-        return bool(optional)
-
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for task, held in zip(frame["task_id"], frame["rows"], strict=True):
-                rows = [dict(r) for r in held]
-                while sum(map(cost, rows)) > limit and lower(rows):
-                    pass
-                over = sum(map(cost, rows)) > limit
-                out += [(task, r["unit_id"], r["resolution"], over) for r in rows]
-            yield pd.DataFrame(out, columns=["task_id", "unit_id", "resolution", "overflow"])
-
-    return whole.mapInPandas(fit, "task_id long, unit_id long, resolution int, overflow boolean")
+    whole = plan.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("place", "unit_id", "tokens", "resolution", "least", "mandatory", "safe"))).alias("rows"))
+    shares = np.array([0.0, 0.0, 0.1, 0.25, 0.75, 1.0])
+
+    def cost(tokens: np.ndarray, resolution: np.ndarray) -> np.ndarray:
+        return np.where(resolution == FULL, tokens, np.maximum(5, np.ceil(tokens * shares[resolution]).astype(np.int64)))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task, rows = _flat(batch, "rows")
+            unit, tokens, resolution, least = (np.array(rows.field(k)) for k in ("unit_id", "tokens", "resolution", "least"))
+            mandatory, safe = (np.asarray(rows.field(k).to_numpy(zero_copy_only=False)) for k in ("mandatory", "safe"))
+            left, stuck = np.ones(len(unit), bool), np.zeros(batch.num_rows, bool)
+            while True:
+                total = np.bincount(task, weights=np.where(left, cost(tokens, resolution), 0), minlength=batch.num_rows)
+                at = np.flatnonzero(left & ((total > limit) & ~stuck)[task])
+                if not len(at):
+                    break
+                own, starts = np.unique(task[at], return_index=True)
+                r, optional = resolution[at], ~mandatory[at]
+                place = np.arange(len(at))
+                first = lambda test: _least(np.where(test, place, len(at)), starts)
+                last = lambda test: np.maximum.reduceat(np.where(test, place, -1), starts)
+                full = first((r == FULL) & optional)
+                full = np.where(full < len(at), full, last(r == FULL))
+                full = np.where((full >= 0) & (least[at][full] <= BODY), full, -1)
+                body = first((r == BODY) & optional & (least[at] <= SKELETON) & safe[at])
+                steps = [full, np.where(body < len(at), body, -1), last((r == SKELETON) & optional & (least[at] <= SIGNATURE)), last((r == SIGNATURE) & optional & (least[at] <= NAME))]
+                down = np.full(len(own), -1)
+                for step in steps:
+                    down = np.where(down < 0, step, down)
+                resolution[at[down[down >= 0]]] -= 1
+                out = np.where(down < 0, last(optional), -1)
+                left[at[out[out >= 0]]] = False
+                stuck[own[(down < 0) & (out < 0)]] = True
+            over = total > limit
+            yield pa.RecordBatch.from_arrays([batch.column("task_id").take(pa.array(task[left])), pa.array(unit[left]), pa.array(resolution[left].astype(np.int32)), pa.array(over[task[left]])], ["task_id", "unit_id", "resolution", "overflow"])
+
+    return whole.mapInArrow(fit, "task_id long, unit_id long, resolution int, overflow boolean")
