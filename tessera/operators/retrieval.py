@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import exact_tokens, lexical_tokens
+from tessera.storage import settled
 
 
 def top_per(df: DataFrame, key: str, score: str, tie: str, n: int, rank: str = "rank") -> DataFrame:
@@ -69,19 +75,37 @@ GRAM = 6
 _BREAK = "[^A-Za-z0-9_]+"
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, key: each text's distinct words, as _BREAK parts them; blank ones are none."""
+    word = re.compile("[A-Za-z0-9_]+")
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            block = batch.slice(start, 1024)
+            words = [list(set(word.findall(text))) for text in block.column("text").to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(words)), [len(x) for x in words]))
+            yield pa.RecordBatch.from_arrays([block.column("h").take(owner), pa.array([w for own in words for w in own], pa.string())], ["h", "key"])
+
+
 def _candidates(hay: DataFrame, needles: DataFrame, a: str, b: str) -> DataFrame:
-    """h, g: hashes of values of hay.a and needles.b (distinct) such that all pairs where a contains b are among them; texts don't move."""
+    """h, g: hashes of values of hay.a and needles.b (needles distinct) such that all pairs where a contains b are among them; texts don't move.
+
+    Texts are cut once into words, of which those that needles have are kept; again only where needles have no inner word.
+    """
     hay, needles = hay.select(a, F.xxhash64(a).alias("h")), needles.filter(F.length(b) > 0).select(b, F.xxhash64(b).alias("g"))
     # The words of a needle between its first and last break stand whole in every text that contains it; the rarest of them is the key.
     parts = F.split(b, _BREAK)
-    inner = needles.select("g", F.explode(F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.length(w) > 0))).alias("key"))
-    words = hay.select("h", F.explode(F.array_distinct(F.split(a, _BREAK))).alias("key"))
-    counts = words.join(inner.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    own = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    inner = needles.select("g", F.explode(F.array_distinct(own)).alias("key"))
+    words = hay.select("h", F.col(a).alias("text")).mapInArrow(_distinct_words, "h long, key string")
+    known = settled(words.join(inner.select("key").distinct(), "key", "left_semi").select("h", "key"), "known-words")
+    counts = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(counts, "key", "left").groupBy("g").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
-    found = words.join(rarest, "key").select("h", "g")
+    found = known.join(rarest, "key").select("h", "g")
     # Needles without such a word: what stands before their first break ends a word of every text that contains them, what stands after
     # their last break begins one, and a needle without a break is within one. They meet the distinct words of all texts, by the whole piece.
-    bare = needles.join(rarest.select("g"), "g", "left_anti").withColumn("parts", parts)
+    bare = needles.withColumn("parts", parts).filter(F.size(own) == 0)
+    if bare.isEmpty():
+        return found.distinct()
     head, tail = F.col("parts")[0], F.element_at("parts", -1)
     piece = F.when(F.size("parts") == 1, F.struct(F.lit("in").alias("how"), head.alias("key"))).when((F.length(head) >= F.length(tail)) & (head != ""), F.struct(F.lit("end").alias("how"), head.alias("key"))).when(tail != "", F.struct(F.lit("start").alias("how"), tail.alias("key")))
     pieces = bare.select("g", b, piece.alias("piece"))
@@ -95,6 +119,8 @@ def _candidates(hay: DataFrame, needles: DataFrame, a: str, b: str) -> DataFrame
     met = vocabulary.select("word", "how", F.explode(F.array_distinct(cuts)).alias("key")).join(asked, ["how", "key"]).select(F.col("word").alias("key"), "g")
     found = found.unionByName(words.join(met, "key").select("h", "g"))
     # Needles of breaks alone by their first letters, among all stretches of so many letters.
+    if pieces.filter("piece is null").isEmpty():
+        return found.distinct()
     short = pieces.filter("piece is null").withColumn("n", F.least(F.lit(GRAM), F.length(b))).withColumn("key", F.left(F.col(b), F.col("n")))
     sizes = short.agg(F.collect_set("n").alias("sizes"))
     grams = F.transform(F.sequence(F.lit(1), F.length(a) - F.col("n") + 1), lambda i: F.substring(F.col(a), i, F.col("n")))
@@ -104,10 +130,10 @@ def _candidates(hay: DataFrame, needles: DataFrame, a: str, b: str) -> DataFrame
 
 def containing(left: DataFrame, right: DataFrame, a: str, b: str, either: bool = False) -> DataFrame:
     """Pairs where a contains b (either: or b contains a), by equi-joins on a key of the contained text; an empty text is contained in none."""
-    hay, needles = (df.select(c).filter(f"{c} is not null").distinct() for df, c in ((left, a), (right, b)))
-    pairs = _candidates(hay, needles, a, b)
+    hay, needles = (df.select(c).filter(f"{c} is not null") for df, c in ((left, a), (right, b)))
+    pairs = _candidates(hay, needles.distinct(), a, b)
     if either:
-        pairs = pairs.unionByName(_candidates(needles, hay, b, a).select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct()
+        pairs = pairs.unionByName(_candidates(needles, hay.distinct(), b, a).select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct()
     test = F.col(a).contains(F.col(b)) & (F.length(b) > 0)
     test = test | (F.col(b).contains(F.col(a)) & (F.length(a) > 0)) if either else test
     rows = left.withColumn("_h", F.xxhash64(a)).join(pairs.select(F.col("h").alias("_h"), F.col("g").alias("_g")), "_h")
