@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.storage import settled
 
 
-#: Rows of one side in a block of pairs_by_block. Generated code holds all pairs of two blocks in memory before it hands them on, so blocks are small.
-BLOCK = 256
+#: Values of one side in a block of pairs_by_block, and those of the first side that generated code pairs with a whole block before it hands the pairs on: it holds
+#: copies of these in memory, so they are few enough for a core's cache.
+BLOCK = 1024
+CUT = 32
 
 
 def _blocks(df: DataFrame, key: list[str], value: str, block: int) -> DataFrame:
@@ -19,15 +21,26 @@ def _blocks(df: DataFrame, key: list[str], value: str, block: int) -> DataFrame:
     return dealt.groupBy(*key, "_cell").agg(F.collect_list(value).alias(value)).drop("_cell")
 
 
+def met_blocks(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str, block: int = BLOCK) -> DataFrame:
+    """key, and lists a and b: each block of left with each block of right of the same key."""
+    return _blocks(left, key, a, block).join(_blocks(right, key, b, block), key)
+
+
+def paired(met: DataFrame, a: str, b: str) -> DataFrame:
+    """Each value of a list a with each of the list b beside it, the other columns as they are; lists are dealt over all tasks before."""
+    key = [c for c in met.columns if c not in (a, b)]
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, F.xxhash64(F.col(a)[0]), F.xxhash64(F.col(b)[0]))
+    cut = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(CUT)), lambda i: F.slice(a, i + 1, F.lit(CUT)))
+    return met.select(*key, b, F.explode(cut).alias(a)).select(*key, b, F.explode(a).alias(a)).select(*key, a, F.explode(b).alias(b))
+
+
 def pairs_by_block(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str, block: int = BLOCK) -> DataFrame:
     """key, a, b: the join of left and right (key columns without nulls; a and b hold the others, without nulls) where keys have so many rows that their pairs are far
     more than all rows. Sides are gathered into blocks, which meet and are dealt over all tasks before pairs are made: what is shuffled grows
     with the rows and with pairs by the square of a block, and no key is one task's work. Pairs are not written.
     """
-    met = _blocks(left, key, a, block).join(_blocks(right, key, b, block), key)
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(tasks, F.xxhash64(F.col(a)[0]), F.xxhash64(F.col(b)[0]))
-    return met.select(*key, b, F.explode(a).alias(a)).select(*key, a, F.explode(b).alias(b))
+    return paired(met_blocks(left, right, key, a, b, block), a, b)
 
 
 def first_edges(edges: DataFrame, order: str) -> DataFrame:
@@ -172,18 +185,18 @@ def resolve_calls(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """src symbol to dst symbols of the called name: those of the same class in the file, else of the file, else all; never itself.
 
     Each level hands on only the uses of which it knows no symbol, so a name that stands in every file meets all of its namesakes only where
-    nothing nearer has it. Pairs are made last, by blocks, and neither written nor shuffled.
+    nothing nearer has it. Pairs are made last, by blocks of all levels in one stage, and neither written nor shuffled.
     uses: src, file, owner (null outside classes), name; symbols: dst, file, owner, name. A src is in one file and owner, a dst stands once.
     """
     left = settled(uses.select("src", "file", "owner", "name").distinct(), "uses")
-    out = []
+    met = None
     for level, by in ((1, ["file", "owner", "name"]), (2, ["file", "name"]), (3, ["name"])):
         known = symbols.select(*by).distinct()
-        found = pairs_by_block(left.join(known, by, "left_semi").select(*by, "src"), symbols.select(*by, "dst"), by, "src", "dst")
-        out.append(found.filter("src <> dst").select("src", "dst", "name", F.lit(level).alias("level")))
+        blocks = met_blocks(left.join(known, by, "left_semi").select(*by, "src"), symbols.select(*by, "dst"), by, "src", "dst").select("name", F.lit(level).alias("level"), "src", "dst")
+        met = blocks if met is None else met.unionByName(blocks)
         if level < 3:
             left = settled(left.join(known, by, "left_anti"), "unresolved")
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return paired(met, "src", "dst").filter("src <> dst").select("src", "dst", "name", "level")
 
 
 #: Kinds of units that stand for files, and the confidence of each kind of edge.

@@ -74,3 +74,22 @@ def test_config_at_the_top_of_many_files(spark):
     got = [(r.src, r.dst) for r in configured(spark.createDataFrame(files[-3:], "config_id int, path string"), spark.createDataFrame(files, "file_id int, path string")).collect()]
     dirs = {900: "r", 901: "", 902: "r/pkg1"}
     assert sorted(got) == sorted((c, f) for c, d in dirs.items() for f, p in files if p.startswith(d) and f != c)
+
+
+def test_calls_of_all_levels_are_paired_in_one_stage(spark):
+    """Blocks of the levels are put together before their pairs are made, so that these go to what reads them without a copy of each."""
+    rng = random.Random(3)
+    row = lambda i: (i, rng.choice("ab"), rng.choice(["C", "D", None]), rng.choice("xyz"))
+    uses, symbols = [row(i) for i in range(60)], [row(i) for i in range(40, 90)]
+    want = set()
+    for src, file, owner, name in uses:
+        same = [s for s in symbols if s[3] == name]
+        for level, near in ((1, [s for s in same if owner is not None and s[1:3] == (file, owner)]), (2, [s for s in same if s[1] == file]), (3, same)):
+            if near:
+                want |= {(src, s[0], name, level) for s in near if s[0] != src}
+                break
+    calls = resolve_calls(spark.createDataFrame(uses, "src int, file string, owner string, name string"), spark.createDataFrame(symbols, "dst int, file string, owner string, name string"))
+    got = [tuple(r) for r in calls.select("src", "dst", "name", "level").collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Union")
