@@ -93,3 +93,15 @@ def test_calls_of_all_levels_are_paired_in_one_stage(spark):
     assert set(got) == want and len(got) == len(want)
     plan = calls._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Union")
+
+
+def test_neighbours_of_all_hops_are_paired_in_one_stage(spark):
+    """Also where edges stand many times over: they aren't told apart before the least path is taken."""
+    edges = [("s1", "n", "D"), ("s2", "n", "D"), ("n", "c1", "K"), ("n", "c2", "A"), ("n", "c2", "B"), ("s3", "m", "D"), ("m", "m", "D")]
+    found = neighbourhood(spark.createDataFrame([("s1",), ("s2",), ("s3",)], "root string"), spark.createDataFrame(edges * 3, "src string, dst string, kind string"))
+    want = {(a, b, 2, "D>D") for a, b in (("s1", "s2"), ("s2", "s1"))} | {(s, c, 2, p) for s in ("s1", "s2") for c, p in (("c1", "D>K"), ("c2", "D>A"))}
+    want |= {("s1", "n", 1, "D"), ("s2", "n", 1, "D"), ("s3", "m", 1, "D")}
+    got = [tuple(r) for r in found.select("root", "node", "distance", "path").collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Union")
