@@ -401,13 +401,83 @@ def indexed(path: Column) -> Column:
     return ~F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_FOLDERS))) & ~ends & ~F.exists(parts, lambda p: p.startswith("."))
 
 
+#: Rows of a listing, and bytes of contents, that a task hands on at once.
+LISTED, HELD_BYTES = 8192, 16 << 20
+
+
+def _open_folder(spark, folder: str) -> tuple[pafs.FileSystem | None, str]:
+    """The file system of a folder, and its path there; None where Arrow doesn't know the system or can't open it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    path = uri.getPath().rstrip("/")
+    if uri.getScheme() == "file":
+        return pafs.LocalFileSystem(), path
+    try:
+        system, found = pafs.FileSystem.from_uri(uri.toString())
+        return system, found.rstrip("/")
+    except (pa.ArrowException, OSError):
+        return None, path
+
+
+def listed_files(spark, system: pafs.FileSystem, root: str) -> DataFrame:
+    """path (relative to root) and size of the files below a folder but for those in folders that are never indexed.
+
+    A round lists all folders of a depth, each in the task that it is dealt to, and writes what they hold: the driver holds neither files nor folders.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                held = system.get_file_info(pafs.FileSelector(f"{root}/{folder}"))
+                for start in range(0, len(held), LISTED):
+                    own = [x for x in held[start : start + LISTED] if x.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                    rows = {"path": [f"{folder}/{x.base_name}".lstrip("/") for x in own], "size": [x.size or 0 for x in own], "folder": [not x.is_file for x in own]}
+                    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())]))
+
+    tasks, files = int(spark.conf.get("spark.sql.shuffle.partitions")), None
+    folders = spark.createDataFrame([("",)], "path string")
+    while files is None or not folders.isEmpty():
+        found = settled(folders.repartition(tasks, "path").mapInArrow(listed, "path string, size long, folder boolean"), "listing")
+        own = found.filter("not folder").select("path", "size")
+        files = own if files is None else files.unionByName(own)
+        # A folder is kept as a file within it would be.
+        folders = found.filter("folder").filter(indexed(F.concat("path", F.lit("/x")))).select("path")
+    return files
+
+
 def repository_files(spark, folder: str, glob: str = "*") -> DataFrame:
-    """path (relative to folder), content and size of the indexed files below a folder, and `readable`: whether the content is UTF-8."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    at = F.locate(root + "/", F.col("path"))
-    rows = rows.select(F.substring(F.col("path"), at + len(root) + 1, F.length("path")).alias("path"), "content", F.col("length").alias("size")).filter(indexed(F.col("path")))
+    """path (relative to folder), content and size of the indexed files below a folder, and `readable`: whether the content is UTF-8.
+
+    Files are listed and read by tasks; only where Arrow can't open the file system does Spark list them, on the driver, but for names that begin with an underscore.
+    """
+    system, root = _open_folder(spark, folder)
+    if system is None:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+        at = F.locate(root + "/", F.col("path"))
+        rows = rows.select(F.substring(F.col("path"), at + len(root) + 1, F.length("path")).alias("path"), "content", F.col("length").alias("size")).filter(indexed(F.col("path")))
+    else:
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def handed(batch: pa.RecordBatch, start: int, contents: list[bytes]) -> pa.RecordBatch:
+                part = batch.slice(start, len(contents))
+                return pa.RecordBatch.from_arrays([part.column("path"), pa.array(contents, pa.binary()), part.column("size")], ["path", "content", "size"])
+
+            for batch in batches:
+                start, contents, held = 0, [], 0
+                for path in batch.column("path").to_pylist():
+                    with system.open_input_stream(f"{root}/{path}", compression=None) as file:
+                        contents.append(file.read())
+                    held += len(contents[-1])
+                    if held >= HELD_BYTES:
+                        yield handed(batch, start, contents)
+                        start, contents, held = start + len(contents), [], 0
+                if contents:
+                    yield handed(batch, start, contents)
+
+        name = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+        named = F.element_at(F.split("path", "/"), -1).rlike(rf"(?s)\A(?:{name})\z")
+        files = listed_files(spark, system, root).filter(indexed(F.col("path")) & named)
+        rows = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, "path string, content binary, size long")
     readable = F.is_valid_utf8(F.col("content").cast("string"))
     return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size", readable.alias("readable"))
 
